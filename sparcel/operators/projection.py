@@ -40,7 +40,7 @@ def offset_filter(
     """
     keys = list(on)
     known = state.select(*keys, F.col(last).alias("_last"))
-    joined = df.join(known, keys, "left") if keys else df.join(known, F.lit(True), "left")
+    joined = df.join(known, keys, "left")
     return joined.filter(F.coalesce(F.col(offset) > F.col("_last"), F.lit(True))).select(*df.columns)
 
 
