@@ -54,15 +54,15 @@ SENTENCES = {
     "CHANGE_SOURCE_CONNECTION": "Changed Source Connection Configuration",
     "CHANGE_SOURCE_CREDENTIALS": "Changed Source Credentials",
     "CHANGE_SOURCE_CONFIGURATION": "Changed Source Configuration",
-    "CHANGE_PACKAGE_DISPLAY_NAME": "Changed Display Name", "CHANGE_PACKAGE_DESCRIPTION": "Changed Description",
+    "CHANGE_PACKAGE_DISPLAY_NAME": "Changed Package Display Name", "CHANGE_PACKAGE_DESCRIPTION": "Changed Package Description",
     "CHANGE_STREAM_STATS": "Changed Stream Stats", "CHANGE_STREAM_UPDATE_HASH": "Changed Stream Update Hash",
-    "CHANGE_STREAM_UPDATE_METHOD": "Changed Stream Update Method", "ADD_PROPERTY": "Added Property",
+    "CHANGE_STREAM_UPDATE_METHOD": "Changed Source Update Method", "ADD_PROPERTY": "Added Property",
     "HIDE_PROPERTY": "Property Hidden", "UNHIDE_PROPERTY": "Property Unhidden", "REMOVE_PROPERTY": "Removed Property",
     "REMOVE_HIDDEN_PROPERTY": "Removed Hidden Property", "CHANGE_PROPERTY_TYPE": "Changed Property Type",
     "CHANGE_PROPERTY_FORMAT": "Changed Property Format", "CHANGE_PROPERTY_UNIT": "Changed Property Unit",
     "CHANGE_PROPERTY_DESCRIPTION": "Changed Property Description", "CHANGE_GENERATED_BY": "Changed Generated By",
     "CHANGE_UPDATED_DATE": "Changed Updated Date", "CHANGE_VERSION": "Changed Version",
-    "CHANGE_README_MARKDOWN": "Changed Readme", "CHANGE_LICENSE_MARKDOWN": "Changed License",
+    "CHANGE_README_MARKDOWN": "Changed Readme Markdown", "CHANGE_LICENSE_MARKDOWN": "Changed License Markdown",
     "CHANGE_README_FILE": "Changed Readme File", "CHANGE_LICENSE_FILE": "Changed License File",
     "CHANGE_WEBSITE": "Changed Website", "CHANGE_CONTACT_EMAIL": "Changed Contact Email",
 }
