@@ -30,6 +30,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "sparcel
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="sparcel-wh-"))
         .getOrCreate()
