@@ -11,12 +11,16 @@ INSERT_ROWS = {"relational": 100, "document": 200, "warehouse": 200}
 TOPIC_BATCH = {"records": 100, "milliseconds": 100}
 
 
-def swap_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:
-    """Full load of a catalog table: readers see the old table until the new one is complete."""
+def swap_table(df: DataFrame, table: str, fmt: str = "parquet", location: str | None = None) -> None:
+    """Full load of a catalog table: readers see the old table until the new one is complete.
+
+    ``location`` keeps the files outside the warehouse folder; it must be new for every load.
+    """
     spark = df.sparkSession
     staged = f"{table}_new"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    df.write.format(fmt).saveAsTable(staged)
+    writer = df.write.format(fmt)
+    (writer.option("path", location) if location else writer).saveAsTable(staged)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
 
