@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparcel.checks.base import duck_type, register, spark_sql, standin, table
@@ -66,17 +67,27 @@ def json_path_scan(spark, sf):
     return records.select("event_id", F.variant_get("record", "$", "bigint").alias("k"))
 
 
-@register("json_array_scan", "SELECT o_custkey, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@register("json_array_scan", "SELECT o_custkey, l_orderkey, l_linenumber * s AS l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey CROSS JOIN (VALUES (1), (-1)) v(s)")
 def json_array_scan(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    documents = lines.groupBy("o_custkey", "l_orderkey").agg(F.collect_list(F.struct("l_orderkey", "l_linenumber")).alias("lines")).select(
-        "o_custkey", F.to_json(F.struct(F.struct("lines").alias("order"))).alias("text")
+    def line(sign):
+        return F.struct(F.col("l_orderkey"), (F.col("l_linenumber") * sign).alias("l_linenumber"))
+
+    documents = lines.select(
+        "o_custkey", F.to_json(F.struct(F.struct(F.array(line(1), line(-1)).alias("lines")).alias("order"))).alias("text")
     )
     records = nested.json_records(documents, "text", "$.order.lines[*]")
     get = lambda name, kind: F.variant_get("record", f"$.{name}", kind).alias(name)
     return records.select("o_custkey", get("l_orderkey", "bigint"), get("l_linenumber", "int"))
 
 
+def _with_root(parts):
+    """Every file of the write is one document."""
+    yield pd.DataFrame({"value": ["<suppliers>"]})
+    yield from parts
+    yield pd.DataFrame({"value": ["</suppliers>"]})
+
+
 @register("xml_scan", 'SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS "address.nation", CAST(s_acctbal AS VARCHAR) AS balance FROM supplier')
 def xml_scan(spark, sf):
     path = scratch(spark, "supplier.xml")
@@ -84,7 +95,8 @@ def xml_scan(spark, sf):
         "<supplier id=\"%s\"><name>%s</name><address><nation>%s</nation></address><balance currency=\"x\">%s</balance></supplier>",
         *[F.col(c).cast("string") for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")],
     )
-    table(spark, sf, "supplier").select(text.alias("value")).write.text(path)
+    rows = table(spark, sf, "supplier").select(text.alias("value"))
+    rows.mapInPandas(_with_root, "value string").write.text(path)
     return nested.scan_xml(spark, path, "/suppliers/supplier").drop("currency")
 
 
@@ -115,7 +127,7 @@ def route_files(spark, sf):
     routed = files.route_files(spark, path)
     readers = {
         "csv": lambda p: spark.read.csv(p, header=True, schema=nation.schema), "json": lambda p: spark.read.json(p, schema=nation.schema),
-        "parquet": lambda p: spark.read.parquet(p),
+        "parquet": lambda p: spark.read.parquet(*p),
     }
     out = None
     for fmt, read in readers.items():
@@ -307,15 +319,19 @@ def exchange_normalize_binance(spark, sf):
 @register(
     "exchange_normalize_ftx",
     """SELECT 'trades' AS schema, 'M' || (l_orderkey % 7) AS market, CAST(l_linenumber AS VARCHAR) AS id, CAST(l_extendedprice AS VARCHAR) AS price, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem
+    UNION ALL SELECT 'trades', 'M' || (l_orderkey % 7), CAST(-l_linenumber AS VARCHAR), CAST(l_tax AS VARCHAR), CAST(l_orderkey AS VARCHAR) FROM lineitem
     UNION ALL SELECT 'ticker', 'M' || (o_orderkey % 7), NULL, CAST(o_totalprice AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders""",
 )
 def exchange_normalize_ftx(spark, sf):
     def market(key):
         return F.concat(F.lit("M"), (F.col(key) % 7).cast("string")).alias("market")
 
-    item = F.struct(F.col("l_linenumber").alias("id"), F.col("l_extendedprice").cast("string").alias("price"), F.col("l_orderkey").alias("key"))
-    trades = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("data")).select(
-        F.to_json(F.struct(F.lit("update").alias("type"), F.lit("trades").alias("channel"), market("l_orderkey"), "data")).alias("value")
+    def item(sign, price):
+        return F.struct((F.col("l_linenumber") * sign).alias("id"), F.col(price).cast("string").alias("price"), F.col("l_orderkey").alias("key"))
+
+    data = F.array(item(1, "l_extendedprice"), item(-1, "l_tax")).alias("data")
+    trades = table(spark, sf, "lineitem").select(
+        F.to_json(F.struct(F.lit("update").alias("type"), F.lit("trades").alias("channel"), market("l_orderkey"), data)).alias("value")
     )
     one = F.struct(F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderkey").alias("key"))
     ticker = table(spark, sf, "orders").select(
@@ -330,15 +346,16 @@ def exchange_normalize_ftx(spark, sf):
 
 @register(
     "exchange_normalize_gemini",
-    """SELECT CASE WHEN l_linestatus = 'O' THEN 'ticker' ELSE 'trade' END AS schema, 'BTCUSD' AS symbol, CAST(l_extendedprice AS VARCHAR) AS price, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem""",
+    """SELECT CASE WHEN l_linestatus = 'O' THEN 'ticker' ELSE 'trade' END AS schema, 'BTCUSD' AS symbol, CAST(l_extendedprice AS VARCHAR) AS price, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem
+    UNION ALL SELECT 'block_trade', 'BTCUSD', CAST(l_tax AS VARCHAR), CAST(l_orderkey AS VARCHAR) FROM lineitem""",
 )
 def exchange_normalize_gemini(spark, sf):
-    event = F.struct(
-        F.expr("CASE WHEN l_linestatus = 'O' THEN 'change' ELSE 'trade' END").alias("type"), F.col("l_extendedprice").cast("string").alias("price"), F.col("l_orderkey").alias("key")
-    )
-    messages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(event).alias("events")).select(
-        F.to_json(F.struct(F.lit("update").alias("type"), "events")).alias("value")
-    )
+    def event(kind, price):
+        return F.struct(kind.alias("type"), F.col(price).cast("string").alias("price"), F.col("l_orderkey").alias("key"))
+
+    changed = F.expr("CASE WHEN l_linestatus = 'O' THEN 'change' ELSE 'trade' END")
+    events = F.array(event(changed, "l_extendedprice"), event(F.lit("block_trade"), "l_tax")).alias("events")
+    messages = table(spark, sf, "lineitem").select(F.to_json(F.struct(F.lit("update").alias("type"), events)).alias("value"))
     get = lambda name: F.try_element_at("record", F.lit(name)).alias(name)
     return feeds.normalize_gemini(messages, F.lit("BTCUSD")).select(F.col("_schema_slug").alias("schema"), get("symbol"), get("price"), get("key"))
 
@@ -346,13 +363,16 @@ def exchange_normalize_gemini(spark, sf):
 @register(
     "exchange_normalize_kraken",
     """SELECT 'trade' AS schema, 'XBT' AS pair, CAST(l_extendedprice AS VARCHAR) AS price, CAST(l_quantity AS VARCHAR) AS volume FROM lineitem
+    UNION ALL SELECT 'trade', 'XBT', CAST(l_tax AS VARCHAR), CAST(l_quantity AS VARCHAR) FROM lineitem
     UNION ALL SELECT 'ticker', 'XBT', CAST(o_totalprice AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders
     UNION ALL SELECT 'spread', NULL, CAST(value AS VARCHAR), CAST(event_id AS VARCHAR) FROM events""",
 )
 def exchange_normalize_kraken(spark, sf):
-    trade = F.array(F.col("l_extendedprice").cast("string"), F.col("l_quantity").cast("string"), F.lit("1.5"), F.lit("b"), F.lit("l"), F.lit(""))
+    def trade(price):
+        return F.array(F.col(price).cast("string"), F.col("l_quantity").cast("string"), F.lit("1.5"), F.lit("b"), F.lit("l"), F.lit(""))
+
     wrap = lambda body, channel: F.concat(F.lit("[7,"), F.to_json(body), F.lit(f',"{channel}","XBT"]')).alias("value")
-    trades = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(trade).alias("d")).select(wrap(F.col("d"), "trade"))
+    trades = table(spark, sf, "lineitem").select(wrap(F.array(trade("l_extendedprice"), trade("l_tax")), "trade"))
     price, key = F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")
     quote = F.struct(*[F.array(price, key, F.lit("1")).alias(c) for c in "abcvptlho"])
     ticker = table(spark, sf, "orders").select(wrap(quote, "ticker"))

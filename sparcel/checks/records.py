@@ -10,6 +10,8 @@ from sparcel.operators import profile as P
 from sparcel.operators import projection as R
 from sparcel.operators import resolve as C
 from sparcel.operators import shapes as S
+from sparcel.session import scratch
+from sparcel.sinks import files as W
 
 TYPE = duck_type("mixed")
 NUMBER = duck_number("mixed")
@@ -238,19 +240,24 @@ def offset_filter(spark, sf):
 
 @register("route_by_schema", "SELECT event_type AS schema, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
 def route_by_schema(spark, sf):
-    from sparcel.session import scratch
-    from sparcel.sinks.files import file_sink
-
     events = table(spark, sf, "events").withColumnRenamed("event_type", R.SCHEMA)
     location = scratch(spark, "routed")
-    names = ["view", "click", "purchase", "signup", "error"]
-    R.route_by_schema(events, {s: (lambda part, s=s: file_sink(part, location, s)) for s in names})
-    out = None
-    for s in names:
-        rows = spark.read.parquet(f"{location}/1/parquet/{s}").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
-        rows = rows.withColumn("schema", F.lit(s))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    R.route_to_folders(events, ["view", "click", "purchase", "signup", "error"], location)
+    return spark.read.parquet(location).groupBy(F.col(R.SCHEMA).alias("schema")).agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("total")
+    )
+
+
+@register("route_by_schema_writers", "SELECT CASE n_regionkey WHEN 0 THEN 'africa' ELSE 'rest' END AS schema, count(*) AS n FROM nation GROUP BY 1")
+def route_by_schema_writers(spark, sf):
+    slug = F.when(F.col("n_regionkey") == 0, "africa").otherwise("rest")
+    nation, location = table(spark, sf, "nation").withColumn(R.SCHEMA, slug), scratch(spark, "writers")
+    R.route_by_schema(nation, {"africa": lambda df: W.csv_sink(df, f"{location}/africa"), "rest": lambda df: W.jsonl_sink(df, f"{location}/rest")})
+    counts = [
+        read.agg(F.count("*").alias("n")).withColumn("schema", F.lit(name))
+        for name, read in (("africa", spark.read.csv(f"{location}/africa", header=True)), ("rest", spark.read.json(f"{location}/rest")))
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 @register(

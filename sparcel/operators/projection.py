@@ -53,15 +53,22 @@ def after_offset(df: DataFrame, last: int | None, offset: str = OFFSET) -> DataF
 
 def check_known_schemas(df: DataFrame, schemas: Iterable[str], slug: str = SCHEMA) -> DataFrame:
     """Fail on records of a schema that is not described."""
-    known = F.col(slug).isin(list(schemas))
-    error = F.raise_error(F.concat(F.lit("unknown schema "), F.col(slug))).cast("string")
+    known = F.coalesce(F.col(slug).isin(list(schemas)), F.lit(False))
+    error = F.raise_error(F.concat(F.lit("unknown schema "), F.coalesce(F.col(slug), F.lit("NULL")))).cast("string")
     return df.withColumn(slug, F.when(known, F.col(slug)).otherwise(error))
 
 
-def route_by_schema(
-    df: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]], slug: str = SCHEMA
-) -> None:
-    """One filtered write per schema; a record of any other schema is an error, found first."""
+def route_to_folders(df: DataFrame, schemas: Iterable[str], location: str, mode: str = "append", slug: str = SCHEMA) -> None:
+    """All schemas in one pass, a folder ``slug=name`` each; a record of another schema fails the write."""
+    check_known_schemas(df, schemas, slug).write.mode(mode).partitionBy(slug).parquet(location)
+
+
+def route_by_schema(df: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]], slug: str = SCHEMA) -> None:
+    """A writer of its own per schema, for targets of different kinds.
+
+    Every writer reads ``df`` with its own filter, which columnar sources push into the scan;
+    where all targets are folders, ``route_to_folders`` needs a single pass.
+    """
     unknown = df.filter(~F.coalesce(F.col(slug).isin(list(writers)), F.lit(False))).select(slug).head(1)
     if unknown:
         raise ValueError(f"unknown schema {unknown[0][0]}")

@@ -78,11 +78,15 @@ def upload_batch(
 ) -> DataFrame:
     """Check and append records below ``path``, partitioned by batch; return the new batch table.
 
-    The batch rows are made from what was written, so they follow the data.
+    The batch rows are read back from what was written (keys, offset and time only), so they
+    follow the data and the upload itself is computed once.
     """
+    spark = incoming.sparkSession
     uploaded = check_offsets(assign_batch(incoming, batches, new_batch, keys))
     uploaded.write.mode("append").partitionBy("schema", "batch").parquet(path)
-    rows = batch_rows(uploaded, updated_at, keys)
+    touched = assign_batch(incoming.select(*keys).distinct(), batches, new_batch, keys).drop("_last")
+    written = spark.read.schema(uploaded.schema).parquet(path).join(touched, [*keys, "batch"], "left_semi")
+    rows = batch_rows(written, updated_at, keys)
     kept = batches.join(rows, [*keys, "batch"], "left_anti")
     served = batches.filter("is_default").select(*keys, "batch", F.lit(True).alias("_served"))
     again = rows.join(served, [*keys, "batch"], "left").withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from sparcel.operators.profile import merge_profiles, profile
-from sparcel.operators.projection import SCHEMA, route_by_schema
+from sparcel.operators.projection import SCHEMA, route_to_folders
 
 # Back-off after a source ended, and the default micro-batch.
 BACKOFF_FACTOR, BACKOFF_LIMIT = 10, 30.0
@@ -64,18 +64,10 @@ def ingest_batches(stream: DataFrame, path: str, checkpoint: str, available_now:
 def stream_route(
     stream: DataFrame, path: str, schemas: list[str], checkpoint: str, slug: str = SCHEMA, available_now: bool = True
 ) -> StreamingQuery:
-    """One folder per schema, from a single stream that carries them all."""
+    """A folder per batch and schema, from a single stream that carries all schemas."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            route_by_schema(
-                batch,
-                {s: (lambda part, s=s: part.write.mode("overwrite").parquet(f"{path}/{s}/batch_id={number}")) for s in schemas},
-                slug,
-            )
-        finally:
-            batch.unpersist()
+        route_to_folders(batch, schemas, f"{path}/batch_id={number}", "overwrite", slug)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
