@@ -35,6 +35,7 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

@@ -111,7 +111,7 @@ def scan_content_labels(spark, sf):
     "detect_person_name",
     r"""WITH names AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part UNION SELECT DISTINCT lower(split_part(text, ' ', 1)) FROM benchmark),
     vals AS (SELECT p_partkey AS k, 'p_name' AS property, p_name AS v FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part),
-    toks AS (SELECT DISTINCT k, property, length(v) <= 40 AS short, unnest(list_filter(string_split_regex(lower(trim(v)), '[^\p{L}''-]+'), lambda w: w <> '')) AS word FROM vals),
+    toks AS (SELECT DISTINCT k, property, length(trim(v)) <= 40 AS short, unnest(list_filter(string_split_regex(lower(trim(v)), '[^\p{L}''-]+'), lambda w: w <> '')) AS word FROM vals),
     per AS (SELECT k, property, short, count(*) AS n, count(names.word) AS hits FROM toks LEFT JOIN names USING (word) GROUP BY 1, 2, 3)
     SELECT property, 'string' AS type, 'person_name' AS label, count(*) FILTER (WHERE hits > 0 AND (NOT short OR hits = n)) AS occurrence_count,
       count(*) AS tested_count, count(*) FILTER (WHERE hits > 0 AND (NOT short OR hits = n)) / count(*) > 0.66 AS applied FROM per GROUP BY 1""",

@@ -12,6 +12,7 @@ from sparcel.registry import listings as G
 from sparcel.registry import notifications as N
 from sparcel.registry import search as Q
 from sparcel.registry import visibility as Z
+from sparcel.session import spread
 
 GRANTS = ("user_catalog", "user_package", "group_user", "group_package", "group_catalog", "user_collection", "group_collection")
 
@@ -212,7 +213,7 @@ TEXT_QUERY = 'the and or der die -"of the"'
 
 @register("search_documents", f"SELECT doc_id, source FROM documents WHERE {_duck_match('text', TEXT_QUERY)}")
 def search_documents(spark, sf):
-    return Q.search(table(spark, sf, "documents"), TEXT_QUERY, ["text"]).select("doc_id", "source")
+    return Q.search(spread(table(spark, sf, "documents")), TEXT_QUERY, ["text"]).select("doc_id", "source")
 
 
 @register(
@@ -246,7 +247,7 @@ def search_collections(spark, sf):
     f"""SELECT registry, doc_id, hit_no FROM (SELECT source AS registry, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS hit_no FROM documents WHERE {_duck_match('text', TEXT_QUERY)}) WHERE hit_no <= 20""",
 )
 def search_all_registries(spark, sf):
-    registries = table(spark, sf, "documents").withColumnRenamed("source", "registry")
+    registries = spread(table(spark, sf, "documents")).withColumnRenamed("source", "registry")
     return Q.search_all_registries(registries, TEXT_QUERY, "text", "doc_id").select("registry", "doc_id", "hit_no")
 
 

@@ -64,7 +64,8 @@ def is_date(text: Column) -> Column:
 
 
 def is_date_time(text: Column) -> Column:
-    return F.coalesce(text.rlike(DATE_TIME_TRIMMED), F.lit(False))
+    # Every form has a colon, which is found faster than the forms themselves.
+    return F.coalesce(text.contains(":") & text.rlike(DATE_TIME_TRIMMED), F.lit(False))
 
 
 def parse_utc_timestamp(text: Column) -> Column:

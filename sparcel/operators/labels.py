@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from sparcel.functions.infer import infer_string_type, possible_types
 from sparcel.functions.text import NON_WS, WORD_EDGE, trimmed
 from sparcel.operators.profile import Field, fields
+from sparcel.session import spread
 
 THRESHOLD = 0.66
 LONG_TEXT = 40
@@ -133,6 +134,7 @@ def scan_content_labels(
     0.66 of the tested values; a name label always.
     """
     by = list(by)
+    df = spread(df)
     chosen = [d for d in VALUE_DETECTORS if labels is None or d.label in set(labels)]
     names = [f for f in df.schema.fields if f.name not in by and (columns is None or f.name in set(columns))]
     aggregates: list[Column] = []
@@ -192,18 +194,23 @@ def detect_person_names(df: DataFrame, key: str, columns: Iterable[str], names:
     """Count the values that are, or contain, a name of the user's ``names(name)`` table.
 
     Values of up to 40 characters must be a name, word by word; longer ones must contain one.
-    Words are de-duplicated per value before the join. The names table is left to the
-    optimizer, which broadcasts it only while its measured size allows.
+    The names table is left to the optimizer, which broadcasts it only while its measured size
+    allows; words that are no names are gone before the values are grouped.
     """
+    columns = list(columns)
     known = names.select(F.lower(F.trim("name")).alias("word")).distinct()
     entries = [
         F.struct(F.lit(c).alias("property"), F.col(f"`{c}`").alias("value")) for c in columns
     ]
-    values = df.select(F.col(key).alias("_key"), F.inline(F.array(*entries))).filter("value is not null")
-    words = F.array_distinct(F.filter(F.split(F.lower(trimmed(F.col("value"))), r"[^\p{L}'-]+"), lambda w: w != ""))
-    short = F.length("value") <= LONG_TEXT
-    tokens = values.select(
-        "_key", "property", short.alias("short"), F.size(words).alias("n_words"), F.explode(words).alias("word")
+    values = spread(df.select(key, *columns)).select(F.col(key).alias("_key"), F.inline(F.array(*entries))).filter("value is not null")
+    words = F.filter(F.split(F.lower("value"), r"[^\p{L}'-]+"), lambda w: w != "")
+    short = F.length(trimmed(F.col("value"))) <= LONG_TEXT
+    # Only short values, which have few words, need each word once.
+    split = values.select("_key", "property", short.alias("short"), words.alias("words")).select(
+        "_key", "property", "short", F.when(F.col("short"), F.array_distinct("words")).otherwise(F.col("words")).alias("words")
+    )
+    tokens = split.select(
+        "_key", "property", "short", F.when(F.col("short"), F.size("words")).alias("n_words"), F.explode("words").alias("word")
     )
     per_value = (
         tokens.join(known, "word", "left_semi")

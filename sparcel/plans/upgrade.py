@@ -13,6 +13,9 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparcel.session import written
 
 Descriptor = dict[str, Any]
 
@@ -183,15 +186,45 @@ def upgrade_descriptors(df: DataFrame, text: str = "value") -> DataFrame:
     return df.mapInPandas(run, f"{columns}, from_format string, descriptor string, error string")
 
 
+def _property_rows(descriptor: Descriptor) -> Iterator[tuple]:
+    """(schema, path, types, hidden, unit, description) of every property, nested ones included."""
+
+    def walk(schema: str, above: list[str], properties: dict[str, Descriptor]) -> Iterator[tuple]:
+        for name, prop in properties.items():
+            path, types = [*above, name], prop.get("types") or {}
+            yield schema, path, sorted(types), prop.get("hidden"), prop.get("unit"), prop.get("description")
+            inner = (types.get("object") or {}).get("objectProperties")
+            if inner:
+                yield from walk(schema, path, inner)
+
+    for schema in _schemas(descriptor):
+        yield from walk(schema.get("title"), [], schema.get("properties") or {})
+
+
+def descriptor_properties(df: DataFrame, key: str = "package", text: str = "descriptor") -> DataFrame:
+    """Property rows of current-format descriptors, ready for comparison."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(k, *row) for k, value in zip(part[key], part[text]) if value for row in _property_rows(json.loads(value))]
+            yield pd.DataFrame(rows, columns=[key, "schema", "path", "types", "hidden", "unit", "description"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(
+        run, f"`{key}` {kind}, schema string, path array<string>, types array<string>, hidden boolean, unit string, description string"
+    )
+
+
 def descriptor_tables(df: DataFrame, key: str = "package", text: str = "descriptor") -> dict[str, DataFrame]:
-    """Tables of current-format descriptors, for comparison: properties, schemas, sources, stream sets."""
-    from pyspark.sql import functions as F
+    """Tables of current-format descriptors, for comparison: packages, schemas, properties, sources, stream sets.
 
-    properties_of = "map<string, struct<hidden:boolean, unit:string, description:string, types:map<string, variant>>>"
+    The descriptors are written once to the shared folder, as every table reads them.
+    """
+    df = written(df.select(key, text), "descriptors")
     shape = (
         "displayName string, description string, version string, updatedDate string, website string, contactEmail string, "
         "readmeMarkdown string, licenseMarkdown string, readmeFile string, licenseFile string, generatedBy string, "
-        f"schemas array<struct<title:string, hidden:boolean, properties:{properties_of}>>, "
+        "schemas array<struct<title:string, hidden:boolean>>, "
         "sources array<struct<slug:string, type:string, configuration:variant, connectionConfiguration:variant, "
         "credentialsIdentifier:string, streamSets:array<struct<slug:string, updateMethods:array<string>, "
         "lastUpdateHash:string, streamStats:struct<inspectedCount:bigint>>>>>"
@@ -204,23 +237,7 @@ def descriptor_tables(df: DataFrame, key: str = "package", text: str = "descript
         F.col("licenseFile").alias("license_file"), F.col("generatedBy").alias("generated_by"),
         F.col("updatedDate").alias("updated_date"),
     )
-    schema = d.select(key, F.explode("schemas").alias("s"))
-    schemas = schema.select(key, F.col("s.title").alias("schema"), "s.hidden")
-    level = schema.select(
-        key, F.col("s.title").alias("schema"), F.array().cast("array<string>").alias("above"), F.col("s.properties").alias("properties")
-    )
-    properties = None
-    for _ in range(10):
-        rows = level.select(key, "schema", "above", F.explode("properties").alias("name", "p"))
-        flat = rows.select(
-            key, "schema", F.concat("above", F.array("name")).alias("path"),
-            F.array_sort(F.map_keys("p.types")).alias("types"), "p.hidden", "p.unit", "p.description",
-        )
-        properties = flat if properties is None else properties.unionByName(flat)
-        inner = F.to_json(F.try_variant_get(F.try_element_at("p.types", F.lit("object")), "$.objectProperties", "variant"))
-        level = rows.select(
-            key, "schema", F.concat("above", F.array("name")).alias("above"), F.from_json(inner, properties_of).alias("properties")
-        ).filter(F.col("properties").isNotNull())
+    schemas = d.select(key, F.explode("schemas").alias("s")).select(key, F.col("s.title").alias("schema"), "s.hidden")
     source = d.select(key, F.explode("sources").alias("s"))
     sources = source.select(
         key, F.col("s.slug").alias("source"), "s.type", F.to_json("s.configuration").alias("configuration"),
@@ -230,4 +247,5 @@ def descriptor_tables(df: DataFrame, key: str = "package", text: str = "descript
         key, "source", F.col("t.slug").alias("stream_set"), F.col("t.updateMethods").alias("update_methods"),
         F.col("t.streamStats.inspectedCount").alias("inspected_count"), F.col("t.lastUpdateHash").alias("update_hash"),
     )
+    properties = descriptor_properties(df, key, text)
     return {"packages": packages, "schemas": schemas, "properties": properties, "sources": sources, "stream_sets": sets}

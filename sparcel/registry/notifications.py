@@ -70,25 +70,24 @@ def notify_by_package(activity, follows, packages, collection_packages, start, e
     wanted = follows.filter(F.col("frequency") == frequency)
     log = _period(activity, start, end).filter(F.col("target_package_id").isNotNull())
     every = wanted.filter("follow_all_packages")
-    in_catalog = every.filter(F.col("target_catalog_id").isNotNull()).join(
-        packages.select("package_id", F.col("catalog_id").alias("target_catalog_id")), "target_catalog_id"
+    direct = wanted.select(
+        F.col("user_id").alias("_follower"), F.col("target_package_id").alias("_key"), F.explode("event_types").alias("_event")
     )
-    in_collection = every.filter(F.col("target_collection_id").isNotNull()).join(
-        collection_packages.select("package_id", F.col("collection_id").alias("target_collection_id")), "target_collection_id"
-    )
-    direct = wanted.filter(F.col("target_package_id").isNotNull()).select(
-        F.col("user_id").alias("_follower"), F.col("target_package_id").alias("_target"), F.explode("event_types").alias("_event"),
-        F.lit(True).alias("_any"), F.lit(None).cast("string").alias("_change"),
-    )
-    inside = in_catalog.unionByName(in_collection).select(
-        F.col("user_id").alias("_follower"), F.col("package_id").alias("_target"), F.explode("event_types").alias("_event"), "change_types",
-    ).select("_follower", "_target", "_event", F.lit(False).alias("_any"), F.explode("change_types").alias("_change"))
-    keys = direct.unionByName(inside).groupBy("_follower", "_target", "_event").agg(
-        F.max("_any").alias("_any"), F.collect_set("_change").alias("_changes")
-    )
-    joined = log.join(keys, (F.col("target_package_id") == F.col("_target")) & (F.col("event_type") == F.col("_event")))
-    allowed = F.col("_any") | F.coalesce(F.array_contains("_changes", F.col("change_type")), F.lit(False))
-    return _action_rows(joined.filter(allowed & (F.col("user_id") != F.col("_follower"))), "package")
+    matched = [log.join(direct, (F.col("target_package_id") == F.col("_key")) & (F.col("event_type") == F.col("_event")))]
+    # The packages that saw action are looked up, instead of listing every package that is followed.
+    changed = log.filter(F.col("change_type").isNotNull())
+    for owner, column, bridge in (
+        ("target_catalog_id", "catalog_id", packages), ("target_collection_id", "collection_id", collection_packages)
+    ):
+        inside = bridge.select(F.col("package_id").alias("target_package_id"), F.col(column).alias("_owner"))
+        keys = every.filter(F.col(owner).isNotNull()).select(
+            F.col("user_id").alias("_follower"), F.col(owner).alias("_key"), F.explode("event_types").alias("_event"), "change_types"
+        ).select("_follower", "_key", "_event", F.explode("change_types").alias("_change"))
+        same = (F.col("_owner") == F.col("_key")) & (F.col("event_type") == F.col("_event")) & (F.col("change_type") == F.col("_change"))
+        matched.append(changed.join(inside, "target_package_id").join(keys, same).select(*log.columns, "_follower", "_key", "_event"))
+    others = [m.filter(F.col("user_id") != F.col("_follower")).withColumn("_target", F.col("target_package_id")) for m in matched]
+    rows = others[0].unionByName(others[1]).unionByName(others[2]).dropDuplicates(["_follower", "id"])
+    return _action_rows(rows, "package")
 
 
 def ordered_actions(actions: DataFrame) -> DataFrame:

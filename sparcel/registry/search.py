@@ -69,9 +69,12 @@ def matches(text: Column, query: Query) -> Column:
 
 
 def text_index(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key): the index to keep beside the texts, written partitioned or sorted by token."""
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), NOT_WORD), lambda t: t != ""))
-    return df.select(F.col(key), F.explode(tokens).alias("token")).select("token", key)
+    """(token, key): the index to keep beside the texts, written partitioned or sorted by token.
+
+    Repeated words of a text are dropped inside its own task, before the shuffle.
+    """
+    words = df.select(F.col(key), F.explode(F.split(F.lower(F.col(text)), NOT_WORD)).alias("token"))
+    return words.filter("token <> ''").select("token", key).distinct()
 
 
 def refresh_index(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:

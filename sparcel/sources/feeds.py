@@ -119,23 +119,22 @@ def normalize_kraken(messages: DataFrame) -> DataFrame:
     """Positional ticker, trade (one record each) and spread messages to named fields."""
     v = messages.select(F.try_parse_json("value").alias("v"))
     channel, pair = _text(F.col("v"), "$[2]"), _text(F.col("v"), "$[3]")
-    ticker = v.filter(channel == "ticker").select(
-        F.lit("ticker").alias("_schema_slug"),
-        _named({"pair": pair, **{
-            name: _text(F.col("v"), f"$[1].{key}[{i}]") for key, names in KRAKEN_TICKER for i, name in enumerate(names)
-        }}).alias("record"),
+    fields = {name: f"$[1].{key}[{i}]" for key, names in KRAKEN_TICKER for i, name in enumerate(names)}
+    ticker = _named({"pair": pair, **{name: _text(F.col("v"), path) for name, path in fields.items()}})
+    spread = _named({name: _text(F.col("v"), f"$[1][{i}]") for i, name in enumerate(KRAKEN_SPREAD)})
+    trades = F.transform(
+        F.try_variant_get("v", "$[1]", "array<variant>"),
+        lambda t: _named({"pair": F.col("pair"), **{name: _text(t, f"$[{i}]") for i, name in enumerate(KRAKEN_TRADE)}}),
     )
-    trades = v.filter(channel == "trade").select(
-        pair.alias("pair"), F.explode(F.try_variant_get("v", "$[1]", "array<variant>")).alias("t")
-    ).select(
-        F.lit("trade").alias("_schema_slug"),
-        _named({"pair": F.col("pair"), **{n: _text(F.col("t"), f"$[{i}]") for i, n in enumerate(KRAKEN_TRADE)}}).alias("record"),
+    kinds = v.select("v", channel.alias("_schema_slug"), pair.alias("pair")).filter(
+        F.col("_schema_slug").isin("ticker", "trade", "spread")
     )
-    spread = v.filter(channel == "spread").select(
-        F.lit("spread").alias("_schema_slug"),
-        _named({n: _text(F.col("v"), f"$[1][{i}]") for i, n in enumerate(KRAKEN_SPREAD)}).alias("record"),
+    records = (
+        F.when(F.col("_schema_slug") == "ticker", F.array(ticker))
+        .when(F.col("_schema_slug") == "trade", trades)
+        .otherwise(F.array(spread))
     )
-    return ticker.unionByName(trades).unionByName(spread)
+    return kinds.select("_schema_slug", F.explode(records).alias("record"))
 
 
 SOCIAL = (
