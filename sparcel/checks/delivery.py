@@ -376,11 +376,11 @@ def exchange_normalize_kraken(spark, sf):
     price, key = F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")
     quote = F.struct(*[F.array(price, key, F.lit("1")).alias(c) for c in "abcvptlho"])
     ticker = table(spark, sf, "orders").select(wrap(quote, "ticker"))
-    spread = table(spark, sf, "events").select(
+    spreads = table(spark, sf, "events").select(
         wrap(F.array(F.col("value").cast("string"), F.lit("2"), F.lit("3"), F.col("event_id").cast("string"), F.lit("5")), "spread")
     )
     get = lambda name: F.try_element_at("record", F.lit(name))
-    return feeds.normalize_kraken(trades.union(ticker).union(spread)).select(
+    return feeds.normalize_kraken(trades.union(ticker).union(spreads)).select(
         F.col("_schema_slug").alias("schema"), get("pair").alias("pair"), F.coalesce(get("price"), get("ask_price"), get("bid")).alias("price"),
         F.coalesce(get("volume"), get("bid_whole_lot_volume"), get("bidVolume")).alias("volume"),
     )

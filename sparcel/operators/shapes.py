@@ -54,28 +54,37 @@ def _read(df: DataFrame, name: str, kind: str) -> Column:
     return column.try_cast(SPARK[kind])
 
 
-def _split(df: DataFrame, types: Types, joint: str, rename) -> list[tuple[str, str, Column]]:
-    """(name, type, value) of every target column; "" is NULL and integers join numbers."""
-    out = []
-    for name, kinds in types.items():
+def _split(df: DataFrame, types: Types, joint: str, rename) -> tuple[DataFrame, list[tuple[str, str, Column]]]:
+    """The prepared rows, and (name, type, value) of every target column.
+
+    "" is NULL and integers join numbers. The type of a mixed value and its time are worked
+    out once per row, in a step of their own.
+    """
+    out: list[tuple[str, str, Column]] = []
+    ready: dict[str, Column] = {}
+    for number, (name, kinds) in enumerate(types.items()):
         kinds = value_types(kinds)
-        column = F.nullif(F.col(f"`{name}`"), F.lit("")) if isinstance(df.schema[name].dataType, T.StringType) else F.col(f"`{name}`")
+        raw = isinstance(df.schema[name].dataType, T.StringType)
+        column = F.nullif(F.col(f"`{name}`"), F.lit("")) if raw else F.col(f"`{name}`")
+        if len(kinds) == 1:
+            out.append((rename(name), kinds[0], F.when(column.isNotNull(), _read(df, name, kinds[0]))))
+            continue
+        found = infer_string_type(column)
+        ready[f"_kind{number}"] = F.when(found == "integer", "number").otherwise(found) if "number" in kinds else found
+        if {"date", "date-time"} & set(kinds):
+            ready[f"_time{number}"] = to_timestamp(column)
         for kind in kinds:
             value = _read(df, name, kind)
-            if len(kinds) == 1:
-                out.append((rename(name), kind, F.when(column.isNotNull(), value)))
-                continue
-            found = infer_string_type(column)
-            if "number" in kinds:
-                found = F.when(found == "integer", "number").otherwise(found)
-            out.append((f"{rename(name)}{joint}{kind}", kind, F.when(found == kind, value)))
-    return out
+            if kind in ("date", "date-time"):
+                value = F.col(f"_time{number}").cast("date" if kind == "date" else "timestamp")
+            out.append((f"{rename(name)}{joint}{kind}", kind, F.when(F.col(f"_kind{number}") == kind, value)))
+    return df.withColumns(ready) if ready else df, out
 
 
 def relational_shape(df: DataFrame, types: Types) -> DataFrame:
     """Rows for a table: ``name-type`` columns where a property has several types."""
-    shaped = _split(df, types, "-", lambda n: sanitized(n, "column"))
-    return df.select(*[value.alias(name) for name, _, value in shaped])
+    prepared, shaped = _split(df, types, "-", lambda n: sanitized(n, "column"))
+    return prepared.select(*[value.alias(name) for name, _, value in shaped])
 
 
 def relational_ddl(types: Types) -> str:
@@ -113,8 +122,8 @@ def avro_shape(df: DataFrame, types: Types) -> DataFrame:
 def warehouse_shape(df: DataFrame, types: Types, prefix: str) -> DataFrame:
     """Prefixed, sanitised columns; nested types are refused."""
     _refuse_nested(types)
-    shaped = _split(df, types, "-", lambda n: n)
-    return df.select(*[v.alias(f"{prefix}_{_bare(n)}") for n, _, v in shaped])
+    prepared, shaped = _split(df, types, "-", lambda n: n)
+    return prepared.select(*[v.alias(f"{prefix}_{_bare(n)}") for n, _, v in shaped])
 
 
 def warehouse_schema(types: Types, prefix: str) -> list[dict[str, str]]:
@@ -141,20 +150,13 @@ def _refuse_nested(types: Types) -> None:
 def document_shape(df: DataFrame, types: Types) -> DataFrame:
     """``name_type`` fields where a property has several types; an undeclared type is an error."""
     _refuse_nested(types)
-    columns = []
-    for name, kind, value in _split(df, types, "_", lambda n: n):
-        columns.append(value.alias(name))
-    shaped = df
-    for name, kinds in types.items():
-        kinds = value_types(kinds)
+    prepared, shaped = _split(df, types, "_", lambda n: n)
+    for number, (name, kinds) in enumerate(types.items()):
+        kinds, kind = value_types(kinds), f"_kind{number}"
         if len(kinds) > 1:
-            column = F.col(f"`{name}`")
-            found = infer_string_type(F.nullif(column, F.lit("")))
-            if "number" in kinds:
-                found = F.when(found == "integer", "number").otherwise(found)
-            error = F.raise_error(F.concat(F.lit(f"value type not declared for {name}: "), found)).cast("string")
-            shaped = shaped.withColumn(name, F.when(found.isin([*kinds, "null"]), column).otherwise(error))
-    return shaped.select(*columns)
+            error = F.raise_error(F.concat(F.lit(f"value type not declared for {name}: "), F.col(kind))).cast("string")
+            prepared = prepared.withColumn(kind, F.when(F.col(kind).isin([*kinds, "null"]), F.col(kind)).otherwise(error))
+    return prepared.select(*[value.alias(name) for name, _, value in shaped])
 
 
 def document_schema(types: Types) -> dict[str, str]:

@@ -103,7 +103,7 @@ def scan_xlsx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
-                rows = ((path, sheet, n, list(cells.items())) for sheet, n, cells in _records(content))
+                rows = ((path, sheet, n, cells) for sheet, n, cells in _records(content))
                 yield from _batches(rows, ["_file", "sheet", "row_no", "cells"])
 
     books = spark.read.format("binaryFile").load(paths).select("path", "content")
