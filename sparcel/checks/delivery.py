@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+from xml.sax.saxutils import escape
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from sparcel.checks.base import duck_type, register, spark_sql, standin, table
 from sparcel.functions.infer import infer_string_type
+from sparcel.operators.projection import after_offset
 from sparcel.session import scratch, spread
 from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
 from sparcel.sinks import state as D
 from sparcel.sinks import tables as DB
-from sparcel.sources import delimited, feeds, files, nested, synthetic, tables
+from sparcel.sources import containers, delimited, feeds, files, nested, synthetic, tables
 
 CUSTOMER = "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment"
 
@@ -107,6 +113,102 @@ def compressed_scan(spark, sf):
     return delimited.scan_csv(spark, path, offsets=False).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name")
 
 
+def _archives(parts):
+    """Every batch of rows as one archive of two members, zip and tar in turn."""
+    for number, part in enumerate(parts):
+        body, out = "\n".join(["name", *part["c_name"]]).encode(), io.BytesIO()
+        if number % 2 == 0:
+            with zipfile.ZipFile(out, "w") as archive:
+                archive.writestr("data/names.csv", body)
+                archive.writestr("data/readme.txt", "no data")
+        else:
+            with tarfile.open(fileobj=out, mode="w") as archive:
+                info = tarfile.TarInfo("data/names.csv")
+                info.size = len(body)
+                archive.addfile(info, io.BytesIO(body))
+        yield pd.DataFrame({"path": [f"archive-{number}"], "content": [out.getvalue()]})
+
+
+@register("archive_scan", "SELECT c_name, 'names.csv' AS member FROM customer")
+def archive_scan(spark, sf):
+    archives = table(spark, sf, "customer").select("c_name").mapInPandas(_archives, "path string, content binary")
+    lines = containers.archive_lines(archives, r"\.csv$").filter("line_no > 0")
+    return lines.select(F.col("line").alias("c_name"), F.element_at(F.split("member", "/"), -1).alias("member"))
+
+
+def _workbooks(parts):
+    """Every batch of rows as one workbook with a sheet of names and balances."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    for number, part in enumerate(parts):
+        rows = [[" Name ", "Balance"], *zip(part["c_name"], part["c_acctbal"])]
+        cells = lambda row: "".join(f'<c t="inlineStr"><is><t>{escape(str(c))}</t></is></c>' for c in row)
+        sheet = "".join(f"<row>{cells(r)}</row>" for r in rows)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="customers" sheetId="1" r:id="r1"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+        yield pd.DataFrame({"path": [f"book-{number}.xlsx"], "content": [out.getvalue()]})
+
+
+@register("xlsx_scan", "SELECT c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance FROM customer")
+def xlsx_scan(spark, sf):
+    rows = table(spark, sf, "customer").select("c_name", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+    cells = containers.workbook_cells(rows.mapInPandas(_workbooks, "path string, content binary"))
+    found = containers.sheet_table(cells, "customers", ["Name", "Balance"])
+    return found.select(F.col("Name").alias("name"), F.col("Balance").alias("balance"))
+
+
+@register("warehouse_stage_copy", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_acctbal AS VARCHAR) AS s_acctbal FROM supplier")
+def warehouse_stage_copy(spark, sf):
+    path = scratch(spark, "staged")
+    DB.warehouse_stage(table(spark, sf, "supplier"), {"s_suppkey": ["integer"], "s_name": ["string"], "s_acctbal": ["number"]}, path)
+    return spark.read.csv(path, header=True, escape='"')
+
+
+@register("requote_csv", "SELECT p_name, p_brand, p_type, TRUE AS quoted FROM part")
+def requote_csv(spark, sf):
+    source, target = scratch(spark, "plain"), scratch(spark, "quoted")
+    table(spark, sf, "part").select("p_name", "p_brand", "p_type").write.csv(source)
+    delimited.requote_csv(spark, source, target)
+    cells = F.split(F.regexp_replace("value", '^"|"$', ""), '","')
+    return spark.read.text(target).select(
+        *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(("p_name", "p_brand", "p_type"))], F.col("value").startswith('"').alias("quoted")
+    )
+
+
+def _sorted_lines(spark, sf):
+    """Orders as text files, every line naming its order."""
+    path = scratch(spark, "lines")
+    table(spark, sf, "orders").select(F.format_string("%010d", "o_orderkey").alias("value")).repartitionByRange(4, "value").sortWithinPartitions(
+        "value"
+    ).write.text(path)
+    return path
+
+
+@register("line_offset_skip", "SELECT o_orderkey FROM orders")
+def line_offset_skip(spark, sf):
+    """Two deliveries of the same files: the first lines, and with the skip all the others."""
+    path = _sorted_lines(spark, sf)
+    rest = delimited.text_lines(spark, path, skip=10).select("value")
+    first = delimited.text_lines(spark, path).filter("_line < 10").select("value")
+    return first.union(rest).select(F.col("value").cast("bigint").alias("o_orderkey"))
+
+
+@register("byte_offset_skip", "SELECT 8 AS dropped, CAST(count(*) * 11 AS BIGINT) AS total FROM orders")
+def byte_offset_skip(spark, sf):
+    path = _sorted_lines(spark, sf)
+    size = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), "length")
+    left = delimited.skip_bytes(spark, path, 8).select("_file", F.length("content").alias("left")).join(size, "_file")
+    return left.agg(F.max(F.col("length") - F.col("left")).cast("int").alias("dropped"), F.sum("length").alias("total"))
+
+
+@register("record_offset_skip", "SELECT event_id FROM events WHERE event_id > 500")
+def record_offset_skip(spark, sf):
+    return after_offset(table(spark, sf, "events"), 500, "event_id").select("event_id")
+
+
 @register("multi_file_scan", "SELECT o_orderstatus, count(*) AS n, TRUE AS every_file_known FROM orders GROUP BY 1")
 def multi_file_scan(spark, sf):
     path = scratch(spark, "orders")

@@ -89,10 +89,10 @@ def skip_conflicting(spark, sf):
 
 
 @register(
-    "apply_resolution",
+    "apply_resolution_to_schema",
     """SELECT 'mixed' AS property, 'string' AS types UNION ALL SELECT 'event_type', 'string'""",
 )
-def apply_resolution(spark, sf):
+def apply_resolution_to_schema(spark, sf):
     """Types of the delivered column, as measured after the resolution."""
     resolved = C.resolve_conflicts(_mixed(spark, sf).select("mixed", "event_type"), {"mixed": C.STRING})
     observed = C.types_of(P.profile(_mixed(spark, sf), raw=["mixed"], columns=["mixed", "event_type"], stats=["record_count"]))
@@ -152,11 +152,11 @@ def warehouse_shape_prefixed(spark, sf):
 
 
 @register(
-    "avro_shape",
+    "avro_sink",
     """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice, epoch_ms(o_orderdate) AS o_orderdate,
       o_orderpriority AS priority FROM orders""",
 )
-def avro_shape(spark, sf):
+def avro_sink(spark, sf):
     types = {"o_orderkey": ["integer"], "o_custkey": ["integer", "null"], "o_orderstatus": ["string"], "o_totalprice": ["number"],
              "o_orderdate": ["date-time"], "priority!?": ["string"]}
     return S.avro_shape(table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "priority!?"), types)

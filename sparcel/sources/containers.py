@@ -97,8 +97,8 @@ def _records(content: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
                 row_no += 1
 
 
-def scan_xlsx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(``_file``, sheet, row_no, cells map) of every worksheet of every workbook."""
+def workbook_cells(books: DataFrame) -> DataFrame:
+    """(``_file``, sheet, row_no, cells map) of every worksheet of the workbooks in (path, content)."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -106,8 +106,14 @@ def scan_xlsx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 rows = ((path, sheet, n, cells) for sheet, n, cells in _records(content))
                 yield from _batches(rows, ["_file", "sheet", "row_no", "cells"])
 
-    books = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return books.mapInPandas(read, "_file string, sheet string, row_no bigint, cells map<string,string>")
+    return books.select("path", "content").mapInPandas(
+        read, "_file string, sheet string, row_no bigint, cells map<string,string>"
+    )
+
+
+def scan_xlsx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The cells of workbook files, many files side by side."""
+    return workbook_cells(spark.read.format("binaryFile").load(paths))
 
 
 def sheet_table(cells: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
@@ -132,8 +138,8 @@ def _members(content: bytes, pattern: str) -> Iterator[tuple[str, io.BufferedIOB
                 yield info.name, archive.extractfile(info)
 
 
-def scan_archive(spark: SparkSession, paths: str | list[str], member_pattern: str = ".*") -> DataFrame:
-    """(archive, member, line_no, line) of the members whose base name matches."""
+def archive_lines(archives: DataFrame, member_pattern: str = ".*") -> DataFrame:
+    """(archive, member, line_no, line) of the members whose base name matches, from (path, content)."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -145,5 +151,9 @@ def scan_archive(spark: SparkSession, paths: str | list[str], member_pattern: st
                 )
                 yield from _batches(rows, ["archive", "member", "line_no", "line"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(read, "archive string, member string, line_no bigint, line string")
+    return archives.select("path", "content").mapInPandas(read, "archive string, member string, line_no bigint, line string")
+
+
+def scan_archive(spark: SparkSession, paths: str | list[str], member_pattern: str = ".*") -> DataFrame:
+    """The lines of zip and tar files, many files side by side."""
+    return archive_lines(spark.read.format("binaryFile").load(paths), member_pattern)
