@@ -26,27 +26,16 @@ DATE_TIME_FORMS = (
 DATE_TIME = "(?m)^(?:" + "|".join(DATE_TIME_FORMS) + ")"
 DATE_TIME_TRIMMED = f"(?m)(?:\\A{WS}*|^)(?:" + "|".join(DATE_TIME_FORMS) + ")"
 
-# Parse patterns, tried in this order (month before day).
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm[:ss]XX",
-    "M/d/yyyy H:m[:s]",
-    "M/d/yyyy h:m[:s] a",
-    "M/d/yyyy h:m[:s]a",
-    "M-d-yyyy H:m[:s]",
-    "M-d-yyyy h:m[:s] a",
-    "yyyy/M/d H:m[:s]",
-    "yyyy/M/d h:m[:s] a",
-    "yyyy/M/d h:m[:s]a",
-    "yyyy-M-d h:m[:s] a",
-    "M/d/yyyy",
-    "M-d-yyyy",
-    "M.d.yyyy",
-    "yyyy/M/d",
-    "yyyy.M.d",
-    "dd MMM yyyy HH:mm:ss 'GMT'",
-    "MMM dd yyyy HH:mm:ss 'GMT'XX",
-    "MMM dd yyyy",
-)
+# Parse patterns by the start of the text, tried in this order (month before day).
+TIMESTAMP_FORMATS = {
+    r"^\d{1,2}/": ("M/d/yyyy H:m[:s]", "M/d/yyyy h:m[:s] a", "M/d/yyyy h:m[:s]a", "M/d/yyyy"),
+    r"^\d{1,2}-": ("M-d-yyyy H:m[:s]", "M-d-yyyy h:m[:s] a", "M-d-yyyy h:m[:s]a", "M-d-yyyy"),
+    r"^\d{1,2}\.": ("M.d.yyyy",),
+    r"^\d{4}/": ("yyyy/M/d H:m[:s]", "yyyy/M/d h:m[:s] a", "yyyy/M/d h:m[:s]a", "yyyy/M/d"),
+    r"^\d{4}\.": ("yyyy.M.d",),
+    r"^\w{3},? ": ("dd MMM yyyy HH:mm:ss 'GMT'", "MMM dd yyyy HH:mm:ss 'GMT'XX", "MMM dd yyyy"),
+}
+ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm[:ss]XX", "yyyy-M-d h:m[:s] a", "yyyy-M-d h:m[:s]a")
 
 
 def is_date(text: Column) -> Column:
@@ -72,16 +61,18 @@ def parse_utc_timestamp(text: Column) -> Column:
     """Instant in UTC, or NULL when the text is no known form."""
     t = trimmed(text)
     marked = F.concat_ws("-", *[F.regexp_extract(t, DATE_MARKED, i) for i in (1, 2, 3)])
+    # Weekdays are not parsed, and half days only in capitals after what comes before them.
     bare = F.regexp_replace(t, r"^\w{3},? (?=\w{3} \d{2} \d{4}|\d{2} \w{3} \d{4})", "")
-    upper = F.upper(F.regexp_extract(t, r"(?i)[ ]?([ap]m)$", 0))
-    clock = F.concat(F.regexp_replace(t, r"(?i)[ ]?[ap]m$", ""), upper)
-    tries = [F.when(t.rlike(r"^\d{4}-\d{1,2}"), t.try_cast("timestamp"))]
-    for fmt in TIMESTAMP_FORMATS:
-        source = clock if fmt.endswith("a") else bare
-        tries.append(F.try_to_timestamp(source, F.lit(fmt)))
-    tries.append(F.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp")))
-    known = t.rlike(r"^(?:\d{1,4}|\w{3})") & (F.length(t) <= 80)
-    return F.when(known, F.coalesce(*tries))
+    clock = F.concat(F.regexp_replace(t, r"(?i)[ ]?[ap]m$", ""), F.upper(F.regexp_extract(t, r"(?i)[ ]?[ap]m$", 0)))
+
+    def tried(formats: tuple[str, ...]) -> list[Column]:
+        return [F.try_to_timestamp(clock if f.endswith("a") else bare, F.lit(f)) for f in formats]
+
+    iso = F.coalesce(t.try_cast("timestamp"), *tried(ISO_FORMATS), F.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp")))
+    found = F.when(F.length(t) > 80, F.lit(None).cast("timestamp")).when(t.rlike(r"^\d{4}-\d{1,2}"), iso)
+    for start, formats in TIMESTAMP_FORMATS.items():
+        found = found.when(t.rlike(start), F.coalesce(*tried(formats), F.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp"))))
+    return found.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp"))
 
 
 def normalize_date(text: Column) -> Column:

@@ -62,6 +62,7 @@ def _split(df: DataFrame, types: Types, joint: str, rename) -> tuple[DataFrame,
     """
     out: list[tuple[str, str, Column]] = []
     ready: dict[str, Column] = {}
+    times: dict[str, Column] = {}
     for number, (name, kinds) in enumerate(types.items()):
         kinds = value_types(kinds)
         raw = isinstance(df.schema[name].dataType, T.StringType)
@@ -72,13 +73,14 @@ def _split(df: DataFrame, types: Types, joint: str, rename) -> tuple[DataFrame,
         found = infer_string_type(column)
         ready[f"_kind{number}"] = F.when(found == "integer", "number").otherwise(found) if "number" in kinds else found
         if {"date", "date-time"} & set(kinds):
-            ready[f"_time{number}"] = to_timestamp(column)
+            times[f"_time{number}"] = F.when(F.col(f"_kind{number}").isin("date", "date-time"), to_timestamp(column))
         for kind in kinds:
             value = _read(df, name, kind)
             if kind in ("date", "date-time"):
                 value = F.col(f"_time{number}").cast("date" if kind == "date" else "timestamp")
             out.append((f"{rename(name)}{joint}{kind}", kind, F.when(F.col(f"_kind{number}") == kind, value)))
-    return df.withColumns(ready) if ready else df, out
+    df = df.withColumns(ready) if ready else df
+    return df.withColumns(times) if times else df, out
 
 
 def relational_shape(df: DataFrame, types: Types) -> DataFrame:
