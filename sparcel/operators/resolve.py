@@ -67,9 +67,12 @@ def _from_millis(text: Column) -> Column:
     return F.timestamp_millis(to_integer(text))
 
 
-def resolve_value(text: Column, option: str) -> Column:
-    """Raw text resolved by one cast; a type the cast does not cover becomes NULL."""
-    kind = infer_string_type(text)
+def resolve_value(text: Column, option: str, kind: Column | None = None) -> Column:
+    """Raw text resolved by one cast; a type the cast does not cover becomes NULL.
+
+    ``kind`` is the type of the text where it is already known.
+    """
+    kind = infer_string_type(text) if kind is None else kind
     if option == BOOLEAN:
         return F.when(kind.isin("boolean", "string"), to_boolean(text)).when(
             kind.isin("integer", "number"), to_number(text) > 0
@@ -104,11 +107,17 @@ def resolve_value(text: Column, option: str) -> Column:
 
 
 def resolve_conflicts(df: DataFrame, options: Mapping[str, str]) -> DataFrame:
-    """Resolve raw-text columns; SKIP drops the records whose value is of string type."""
+    """Resolve raw-text columns; SKIP drops the records whose value is of string type.
+
+    The type of each value is worked out once per row, in a step of its own.
+    """
+    kinds = {name: f"_kind{i}" for i, name in enumerate(options)}
+    df = df.withColumns({kind: infer_string_type(F.col(f"`{name}`")) for name, kind in kinds.items()})
     for name, option in options.items():
         if option == SKIP:
-            df = df.filter(infer_string_type(F.col(f"`{name}`")) != "string")
-    return df.withColumns({n: resolve_value(F.col(f"`{n}`"), o) for n, o in options.items()})
+            df = df.filter(F.col(kinds[name]) != "string")
+    resolved = {n: resolve_value(F.col(f"`{n}`"), o, F.col(kinds[n])) for n, o in options.items()}
+    return df.withColumns(resolved).drop(*kinds.values())
 
 
 def apply_resolution(types: Mapping[str, list[str]], options: Mapping[str, str]) -> dict[str, list[str]]:
