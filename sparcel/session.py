@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +45,14 @@ def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "sparcel
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local session) is a temporary folder set.
+    A session on one machine may leave it unset and gets a temporary folder; on a cluster that is an error, as the
+    executors could not reach it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} can reach")
         base = tempfile.mkdtemp(prefix="sparcel-")
         spark.conf.set("spark.checkpoint.dir", base)
     context = spark.sparkContext
@@ -54,6 +61,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Sessions (by application id) whose workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, wherever the driver was started and whatever the workers have installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sparcel-ship-")) / "sparcel.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, Path("sparcel") / path.relative_to(package))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/sparcel-{uuid.uuid4().hex[:12]}/{name}"
