@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparcel.llm.common import table
 from sparcel.llm.simhash import drop_near_duplicates
+from sparcel.llm.toxicity import drop_toxic, fit_toxicity
 from sparcel.session import pin, written
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.5 or more go."""
+    return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays (4-word shingles, at most 4 bits)."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates)]
 
 #: SQL has no 64-bit SimHash, model fitting or subword encoding; tests hold the stages against brute force.
 ORACLE_SQL = None

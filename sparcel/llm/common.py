@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,18 +45,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, held_o
     """At most ``limit`` labelled ``(text, label)`` rows outside the held-out fold, chosen by a hash of the id.
 
     The ids are chosen from ``labels`` before any text is read, so the sample is bounded and the same on every run.
-    A document id that occurs in several rows counts with each of them.
+    Of an id that occurs in several rows the first text in order is taken, so the bound holds whatever repeats.
     """
-    from sparcel.session import written as kept
-
     chosen = (
         one_label(labels, column)
         .where(~held_out)
         .orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id")
         .limit(limit)
     )
-    chosen = kept(chosen, "chosen")
-    return documents.select("doc_id", document_text().alias("text")).join(chosen, "doc_id").select("doc_id", "text", "label")
+    rows = documents.select("doc_id", document_text().alias("text")).join(written(chosen, "chosen"), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-__all__ = ["Query", "document_text", "fold", "fresh", "labelled_sample", "one_label", "table", "uuid", "written"]
+__all__ = ["Query", "document_text", "fold", "fresh", "labelled_sample", "one_label", "table", "written"]

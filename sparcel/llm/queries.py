@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparcel.llm.common import Query, table
+from pyspark.sql import functions as F
+
+from sparcel.llm import toxicity
+from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Query] = {}
@@ -14,6 +17,18 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_toxicity(spark, sf):
+    """Probability that a document is toxic, and its offending sentences."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(documents, table(spark, sf, "labels"))
+    return toxicity.score_toxicity(documents, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.offending").alias("n_offending"),
+        F.array_join(F.transform("toxicity.offending", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("offending"),
+    )
+
+
 @query
 def op5_simhash(spark, sf):
     """Fingerprint and group of every document."""
