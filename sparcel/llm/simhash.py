@@ -230,7 +230,8 @@ def simhash_groups(documents: DataFrame, shingle: int = 4, radius: int = 4, doc_
     prints = with_fingerprint(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "fp", shingle).drop("text")
     prints = written(prints, "prints")
     grouped = _rooted(prints, near_components(prints, "fp", radius))
-    names = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below can split a large group
+    names = written(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     return grouped.join(names, "root").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
@@ -253,14 +254,10 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4
     prints = written(marked.select(F.col(doc_id).alias("id"), rows.alias("row"), F.col(mark).alias("fp")), "prints")
     grouped = _rooted(prints, near_components(prints, "fp", radius))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    best = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    # rows that stay, and how often each is there
-    stays = best.select("root", F.col("best.id").alias("id"), F.col("best.row").alias("row"))
-    left = grouped.join(stays.withColumnRenamed("id", "best_id").withColumnRenamed("row", "best_row"), "root")
-    left = left.groupBy("id", "row").agg(
-        F.max(F.col("id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row"))).alias("stays"), F.count("*").alias("times")
-    )
-    left = written(left.where("stays"), "stays").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "times")
+    stays = grouped.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.id").alias("id"), F.col("best.row").alias("row"))
+    times = prints.groupBy("id", "row").agg(F.count("*").alias("times"))
+    both = stays.alias("s").join(times.alias("t"), F.expr("s.row = t.row AND s.id <=> t.id"))
+    left = written(both.select(F.col("t.id").alias("_id"), F.col("t.row").alias("_row"), "times"), "stays")
     named = documents.withColumn(row, rows)
 
     def kept(some: DataFrame) -> DataFrame:
