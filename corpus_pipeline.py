@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparcel.llm.common import table
+from sparcel.llm.decontaminate import drop_contaminated
 from sparcel.llm.simhash import drop_near_duplicates
 from sparcel.llm.toxicity import drop_toxic, fit_toxicity
 from sparcel.session import pin, written
@@ -20,7 +21,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination)]
 
 #: SQL has no 64-bit SimHash, model fitting or subword encoding; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import toxicity
+from sparcel.llm import decontaminate, toxicity
 from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -33,3 +33,14 @@ def op1_toxicity(spark, sf):
 def op5_simhash(spark, sf):
     """Fingerprint and group of every document."""
     return simhash_groups(table(spark, sf, "documents"))
+
+
+@query
+def op6_decontaminate(spark, sf):
+    """Benchmark items in every document."""
+    found = decontaminate.find_contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"),
+        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"),
+        F.array_min(F.transform("leaks", lambda x: x["distance"])).alias("least_distance"),
+    )
