@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparcel.llm.common import table
 from sparcel.llm.decontaminate import drop_contaminated
+from sparcel.llm.secrets import redact_secrets
 from sparcel.llm.simhash import drop_near_duplicates
 from sparcel.llm.toxicity import drop_toxic, fit_toxicity
 from sparcel.session import pin, written
@@ -26,7 +27,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are blotted out."""
+    return redact_secrets(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets)]
 
 #: SQL has no 64-bit SimHash, model fitting or subword encoding; tests hold the stages against brute force.
 ORACLE_SQL = None

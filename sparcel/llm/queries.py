@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import decontaminate, toxicity
+from sparcel.llm import decontaminate, secrets, toxicity
 from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -44,3 +44,14 @@ def op6_decontaminate(spark, sf):
         F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"),
         F.array_min(F.transform("leaks", lambda x: x["distance"])).alias("least_distance"),
     )
+
+
+@query
+def op10_secrets(spark, sf):
+    """Secrets of every document, through a ledger of its own."""
+    found = secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    base = tuple(r.kind for r in secrets.BASE)
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.joined("secrets", base).cast("binary"), 256).alias("base_sha256"), secrets.joined("secrets").alias("spans")
+    )
