@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparcel.llm.common import table
 from sparcel.llm.decontaminate import drop_contaminated
+from sparcel.llm.pieces import decode, encode
 from sparcel.llm.secrets import redact_secrets
 from sparcel.llm.simhash import drop_near_duplicates
 from sparcel.llm.toxicity import drop_toxic, fit_toxicity
@@ -32,7 +34,19 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_secrets(docs)
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and whether they decode to its text."""
+    encoded = decode(encode(docs))
+    return encoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("text", "decoded")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("sentencepiece", sentencepiece),
+]
 
 #: SQL has no 64-bit SimHash, model fitting or subword encoding; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import decontaminate, secrets, toxicity
+from sparcel.llm import decontaminate, pieces, secrets, toxicity
 from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -29,6 +29,16 @@ def op1_toxicity(spark, sf):
     )
 
 
+@query
+def op2_sentencepiece(spark, sf):
+    """Number and digest of the pieces of every document, and whether they decode to its text."""
+    encoded = pieces.decode(pieces.encode(table(spark, sf, "documents").select("doc_id", "text")))
+    return encoded.select(
+        "doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op5_simhash(spark, sf):
     """Fingerprint and group of every document."""
