@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import decontaminate, pieces, secrets, toxicity
+from sparcel.llm import decontaminate, pieces, secrets, topk, toxicity
 from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -56,12 +56,32 @@ def op6_decontaminate(spark, sf):
     )
 
 
+_QUANTISED = """SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query
+def op8_topk(spark, sf):
+    """The five highest inner products of every 50th vector with the others."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+ORACLES["op8_topk"] = f"""
+    WITH rows AS ({_QUANTISED}),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 @query
 def op10_secrets(spark, sf):
     """Secrets of every document, through a ledger of its own."""
     found = secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text"))
     base = tuple(r.kind for r in secrets.BASE)
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
+    counts = [F.size(F.expr(f"filter(secrets, s -> s.kind = '{k}')")).cast("bigint").alias(f"n_{k}") for k in base]
     return found.select(
         "doc_id", *counts, F.sha2(secrets.joined("secrets", base).cast("binary"), 256).alias("base_sha256"), secrets.joined("secrets").alias("spans")
     )
