@@ -32,8 +32,8 @@ from sparcel.session import ship
 SPACE = "▁"
 #: Where the vocabulary lies by default; a parameter of every public function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words a worker remembers before it starts anew, characters indexed at a time, and the length beyond which a word is relaxed by itself.
-REMEMBERED, INDEXED, LONG = 200_000, 1 << 20, 64
+#: Words a worker remembers, characters cut into words and characters indexed at a time, and characters relaxed for all words at once.
+REMEMBERED, TAKEN, INDEXED, LONG = 400_000, 1 << 21, 1 << 19, 64
 START, NONE = -2, -1
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -66,9 +66,6 @@ class Vocabulary:
         self.runs = {len(p): i for p, i, _ in runs} | ({1: int(self.ids[self.rank[SPACE]])} if SPACE in self.rank else {})
         self.longest = max(map(len, self.texts), default=1)
         self._splits()
-        self.output = [{NORMAL: p.piece.replace(SPACE, " "), UNKNOWN: " ⁇ "}.get(p.type, "").encode() for p in proto.pieces]
-        for byte, i in self.bytes.items():
-            self.output[i] = bytes([byte])
 
     def _splits(self) -> None:
         """For each piece the two it is merged from, and the piece that each pair of pieces makes."""
@@ -125,12 +122,11 @@ class Vocabulary:
         return result
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray], int, int]:
-    """Suffixes sorted by their first ``depth`` characters; the packed characters of each, and how they are packed.
+def suffix_array(codes: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes sorted by their first ``depth`` characters, and these characters in that order, packed into keys.
 
-    ``codes`` are small numbers, 0 for the ends of words. Each key packs ``per`` characters of ``bits`` bits.
+    ``codes`` are numbers of ``bits`` bits, 0 for the ends of words; a key has as many characters as fit.
     """
-    bits = max(1, int(codes.max(initial=0)).bit_length())
     per = 62 // bits
     padded = np.concatenate((codes.astype(np.int64), np.zeros(depth + per, np.int64)))
     keys = []
@@ -140,41 +136,46 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.nda
             key = key << bits | padded[start + k : start + k + len(codes)]
         keys.append(key)
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    return order, [k[order] for k in keys], bits, per
-
-
-def edges(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every occurrence of every piece in the words: (position in the joined text, piece); and where each word starts."""
-    text = "\0".join(words) + "\0"
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    alphabet, small = np.unique(codes, return_inverse=True)
-    if alphabet[0] != 0:
-        raise ValueError("words without ends")
-    order, keys, bits, per = suffix_array(small, vocabulary.longest)
-    number = {chr(c): i for i, c in enumerate(alphabet.tolist()) if c}
-    usable = [r for r, p in enumerate(vocabulary.texts) if vocabulary.reachable(r) and all(c in number for c in p)]
-    # binary search key by key: a piece's range under its first characters, then inside it
-    packed = np.zeros((len(usable), 2, len(keys)), np.int64)
-    for j, r in enumerate(usable):
-        piece = [number[c] for c in vocabulary.texts[r]]
-        for k in range(len(keys)):
-            width = min(per, vocabulary.longest - k * per)
-            part = piece[k * per : k * per + width]
-            value = 0
-            for c in part:
-                value = value << bits | c
-            rest = bits * (width - len(part))
-            packed[j, 0, k], packed[j, 1, k] = value << rest, (value << rest) | ((1 << rest) - 1)
-    low, high = np.searchsorted(keys[0], packed[:, 0, 0], "left"), np.searchsorted(keys[0], packed[:, 1, 0], "right")
-    lengths = np.array([len(vocabulary.texts[r]) for r in usable], np.int64)
-    for k in range(1, len(keys)):
-        for j in np.flatnonzero(lengths > k * per):
-            inside = keys[k][low[j] : high[j]]
-            low[j], high[j] = low[j] + np.searchsorted(inside, packed[j, 0, k], "left"), low[j] + np.searchsorted(inside, packed[j, 1, k], "right")
-    count = high - low
-    rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    starts = np.concatenate(([0], np.flatnonzero(codes == 0)[:-1] + 1))
-    return order[rows], np.repeat(np.array(usable, np.int64), count), starts, codes
+    return order, [k[order] for k in keys]
+
+
+class Index:
+    """The vocabulary's pieces in the numbers of an alphabet, ready for binary search."""
+
+    def __init__(self, vocabulary: Vocabulary, alphabet: np.ndarray):
+        self.alphabet, self.depth = alphabet, vocabulary.longest
+        self.bits = max(1, len(alphabet).bit_length())
+        number = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist())}
+        usable = [r for r, p in enumerate(vocabulary.texts) if vocabulary.reachable(r) and all(map(number.__contains__, p))]
+        self.pieces = np.array(usable, np.int64)
+        self.lengths = np.array([len(vocabulary.texts[r]) for r in usable], np.int64)
+        self.per = 62 // self.bits
+        starts = range(0, self.depth, self.per)
+        self.low, self.high = np.zeros((len(starts), len(usable)), np.int64), np.zeros((len(starts), len(usable)), np.int64)
+        for j, r in enumerate(usable):
+            piece = [number[c] for c in vocabulary.texts[r]]
+            for k, start in enumerate(starts):
+                width = min(self.per, self.depth - start)
+                part = piece[start : start + width]
+                value = 0
+                for c in part:
+                    value = value << self.bits | c
+                rest = self.bits * (width - len(part))
+                self.low[k, j], self.high[k, j] = value << rest, (value << rest) | ((1 << rest) - 1)
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence of every piece: (position, piece). ``codes`` are code points, 0 at the ends of words."""
+        small = np.where(codes == 0, 0, np.searchsorted(self.alphabet, codes) + 1)
+        order, keys = suffix_array(small, self.depth, self.bits)
+        # the range of a piece's first characters, then inside it that of the next ones
+        low, high = np.searchsorted(keys[0], self.low[0], "left"), np.searchsorted(keys[0], self.high[0], "right")
+        for k in range(1, len(keys)):
+            for j in np.flatnonzero((self.lengths > k * self.per) & (high > low)):
+                inside = keys[k][low[j] : high[j]]
+                low[j], high[j] = low[j] + np.searchsorted(inside, self.low[k, j], "left"), low[j] + np.searchsorted(inside, self.high[k, j], "right")
+        count = high - low
+        rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return order[rows], np.repeat(self.pieces, count)
 
 
 class Encoder:
@@ -185,6 +186,8 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
+        self.lengths = np.array([len(t) for t in vocabulary.texts])
+        self.index = Index(vocabulary, np.zeros(0, np.uint32))
         size = 1 << 20
         self.slots, self.answers = np.full(size, -1, np.int64), np.zeros(size, bool)
         # a line end without a piece ends a word as well, and so does the character that stands between words in the index
@@ -204,63 +207,82 @@ class Encoder:
             self.slots[slot[new]], self.answers[slot[new]] = key[new], answer[back]
         return result
 
-    def relax(self, words: list[str]) -> list[list[int]]:
-        """The pieces (model ids) of each word."""
-        v = self.vocabulary
-        position, piece, starts, codes = edges(words, v)
-        lengths = np.array([len(t) for t in v.texts])
-        owner = np.searchsorted(starts, position, "right") - 1
+    def relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces (model ids) of the words, one word after the other, and how many each has."""
+        lengths = self.lengths
+        codes = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le"), np.uint32)
+        seen = np.unique(codes[codes != 0])
+        if not np.isin(seen, self.index.alphabet).all():
+            self.index = Index(self.vocabulary, np.union1d(seen, self.index.alphabet))
+        position, piece = self.index.edges(codes)
+        ends = np.flatnonzero(codes == 0)
+        starts = np.concatenate(([0], ends[:-1] + 1))
         last = np.full(len(codes) + 1, NONE, np.int64)
         last[starts] = START
         # a character without a piece stands alone: what follows it starts anew
-        covered = np.zeros(len(codes), bool)
-        single = lengths[piece] == 1
-        covered[position[single]] = True
-        alone = np.flatnonzero(~covered & (codes != 0))
-        last[alone + 1] = START
-        offset = position - starts[owner]
+        covered = codes == 0
+        covered[position[lengths[piece] == 1]] = True
+        last[np.flatnonzero(~covered) + 1] = START
+        offset = position - np.repeat(starts, ends - starts + 1)[position]
         order = np.argsort(np.minimum(offset, 0xFFFF).astype(np.uint16), kind="stable")
         position, piece, offset = position[order], piece[order], offset[order]
         cut = np.searchsorted(offset, np.arange(int(min(offset.max(initial=0), LONG)) + 2))
         for i, j in zip(cut, cut[1:]):
-            self._step(position[i:j], piece[i:j], lengths, last)
+            self._step(position[i:j], piece[i:j], last)
         far = np.flatnonzero(offset > LONG)
         if len(far):
-            far = far[np.argsort(position[far], kind="stable")]
-            bounds = np.flatnonzero(np.concatenate(([True], position[far][1:] != position[far][:-1], [True])))
+            far = far[np.argsort(offset[far], kind="stable")]
+            bounds = np.flatnonzero(np.concatenate(([True], offset[far][1:] != offset[far][:-1], [True])))
             for i, j in zip(bounds, bounds[1:]):
-                self._step(position[far[i:j]], piece[far[i:j]], lengths, last)
-        return self._back(words, starts, codes, last, lengths)
+                self._step(position[far[i:j]], piece[far[i:j]], last)
+        return self._back(starts, ends, codes, last)
 
-    def _step(self, position, piece, lengths, last) -> None:
+    def _step(self, position: np.ndarray, piece: np.ndarray, last: np.ndarray) -> None:
         before = last[position]
         ok = before == START
         rest = np.flatnonzero(before >= 0)
         if len(rest):
             ok[rest] = self.follows(before[rest], piece[rest])
         position, piece = position[ok], piece[ok]
-        end = position + lengths[piece]
-        last[end] = piece
-
-    def _back(self, words, starts, codes, last, lengths) -> list[list[int]]:
-        v, out = self.vocabulary, []
-        for word, start in zip(words, starts.tolist()):
-            ids, at = [], start + len(word)
-            while at > start:
-                r = int(last[at])
-                if r >= 0:
-                    ids.append(int(v.ids[r]))
-                    at -= int(lengths[r])
-                else:
-                    ids.extend(reversed(v.without_piece(chr(int(codes[at - 1])))))
-                    at -= 1
-            out.append(ids[::-1])
-        return out
-
-    def learn(self, words: list[str]) -> None:
+        last[position + self.lengths[piece]] = piece
+
+    def _back(self, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the ends of all words back to their starts, a piece at a time."""
+        v, at, word = self.vocabulary, ends.copy(), np.flatnonzero(ends > starts)
+        words, found = [], []
+        while len(word):
+            piece = last[at[word]]
+            alone = piece < 0
+            words.append(word)
+            # a character that stands alone is kept as a negative number for now
+            found.append(np.where(alone, -codes[at[word] - 1].astype(np.int64) - 1, v.ids[piece]))
+            at[word] -= np.where(alone, 1, self.lengths[piece])
+            word = word[at[word] > starts[word]]
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        row, ids = np.concatenate(words[::-1]), np.concatenate(found[::-1])
+        order = np.argsort(row, kind="stable")
+        row, ids = row[order], ids[order]
+        if (ids < 0).any():
+            size = np.ones(len(ids), np.int64)
+            bytes_of = {c: v.without_piece(chr(-c - 1)) for c in np.unique(ids[ids < 0]).tolist()}
+            for c, b in bytes_of.items():
+                size[ids == c] = len(b)
+            first = np.cumsum(size) - size
+            row, wide = np.repeat(row, size), np.repeat(ids, size)
+            for c, b in bytes_of.items():
+                for k, i in enumerate(b):
+                    wide[first[ids == c] + k] = i
+            ids = wide
+        return ids.astype(np.int32), np.bincount(row, minlength=len(starts))
+
+    def learn(self, words: set[str]) -> None:
         """Encode unseen words in parts of bounded size."""
         part, size = [], 0
         for word in words:
+            if word[0] == SPACE == word[-1] or word == "\0":
+                self._add(word, self.spaces(len(word)) if word[0] == SPACE else self.vocabulary.without_piece(word))
+                continue
             part.append(word)
             size += len(word)
             if size > INDEXED:
@@ -269,15 +291,28 @@ class Encoder:
         if part:
             self._learn(part)
 
+    def _add(self, word: str, ids: list[int]) -> None:
+        self.known[word] = len(self.known)
+        self.ids = np.append(self.ids, np.array(ids, np.int32))
+        self.first = np.append(self.first, len(self.ids))
+
     def _learn(self, words: list[str]) -> None:
-        pieces = [self.spaces(len(w)) if set(w) == {SPACE} else self.vocabulary.without_piece(w) if w == "\0" else None for w in words]
-        plain = [w for w, p in zip(words, pieces) if p is None]
-        found = iter(self.relax(plain) if plain else [])
-        rows = [next(found) if p is None else p for p in pieces]
-        for word in words:
-            self.known[word] = len(self.known)
-        self.ids = np.concatenate((self.ids, np.array([i for r in rows for i in r], np.int32)))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(r) for r in rows])))
+        ids, count = self.relax(words)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ids = np.concatenate((self.ids, ids))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(count)))
+
+    def _forget(self, words: set[str]) -> None:
+        """Keep only those of the known words that are in ``words``."""
+        kept = [w for w in words if w in self.known]
+        ids, count = self._gather(kept)
+        self.known, self.ids = dict(zip(kept, range(len(kept)))), ids
+        self.first = np.concatenate(([0], np.cumsum(count)))
+
+    def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        begin, count = self.first[at], self.first[at + 1] - self.first[at]
+        return self.ids[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], count
 
     def spaces(self, left: int) -> list[int]:
         """A run of spaces is merged from the left, each piece as long as there is one."""
@@ -296,7 +331,7 @@ class Encoder:
             for i, piece in enumerate(pieces):
                 part.append((i == 0, piece))
                 size += len(piece)
-                if size > INDEXED * 4:
+                if size > TAKEN:
                     self._encode(part, out)
                     part, size = [], 0
         self._encode(part, out)
@@ -305,7 +340,7 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         """A very long text in parts that begin with a word."""
         parts, at = [], 0
-        while len(text) - at > INDEXED * 4 and (m := self._next_word.search(text, at + INDEXED * 4)):
+        while len(text) - at > TAKEN and (m := self._next_word.search(text, at + TAKEN)):
             parts.append(text[at : m.start() + 1])
             at = m.start() + 1
         return [*parts, text[at:]]
@@ -316,14 +351,12 @@ class Encoder:
         rows = [self.units(text) for _, text in part]
         words = set().union(*rows)
         if len(self.known) + len(words) > REMEMBERED:
-            self.known, self.ids, self.first = {}, self.ids[:0], self.first[:1]
-        self.learn(sorted(words - self.known.keys()))
+            self._forget(words)
+        self.learn(words - self.known.keys())
         for (first, text), units in zip(part, rows):
             if SPACE * 2 in text:
                 units = self._spaces(units)
-            at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-            begin, count = self.first[at], self.first[at + 1] - self.first[at]
-            ids = self.ids[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+            ids, _ = self._gather(units)
             if first:
                 out.append([ids])
             else:
@@ -337,12 +370,30 @@ class Encoder:
                 out[-1:] = [out[-1] + SPACE, unit[1:]]
             else:
                 out.append(unit)
-        self.learn(sorted(set(out) - self.known.keys()))
+        self.learn(set(out) - self.known.keys())
         return out
 
+
+class Decoder:
+    """Texts of rows of ids; control pieces have none."""
+
+    def __init__(self, model: bytes):
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        proto.ParseFromString(model)
+        self.output = [
+            bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else {NORMAL: p.piece.replace(SPACE, " "), UNKNOWN: " ⁇ "}.get(p.type, "").encode() for p in proto.pieces
+        ]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a row of ids, without the space put in front."""
-        return b"".join(map(self.vocabulary.output.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.output.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+
+
+@lru_cache(maxsize=2)
+def decoder(model: bytes) -> Decoder:
+    return Decoder(model)
 
 
 @lru_cache(maxsize=2)
@@ -368,7 +419,6 @@ def decode(pieces: DataFrame, name: str = "decoded", column: str = "pieces", mod
     vocabulary = Path(model).read_bytes()
 
     def run(rows: pd.Series) -> pd.Series:
-        decoder = encoder(vocabulary)
-        return pd.Series([decoder.decode(np.asarray(r)) for r in rows], dtype=object)
+        return pd.Series([decoder(vocabulary).decode(np.asarray(r)) for r in rows], dtype=object)
 
     return pieces.withColumn(name, F.pandas_udf(run, "string")(F.coalesce(F.col(column), F.array().cast("array<int>"))))
