@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -53,9 +54,7 @@ def with_fingerprint(documents: DataFrame, name: str, shingle: int = 4, text: st
     """``documents`` with the fingerprint of the whole text in a new column ``name``."""
     ship(documents.sparkSession)
 
-    def run(texts):
-        import pandas as pd
-
+    def run(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return documents.withColumn(name, F.pandas_udf(run, "bigint")(document_text(text)))
