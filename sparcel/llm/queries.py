@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import archives, decontaminate, pieces, secrets, topk, toxicity
+from sparcel.llm import archives, decontaminate, language_model, pieces, quality, secrets, topk, toxicity
 from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -39,6 +39,16 @@ def op2_sentencepiece(spark, sf):
     )
 
 
+@query
+def op4_quality(spark, sf):
+    """Probability that a document is of quality 1."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit_quality(documents, table(spark, sf, "labels"))
+    return quality.score_quality(documents, model, "score").select(
+        "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op5_simhash(spark, sf):
     """Fingerprint and group of every document."""
@@ -88,6 +98,13 @@ ORACLES["op8_topk"] = f"""
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+@query
+def op9_lm(spark, sf):
+    """Cross-entropy difference of every document between documents of quality 1 and all documents."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return language_model.cross_entropy_difference(documents, table(spark, sf, "labels")).select("doc_id", "lm.*")
+
+
 @query
 def op10_secrets(spark, sf):
     """Secrets of every document, through a ledger of its own."""
