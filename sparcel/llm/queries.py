@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import archives, decontaminate, language_model, pieces, quality, secrets, topk, toxicity
+from sparcel.llm import archives, decontaminate, language_model, licenses, pieces, quality, secrets, topk, toxicity
 from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -39,6 +39,16 @@ def op2_sentencepiece(spark, sf):
     )
 
 
+@query
+def op3_licenses(spark, sf):
+    """License texts and notices in every document."""
+    found = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("licenses").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"),
+        F.array_max("licenses.share").alias("largest_share"), F.array_min("licenses.window").alias("first_window"),
+    )
+
+
 @query
 def op4_quality(spark, sf):
     """Probability that a document is of quality 1."""
