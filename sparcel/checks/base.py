@@ -96,13 +96,15 @@ STANDINS = {
         ) f JOIN {customer} c ON c.c_custkey = f.follower""",
     "user_catalog": """
         SELECT c_custkey AS user_id, cast(c_nationkey AS bigint) AS catalog_id,
-          CASE WHEN c_acctbal > 2000 THEN @ARR('VIEW', 'EDIT') ELSE @ARR('VIEW') END AS permissions FROM {customer}""",
+          CASE WHEN c_acctbal > 2000 THEN @ARR('VIEW', 'EDIT') ELSE @ARR('VIEW') END AS permissions,
+          CASE WHEN c_custkey % 2 = 1 THEN @ARR('VIEW') ELSE @ARR('EDIT') END AS catalog_permissions FROM {customer}""",
     "user_package": """
         SELECT s_suppkey % 150 AS user_id, s_suppkey * 3 AS package_id,
           CASE WHEN s_acctbal > 2000 THEN @ARR('VIEW', 'EDIT') ELSE @ARR('EDIT') END AS permissions FROM {supplier}""",
     "group_user": "SELECT c_custkey % 10 AS group_id, c_custkey AS user_id FROM {customer}",
     "group_package": "SELECT s_suppkey % 10 AS group_id, s_suppkey * 5 AS package_id, @ARR('VIEW') AS permissions FROM {supplier}",
-    "group_catalog": "SELECT cast(n_regionkey AS bigint) AS group_id, cast(n_nationkey AS bigint) AS catalog_id, @ARR('VIEW', 'EDIT') AS permissions FROM {nation}",
+    "group_catalog": "SELECT cast(n_regionkey AS bigint) AS group_id, cast(n_nationkey AS bigint) AS catalog_id, @ARR('VIEW', 'EDIT') AS permissions, CASE WHEN n_nationkey % 4 = 2 THEN @ARR('VIEW') ELSE @ARR('EDIT') END AS catalog_permissions FROM {nation}",
+    "catalogs": "SELECT cast(n_nationkey AS bigint) AS catalog_id, lower(n_name) AS slug, n_name AS display_name, r_name AS description, n_nationkey % 3 = 0 AS is_public FROM {nation} JOIN {region} ON r_regionkey = n_regionkey",
     "user_collection": "SELECT c_custkey AS user_id, c_custkey % 50 + 1 AS collection_id, @ARR('VIEW') AS permissions FROM {customer}",
     "group_collection": "SELECT cast(n_regionkey AS bigint) AS group_id, cast(n_nationkey * 2 AS bigint) AS collection_id, @ARR('VIEW') AS permissions FROM {nation}",
     "versions": """

@@ -105,7 +105,7 @@ def _summary_sql(actions: str) -> str:
       FROM ({actions}) x GROUP BY 1, 2, 3, 4"""
 
 
-def _actions(spark, sf, kind):
+def _notified(spark, sf, kind):
     activity, follows = standin(spark, sf, "activity"), standin(spark, sf, "follows")
     if kind == "package":
         return N.notify_by_package(activity, follows, standin(spark, sf, "packages"), standin(spark, sf, "collection_packages"), START, END, "DAILY")
@@ -115,20 +115,17 @@ def _actions(spark, sf, kind):
 def _register_notify(kind):
     @register(f"notify_by_{kind}", _summary_sql(ACTIONS[kind]))
     def query(spark, sf):
-        return N.summarize(_actions(spark, sf, kind)).withColumn("edited", F.array_join("properties_edited", ",")).drop("properties_edited")
+        return _notified(spark, sf, kind).withColumn("edited", F.array_join("properties_edited", ",")).drop("properties_edited")
 
 
 for _kind in ACTIONS:
     _register_notify(_kind)
 
 
-@register("notification_actions", "SELECT kind, user_id, target_id, event_type, created_at, id, actor_id FROM (" + " UNION ALL ".join(ACTIONS.values()) + ") x")
+@register("notification_actions", "SELECT kind, user_id, target_id, event_type, created_at, id, actor_id FROM (" + " UNION ALL ".join(ACTIONS.values()) + ") x WHERE user_id = 5")
 def notification_actions(spark, sf):
-    parts = [_actions(spark, sf, kind) for kind in ACTIONS]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return N.ordered_actions(every).drop("target_package_id", "change_type", "properties_edited")
+    tables = [standin(spark, sf, t) for t in ("activity", "follows", "packages", "collection_packages")]
+    return N.actions_of(*tables, START, END, "DAILY", 5)
 
 
 ALL_SUMMARIES = " UNION ALL ".join(_summary_sql(a) for a in ACTIONS.values())
@@ -137,7 +134,7 @@ ALL_SUMMARIES = " UNION ALL ".join(_summary_sql(a) for a in ACTIONS.values())
 def _summaries(spark, sf):
     out = None
     for kind in ACTIONS:
-        rows = N.summarize(_actions(spark, sf, kind))
+        rows = _notified(spark, sf, kind)
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -195,6 +192,20 @@ def visible_collections(spark, sf):
     return Z.visible_collections(standin(spark, sf, "collections"), _grants(spark, sf), 7).select("collection_id", "name")
 
 
+VISIBLE_CATALOGS = """SELECT catalog_id FROM {catalogs} c WHERE is_public OR catalog_id IN (SELECT catalog_id FROM {user_catalog} u WHERE user_id = 7 AND list_contains(catalog_permissions, 'VIEW'))
+  OR catalog_id IN (SELECT catalog_id FROM {group_catalog} g WHERE list_contains(catalog_permissions, 'VIEW') AND group_id IN (SELECT group_id FROM {group_user} u WHERE user_id = 7))"""
+
+
+@register("visible_catalogs", VISIBLE_CATALOGS)
+def visible_catalogs(spark, sf):
+    return Z.visible_catalogs(standin(spark, sf, "catalogs"), _grants(spark, sf), 7).select("catalog_id")
+
+
+@register("visible_catalogs_anonymous", "SELECT catalog_id FROM {catalogs} c WHERE is_public")
+def visible_catalogs_anonymous(spark, sf):
+    return Z.visible_catalogs(standin(spark, sf, "catalogs"), _grants(spark, sf), None).select("catalog_id")
+
+
 # Search
 
 WORDS = r"' ' || regexp_replace(lower({c}), '[^\p{L}\p{N}]+', ' ', 'g') || ' '"
@@ -216,30 +227,35 @@ def search_documents(spark, sf):
     return Q.search(spread(table(spark, sf, "documents")), TEXT_QUERY, ["text"]).select("doc_id", "source")
 
 
-@register(
-    "search_packages",
-    f"""SELECT package_id, slug FROM {{packages}} p WHERE {_duck_match('readme', 'red')} OR {_duck_match('display_name', 'red')} OR {_duck_match('description', 'red')}
-      OR contains(slug, 'red') OR contains(display_name, 'red') OR contains(lower(catalog_slug || '/' || slug), 'red') ORDER BY package_id LIMIT 100 OFFSET 5""",
-)
+PACKAGE_HIT = f"""({_duck_match('readme', 'red')} OR {_duck_match('display_name', 'red')} OR {_duck_match('description', 'red')}
+      OR contains(slug, 'red') OR contains(display_name, 'red') OR contains(lower(catalog_slug || '/' || slug), 'red'))"""
+
+
+@register("search_packages", f"SELECT package_id, slug FROM {{packages}} p WHERE {PACKAGE_HIT} AND package_id IN ({VISIBLE}) ORDER BY package_id LIMIT 100 OFFSET 5")
 def search_packages(spark, sf):
-    found = Q.search_packages(standin(spark, sf, "packages"), "red").select("package_id", "slug")
+    found = Q.search_packages(standin(spark, sf, "packages"), "red", _grants(spark, sf), 7).select("package_id", "slug")
     return G.paged(found, [F.col("package_id")], 100, 5)
 
 
-CATALOG_ROWS = "SELECT n_nationkey AS catalog_id, lower(n_name) AS slug, n_name AS display_name, r_name AS description FROM {nation} JOIN {region} ON r_regionkey = n_regionkey"
+@register("search_packages_anonymous", f"SELECT package_id, slug FROM {{packages}} p WHERE {PACKAGE_HIT} AND is_public")
+def search_packages_anonymous(spark, sf):
+    return Q.search_packages(standin(spark, sf, "packages"), "red", _grants(spark, sf), None).select("package_id", "slug")
 
 
-@register(
-    "search_catalogs",
-    f"""SELECT catalog_id, slug FROM ({CATALOG_ROWS}) c WHERE {_duck_match('display_name', 'asia or europe')} OR {_duck_match('description', 'asia or europe')} OR starts_with(slug, 'asia or europe')""",
-)
+CATALOG_HIT = f"({_duck_match('display_name', 'asia or europe')} OR {_duck_match('description', 'asia or europe')} OR starts_with(slug, 'asia or europe'))"
+
+
+@register("search_catalogs", f"SELECT catalog_id, slug FROM {{catalogs}} c WHERE {CATALOG_HIT} AND catalog_id IN ({VISIBLE_CATALOGS})")
 def search_catalogs(spark, sf):
-    return Q.search_catalogs(spark_sql(spark, sf, CATALOG_ROWS), "asia or europe").select("catalog_id", "slug")
+    return Q.search_catalogs(standin(spark, sf, "catalogs"), "asia or europe", _grants(spark, sf), 7).select("catalog_id", "slug")
 
 
-@register("search_collections", f"SELECT collection_id, name FROM {{collections}} c WHERE {_duck_match('name', 'white or economy')} OR {_duck_match('description', 'white or economy')}")
+COLLECTION_HIT = f"({_duck_match('name', 'white or economy')} OR {_duck_match('description', 'white or economy')})"
+
+
+@register("search_collections", f"SELECT collection_id, name FROM {{collections}} c WHERE {COLLECTION_HIT} AND collection_id IN (SELECT collection_id FROM ({VISIBLE_COLLECTIONS}) v)")
 def search_collections(spark, sf):
-    return Q.search_collections(standin(spark, sf, "collections"), "white or economy").select("collection_id", "name")
+    return Q.search_collections(standin(spark, sf, "collections"), "white or economy", _grants(spark, sf), 7).select("collection_id", "name")
 
 
 @register(
@@ -287,15 +303,21 @@ def search_index(spark, sf):
 
 @register(
     "autocomplete_packages",
-    """SELECT package_id FROM {packages} p WHERE starts_with(lower(slug), 'red b') OR (contains(lower(display_name), 'red') AND contains(lower(display_name), 'b')) OR starts_with(lower(catalog_slug || '/' || slug), 'red b')""",
+    f"""SELECT package_id FROM {{packages}} p WHERE (starts_with(lower(slug), 'red b') OR (contains(lower(display_name), 'red') AND contains(lower(display_name), 'b')) OR starts_with(lower(catalog_slug || '/' || slug), 'red b'))
+      AND package_id IN ({VISIBLE})""",
 )
 def autocomplete_packages(spark, sf):
-    return Q.autocomplete_packages(standin(spark, sf, "packages"), " Red b ").select("package_id")
+    return Q.autocomplete_packages(standin(spark, sf, "packages"), " Red b ", _grants(spark, sf), 7).select("package_id")
 
 
-@register("autocomplete_catalogs", f"SELECT catalog_id FROM ({CATALOG_ROWS}) c WHERE starts_with(slug, 'nation_1') OR starts_with(lower(display_name), 'nation_1')")
+@register("autocomplete_catalogs", f"SELECT catalog_id FROM {{catalogs}} c WHERE (starts_with(slug, 'nation_1') OR starts_with(lower(display_name), 'nation_1')) AND catalog_id IN ({VISIBLE_CATALOGS})")
 def autocomplete_catalogs(spark, sf):
-    return Q.autocomplete_catalogs(spark_sql(spark, sf, CATALOG_ROWS), "NATION_1").select("catalog_id")
+    return Q.autocomplete_catalogs(standin(spark, sf, "catalogs"), "NATION_1", _grants(spark, sf), 7).select("catalog_id")
+
+
+@register("autocomplete_catalogs_anonymous", "SELECT catalog_id FROM {catalogs} c WHERE (starts_with(slug, 'nation_1') OR starts_with(lower(display_name), 'nation_1')) AND is_public")
+def autocomplete_catalogs_anonymous(spark, sf):
+    return Q.autocomplete_catalogs(standin(spark, sf, "catalogs"), "NATION_1", _grants(spark, sf), None).select("catalog_id")
 
 
 @register(

@@ -7,12 +7,14 @@ stop words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparcel.registry.visibility import visible_catalogs, visible_collections, visible_packages
+
 NOT_WORD = r"[^\p{L}\p{N}]+"
 HITS_PER_REGISTRY = 20
 
@@ -121,22 +123,22 @@ def search(
     return df.filter(hit)
 
 
-def search_packages(packages: DataFrame, query: str) -> DataFrame:
-    """``readme, display_name, description`` by words; slug, name and ``catalog/slug`` by substring."""
+def search_packages(packages: DataFrame, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    """``readme, display_name, description`` by words; slug, name and ``catalog/slug`` by substring; of what ``user`` may see."""
     full = F.lower(F.concat("catalog_slug", F.lit("/"), "slug"))
     found = search(
         packages.withColumn("_full", full), query, ["readme", "display_name", "description"],
         substring=["slug", "display_name", "_full"],
     )
-    return found.drop("_full")
+    return visible_packages(found.drop("_full"), grants, user)
 
 
-def search_catalogs(catalogs: DataFrame, query: str) -> DataFrame:
-    return search(catalogs, query, ["display_name", "description"], prefix=["slug"])
+def search_catalogs(catalogs: DataFrame, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    return visible_catalogs(search(catalogs, query, ["display_name", "description"], prefix=["slug"]), grants, user)
 
 
-def search_collections(collections: DataFrame, query: str) -> DataFrame:
-    return search(collections, query, ["name", "description"])
+def search_collections(collections: DataFrame, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    return visible_collections(search(collections, query, ["name", "description"]), grants, user)
 
 
 def search_all_registries(registries: DataFrame, query: str, text: str, key: str, limit: int = HITS_PER_REGISTRY) -> DataFrame:
@@ -162,18 +164,19 @@ def search_users(users: DataFrame, value: str, limit: int, offset: int = 0, rest
     return kept.orderBy("user_id").offset(offset).limit(limit)
 
 
-def autocomplete_packages(packages: DataFrame, starts_with: str) -> DataFrame:
-    """Slug prefix, or every word inside the name, or a prefix of ``catalog/slug``."""
+def autocomplete_packages(packages: DataFrame, starts_with: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    """Slug prefix, or every word inside the name, or a prefix of ``catalog/slug``; of what ``user`` may see."""
     wanted = starts_with.strip().lower()
     every = F.lit(True)
     for word in wanted.split():
         every = every & F.lower("display_name").contains(word)
     full = F.lower(F.concat("catalog_slug", F.lit("/"), "slug"))
-    return packages.filter(_starts("slug", wanted) | F.coalesce(every, F.lit(False)) | F.coalesce(full.startswith(wanted), F.lit(False)))
+    found = packages.filter(_starts("slug", wanted) | F.coalesce(every, F.lit(False)) | F.coalesce(full.startswith(wanted), F.lit(False)))
+    return visible_packages(found, grants, user)
 
 
-def autocomplete_catalogs(catalogs: DataFrame, starts_with: str) -> DataFrame:
-    return catalogs.filter(_starts("slug", starts_with) | _starts("display_name", starts_with))
+def autocomplete_catalogs(catalogs: DataFrame, starts_with: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    return visible_catalogs(catalogs.filter(_starts("slug", starts_with) | _starts("display_name", starts_with)), grants, user)
 
 
 def autocomplete_users(users: DataFrame, starts_with: str) -> DataFrame:

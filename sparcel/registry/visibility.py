@@ -56,3 +56,17 @@ def visible_collections(collections: DataFrame, grants: Mapping[str, DataFrame],
     keys = own.union(by_group).distinct()
     marked = collections.join(keys, F.col("collection_id") == F.col("_granted"), "left")
     return marked.filter(F.col("is_public") | F.col("_granted").isNotNull()).drop("_granted")
+
+
+def visible_catalogs(catalogs: DataFrame, grants: Mapping[str, DataFrame], user: int | None, permission: str = "VIEW") -> DataFrame:
+    """Catalogs ``(catalog_id, is_public …)`` that are public, or granted by user_catalog or group_catalog.
+
+    Grants on a catalog itself (``catalog_permissions``) are apart from those on the packages in it.
+    """
+    if user is None:
+        return catalogs.filter("is_public")
+    own = granted(grants["user_catalog"].filter(F.col("user_id") == user), "catalog_id", permission, "catalog_permissions")
+    groups = grants["group_catalog"].join(_groups_of(grants, user), "group_id", "left_semi")
+    keys = own.union(granted(groups, "catalog_id", permission, "catalog_permissions")).distinct()
+    marked = catalogs.join(keys, F.col("catalog_id") == F.col("_granted"), "left")
+    return marked.filter(F.col("is_public") | F.col("_granted").isNotNull()).drop("_granted")
