@@ -15,6 +15,8 @@ PINNED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows that a Python worker holds at a time; a row can be a whole document.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
