@@ -33,7 +33,7 @@ SPACE = "▁"
 #: Where the vocabulary lies by default; a parameter of every public function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words a worker remembers, characters cut into words and characters indexed at a time, and characters relaxed for all words at once.
-REMEMBERED, TAKEN, INDEXED, LONG = 400_000, 1 << 21, 1 << 19, 64
+REMEMBERED, TAKEN, INDEXED, LONG = 300_000, 1 << 21, 1 << 18, 64
 START, NONE = -2, -1
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
