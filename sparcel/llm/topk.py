@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from sparcel.session import ship, written
 
-#: Candidates and queries of a block; rows a walk meets in each list before it looks at the threshold, doubled every time.
-BLOCK, QUERIES, DEPTH = 8192, 2048, 16
-#: Sums that doubles hold exactly, and that a long holds; larger scores are an error.
-EXACT, LONG = 1 << 53, 1 << 63
+#: Candidates and queries of a block; rows a walk meets in each list before it looks at the threshold, four times as many every time.
+BLOCK, QUERIES, DEPTH = 8192, 2048, 64
+#: Scores must fit a long; larger ones are an error.
+LONG = 1 << 63
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
@@ -41,43 +41,57 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")  # a smaller row number is a smaller id
-        self.ids, self.rows = ids[order], rows[order]
-        self.down = np.argsort(-self.rows, axis=0, kind="stable").T.copy()  # dimension x depth
-        self.up = np.argsort(self.rows, axis=0, kind="stable").T.copy()
+        self.ids, self.rows = ids[order], rows[order].astype(np.int64)
+        down = np.argsort(-self.rows, axis=0, kind="stable").T
+        self.lists = np.stack((np.argsort(self.rows, axis=0, kind="stable").T, down)).astype(np.int32)  # direction x dimension x depth
         self.largest = float(np.abs(self.rows).max(initial=0))
+        self.as_type: dict[type, np.ndarray] = {np.int64: self.rows}
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, score) of the k best rows of another id than ``own``, best first."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)  # a zero component adds nothing, whatever the row
+    def exact(self, query: np.ndarray) -> np.ndarray:
+        """The rows in the smallest type in which every score with the query is exact."""
         bound = self.largest * float(np.abs(query).max(initial=0)) * max(1, len(query))
         if bound >= LONG:
             raise OverflowError("scores beyond 63 bits")
-        rows = self.rows if bound < EXACT else self.rows.astype(np.int64)
-        weight = query[used].astype(rows.dtype)
-        lists = np.where((weight > 0)[:, None], self.down[used], self.up[used])
+        kind = next((t for t, most in ((np.float32, 1 << 24), (np.float64, 1 << 53)) if bound < most), np.int64)
+        if kind not in self.as_type:
+            self.as_type[kind] = self.rows.astype(kind)
+        return self.as_type[kind]
+
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, score) of the k best rows of another id than ``own``, best first."""
+        n, rows = len(self.ids), self.exact(query)
+        weight = query.astype(rows.dtype)
+        used = np.flatnonzero(query)  # a zero component adds nothing, whatever the row
+        direction = (query[used] > 0).astype(np.int64)
         met = self.ids == own
         best_row, best = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
-        at, depth = 0, DEPTH
+        at, depth = 0, DEPTH if len(used) else n
         while at < n:
             stop = min(n, at + depth)
-            new = np.unique(lists[:, at:stop]) if len(used) else np.arange(n)
-            new = new[~met[new]]
-            met[new] = True
-            row, score = np.concatenate((best_row, new)), np.concatenate((best, rows[new][:, used] @ weight))
+            seen = met.copy()
+            if len(used):
+                seen[self.lists[direction, used, at:stop].ravel()] = True
+            else:
+                seen[:] = True
+            new = np.flatnonzero(seen & ~met)
+            met = seen
+            row, score = np.concatenate((best_row, new)), np.concatenate((best, rows[new] @ weight))
+            if len(score) > k:
+                good = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                row, score = row[good], score[good]
             order = np.lexsort((row, -score))[:k]
             best_row, best = row[order], score[order]
-            if not len(used) or (len(best) == k and weight @ rows[lists[:, stop - 1], used] < best[-1]):
+            if len(best) == k and (weight[used] * rows[self.lists[direction, used, stop - 1], used]).sum() < best[-1]:
                 break
-            at, depth = stop, depth * 2
+            at, depth = stop, depth * 4
         return best_row, best
 
 
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of a block for each query."""
-    lists = Lists(ids, rows.astype(np.float64))
+    lists = Lists(ids, rows)
     found = []
-    for own, query in zip(query_ids.tolist(), queries.astype(np.float64)):
+    for own, query in zip(query_ids.tolist(), queries):
         row, score = lists.top(query, own, k)
         found.append((np.full(len(row), own), lists.ids[row], score.astype(np.int64)))
     parts = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
