@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import tarfile
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparcel.checks.base import duck_type, register, spark_sql, standin, table
@@ -29,7 +31,7 @@ CUSTOMER = "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS
 )
 def csv_typed_scan(spark, sf):
     path = scratch(spark, "customer")
-    W.csv_sink(table(spark, sf, "customer").repartition(3), path)
+    W.csv_sink(table(spark, sf, "customer"), path)
     cells = delimited.scan_csv(spark, path).drop("_file", "_offset")
     return cells.select(
         "*", infer_string_type(F.col("c_custkey")).alias("key_type"), infer_string_type(F.col("c_acctbal")).alias("balance_type"),
@@ -37,11 +39,27 @@ def csv_typed_scan(spark, sf):
     )
 
 
-@register("csv_offsets", "SELECT o_orderkey - 0 AS o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS _offset FROM orders")
+@register("csv_offsets", "SELECT o_orderkey, TRUE AS in_order FROM orders")
 def csv_offsets(spark, sf):
+    """Files of ascending keys: each record's offset is the number of smaller keys in its file."""
     path = scratch(spark, "orders")
-    W.csv_sink(table(spark, sf, "orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey"), path)
-    return delimited.scan_csv(spark, path).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "_offset")
+    W.csv_sink(table(spark, sf, "orders").select("o_orderkey").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    cells = delimited.scan_csv(spark, path).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "_file", "_offset")
+    first = cells.filter("_offset = 0").select("_file", F.col("o_orderkey").alias("_least"))
+    place = F.row_number().over(Window.partitionBy("_file").orderBy("o_orderkey")) - 1
+    return cells.join(first, "_file").select("o_orderkey", ((place == F.col("_offset")) & (F.col("o_orderkey") >= F.col("_least"))).alias("in_order"))
+
+
+@register(
+    "csv_layouts",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation""",
+)
+def csv_layouts(spark, sf):
+    """Files with columns in another order, and without one of them."""
+    path, nation = scratch(spark, "layouts"), table(spark, sf, "nation")
+    W.csv_sink(nation.filter("n_nationkey % 2 = 0").select("n_regionkey", "n_name", "n_nationkey"), f"{path}/a")
+    W.csv_sink(nation.filter("n_nationkey % 2 = 1").select("n_nationkey", "n_name"), f"{path}/b")
+    return delimited.scan_csv(spark, path, delimiter=",").select("n_nationkey", "n_name", "n_regionkey")
 
 
 @register("csv_sink", f"SELECT {CUSTOMER}, strftime(TIMESTAMP '2020-02-01 11:53:00', '%Y-%m-%dT%H:%M:%S.%gZ') AS seen FROM customer")
@@ -181,7 +199,7 @@ def requote_csv(spark, sf):
 def _sorted_lines(spark, sf):
     """Orders as text files, every line naming its order."""
     path = scratch(spark, "lines")
-    table(spark, sf, "orders").select(F.format_string("%010d", "o_orderkey").alias("value")).repartitionByRange(4, "value").sortWithinPartitions(
+    table(spark, sf, "orders").select(F.format_string("%010d", "o_orderkey").alias("value")).repartitionByRange("value").sortWithinPartitions(
         "value"
     ).write.text(path)
     return path
@@ -201,7 +219,7 @@ def byte_offset_skip(spark, sf):
     path = _sorted_lines(spark, sf)
     size = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), "length")
     left = delimited.skip_bytes(spark, path, 8).select("_file", F.length("content").alias("left")).join(size, "_file")
-    return left.agg(F.max(F.col("length") - F.col("left")).cast("int").alias("dropped"), F.sum("length").alias("total"))
+    return left.agg(F.max(F.col("length") - F.col("left")).cast("int").alias("dropped"), F.sum(F.col("left") + 8).alias("total"))
 
 
 @register("record_offset_skip", "SELECT event_id FROM events WHERE event_id > 500")
@@ -212,7 +230,7 @@ def record_offset_skip(spark, sf):
 @register("multi_file_scan", "SELECT o_orderstatus, count(*) AS n, TRUE AS every_file_known FROM orders GROUP BY 1")
 def multi_file_scan(spark, sf):
     path = scratch(spark, "orders")
-    table(spark, sf, "orders").repartition(4, "o_orderstatus").write.parquet(path)
+    table(spark, sf, "orders").repartition("o_orderstatus", "o_orderkey").write.parquet(path)
     listing = files.list_files(spark, path).select(F.col("name").alias("_stream"), F.col("update_hash").alias("listed"))
     records = files.multi_file_scan(lambda: spark.read.parquet(path)).join(listing, "_stream", "left")
     return records.groupBy("o_orderstatus").agg(
@@ -377,9 +395,11 @@ def jdbc_sink_swap(spark, sf):
 
 @register("console_sink", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS record FROM region""")
 def console_sink(spark, sf):
-    region = table(spark, sf, "region")
-    W.console_sink(region, rows=1)
-    return region.select(F.to_json(F.struct("*")).alias("record"))
+    """What the sink printed, read back as rows."""
+    printed = io.StringIO()
+    with contextlib.redirect_stdout(printed):
+        W.console_sink(table(spark, sf, "region"))
+    return spark.createDataFrame([(x,) for x in printed.getvalue().splitlines()], "record string")
 
 
 # Feeds: messages made from the given tables, normalised, compared with the tables.

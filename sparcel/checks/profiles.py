@@ -37,7 +37,7 @@ def profile_raw_counts(spark, sf):
     return rows.withColumnRenamed("record_count", "n")
 
 
-TEXTS = {"documents": ("text", "lang", "source"), "pages": ("url", "html"), "conversations": ("role",), "benchmark": ()}
+TEXTS = {"documents": ("text", "lang", "source"), "pages": ("url", "html"), "conversations": ("role", "text"), "benchmark": ("text",)}
 
 
 @register(
@@ -50,8 +50,6 @@ TEXTS = {"documents": ("text", "lang", "source"), "pages": ("url", "html"), "con
 def profile_strings(spark, sf):
     out = None
     for t, columns in TEXTS.items():
-        if not columns:
-            continue
         rows = P.profile(table(spark, sf, t), columns=columns, stats=["string_min_length", "string_max_length"]).select(
             F.concat(F.lit(f"{t}."), "property").alias("property"), F.col("record_count").alias("n"),
             F.col("string_min_length").alias("min_length"), F.col("string_max_length").alias("max_length"),
@@ -123,9 +121,7 @@ def profile_dates(spark, sf):
     FROM (SELECT unnest(embedding) AS x FROM embeddings)""",
 )
 def profile_arrays(spark, sf):
-    rows = P.profile(table(spark, sf, "embeddings"), columns=["embedding"])
-    elements = P.number_widening(rows.filter("property = 'embedding[]'"))
-    return rows.filter("property = 'embedding'").unionByName(elements).select(
+    return P.profile(table(spark, sf, "embeddings"), columns=["embedding"]).select(
         "property", "type", F.col("record_count").alias("n"), F.col("array_min_length").alias("low"), F.col("array_max_length").alias("high")
     )
 
@@ -160,7 +156,7 @@ def profile_objects(spark, sf):
     ),
 )
 def profile_table(spark, sf):
-    rows = P.profile(table(spark, sf, "lineitem"))
+    rows = P.profile(table(spark, sf, "lineitem"), columns_per_scan=4)
     epoch = lambda c: F.unix_micros(c) / F.lit(1e6)
     return rows.select(
         "property", "type", F.col("record_count").alias("n"),
@@ -173,20 +169,37 @@ def profile_table(spark, sf):
 def _duck_options(source: str, column: str, kind: str, text: str | None = None) -> str:
     text = text or f"CAST({column} AS VARCHAR)"
     return f"""SELECT '{column}' AS property, type, value, n FROM (
-      SELECT {kind} AS type, {text} AS value, count(*) AS n, count(*) OVER (PARTITION BY {kind}) AS k, max(length({text})) OVER () AS m
-      FROM {source} GROUP BY 1, 2) WHERE k <= 50 AND m <= 50"""
+      SELECT {kind} AS type, {text} AS value, count(*) AS n, count(*) OVER (PARTITION BY {kind}) AS k, max(length({text})) OVER (PARTITION BY {kind}) AS m
+      FROM {source} WHERE {column} IS NOT NULL GROUP BY 1, 2) WHERE k <= 50 AND m <= 50"""
+
+
+_NUMERIC_KIND = "CASE WHEN {c} = floor({c}) THEN 'integer' ELSE 'number' END"
 
 
 @register(
     "value_options",
     " UNION ALL ".join(
         [_duck_options("lineitem", c, "'string'") for c in ("l_returnflag", "l_linestatus")]
-        + [_duck_options("lineitem", "l_linenumber", "'integer'")]
-        + [_duck_options("lineitem", c, f"CASE WHEN {c} = floor({c}) THEN 'integer' ELSE 'number' END") for c in ("l_quantity", "l_discount", "l_tax")]
+        + [_duck_options("lineitem", c, "'integer'") for c in ("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")]
+        + [_duck_options("lineitem", c, _NUMERIC_KIND.replace("{c}", c)) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")]
+        + [_duck_options("lineitem", "l_shipdate", "CASE WHEN date_trunc('day', l_shipdate) = l_shipdate THEN 'date' ELSE 'date-time' END")]
     ),
 )
 def value_options(spark, sf):
-    return P.value_options(table(spark, sf, "lineitem").drop("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return P.value_options(table(spark, sf, "lineitem"))
+
+
+@register(
+    "value_options_mixed",
+    f"""WITH m AS (SELECT CASE WHEN event_type = 'error' THEN mixed || repeat('x', 60) ELSE mixed END AS mixed FROM {{mixed}} a)
+    SELECT 'mixed' AS property, type, value, n FROM (SELECT {duck_type('mixed')} AS type, mixed AS value, count(*) AS n, count(*) OVER (PARTITION BY {duck_type('mixed')}) AS k,
+      max(length(mixed)) OVER (PARTITION BY {duck_type('mixed')}) AS m FROM m GROUP BY 1, 2) WHERE k <= 50 AND m <= 50 AND type <> 'null'""",
+)
+def value_options_mixed(spark, sf):
+    """One column of long texts, numbers, truth values and dates: the short types keep their options."""
+    long = F.concat("mixed", F.repeat(F.lit("x"), 60))
+    df = standin(spark, sf, "mixed").select(F.when(F.col("event_type") == "error", long).otherwise(F.col("mixed")).alias("mixed"))
+    return P.value_options(df, raw=["mixed"])
 
 
 @register(

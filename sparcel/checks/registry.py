@@ -478,6 +478,6 @@ def sitemap_pages(spark, sf):
 def numbered_by_id(spark, sf):
     from sparcel.operators.numbering import numbered_by_id as number
 
-    return number(table(spark, sf, "events").select("event_type", "event_id"), "event_id", by=["event_type"], width=1000)
+    return number(table(spark, sf, "events").select("event_type", "event_id"), "event_id", by=["event_type"])
 
 

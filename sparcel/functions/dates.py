@@ -35,6 +35,12 @@ TIMESTAMP_FORMATS = {
     r"^\d{4}\.": ("yyyy.M.d",),
     r"^\w{3},? ": ("dd MMM yyyy HH:mm:ss 'GMT'", "MMM dd yyyy HH:mm:ss 'GMT'XX", "MMM dd yyyy"),
 }
+# A date-time at the start of a text, with what may belong to it.
+LEADING = (
+    r"^(?:\w{3}, \d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2} GMT|\w{3} \w{3} \d{2} \d{4} \d{2}:\d{2}:\d{2} GMT[-+]\d{4}"
+    r"|\d{4}[/-]\d{1,2}[/-]\d{1,2}[T ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?(?: ?[APap][Mm]\b)?(?:Z| ?UTC|[-+]\d{2}:?\d{2})?"
+    r"|\d{1,2}[/-]\d{1,2}[/-]\d{4} \d{1,2}:\d{1,2}(?::\d{1,2})?(?: ?[APap][Mm]\b)?)"
+)
 ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm[:ss]XX", "yyyy-M-d h:m[:s] a", "yyyy-M-d h:m[:s]a")
 
 
@@ -58,8 +64,11 @@ def is_date_time(text: Column) -> Column:
 
 
 def parse_utc_timestamp(text: Column) -> Column:
-    """Instant in UTC, or NULL when the text is no known form."""
-    t = trimmed(text)
+    """Instant in UTC, or NULL when the text is no known form. Of a text that goes on after a date-time, the date-time counts."""
+    whole = trimmed(text)
+    # only a date-time has a colon; a text of any length is cut down to it before it is parsed
+    lead = F.when(whole.contains(":"), F.regexp_extract(whole, LEADING, 0))
+    t = F.coalesce(F.nullif(lead, F.lit("")), whole)
     marked = F.concat_ws("-", *[F.regexp_extract(t, DATE_MARKED, i) for i in (1, 2, 3)])
     # Weekdays are not parsed, and half days only in capitals after what comes before them.
     bare = F.regexp_replace(t, r"^\w{3},? (?=\w{3} \d{2} \d{4}|\d{2} \w{3} \d{4})", "")
@@ -69,7 +78,7 @@ def parse_utc_timestamp(text: Column) -> Column:
         return [F.try_to_timestamp(clock if f.endswith("a") else bare, F.lit(f)) for f in formats]
 
     iso = F.coalesce(t.try_cast("timestamp"), *tried(ISO_FORMATS), F.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp")))
-    found = F.when(F.length(t) > 80, F.lit(None).cast("timestamp")).when(t.rlike(r"^\d{4}-\d{1,2}"), iso)
+    found = F.when(t.rlike(r"^\d{4}-\d{1,2}"), iso)
     for start, formats in TIMESTAMP_FORMATS.items():
         found = found.when(t.rlike(start), F.coalesce(*tried(formats), F.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp"))))
     return found.when(t.rlike(DATE_MARKED), marked.try_cast("timestamp"))

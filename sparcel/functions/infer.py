@@ -14,19 +14,24 @@ TYPE_NAMES = (
     "null", "boolean", "integer", "number", "date", "date-time", "string", "object", "array",
 )
 BOOLEAN_WORDS = ("true", "false", "yes", "no")
-INTEGER_TEXT = r"[-+]?[1-9]\d{0,307}|0"
-NUMBER_TEXT = r"[-+]?(?:[1-9]\d{0,307}|0)\.\d+"
+INTEGER_TEXT = r"[-+]?[1-9]\d*|0"
+NUMBER_TEXT = r"[-+]?(?:[1-9]\d*|0)\.\d+"
 NUMERIC_TEXT = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
+def _finite(text: Column) -> Column:
+    """Numeric text within the range of a double; beyond it, digits are only text."""
+    return F.abs(trimmed(text).try_cast("double")) < F.lit(float("inf"))
+
+
 def infer_string_type(text: Column) -> Column:
     """Type name of raw text."""
     words = "|".join(BOOLEAN_WORDS)
     return (
         F.when(text.isNull() | (text == "null") | text.rlike(f"^{WS}*$"), F.lit("null"))
         .when(text.rlike("(?i)" + whole(words)), F.lit("boolean"))
-        .when(text.rlike(whole(NUMBER_TEXT)), F.lit("number"))
-        .when(text.rlike(whole(INTEGER_TEXT)), F.lit("integer"))
+        .when(text.rlike(whole(NUMBER_TEXT)) & _finite(text), F.lit("number"))
+        .when(text.rlike(whole(INTEGER_TEXT)) & _finite(text), F.lit("integer"))
         .when(is_date_time(text), F.lit("date-time"))
         .when(is_date(text), F.lit("date"))
         .otherwise(F.lit("string"))

@@ -10,9 +10,9 @@ LEVELS = ("identical", "minor", "compatible", "breaking")
 
 
 def version_parse(text: Column) -> Column:
-    """``struct(major, minor, patch)``; struct order is version order. NULL if malformed."""
-    ok = text.rlike(r"^\d{1,9}\.\d{1,9}\.\d{1,9}$")
-    part = [F.split_part(text, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3)]
+    """``struct(major, minor, patch)``; struct order is version order. NULL if malformed; a part beyond 64 bits is an error."""
+    ok = text.rlike(r"^\d+\.\d+\.\d+$")
+    part = [F.when(ok, F.split_part(text, F.lit("."), F.lit(i))).cast("bigint") for i in (1, 2, 3)]
     return F.when(
         ok, F.struct(part[0].alias("major"), part[1].alias("minor"), part[2].alias("patch"))
     )

@@ -7,27 +7,23 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1_000_000
+from sparcel.session import written
 
 
-def numbered_by_id(
-    df: DataFrame, id_column: str, by: Iterable[str] = (), name: str = "position", width: int = WIDTH
-) -> DataFrame:
-    """Number rows 0, 1, 2 … by a unique integer id, per ``by`` group if given.
+def numbered_by_id(df: DataFrame, id_column: str, by: Iterable[str] = (), name: str = "position") -> DataFrame:
+    """Number rows 0, 1, 2 … in the order of an id, per ``by`` group if given; equal ids in any order.
 
-    Ids are cut into ranges of ``width``; being unique, a range holds at most ``width`` rows,
-    however large its group is. Each range is numbered by itself and starts after the row
-    counts of the ranges before it.
+    A range exchange sorts the rows over all tasks, whatever the ids are; each row is written with its task and its place in
+    it, and the row counts of the tasks before are added. Only these counts, one row for each group and task, meet in a window.
     """
     by = list(by)
-    ranged = df.withColumn("_range", F.floor(F.col(id_column) / width))
-    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(id_column)) - 1
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(starts, [*by, "_range"])
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_range", "_inside", "_start")
-    )
+    ranged = df.repartitionByRange(*by, id_column).sortWithinPartitions(*by, id_column)
+    placed = written(ranged.withColumn("_task", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "ranged")
+    counts = placed.groupBy(*by, "_task").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    group = [F.col(c).alias(f"_of{i}") for i, c in enumerate(by)]
+    before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, F.col("_task").alias("_at"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_task") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+    return placed.join(starts, same).withColumn(name, F.col("_place") + F.col("_shift")).drop("_task", "_place", "_at", "_shift", *[f"_of{i}" for i in range(len(by))])

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from sparcel.functions.infer import (
     infer_string_type, infer_value_type, possible_types, to_boolean, to_number, to_timestamp,
 )
+from sparcel.functions.text import trimmed
 
 # Limits of the profile.
 DEPTH = 10
@@ -34,6 +35,8 @@ STATS: dict[str, tuple[str, str]] = {
     "number_max": ("double", "max"),
     "number_max_precision": ("bigint", "max"),
     "number_max_scale": ("bigint", "max"),
+    "integer_min": ("decimal(38,0)", "min"),
+    "integer_max": ("decimal(38,0)", "max"),
     "true_count": ("bigint", "sum"),
     "false_count": ("bigint", "sum"),
     "date_min": ("timestamp", "min"),
@@ -122,7 +125,13 @@ def scale_of(x: str, dtype: T.DataType) -> str:
 def whole_digits_sql(x: str) -> str:
     """Digits before the point of a number's plain text."""
     steps = " ".join(f"WHEN abs({x}) < 1e{d}D THEN {d}" for d in range(1, 10))
-    return f"CASE {steps} WHEN {x} IS NOT NULL THEN cast(floor(log10(abs({x})) + 1e-12D) AS int) + 1 END"
+    plain = f"try_cast(floor(abs({x})) AS decimal(38,0))"
+    return f"CASE {steps} WHEN {plain} IS NOT NULL THEN length(cast({plain} AS string)) WHEN {x} IS NOT NULL THEN cast(floor(log10(abs({x}))) AS int) + 1 END"
+
+
+def _integers(kind: str, on: str | None, value: str) -> list[Aggregate]:
+    """Exact extremes beside those of the doubles."""
+    return [(kind, "integer_min", f"min({value}){_where(on)}"), (kind, "integer_max", f"max({value}){_where(on)}")]
 
 
 def micros_sql(x: str) -> str:
@@ -187,6 +196,7 @@ def _raw(field: Field, key: str) -> tuple[dict[str, Column], list[Aggregate]]:
     ready = {
         f"{key}_k": kind,
         f"{key}_v": to_number(value),
+        f"{key}_i": F.when(kind == "integer", trimmed(value).try_cast("decimal(38,0)")),
         f"{key}_t": F.when(kind.isin("date", "date-time"), F.unix_micros(to_timestamp(value))),
         f"{key}_b": F.when(kind == "boolean", to_boolean(value)),
         f"{key}_l": F.length(value),
@@ -197,7 +207,7 @@ def _raw(field: Field, key: str) -> tuple[dict[str, Column], list[Aggregate]]:
 
     aggs = [(k, "record_count", f"count_if({on(k)})") for k in (*RAW_TYPES, "null")]
     aggs += _range("string", "string", f"{key}_l", on("string"))
-    aggs += _numbers("integer", on("integer"), f"{key}_v", None)
+    aggs += _numbers("integer", on("integer"), f"{key}_v", None) + _integers("integer", None, f"{key}_i")
     aggs += _numbers("number", on("number"), f"{key}_v", scale_sql(f"{key}_v"))
     aggs += _booleans("boolean", f"{key}_b")
     return ready, aggs + _stamps("date", on("date"), f"{key}_t") + _stamps("date-time", on("date-time"), f"{key}_t")
@@ -230,13 +240,14 @@ def _scalar(field: Field, key: str, widen: bool) -> tuple[dict[str, Column], lis
     aggs = [nulls, (kind, "record_count", f"count({v})")]
     ready, more = {
         "string": lambda: (f"length({x})", _range(kind, "string", v)),
-        "integer": lambda: (f"cast({x} AS double)", _numbers(kind, None, v, None)),
+        "integer": lambda: (f"cast({x} AS double)", _numbers(kind, None, v, None) + _integers(kind, None, f"{key}_i")),
         "boolean": lambda: (x, _booleans(kind, v)),
         "date": lambda: (micros_sql(x), _stamps(kind, None, v)),
         "array": lambda: (f"CASE WHEN {x} IS NOT NULL THEN size({x}) END", _range(kind, "array", v)),
         "object": lambda: (f"CASE WHEN {x} IS NOT NULL THEN true END", []),
     }[kind]()
-    return {v: F.expr(ready)}, aggs + more
+    exact = {f"{key}_i": F.expr(f"cast({x} AS decimal(38,0))")} if kind == "integer" else {}
+    return {v: F.expr(ready), **exact}, aggs + more
 
 
 def _type_sql(dtype: T.DataType, kind: str) -> str:
@@ -300,7 +311,8 @@ def profile(
     received: str | None = None,
     stats: Iterable[str] | None = None,
     widen: bool = True,
-    columns_per_scan: int | None = 4,
+    columns_per_scan: int | None = None,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Profile ``df``: one row per property and observed type.
 
@@ -308,15 +320,16 @@ def profile(
     profile separately (a schema slug, say); ``received`` is the receive time behind first
     and last seen; ``stats`` restricts the statistics, and so the columns computed.
 
-    Columns are profiled a few at a time: a columnar source reads every column once all the
-    same, the groups run side by side, and each generated loop stays small enough to be
-    compiled. ``columns_per_scan=None`` reads a row-oriented source in a single pass.
+    One scan, whatever the number of columns. ``columns_per_scan`` profiles so many at a time
+    instead: a columnar source still reads every column once, and each generated loop stays small
+    enough to be compiled; any other source is read or recomputed for every group. Fields deeper
+    than ``depth`` levels are left out.
     """
     by, raw = list(by), set(raw)
     chosen = [c for c in (df.columns if columns is None else columns) if c not in by and c != received]
-    if columns_per_scan and len(chosen) > columns_per_scan and not raw:
+    if columns_per_scan and len(chosen) > columns_per_scan:
         parts = [
-            profile(df, by=by, columns=chosen[i : i + columns_per_scan], received=received, stats=stats, widen=widen)
+            profile(df, raw=raw, by=by, columns=chosen[i : i + columns_per_scan], received=received, stats=stats, widen=widen, depth=depth)
             for i in range(0, len(chosen), columns_per_scan)
         ]
         return reduce(DataFrame.union, parts)
@@ -326,7 +339,8 @@ def profile(
     prepared: dict[str, Column] = {}
     aggregates: list[Column] = []
     rows: list[str] = []
-    for number, field in enumerate(fields(schema, raw)):
+    found = fields(schema, raw, depth)
+    for number, field in enumerate(found):
         if isinstance(field.dtype, T.NullType):
             continue
         key = f"p{number}"
@@ -355,7 +369,8 @@ def profile(
     wide = per_row.groupBy(*by).agg(*aggregates) if by else per_row.agg(*aggregates)
     names = ", ".join(["property", "type", *[s for s in STATS if s in keep]])
     long = wide.select(*by, F.expr(f"inline(array({', '.join(rows)})) AS ({names})")).filter("record_count > 0")
-    return number_widening(long, by) if widen and raw else long
+    several = raw or any(f.elements and possible_types(f.dtype) == ("integer", "number") for f in found if not isinstance(f.dtype, T.NullType))
+    return number_widening(long, by) if widen and several else long
 
 
 def combine(rows: DataFrame, by: Iterable[str] = ()) -> DataFrame:
@@ -416,55 +431,35 @@ def merge_samples(existing: DataFrame, new: DataFrame, order: str, schema: str,
     return both.withColumn("sample_no", place).filter(F.col("sample_no") <= limit).drop("_turn", "_side")
 
 
-def option_columns(df: DataFrame, columns: Iterable[str] | None = None) -> list[str]:
-    """Scalar columns whose values may form a list of options.
+def value_options(df: DataFrame, columns: Iterable[str] | None = None, raw: Iterable[str] = ()) -> DataFrame:
+    """Histogram (property, type, value, n) of every property and type with few, short values.
 
-    One scan measures the longest text and an approximate distinct count of each column. The
-    estimate only rules out columns far above the limit; the exact test follows on the counts.
+    The rule holds for each type by itself, so the integers among long texts keep their options. One scan measures the
+    longest value and an approximate number of values of each property and type; the estimate only rules out those far above
+    the limit, the exact test follows on the counts of the others.
     """
-    names = [
-        f.name
-        for f in df.schema.fields
-        if (columns is None or f.name in columns)
-        and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType))
-    ]
-    if not names:
-        return []
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
-    texts = [n for n in names if isinstance(dtypes[n], T.StringType)]
-    row = df.agg(
-        *[F.expr(f"max(length({quoted(n)})) AS l{names.index(n)}") for n in texts],
-        *[F.expr(f"approx_count_distinct({quoted(n)}) AS d{i}") for i, n in enumerate(names)],
-    ).first().asDict()
-    return [
-        n for i, n in enumerate(names)
-        if (row.get(f"l{i}") or 0) <= OPTION_LENGTH and row[f"d{i}"] <= 2 * OPTION_COUNT
-    ]
-
-
-def value_options(df: DataFrame, columns: Iterable[str] | None = None, raw: Iterable[str] = ()) -> DataFrame:
-    """Histogram (property, type, value, n) of every column with few, short values."""
-    spark = df.sparkSession
-    names = option_columns(df, columns)
-    empty = spark.createDataFrame([], "property string, type string, value string, n bigint")
-    if not names:
-        return empty
     raw = set(raw)
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
     entries = [
         F.struct(
-            F.lit(n).alias("property"),
-            (infer_string_type(F.col(f"`{n}`")) if n in raw else infer_value_type(F.col(f"`{n}`"), dtypes[n])).alias("type"),
-            F.col(f"`{n}`").cast("string").alias("value"),
+            F.lit(f.name).alias("property"),
+            (infer_string_type(F.col(quoted(f.name))) if f.name in raw else infer_value_type(F.col(quoted(f.name)), f.dataType)).alias("type"),
+            F.col(quoted(f.name)).cast("string").alias("value"),
         )
-        for n in names
+        for f in df.schema.fields
+        if (columns is None or f.name in columns)
+        and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.NullType))
     ]
-    counts = (
-        df.select(F.inline(F.array(*entries)))
-        .filter(F.col("value").isNotNull() & (F.col("type") != "null"))
-        .groupBy("property", "type", "value").agg(F.count("*").alias("n"))
-    )
-    return few_options(counts)
+    if not entries:
+        return df.sparkSession.createDataFrame([], "property string, type string, value string, n bigint")
+    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull() & (F.col("type") != "null"))
+    measured = values.groupBy("property", "type").agg(F.max(F.length("value")).alias("longest"), F.approx_count_distinct("value").alias("about"))
+    few = measured.filter((F.col("longest") <= OPTION_LENGTH) & (F.col("about") <= 2 * OPTION_COUNT)).select("property", "type")
+    # one row for each property and type, of which a schema has a bounded number
+    chosen = [tuple(r) for r in few.collect()]
+    wanted = F.lit(False)
+    for name, kind in chosen:
+        wanted = wanted | ((F.col("property") == name) & (F.col("type") == kind))
+    return few_options(values.filter(wanted).groupBy("property", "type", "value").agg(F.count("*").alias("n")))
 
 
 def few_options(counts: DataFrame) -> DataFrame:

@@ -66,8 +66,10 @@ def partitioned_sink(df: DataFrame, location: str, mode: str = "append") -> None
     df.write.mode(mode).partitionBy(SCHEMA).parquet(location)
 
 
-def console_sink(df: DataFrame, rows: int = 20) -> None:
-    df.select(F.to_json(F.struct("*")).alias("record")).show(rows, truncate=False)
+def console_sink(df: DataFrame) -> None:
+    """Every record as a line of JSON on the driver's standard output, a partition at a time."""
+    for row in df.select(F.to_json(F.struct("*")).alias("record")).toLocalIterator(prefetchPartitions=True):
+        print(row["record"])
 
 
 def object_store_sink(df: DataFrame, bucket: str, key: str, fmt: str = "parquet") -> None:

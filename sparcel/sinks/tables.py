@@ -38,11 +38,12 @@ def swap_statements(table: str) -> list[str]:
     return [f'DROP TABLE IF EXISTS "{table}"', f'ALTER TABLE "{table}_new" RENAME TO "{table}"']
 
 
-def jdbc_write_options(url: str, table: str, user: str, types: Types, append: bool = False) -> dict[str, str]:
+def jdbc_write_options(url: str, table: str, user: str, append: bool = False) -> dict[str, str]:
+    """Options of the writer. Column types follow from the shaped frame, whose Spark types the database's dialect knows;
+    a database that wants others gets ``create_table_statement`` first."""
     return {
         "url": url, "user": user, "dbtable": f'"{table}"' if append else f'"{table}_new"',
         "batchsize": str(INSERT_ROWS["relational"]), "isolationLevel": "READ_COMMITTED",
-        "createTableColumnTypes": relational_ddl(types).replace('"', "`").replace(" text", " VARCHAR(65535)"),
     }
 
 

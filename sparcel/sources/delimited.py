@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparcel.functions.text import WS
+from sparcel.session import written
 
 # Delimiter by file extension.
 DELIMITERS = {"csv": ",", "tsv": "\t", "psv": "|", "tab": "\t"}
-#: Split counts up to this size are broadcast (24 bytes each); beyond it they are joined.
-BROADCAST_SPLITS = 500_000
 
 
 def delimiter_of(path: str) -> str:
@@ -33,33 +33,38 @@ def header_names(cells: Iterable[str]) -> list[str]:
     return names
 
 
-def with_file_offset(df: DataFrame, offset: str = "_offset") -> DataFrame:
-    """Number the records of each file 0, 1, 2 … without moving them.
+def with_file_offset(df: DataFrame, offset: str = "_offset", counted: str | None = None) -> DataFrame:
+    """Number the records of each file 0, 1, 2 …; ``counted`` numbers only the rows for which that column is true, from 0 too.
 
-    ``df`` is a file scan with ``_file`` and ``_block`` (the start of the split). Records are
-    numbered inside each split by their position in the task, and the record counts of the
-    splits before it are added. Only one small row per split is shuffled.
+    ``df`` is a file scan with ``_file`` and ``_block`` (the start of the split). Each record's position in its task is written
+    with it to the shared folder, so the source is read once and later reads see the same positions; the counts of the splits
+    before a split, one small row each, are added to them. No record is sorted or shuffled.
     """
     placed = df.withColumn("_position", F.monotonically_increasing_id())
-    key = [F.xxhash64("_file").alias("_file_key"), F.col("_block")]
-    splits = placed.select(*key, "_position").groupBy("_file_key", "_block").agg(
-        F.count("*").alias("_n"), F.min("_position").alias("_first")
-    )
-    earlier = Window.partitionBy("_file_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        "_file_key", F.col("_block").alias("_split"),
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    if df.rdd.getNumPartitions() + len(df.inputFiles()) <= BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
-    same = (F.xxhash64("_file") == F.col("_file_key")) & (F.col("_block") == F.col("_split"))
-    return placed.join(starts, same, "inner").withColumn(offset, F.col("_position") + F.col("_shift")).drop(
-        "_position", "_file_key", "_split", "_shift"
-    )
+    if counted is not None:
+        # positions among the counted rows: both parts keep the order of the scan
+        some = placed.filter(F.col(counted)).withColumn("_place", F.monotonically_increasing_id())
+        return _shifted(written(some, "numbered"), {offset: "_place"}).drop("_position")
+    return _shifted(written(placed, "numbered"), {offset: "_position"})
+
+
+def _shifted(placed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Positions in a task to positions in a file."""
+    for offset, position in names.items():
+        splits = placed.groupBy(F.col("_file").alias("_of"), F.col("_block").alias("_split")).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
+        earlier = Window.partitionBy("_of").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+        starts = splits.select("_of", "_split", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+        same = (F.col("_file") == F.col("_of")) & (F.col("_block") == F.col("_split"))
+        placed = placed.join(starts, same).withColumn(offset, F.col(position) + F.col("_shift")).drop(position, "_of", "_split", "_shift")
+    return placed
+
 
+#: Layouts (header lines) that one stream set may have; files of one set have few.
+LAYOUTS = 1000
 
-def _first_lines(spark: SparkSession, path: str, count: int) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(count).collect()]
+
+def _cells(line: str, delimiter: str, quote: str) -> list[str]:
+    return next(csv.reader([line.lstrip("\ufeff")], delimiter=delimiter, quotechar=quote), [])
 
 
 def scan_csv(
@@ -74,40 +79,95 @@ def scan_csv(
 ) -> DataFrame:
     """Read delimited files as one stream set.
 
-    Every cell is trimmed text (blank becomes NULL), ready for ``infer_string_type``. Lines
-    before ``header_row`` are dropped; ``None`` means no header. ``multi_line`` allows line
-    breaks inside quotes, at the price of one task per file. Adds ``_file`` and ``_offset``.
+    Every cell is trimmed text (blank becomes NULL), ready for ``infer_string_type``. Lines before ``header_row`` are dropped;
+    ``None`` means no header. Each file has its own header: columns are put together by name, so files may have them in another
+    order or lack some. A row with more cells than its header is an error. ``multi_line`` allows line breaks inside quotes, at
+    the price of one task per file; all files must have the same header then. Adds ``_file`` and ``_offset``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    first = listing.filter(F.col("length") > 0).agg(F.min("path")).first()[0]
-    if first is None:
-        raise ValueError(f"no data in {paths}")
-    delimiter = delimiter or delimiter_of(first)
-    head = _first_lines(spark, first, (header_row or 0) + 2)
-    at = header_row or 0
-    cells = next(csv.reader([head[at]] if len(head) > at else [""], delimiter=delimiter, quotechar=quote), [""])
-    widest = max(len(cells), *(len(next(csv.reader([x], delimiter=delimiter, quotechar=quote), [])) for x in head[at:])) if head[at:] else len(cells)
-    names = [f"Column{i}" for i in range(widest)] if header_row is None else header_names(cells)
-    preamble = 0 if header_row is None else sum(1 for x in head[:at] if x.strip()) + 1
-
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    read = (
-        spark.read.schema(schema).option("recursiveFileLookup", "true").csv(
-            paths, sep=delimiter, quote=quote, escape=quote, header=False, mode="PERMISSIVE",
-            ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=multi_line,
-        )
-        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    if delimiter is None:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        first = listing.filter(F.col("length") > 0).agg(F.min("path")).first()[0]
+        if first is None:
+            raise ValueError(f"no data in {paths}")
+        delimiter = delimiter_of(first)
+    if multi_line:
+        return _scan_multi_line(spark, paths, delimiter, header_row, quote, offsets)
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
-    if offsets or preamble:
-        read = with_file_offset(read, "_line").filter(F.col("_line") >= preamble)
-        read = read.withColumn("_offset", F.col("_line") - preamble)
-    cells_out = [
-        F.nullif(F.regexp_replace(F.col(f"c{i}"), f"^(?:\\uFEFF|{WS})+|{WS}+$", ""), F.lit("")).alias(name)
-        for i, name in enumerate(names)
-    ]
+    if header_row:
+        lines = with_file_offset(lines, "_line").withColumn("_some", (F.col("_line") >= header_row) & ~F.col("_text").rlike(f"^(?:\\uFEFF|{WS})*$"))
+    else:
+        lines = lines.withColumn("_some", ~F.col("_text").rlike(f"^(?:\\uFEFF|{WS})*$"))
+    rows = with_file_offset(lines, "_at", counted="_some").drop("_some", "_line")
+    heads = rows.filter("_at = 0").select(F.col("_file").alias("_of"), F.col("_text").alias("_head"))
+    found = [r[0] for r in heads.select("_head").distinct().limit(LAYOUTS + 1).collect()]
+    if len(found) > LAYOUTS:
+        raise ValueError(f"more than {LAYOUTS} different headers in {paths}")
+    if header_row is None:
+        widest = max((len(_cells(h, delimiter, quote)) for h in found), default=1)
+        layouts = {h: [f"Column{i}" for i in range(widest)] for h in found}
+    else:
+        layouts = {h: header_names(_cells(h, delimiter, quote)) for h in found}
+    names = list(dict.fromkeys(n for h in sorted(layouts) for n in layouts[h]))
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
+    bare = F.regexp_replace("_text", f"{re.escape(quote)}[^{re.escape(quote)}]*{re.escape(quote)}", "")
+    count = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+
+    def cells(head: str) -> Column:
+        own = layouts[head]
+        schema = ", ".join(f"c{i} string" for i in range(len(own)))
+        parsed = F.from_csv(F.regexp_replace("_text", "^\\uFEFF", ""), schema, options)
+        message = F.concat(F.lit(f"a row has more than the {len(own)} cells of its header in "), F.col("_file"))
+        clean = {n: F.nullif(F.regexp_replace(parsed[f"c{i}"], f"^{WS}+|{WS}+$", ""), F.lit("")) for i, n in enumerate(own)}
+        row = F.struct(*[clean.get(n, F.lit(None).cast("string")).alias(f"n{j}") for j, n in enumerate(names)])
+        return F.when(count > len(own), F.raise_error(message).cast(row_type)).otherwise(row)
+
+    row_type = T.StructType([T.StructField(f"n{j}", T.StringType()) for j in range(len(names))])
+    if not layouts:
+        empty = T.StructType([T.StructField("_file", T.StringType()), T.StructField("_offset", T.LongType())])
+        return spark.createDataFrame([], empty if offsets else T.StructType(empty.fields[:1]))
+    if header_row is not None:
+        rows = rows.filter("_at > 0")
+    if len(layouts) == 1 or header_row is None:
+        value = cells(next(iter(layouts)))
+    else:
+        rows = rows.join(heads, F.col("_file") == F.col("_of"))
+        value = F.when(F.lit(False), F.lit(None).cast(row_type))
+        for head in layouts:
+            value = value.when(F.col("_head") == head, cells(head))
+    shift = 0 if header_row is None else 1
+    out = rows.select(value.alias("_row"), "_file", (F.col("_at") - shift).alias("_offset"))
     extra = ["_file", "_offset"] if offsets else ["_file"]
-    return read.select(*cells_out, *extra)
+    return out.select(*[F.col(f"_row.n{j}").alias(n) for j, n in enumerate(names)], *extra)
+
+
+def _scan_multi_line(spark: SparkSession, paths: list[str], delimiter: str, header_row: int | None, quote: str, offsets: bool) -> DataFrame:
+    """Files whose cells have line breaks: read by the CSV reader, which takes each file as a whole.
+
+    The reader is given a column more than the header and the text of rows of another width, so wider rows are noticed.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    ).filter("_block = 0").withColumn("_line", F.monotonically_increasing_id())
+    first = lines.groupBy("_file").agg(F.min("_line").alias("_first"))
+    heads = lines.join(first, "_file").filter(F.col("_line") - F.col("_first") == (header_row or 0)).select("_text").distinct().limit(2).collect()
+    if len(heads) > 1 and header_row is not None:
+        raise ValueError(f"files with line breaks in cells need the same header: {[r[0] for r in heads]}")
+    cells = _cells(heads[0][0], delimiter, quote) if heads else [""]
+    names = [f"Column{i}" for i in range(len(cells))] if header_row is None else header_names(cells)
+    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)]])
+    read = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(
+        paths, sep=delimiter, quote=quote, escape=quote, header=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=True,
+    ).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    preamble = 0 if header_row is None else header_row + 1
+    read = with_file_offset(read, "_line").filter(F.col("_line") >= preamble).withColumn("_offset", F.col("_line") - preamble)
+    wide = F.col(f"c{len(names)}").isNotNull()
+    message = F.concat(F.lit(f"a row has more than the {len(names)} cells of its header in "), F.col("_file"))
+    out = [F.nullif(F.regexp_replace(F.col(f"c{i}"), f"^(?:\\uFEFF|{WS})+|{WS}+$", ""), F.lit("")).alias(n) for i, n in enumerate(names)]
+    out[0] = F.when(wide, F.raise_error(message).cast("string")).otherwise(F.nullif(F.regexp_replace(F.col("c0"), f"^(?:\\uFEFF|{WS})+|{WS}+$", ""), F.lit(""))).alias(names[0])
+    return read.select(*out, *(["_file", "_offset"] if offsets else ["_file"]))
 
 
 def data_columns(df: DataFrame) -> list[str]:

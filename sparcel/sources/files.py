@@ -59,8 +59,10 @@ def route_files(spark: SparkSession, paths: str | list[str], sniff: bool = False
     listing = list_files(spark, paths).withColumn("format", format_by_name(F.col("name")))
     if not sniff:
         return listing
+    # the reader drops the files with a known name by their path, before it opens any
+    known = "|".join(pattern for _, pattern in EXTENSIONS)
     contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    found = contents.join(listing.filter(F.col("format").isNull()).select(F.col("file").alias("path")), "path", "left_semi")
+    found = contents.filter(~F.col("_metadata.file_name").rlike(f"(?i)(?:{known})"))
     kinds = found.select(F.col("path").alias("file"), format_by_content(F.col("content")).alias("_sniffed"))
     return listing.join(kinds, "file", "left").withColumn("format", F.coalesce("format", "_sniffed")).drop("_sniffed")
 

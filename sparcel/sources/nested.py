@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,10 +92,32 @@ def _array_sizes(df: DataFrame) -> dict[str, int]:
     return {path: max(row[i] or 0, 0) for i, path in enumerate(found)}
 
 
-def scan_xml(spark: SparkSession, paths: str | list[str], row_path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Records at an element path, flattened; every leaf is text for ``infer_string_type``."""
-    reader = spark.read.format("xml").option("rowTag", row_path.strip("/").split("/")[-1]).option("inferSchema", "false")
+def _below(reader: DataFrameReader, paths: str | list[str], steps: list[str], schema: T.StructType | None) -> DataFrame:
+    """Rows of the last step of a path, reached from the elements of its second step."""
+    inner = steps[2:]
     if schema is not None:
+        for step in reversed(inner):
+            schema = T.StructType([T.StructField(step, T.ArrayType(schema))])
         reader = reader.schema(schema)
     rows = reader.load(paths)
+    for step in inner:
+        if step not in rows.columns:
+            raise ValueError(f"no element {step} on the path /{'/'.join(steps)}")
+        kind = rows.schema[step].dataType
+        several = isinstance(kind, T.ArrayType)
+        rows = rows.select((F.explode(F.col(f"`{step}`")) if several else F.col(f"`{step}`")).alias("_row")).filter("_row IS NOT NULL")
+        leaf = kind.elementType if several else kind
+        rows = rows.select("_row.*") if isinstance(leaf, T.StructType) else rows.withColumnRenamed("_row", "_VALUE")
+    return rows
+
+
+def scan_xml(spark: SparkSession, paths: str | list[str], row_path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Records at an element path, flattened; every leaf is text for ``infer_string_type``.
+
+    The path counts from its second step on: elements of that name are read as rows (wherever they are in the document, as the
+    reader splits large files there), and the steps after it are followed inside them.
+    """
+    steps = row_path.strip("/").split("/")
+    reader = spark.read.format("xml").option("inferSchema", "false").option("rowTag", steps[min(1, len(steps) - 1)])
+    rows = _below(reader, paths, steps, schema)
     return rows.select(*flatten_columns(rows.schema, _array_sizes(rows)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,20 +129,28 @@ def update_hash_after(finished: bool, update_hash: str | None) -> str | None:
     return update_hash if finished else None
 
 
+PROGRESS = "query string, batch bigint, records bigint, rate double, at string"
+
+
 class ProgressRows(StreamingQueryListener):
-    """Collects (records, rate) of every micro-batch, bounded to the newest ones."""
+    """Appends (query, batch, records, rate, time) of every micro-batch to a table below ``path``."""
 
-    def __init__(self, keep: int = 1000):
-        self.keep = keep
-        self.rows: list[Mapping[str, float]] = []
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.append({"batch": p.batchId, "records": p.numInputRows, "rate": p.processedRowsPerSecond})
-        del self.rows[: -self.keep]
+        row = (str(p.id), p.batchId, p.numInputRows, float(p.processedRowsPerSecond), p.timestamp)
+        self.spark.createDataFrame([row], PROGRESS).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        """A row for each batch; one that ran again counts with its last run."""
+        rows = self.spark.read.schema(PROGRESS).parquet(self.path)
+        newest = F.max_by(F.struct("records", "rate", "at"), "at").alias("p")
+        return rows.groupBy("query", "batch").agg(newest).select("query", "batch", "p.*")
 
     def onQueryIdle(self, event) -> None:
         pass
