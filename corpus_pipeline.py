@@ -40,7 +40,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document's pieces, and whether they decode to its text."""
     pin(spark)
     encoded = decode(encode(docs))
-    return encoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("text", "decoded")
+    return encoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("decoded")
 
 
 STAGES = [
