@@ -73,20 +73,28 @@ def batch_rows(uploaded: DataFrame, updated_at: Column, keys: tuple[str, ...] =
 
 
 def upload_batch(
-    incoming: DataFrame, batches: DataFrame, path: str, updated_at: Column, *, new_batch: bool = True,
-    keys: tuple[str, ...] = STREAM,
+    incoming: DataFrame, batches: DataFrame, path: str, updated_at: Column, *, upload: str, known_schemas: DataFrame | None = None,
+    new_batch: bool = True, keys: tuple[str, ...] = STREAM, offset: str = "_offset",
 ) -> DataFrame:
-    """Check and append records below ``path``, partitioned by batch; return the new batch table.
+    """Check records and write them to the folder of this ``upload`` below ``path``; return the new batch table.
 
-    The batch rows are read back from what was written (keys, offset and time only), so they
-    follow the data and the upload itself is computed once.
+    The same upload run again replaces its own folder, so nothing is stored twice. Unknown schemas fail before anything is
+    written; offsets that are not past the last saved one fail while it is written, and repeated ones before the batch table is
+    returned, so a failed upload is never listed. Only the upload's own folder is read back (keys, offset and time).
     """
     spark = incoming.sparkSession
-    uploaded = check_offsets(assign_batch(incoming, batches, new_batch, keys))
-    uploaded.write.mode("append").partitionBy("schema", "batch").parquet(path)
-    touched = assign_batch(incoming.select(*keys).distinct(), batches, new_batch, keys).drop("_last")
-    written = spark.read.schema(uploaded.schema).parquet(path).join(touched, [*keys, "batch"], "left_semi")
-    rows = batch_rows(written, updated_at, keys)
+    if known_schemas is not None:
+        unknown = [r[0] for r in check_schemas(incoming, known_schemas).limit(5).collect()]
+        if unknown:
+            raise ValueError(f"schemas that the latest version does not describe: {unknown}")
+    uploaded = check_offsets(assign_batch(incoming, batches, new_batch, keys), offset)
+    own = f"{path.rstrip('/')}/upload={upload}"
+    uploaded.write.mode("overwrite").partitionBy("schema", "batch").parquet(own)
+    written = spark.read.schema(uploaded.schema).parquet(own)
+    twice = repeated_offsets(written, keys, offset).first()
+    if twice is not None:
+        raise ValueError(f"offset ({twice[offset]}) occurs {twice['n']} times in the upload; offsets must rise")
+    rows = batch_rows(written, updated_at, keys, offset)
     kept = batches.join(rows, [*keys, "batch"], "left_anti")
     served = batches.filter("is_default").select(*keys, "batch", F.lit(True).alias("_served"))
     again = rows.join(served, [*keys, "batch"], "left").withColumn(

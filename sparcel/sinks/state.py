@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,36 +52,68 @@ def state_from_batches(batches: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """Snapshots of the state below a folder, one partition per commit.
+    """Snapshots of the state below a folder, published one after the other.
 
-    A commit writes the whole next snapshot; readers take the newest complete one, so a job
-    that dies between data and state leaves the old state in place.
+    A commit writes the whole next snapshot to a folder that readers do not look at, and publishes it by renaming it to its
+    number, which fails if there is one. So neither a job that dies half-way nor two that commit at once show anything but whole
+    snapshots. Older ones than the last ``keep`` are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _all(self) -> DataFrame | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return self.spark.read.schema(f"{self.schema}, snapshot bigint").parquet(self.path)
+    def _published(self) -> list[int]:
+        """Numbers of the published snapshots; there are a few at most."""
+        folder = self._path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-"))
 
     def newest(self) -> int:
-        rows = self._all()
-        value = None if rows is None else rows.agg(F.max("snapshot")).first()[0]
-        return -1 if value is None else value
+        return max(self._published(), default=-1)
 
     def read(self) -> DataFrame:
         number = self.newest()
         if number < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self._all().filter(F.col("snapshot") == number).drop("snapshot")
-
-    def commit(self, state: DataFrame) -> int:
-        number = self.newest() + 1
-        state.withColumn("snapshot", F.lit(number).cast("bigint")).write.mode("append").partitionBy("snapshot").parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot-{number}")
+
+    def commit(self, state: DataFrame, after: int | None = None) -> int:
+        """Publish ``state`` as the snapshot after ``after`` (the newest); fails if another writer was faster."""
+        number = (self.newest() if after is None else after) + 1
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        state.write.parquet(staged)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            if number <= self.newest():
+                raise ConcurrentCommit(f"snapshot {number} of {self.path} was published by another writer")
+            context.rename(self._path(staged), self._path(f"{self.path}/snapshot-{number}"), options)
+        except Py4JJavaError as error:
+            self._fs.delete(self._path(staged), True)
+            if "FileAlreadyExists" in str(error.java_exception):
+                raise ConcurrentCommit(f"snapshot {number} of {self.path} was published by another writer") from error
+            raise
+        except ConcurrentCommit:
+            self._fs.delete(self._path(staged), True)
+            raise
+        for old in self._published()[: -self.keep]:
+            self._fs.delete(self._path(f"{self.path}/snapshot-{old}"), True)
         return number
 
-    def upsert(self, changes: DataFrame, keys: tuple[str, ...]) -> int:
-        return self.commit(upsert_state(self.read(), changes, keys))
+    def upsert(self, changes: DataFrame, keys: tuple[str, ...], tries: int = 5) -> int:
+        """Merge changes into the newest snapshot; merged again if another writer published one meanwhile."""
+        for left in range(tries - 1, -1, -1):
+            before = self.newest()
+            try:
+                return self.commit(upsert_state(self.read(), changes, keys), before)
+            except ConcurrentCommit:
+                if not left:
+                    raise
+        raise AssertionError("not reached")
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer published the snapshot first."""

@@ -13,7 +13,9 @@ from sparcel.operators import profile as P
 from sparcel.operators.numbering import numbered_by_id
 from sparcel.operators.shapes import relational_shape
 from sparcel.session import shared_dir
+from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
+from sparcel.sinks import state as D
 from sparcel.sources import delimited, files, nested
 
 
@@ -133,3 +135,46 @@ def test_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session())
+
+
+BATCH = "package string, major int, source_type string, source_slug string, stream_set string, stream string, schema string, _offset long, at timestamp"
+
+
+def batch_frames(spark, offsets, schema="a"):
+    import datetime as dt
+
+    when = dt.datetime(2024, 1, 1)
+    incoming = spark.createDataFrame([("p", 1, "t", "s", "set", "x", schema, o, when) for o in offsets], BATCH)
+    batches = incoming.limit(0).drop("_offset", "at").selectExpr("*", "1 AS batch", "0L AS last_offset", "true AS is_default", "current_timestamp() AS updated_at")
+    return incoming, batches
+
+
+def test_upload_checks(spark, tmp_path):
+    known = spark.createDataFrame([("a",)], "schema string")
+    incoming, batches = batch_frames(spark, [1, 2, 2])
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        B.upload_batch(incoming, batches, str(tmp_path), F.col("at"), upload="u", known_schemas=known)
+    incoming, batches = batch_frames(spark, [1, 2], "b")
+    with pytest.raises(ValueError, match="does not describe"):
+        B.upload_batch(incoming, batches, str(tmp_path), F.col("at"), upload="u", known_schemas=known)
+    incoming, batches = batch_frames(spark, [1, 2])
+    for _ in range(2):
+        (row,) = B.upload_batch(incoming, batches, str(tmp_path), F.col("at"), upload="u", known_schemas=known).collect()
+        assert (row.batch, row.last_offset) == (1, 2)
+    assert spark.read.parquet(str(tmp_path)).count() == 2
+
+
+def test_state_snapshots_are_published_whole(spark, tmp_path):
+    schema = "k string, v long, updated_at long"
+    state = D.StateTable(spark, str(tmp_path / "state"), schema)
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert state.read().count() == 0
+    for i in range(4):
+        assert state.upsert(frame((f"k{i}", i, i)), ("k",)) == i
+    assert sorted(r.v for r in state.read().collect()) == [0, 1, 2, 3]
+    assert len(list((tmp_path / "state").glob("snapshot-*"))) == 2
+    with pytest.raises(D.ConcurrentCommit):
+        state.commit(frame(("late", 9, 9)), after=2)
+    assert not list((tmp_path / "state").glob("_staged-*"))
+    frame(("half", 1, 1)).write.parquet(str(tmp_path / "state" / "_staged-half"))
+    assert sorted(r.v for r in state.read().collect()) == [0, 1, 2, 3]
