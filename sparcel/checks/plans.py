@@ -16,7 +16,7 @@ from sparcel.operators import profile as P
 from sparcel.plans import diff as X
 from sparcel.plans import upgrade as U
 from sparcel.plans import versions as V
-from sparcel.session import spread, written
+from sparcel.session import written
 
 # A property with one order is an integer, with two a number as well, with more a text.
 CHILD = """SELECT schema, is_prior, parent || '/' || child AS p, CASE WHEN n = 1 THEN 'integer' WHEN n = 2 THEN 'integer,number' ELSE 'string' END AS types,
@@ -316,7 +316,7 @@ def upgrade_descriptors(spark, sf):
     texts = F.array(*[F.lit(_descriptor(k)) for k in ("0.2.0", "0.8.1", "0.9.0", "0.32.1")])
     text = F.get(texts, F.col("c_nationkey") % 4)
     filled = F.replace(F.replace(text, F.lit("@NAME"), F.col("c_name")), F.lit("@SEGMENT"), F.col("c_mktsegment"))
-    texts = spread(table(spark, sf, "customer")).select(F.col("c_custkey").alias("package"), filled.alias("value"))
+    texts = table(spark, sf, "customer").select(F.col("c_custkey").alias("package"), filled.alias("value"))
     done = written(U.upgrade_descriptors(texts), "upgraded")
     tables = U.descriptor_tables(done)
     properties = tables["properties"].select("package", F.element_at("path", -1).alias("property"), F.array_join("types", ",").alias("types"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sparcel.checks.base import duck_is_date, duck_is_date_time, duck_type, register, spark_sql, standin, table
 from sparcel.functions import dates, infer, names, versions
-from sparcel.session import spread
 
 # Dates of events in several notations, and text that is none.
 STAMPS = """
@@ -37,7 +36,7 @@ def infer_string_type(spark, sf):
     ]
     out = None
     for name, df, column in parts:
-        counts = spread(df.select(column)).groupBy(infer.infer_string_type(F.col(column)).alias("type")).agg(F.count("*").alias("n"))
+        counts = df.select(column).groupBy(infer.infer_string_type(F.col(column)).alias("type")).agg(F.count("*").alias("n"))
         counts = counts.withColumn("source", F.lit(name))
         out = counts if out is None else out.unionByName(counts)
     return out

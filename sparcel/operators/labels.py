@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from sparcel.functions.infer import infer_string_type, possible_types
 from sparcel.functions.text import NON_WS, WORD_EDGE, trimmed
 from sparcel.operators.profile import Field, fields
-from sparcel.session import spread
 
 THRESHOLD = 0.66
 LONG_TEXT = 40
@@ -134,7 +133,6 @@ def scan_content_labels(
     0.66 of the tested values; a name label always.
     """
     by = list(by)
-    df = spread(df)
     chosen = [d for d in VALUE_DETECTORS if labels is None or d.label in set(labels)]
     names = [f for f in df.schema.fields if f.name not in by and (columns is None or f.name in set(columns))]
     aggregates: list[Column] = []
@@ -202,7 +200,7 @@ def detect_person_names(df: DataFrame, key: str, columns: Iterable[str], names:
     entries = [
         F.struct(F.lit(c).alias("property"), F.col(f"`{c}`").alias("value")) for c in columns
     ]
-    values = spread(df.select(key, *columns)).select(F.col(key).alias("_key"), F.inline(F.array(*entries))).filter("value is not null")
+    values = df.select(key, *columns).select(F.col(key).alias("_key"), F.inline(F.array(*entries))).filter("value is not null")
     words = F.filter(F.split(F.lower("value"), r"[^\p{L}'-]+"), lambda w: w != "")
     short = F.length(trimmed(F.col("value"))) <= LONG_TEXT
     # Only short values, which have few words, need each word once.

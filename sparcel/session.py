@@ -96,18 +96,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Inputs up to this estimated size are spread over all cores before costly work on each row.
-SPREAD_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input, which may sit in a single split, before costly work on each row.
-
-    Larger inputs come in enough splits of their own and are left where they are.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if df.isStreaming or size > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

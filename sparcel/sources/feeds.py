@@ -116,25 +116,31 @@ def normalize_gemini(messages: DataFrame, symbol: Column) -> DataFrame:
 
 
 def normalize_kraken(messages: DataFrame) -> DataFrame:
-    """Positional ticker, trade (one record each) and spread messages to named fields."""
-    v = messages.select(F.try_parse_json("value").alias("v"))
-    channel, pair = _text(F.col("v"), "$[2]"), _text(F.col("v"), "$[3]")
-    fields = {name: f"$[1].{key}[{i}]" for key, names in KRAKEN_TICKER for i, name in enumerate(names)}
-    ticker = _named({"pair": pair, **{name: _text(F.col("v"), path) for name, path in fields.items()}})
-    spread = _named({name: _text(F.col("v"), f"$[1][{i}]") for i, name in enumerate(KRAKEN_SPREAD)})
-    trades = F.transform(
-        F.try_variant_get("v", "$[1]", "array<variant>"),
-        lambda t: _named({"pair": F.col("pair"), **{name: _text(t, f"$[{i}]") for i, name in enumerate(KRAKEN_TRADE)}}),
-    )
-    kinds = v.select("v", channel.alias("_schema_slug"), pair.alias("pair")).filter(
-        F.col("_schema_slug").isin("ticker", "trade", "spread")
+    """Positional ticker, trade (one record each) and spread messages to named fields.
+
+    A message is cut into its parts once, and a body is parsed by the schema of its own channel only.
+    """
+    parts = messages.select(F.from_json("value", "array<string>").alias("m")).select(
+        F.get("m", F.lit(1)).alias("body"), F.get("m", F.lit(2)).alias("_schema_slug"), F.get("m", F.lit(3)).alias("pair")
+    ).filter(F.col("_schema_slug").isin("ticker", "trade", "spread"))
+
+    def body(channel: str, schema: str) -> Column:
+        return F.when(F.col("_schema_slug") == channel, F.from_json("body", schema)).alias(channel)
+
+    parsed = parts.select(
+        "_schema_slug", "pair", body("ticker", ", ".join(f"`{key}` array<string>" for key, _ in KRAKEN_TICKER)),
+        body("trade", "array<array<string>>"), body("spread", "array<string>"),
     )
+    at = lambda values, i: F.get(values, F.lit(i))
+    ticker = {"pair": F.col("pair"), **{name: at(F.col(f"ticker.`{key}`"), i) for key, names in KRAKEN_TICKER for i, name in enumerate(names)}}
+    trades = F.transform("trade", lambda t: _named({"pair": F.col("pair"), **{name: at(t, i) for i, name in enumerate(KRAKEN_TRADE)}}))
+    spread = {name: at(F.col("spread"), i) for i, name in enumerate(KRAKEN_SPREAD)}
     records = (
-        F.when(F.col("_schema_slug") == "ticker", F.array(ticker))
+        F.when(F.col("_schema_slug") == "ticker", F.array(_named(ticker)))
         .when(F.col("_schema_slug") == "trade", trades)
-        .otherwise(F.array(spread))
+        .otherwise(F.array(_named(spread)))
     )
-    return kinds.select("_schema_slug", F.explode(records).alias("record"))
+    return parsed.select("_schema_slug", F.explode(records).alias("record"))
 
 
 SOCIAL = (
