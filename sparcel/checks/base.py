@@ -170,7 +170,7 @@ def standin(spark: SparkSession, sf: str, name: str) -> DataFrame:
 _FORMS = "|".join(DATE_TIME_FORMS)
 _MDY = "|".join(rf"^(?:0?[1-9]|1[0-2]){s}(?:0?[1-9]|[12]\d|3[01]){s}\d{{4}}$" for s in ("/", "-", r"\."))
 _YMD = "|".join(rf"^\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}$" for s in ("/", "-", r"\."))
-_OTHER = r"^\d{4}\s*[^0-x]\s*\d{1,2}\s*[^0-x]\s*\d{1,2}\s*[^0-x]$|^\w{3} \w{3} \d{2} \d{4}$"
+_OTHER = r"^\d{4}\s*[^\x00-\x7F]\s*\d{1,2}\s*[^\x00-\x7F]\s*\d{1,2}\s*[^\x00-\x7F]$|^\w{3} \w{3} \d{2} \d{4}$"
 
 
 def duck_is_date_time(x: str) -> str:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparcel.functions.text import WS, trimmed
 
 # The text forms that count as a date.
-DATE_MARKED = r"^(\d{4})\s*[^0-x]\s*(\d{1,2})\s*[^0-x]\s*(\d{1,2})\s*[^0-x]$"
+# Year, month and day, each followed by a mark beyond U+007F (as 年 月 日).
+DATE_MARKED = r"^(\d{4})\s*[^\x00-\x7F]\s*(\d{1,2})\s*[^\x00-\x7F]\s*(\d{1,2})\s*[^\x00-\x7F]$"
 DATE_YMD = r"^\d{4}([/\-.])\d{1,2}(\1)\d{1,2}$"
 DATE_MDY = r"^(\d{1,2})([/\-.])(\d{1,2})(\2)\d{4}$"
 DATE_WORDS = r"^(\w{3}) (\w{3}) (\d{2}) (\d{4})$"

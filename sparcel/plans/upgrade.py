@@ -53,7 +53,7 @@ def _count_precision(d: Descriptor) -> None:
 
 
 def _sources(d: Descriptor) -> None:
-    """Sources move out of the schemas; the last schema's source stands."""
+    """Sources move out of the schemas, one for each schema that has any."""
     for schema in _schemas(d):
         source = schema.pop("source", None)
         if not source:
@@ -66,10 +66,10 @@ def _sources(d: Descriptor) -> None:
             "slug": source.get("uri"), "configuration": {}, "schemaTitles": [schema.get("title")],
             "lastUpdateHash": source.get("lastUpdateHash"), "streamStats": stats,
         }
-        d["sources"] = [{
+        d.setdefault("sources", []).append({
             "slug": source.get("uri"), "type": source.get("type"), "uris": [source.get("uri")],
             "configuration": source.get("configuration"), "streamSets": [stream_set],
-        }]
+        })
 
 
 def _number(text: str) -> float | int | None:

@@ -12,6 +12,7 @@ from sparcel.functions.versions import next_version, version_parse, version_text
 from sparcel.operators import profile as P
 from sparcel.operators.numbering import numbered_by_id
 from sparcel.operators.shapes import relational_shape
+from sparcel.plans import upgrade as U
 from sparcel.session import shared_dir
 from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
@@ -178,3 +179,15 @@ def test_state_snapshots_are_published_whole(spark, tmp_path):
     assert not list((tmp_path / "state").glob("_staged-*"))
     frame(("half", 1, 1)).write.parquet(str(tmp_path / "state" / "_staged-half"))
     assert sorted(r.v for r in state.read().collect()) == [0, 1, 2, 3]
+
+
+def test_date_marks(spark):
+    assert one(spark, infer_string_type(F.lit("2020年2月28日"))) == "date"
+    assert one(spark, infer_string_type(F.lit("2020-02-28."))) == "string"
+
+
+def test_upgrade_keeps_every_source():
+    schemas = [{"title": t, "source": {"uri": f"file:///{t}", "type": "file"}} for t in ("a", "b")]
+    descriptor = {"schemas": schemas}
+    U._sources(descriptor)
+    assert [s["slug"] for s in descriptor["sources"]] == ["file:///a", "file:///b"]
