@@ -124,3 +124,26 @@ def op10_secrets(spark, sf):
     return found.select(
         "doc_id", *counts, F.sha2(secrets.joined("secrets", base).cast("binary"), 256).alias("base_sha256"), secrets.joined("secrets").alias("spans")
     )
+
+
+def _duck_spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT row, {rank} AS rank, '{kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+        'a': CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+        'n': length(m[i]), 'size': length(v[i])}}), lambda s: s.size >= {least})) AS s
+      FROM (SELECT row, string_split_regex(t, {p}) AS pieces, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v FROM d WHERE regexp_matches(t, {p}))"""
+
+
+# Fixed values, written out again: the forms of the kinds.
+_FORMS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("pem", "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1), ("url", r"[a-z][a-z0-9+]{1,9}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", 0, 1),
+)
+ORACLES["op10_secrets"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    found AS ({" UNION ALL ".join(_duck_spans(i, *f) for i, f in enumerate(_FORMS))}),
+    spans AS (SELECT row, rank, kind, s.a AS a, kind || ':' || s.a || ':' || (s.a + s.n) AS span FROM found)
+    SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))},
+      sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (WHERE rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans
+    FROM d LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
