@@ -13,7 +13,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from sparcel.checks import QUERIES  # noqa: E402
-from sparcel.session import local_session  # noqa: E402
+from sparcel.session import local_session, release  # noqa: E402
 
 HEADLINE = (
     "profile_table", "profile_counts", "profile_strings", "value_options", "merge_profiles", "infer_string_type",
@@ -35,6 +35,7 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
+        release(spark)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({

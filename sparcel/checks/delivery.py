@@ -392,10 +392,11 @@ def jdbc_sink_swap(spark, sf):
     import uuid
 
     name, nation = f"sparcel_nation_{uuid.uuid4().hex[:8]}", table(spark, sf, "nation")
-    spark.conf.set("spark.sql.sources.default", "parquet")
     for df in (nation, nation.withColumn("n_regionkey", F.col("n_regionkey") + 1)):
-        DB.swap_table(df, name, location=scratch(spark, name))
-    return spark.table(name)
+        DB.swap_table(df, name, location=(location := scratch(spark, name)))
+    schema = spark.table(name).schema
+    spark.sql(f"DROP TABLE {name}")  # the files of the last load stay at their place
+    return spark.read.schema(schema).parquet(location)
 
 
 @register("console_sink", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS record FROM region""")

@@ -21,9 +21,11 @@ PINNED = {
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Set the runtime options that results or skew handling depend on."""
+    """Set the runtime options that results or skew handling depend on, where they differ, and ship the package."""
+    ship(spark)
     for key, value in PINNED.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -82,8 +84,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/sparcel-{uuid.uuid4().hex[:12]}/{name}"
+    """A fresh path below the shared folder, removed by ``release``."""
+    folder = f"{shared_dir(spark)}/sparcel-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+#: Folders below the shared one that each application has made.
+_MADE: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what ``scratch`` and ``written`` left in the shared folder; results that read it must have been used."""
+    folders = _MADE.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import contextlib
 import io
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,13 +16,16 @@ from sparcel.operators import profile as P
 from sparcel.operators.numbering import numbered_by_id
 from sparcel.operators.shapes import relational_shape
 from sparcel.plans import upgrade as U
-from sparcel.session import shared_dir
+from sparcel.session import release, shared_dir, written
 from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
 from sparcel.sinks import state as D
 from sparcel.sources import delimited, files, nested
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
@@ -191,3 +197,25 @@ def test_upgrade_keeps_every_source():
     descriptor = {"schemas": schemas}
     U._sources(descriptor)
     assert [s["slug"] for s in descriptor["sources"]] == ["file:///a", "file:///b"]
+
+
+def test_scratch_folders_are_removed(spark):
+    path = written(spark.range(3), "rows").inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert Path(path).exists()
+    assert release(spark) > 0
+    assert not Path(path).exists()
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers get the package, wherever the driver was started."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "import __spark_entry__ as e\n"
+        "from sparcel.session import local_session, ship\n"
+        "from pyspark.sql import functions as F\n"
+        "spark = local_session(2, memory='2g')\n"
+        "sys.path.remove(" + repr(str(ROOT)) + ")\n"
+        "print('ROWS', e.queries()['upgrade_descriptors'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS 150" in out.stdout, out.stderr[-2000:]
