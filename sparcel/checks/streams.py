@@ -111,21 +111,45 @@ def inspection_budget(spark, sf):
     )
 
 
+@register("inspection_cut", "SELECT 'events' AS stream, 'GREATER_THAN' AS precision, TRUE AS within FROM events LIMIT 1")
+def inspection_cut(spark, sf):
+    """An inspection that is cut short: a stream that never ends has more records than were seen."""
+    path, schema = _event_files(spark, sf)
+    target, total = scratch(spark, "inspected"), spark.read.parquet(path).count()
+    stream = S.read_files(spark, path, schema, files_per_batch=1)
+    finished = S.inspect_for(S.ingest(stream, target, scratch(spark, "checkpoint"), available_now=False), 2)
+    seen = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(f"{target}*")
+    return seen.agg(F.count("*").alias("n")).select(
+        F.lit("events").alias("stream"), F.lit(S.count_precision(finished)).alias("precision"), (F.col("n") <= total).alias("within")
+    )
+
+
 @register(
     "delivery_progress",
-    """SELECT event_type, count(*) AS records, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, round(count(*) / 8.0, 2) AS records_per_second,
-      round(100.0 * count(*) / (max(event_id) + 1), 2) AS percent, round((max(event_id) + 1 - count(*)) / (count(*) / 8.0), 1) AS seconds_left FROM events GROUP BY 1""",
+    """SELECT event_type, count(*) AS records, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, 100.0 AS percent, 0.0 AS seconds_left, TRUE AS moving,
+      (SELECT count(*) FROM events) AS reported FROM events GROUP BY 1""",
 )
 def delivery_progress(spark, sf):
-    events = table(spark, sf, "events").withColumn("expected", F.col("event_id") + 1)
-    return S.delivery_progress(events, ["event_type"], 8, "expected", F.octet_length("props"))
+    """Progress of a delivery that ran: its seconds and records come from the running stream's reports."""
+    target = scratch(spark, "delivered")
+    query = S.ingest(_stream(spark, sf), target, scratch(spark, "checkpoint"))
+    query.awaitTermination()
+    reports = S.progress_rows(query)
+    seconds = max(0.001, sum(r["seconds"] for r in reports))
+    expected = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("expected"))
+    delivered = spark.read.parquet(target).join(expected, "event_type")
+    rows = S.delivery_progress(delivered, ["event_type"], seconds, "expected", F.octet_length("props"))
+    return rows.select(
+        "event_type", "records", "bytes", "percent", "seconds_left", (F.col("records_per_second") > 0).alias("moving"),
+        F.lit(sum(r["records"] for r in reports)).cast("bigint").alias("reported"),
+    )
 
 
 @register("stream_batch_profile_equal", "SELECT 0 AS differing, count(*) > 0 AS profiled FROM events")
 def stream_batch_profile_equal(spark, sf):
     """The running profile of a stream is the profile of the whole."""
     target = scratch(spark, "profile")
-    columns = ["event_id", "value", "event_type"]
+    columns = ["event_id", "ts", "user_id", "value", "event_type", "props"]
     S.stream_profile(_stream(spark, sf), target, scratch(spark, "checkpoint"), columns=columns).awaitTermination()
     streamed, whole = S.newest_profile(spark, target), P.profile(table(spark, sf, "events"), columns=columns)
     differing = streamed.exceptAll(whole).unionByName(whole.exceptAll(streamed))

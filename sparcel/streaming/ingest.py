@@ -78,7 +78,7 @@ def stream_route(
 def stream_profile(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, **options) -> StreamingQuery:
     """Running profile: each batch is profiled and merged with the snapshot before it.
 
-    Snapshots are numbered by batch, so a batch that is run again starts from the same one.
+    Snapshots are numbered by batch, so a batch that is run again starts from the same one. The last two are kept.
     """
     spark = stream.sparkSession
 
@@ -88,6 +88,8 @@ def stream_profile(stream: DataFrame, path: str, checkpoint: str, available_now:
             before = spark.read.schema(current.schema).parquet(f"{path}/snapshot={number - 1}")
             current = merge_profiles(before, current, options.get("by", ()))
         current.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -159,6 +161,14 @@ class ProgressRows(StreamingQueryListener):
         pass
 
 
+def progress_rows(query: StreamingQuery) -> list[dict[str, float]]:
+    """(batch, records, seconds) of the micro-batches that a query reports; it keeps the newest 100 itself, a ``ProgressRows`` table all."""
+    return [
+        {"batch": p["batchId"], "records": p["numInputRows"], "seconds": p["durationMs"].get("triggerExecution", 0) / 1000}
+        for p in query.recentProgress
+    ]
+
+
 def delivery_progress(df: DataFrame, by: list[str], seconds: float, expected_records: str, byte_count) -> DataFrame:
     """Records, bytes, rate, percent and seconds left of a delivery, per ``by``."""
     counted = df.groupBy(*by).agg(
