@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparcel.functions.dates import DATE_TIME_FORMS
 from sparcel.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,7 +166,14 @@ def standin(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # DuckDB's regular expressions know no look-around and no back-references.
-_FORMS = "|".join(DATE_TIME_FORMS)
+# Fixed values, written out again: the text forms that count as a date-time.
+_FORMS = "|".join((
+    r"[A-Za-z0-9_]{3}, [0-9]{2} [A-Za-z0-9_]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} GMT",
+    r"[A-Za-z0-9_]{3} [A-Za-z0-9_]{3} [0-9]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} GMT[-+][0-9]{4}",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3,6}Z", r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} UTC",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(?::[0-9]{2})?[-+][0-9]{4}", r"[0-9]{1,2}[\\/-][0-9]{1,2}[\\/-][0-9]{4} [0-9]{1,2}:[0-9]{1,2}",
+    r"[0-9]{4}[\\/-][0-9]{1,2}[\\/-][0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}",
+))
 _MDY = "|".join(rf"^(?:0?[1-9]|1[0-2]){s}(?:0?[1-9]|[12]\d|3[01]){s}\d{{4}}$" for s in ("/", "-", r"\."))
 _YMD = "|".join(rf"^\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}$" for s in ("/", "-", r"\."))
 _OTHER = r"^\d{4}\s*[^\x00-\x7F]\s*\d{1,2}\s*[^\x00-\x7F]\s*\d{1,2}\s*[^\x00-\x7F]$|^\w{3} \w{3} \d{2} \d{4}$"

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.checks.base import register, table
+from sparcel.checks.base import register, spark_sql, table
 from sparcel.operators import labels as L
 
 # RE2 forms of the value patterns. Word boundaries are ASCII in RE2.
 DUCK = {
-    "credit_card_number": L.CREDIT_CARD,
-    "ip_v4_address": L.IPV4,
-    "phone_number": L.PHONE,
-    "email_address": L.EMAIL,
+    "credit_card_number": r"\b(?:4\d{15}|4\d{12}|[25][1-7]\d{14}|6(?:011|5\d\d)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|(?:2131|1800|35\d{3})\d{11})\b",
+    "ip_v4_address": r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)",
+    "phone_number": r"\b(?:\+?\d{1,3}[-. (]+)?\d{3}[-. )]+\d{3}[-. ]+\d{4}(?: *x\d+)?\b",
+    "email_address": r"\S@\S+\.\S",
     "ip_v6_address": L.IPV6,
     "social_security_number": r"\b\d{3}-?\d{2}-?\d{4}\b",
 }
@@ -52,6 +52,45 @@ for _key, _label in (
 ):
     _register_detector(_key, _label)
 
+# Numbers and addresses made from given rows, with and without hits; what is expected is worked out from the keys, not by a pattern.
+_MADE = "SELECT *, c_custkey * 7 % 1000 AS area, c_custkey % 100 AS part, c_custkey * 13 % 10000 AS serial FROM {customer}"
+_MADE_SSN = f"""SELECT 'no ' || lpad(cast(area AS @TEXT), 3, '0') || '-' || lpad(cast(part AS @TEXT), 2, '0') || '-' || lpad(cast(serial AS @TEXT), 4, '0') || '.' AS often,
+    CASE WHEN c_custkey % 4 = 0 THEN 'no ' || lpad(cast(area AS @TEXT), 3, '0') || lpad(cast(part AS @TEXT), 2, '0') || lpad(cast(serial AS @TEXT), 4, '0') ELSE c_name END AS seldom,
+    100000000 + area * 1000000 + part * 10000 + serial AS number, area, part, serial, c_custkey FROM ({_MADE}) m"""
+_VALID = "part <> 0 AND serial <> 0 AND {a} NOT IN (0, 666) AND {a} < 900"
+
+
+def _made_counts(column: str, kind: str, hit: str) -> str:
+    return f"SELECT '{column}' AS property, '{kind}' AS type, count(*) FILTER (WHERE {hit}) AS occurrence_count, count(*) AS tested_count, count(*) FILTER (WHERE {hit}) / count(*) > 0.66 AS applied FROM {{made}}"
+
+
+@register(
+    "detect_ssn_made",
+    f"""WITH made AS ({_MADE_SSN}) """ + " UNION ALL ".join((
+        _made_counts("often", "string", _VALID.replace("{a}", "area")),
+        _made_counts("seldom", "string", "c_custkey % 4 = 0 AND " + _VALID.replace("{a}", "area")),
+        _made_counts("number", "integer", "area < 900 AND " + _VALID.replace("{a}", "(area + 100)")),
+    )).replace("{made}", "made"),
+)
+def detect_ssn_made(spark, sf):
+    rows = L.scan_content_labels(spark_sql(spark, sf, _MADE_SSN), columns=["often", "seldom", "number"], labels=["social_security_number"])
+    return rows.drop("label")
+
+
+_MADE_IPV6 = """SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'host 2001:db8:' || lower(hex(c_custkey % 65536)) || ':0:0:0:0:1 up' ELSE 'at 12:30 and 5:6:7' END AS many,
+    CASE c_custkey % 5 WHEN 0 THEN 'fe80::' || lower(hex(c_custkey % 65536)) WHEN 1 THEN '::ffff:10.0.0.7' ELSE c_name END AS few FROM {customer}"""
+
+
+@register(
+    "detect_ipv6_made",
+    """SELECT 'many' AS property, count(*) FILTER (WHERE c_custkey % 3 <> 0) AS occurrence_count, count(*) AS tested_count, count(*) FILTER (WHERE c_custkey % 3 <> 0) / count(*) > 0.66 AS applied FROM customer
+    UNION ALL SELECT 'few', count(*) FILTER (WHERE c_custkey % 5 < 2), count(*), FALSE FROM customer""",
+)
+def detect_ipv6_made(spark, sf):
+    rows = L.scan_content_labels(spark_sql(spark, sf, _MADE_IPV6), labels=["ip_v6_address"])
+    return rows.drop("label", "type")
+
+
 # Columns under names that say what they hold: name -> (table, column, SQL of the value).
 NAMED = {
     "detect_gender": ("gender", "Gender", "customer", "c_mktsegment"),

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import functions as F
 
 from sparcel.checks.base import register, spark_sql, standin, table
-from sparcel.functions.versions import LEVELS, next_version, version_parse, version_text
+from sparcel.functions.versions import next_version, version_parse, version_text
 from sparcel.operators import profile as P
 from sparcel.plans import diff as X
 from sparcel.plans import upgrade as U
@@ -158,7 +158,7 @@ LEVEL = "CASE WHEN difference = 'REMOVE_SCHEMA' THEN 3 WHEN difference = 'ADD_PR
 
 @register(
     "diff_compatibility",
-    f"SELECT package, max({LEVEL}) AS level, ['{LEVELS[0]}', '{LEVELS[1]}', '{LEVELS[2]}', '{LEVELS[3]}'][max({LEVEL}) + 1] AS compatibility FROM ({PACKAGE_DIFFS}) GROUP BY 1",
+    f"SELECT package, max({LEVEL}) AS level, ['identical', 'minor', 'compatible', 'breaking'][max({LEVEL}) + 1] AS compatibility FROM ({PACKAGE_DIFFS}) GROUP BY 1",
 )
 def diff_compatibility(spark, sf):
     diffs = X.diff_packages(*_package_tables(spark, sf), keys=["package"])

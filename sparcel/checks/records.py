@@ -37,7 +37,14 @@ def type_conflicts(spark, sf):
 
 
 def _pair_options():
-    cases = " ".join(f"WHEN '{pair}' THEN '{','.join(options)}'" for pair, options in C.ALLOWED.items())
+    # Fixed values, written out again: what may be done about two types.
+    cases = " ".join(f"WHEN '{pair}' THEN '{options}'" for pair, options in {
+        "boolean,date": "CAST_TO_STRING,ALL", "boolean,integer": "CAST_TO_BOOLEAN,CAST_TO_INTEGER,ALL", "boolean,number": "CAST_TO_BOOLEAN,CAST_TO_DOUBLE,ALL",
+        "boolean,string": "CAST_TO_STRING,CAST_TO_NULL,SKIP,ALL", "date,date-time": "CAST_TO_DATE_TIME,CAST_TO_DATE,ALL", "date-time,integer": "CAST_TO_DATE_TIME,CAST_TO_INTEGER,ALL",
+        "date-time,number": "CAST_TO_DATE_TIME,CAST_TO_DOUBLE,ALL", "date-time,string": "CAST_TO_DATE_TIME,CAST_TO_STRING,ALL", "date,integer": "CAST_TO_INTEGER,CAST_TO_DATE,CAST_TO_STRING,ALL",
+        "date,number": "CAST_TO_STRING,ALL", "date,string": "CAST_TO_STRING,CAST_TO_NULL,SKIP", "integer,number": "CAST_TO_DOUBLE,CAST_TO_STRING,ALL",
+        "integer,string": "CAST_TO_STRING,CAST_TO_NULL,SKIP,ALL", "number,string": "CAST_TO_STRING,CAST_TO_NULL,SKIP,ALL",
+    }.items())
     return f"""SELECT event_pair, types, CASE WHEN len(string_split(types, ',')) > 2 THEN 'CAST_TO_STRING,ALL' ELSE CASE types {cases} END END AS options FROM (
       SELECT event_pair, string_agg(DISTINCT t, ',' ORDER BY t) AS types FROM (
         SELECT CASE WHEN event_type IN ('view', 'click') THEN 'numbers' WHEN event_type IN ('purchase', 'signup') THEN 'flags' ELSE 'rest' END AS event_pair,

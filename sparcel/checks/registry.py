@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -211,11 +212,13 @@ WORDS = r"' ' || regexp_replace(lower({c}), '[^\p{L}\p{N}]+', ' ', 'g') || ' '"
 
 
 def _duck_match(column: str, query: str) -> str:
-    parsed = Q.web_query(query)
+    """The search expressions of this module in SQL, spelled out; ``{x}`` stands for a word or phrase that occurs."""
+    form = {
+        'the and or der die -"of the"': "(({the} AND {and}) OR ({der} AND {die})) AND NOT {of the}", "the and or der die -of": "(({the} AND {and}) OR ({der} AND {die})) AND NOT {of}",
+        "red": "{red}", "asia or europe": "{asia} OR {europe}", "white or economy": "{white} OR {economy}",
+    }[query]
     words = "(" + WORDS.replace("{c}", column) + ")"
-    has = lambda t: f"contains({words}, ' {t} ')"
-    hit = " OR ".join("(" + " AND ".join(has(t) for t in g) + ")" for g in parsed.any_of)
-    return f"(({hit})" + "".join(f" AND NOT {has(t)}" for t in parsed.none_of) + ")"
+    return "(" + re.sub(r"\{([a-z ]+)\}", lambda m: f"contains({words}, ' {m[1]} ')", form) + ")"
 
 
 TEXT_QUERY = 'the and or der die -"of the"'

@@ -30,23 +30,13 @@ PHONE = r"\b(?:\+?(\d{1,3})[-. (]+)?(\d{3})[-. )]+(\d{3})[-. ]+(\d{4})(?: *x(\d+
 EMAIL = r"\S+@\S+\.\S{1,10}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 IPV4 = rf"(?:{OCTET}\.){{3}}{OCTET}"
-HEX = "[0-9a-fA-F]{1,4}"
-LAST_IPV4 = r"((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])"
-IPV6 = "|".join(
-    (
-        f"({HEX}:){{7,7}}{HEX}",
-        f"({HEX}:){{1,7}}:",
-        f"({HEX}:){{1,6}}:{HEX}",
-        f"({HEX}:){{1,5}}(:{HEX}){{1,2}}",
-        f"({HEX}:){{1,4}}(:{HEX}){{1,3}}",
-        f"({HEX}:){{1,3}}(:{HEX}){{1,4}}",
-        f"({HEX}:){{1,2}}(:{HEX}){{1,5}}",
-        f"{HEX}:((:{HEX}){{1,6}})",
-        f":((:{HEX}){{1,7}}|:)",
-        "fe80:(:[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]{1,}",
-        f"::(ffff(:0{{1,4}}){{0,1}}:){{0,1}}{LAST_IPV4}",
-        f"({HEX}:){{1,4}}:{LAST_IPV4}",
-    )
+IPV6 = (
+    r"([0-9a-fA-F]{1,4}:){7,7}[0-9a-fA-F]{1,4}|([0-9a-fA-F]{1,4}:){1,7}:|([0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}"
+    r"|([0-9a-fA-F]{1,4}:){1,5}(:[0-9a-fA-F]{1,4}){1,2}|([0-9a-fA-F]{1,4}:){1,4}(:[0-9a-fA-F]{1,4}){1,3}"
+    r"|([0-9a-fA-F]{1,4}:){1,3}(:[0-9a-fA-F]{1,4}){1,4}|([0-9a-fA-F]{1,4}:){1,2}(:[0-9a-fA-F]{1,4}){1,5}"
+    r"|[0-9a-fA-F]{1,4}:((:[0-9a-fA-F]{1,4}){1,6})|:((:[0-9a-fA-F]{1,4}){1,7}|:)|fe80:(:[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]{1,}"
+    r"|::(ffff(:0{1,4}){0,1}:){0,1}((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])"
+    r"|([0-9a-fA-F]{1,4}:){1,4}:((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])"
 )
 
 # Column-name patterns.
