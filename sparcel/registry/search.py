@@ -85,27 +85,47 @@ def refresh_index(index: DataFrame, changed: DataFrame, key: str, text: str) ->
     return kept.unionByName(text_index(changed, key, text))
 
 
-def search_index(index: DataFrame, key: str, query: str) -> DataFrame:
-    """Keys whose tokens match the single words of a query.
+def write_index(index: DataFrame, path: str) -> None:
+    """Keep an index: sorted by token over all its files, so the entries of a word lie together and the rest is skipped."""
+    index.repartitionByRange("token", index.columns[-1]).sortWithinPartitions("token").write.mode("overwrite").parquet(path)
 
-    Only the entries of the words asked for are read, and grouped by key, so a very common
-    word spreads over its keys.
-    """
+
+def _word_hits(index: DataFrame, key: str, query: Query) -> tuple[DataFrame, dict[str, Column]]:
+    """A row for each key with a word of the query, and which words it has. Only their entries are read, and grouped by key."""
+    words = sorted({w for phrase in {t for g in query.any_of for t in g} | set(query.none_of) for w in phrase.split()})
+    found = index.filter(F.col("token").isin(words)).groupBy(key).agg(*[F.max(F.col("token") == w).alias(f"w{i}") for i, w in enumerate(words)])
+    return found, {w: F.col(f"w{i}") for i, w in enumerate(words)}
+
+
+def search_index(index: DataFrame, key: str, query: str) -> DataFrame:
+    """``(key, sure)``: keys whose words match a query; ``sure`` unless a phrase of several words has to be looked up in the text."""
     parsed = web_query(query)
-    terms = sorted({t for g in parsed.any_of for t in g} | set(parsed.none_of))
-    found = index.filter(F.col("token").isin(terms)).groupBy(key).agg(
-        *[F.max(F.col("token") == t).alias(f"t{i}") for i, t in enumerate(terms)]
-    )
-    at = {t: F.col(f"t{i}") for i, t in enumerate(terms)}
-    hit = F.lit(False)
+    if not parsed.any_of:
+        raise ValueError("an index only finds texts that have some word")
+    found, at = _word_hits(index, key, parsed)
+
+    def has(phrase: str) -> Column:
+        every = F.lit(True)
+        for word in phrase.split():
+            every = every & at[word]
+        return every
+
+    hit, sure = F.lit(False), F.lit(False)
     for group in parsed.any_of:
         every = F.lit(True)
         for term in group:
-            every = every & at[term]
+            every = every & has(term)
         hit = hit | every
+        sure = sure | (every & F.lit(all(" " not in t for t in group)))
     for term in parsed.none_of:
-        hit = hit & ~at[term]
-    return found.filter(hit).select(key)
+        hit, sure = (hit & ~has(term), sure) if " " not in term else (hit, sure & ~has(term))
+    return found.filter(hit).select(key, sure.alias("sure"))
+
+
+def search_texts(df: DataFrame, index: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """Rows of ``df`` whose text matches: found in a kept index; phrases are checked in the texts that have all their words."""
+    hits = search_index(index, key, query)
+    return df.join(hits, key).filter(F.col("sure") | matches(F.col(text), web_query(query))).drop("sure")
 
 
 def search(
@@ -141,12 +161,12 @@ def search_collections(collections: DataFrame, query: str, grants: Mapping[str,
     return visible_collections(search(collections, query, ["name", "description"]), grants, user)
 
 
-def search_all_registries(registries: DataFrame, query: str, text: str, key: str, limit: int = HITS_PER_REGISTRY) -> DataFrame:
-    """The same query over every ``registry``, its first hits each.
+def search_all_registries(registries: DataFrame, index: DataFrame, query: str, text: str, key: str, limit: int = HITS_PER_REGISTRY) -> DataFrame:
+    """The same query over every ``registry``, its first hits each, through the kept index of all their texts.
 
     Tasks keep their own first hits before the shuffle, so a large registry is no burden.
     """
-    hits = registries.filter(matches(F.col(text), web_query(query)))
+    hits = search_texts(registries, index, key, text, query)
     place = F.row_number().over(Window.partitionBy("registry").orderBy(key))
     return hits.withColumn("hit_no", place).filter(F.col("hit_no") <= limit)
 

@@ -16,6 +16,7 @@ from sparcel.operators import profile as P
 from sparcel.operators.numbering import numbered_by_id
 from sparcel.operators.shapes import relational_shape
 from sparcel.plans import upgrade as U
+from sparcel.registry import search as Q
 from sparcel.session import release, shared_dir, written
 from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
@@ -219,3 +220,14 @@ def test_queries_run_from_another_folder(tmp_path):
     )
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS 150" in out.stdout, out.stderr[-2000:]
+
+
+def test_search_through_a_kept_index(spark, tmp_path):
+    texts = {1: "a red fox", 2: "fox red a", 3: "Red, fox!", 4: "blue fox", 5: "red", 6: None}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    Q.write_index(Q.text_index(df, "id", "text"), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for query in ("red", '"red fox"', 'fox -"red fox"', "red fox or blue", "fox -red", '"fox red" or "blue fox"'):
+        scanned = {r.id for r in Q.search(df, query, ["text"]).collect()}
+        assert {r.id for r in Q.search_texts(df, index, "id", "text", query).collect()} == scanned, query
+    assert "PushedFilters: [In(token" in Q.search_index(index, "id", "red fox")._jdf.queryExecution().executedPlan().toString()
