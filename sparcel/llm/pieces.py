@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -135,7 +136,16 @@ def suffix_array(codes: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray,
         for k in range(min(per, depth - start)):
             key = key << bits | padded[start + k : start + k + len(codes)]
         keys.append(key)
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.argsort(keys[0])
+    for done in range(1, len(keys)):
+        # suffixes that agree in the keys so far are sorted among themselves by the next one
+        same = np.ones(len(order) - 1, bool)
+        for key in keys[:done]:
+            same &= key[order[1:]] == key[order[:-1]]
+        tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        group = np.cumsum(np.concatenate(([True], ~same)))[tied]
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((keys[done][rows], group))]
     return order, [k[order] for k in keys]
 
 
@@ -305,12 +315,15 @@ class Encoder:
     def _forget(self, words: set[str]) -> None:
         """Keep only those of the known words that are in ``words``."""
         kept = [w for w in words if w in self.known]
-        ids, count = self._gather(kept)
+        ids, count = self._gather(self._at(kept))
         self.known, self.ids = dict(zip(kept, range(len(kept)))), ids
         self.first = np.concatenate(([0], np.cumsum(count)))
 
-    def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def _at(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
         begin, count = self.first[at], self.first[at + 1] - self.first[at]
         return self.ids[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], count
 
@@ -349,18 +362,29 @@ class Encoder:
 
     def _encode(self, part: list[tuple[bool, str]], out: list[list[np.ndarray]]) -> None:
         rows = [self.units(text) for _, text in part]
-        words = set().union(*rows)
-        if len(self.known) + len(words) > REMEMBERED:
-            self._forget(words)
-        self.learn(words - self.known.keys())
-        for (first, text), units in zip(part, rows):
+        units = list(chain.from_iterable(rows))
+        at = np.fromiter(map(self.known.get, units, repeat(NONE)), np.int64, len(units))
+        if (at == NONE).any():
+            new = [units[i] for i in np.flatnonzero(at == NONE).tolist()]
+            words = set(new)
+            if len(self.known) + len(words) > REMEMBERED:
+                self._forget(set(units))
+                self.learn(words)
+                at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            else:
+                self.learn(words)
+                at[at == NONE] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        ids, count = self._gather(at)
+        ends = np.concatenate(([0], np.cumsum(count)))[np.cumsum([0] + [len(r) for r in rows])].tolist()
+        for k, (first, text) in enumerate(part):
             if SPACE * 2 in text:
-                units = self._spaces(units)
-            ids, _ = self._gather(units)
+                own, _ = self._gather(self._at(self._spaces(rows[k])))
+            else:
+                own = ids[ends[k] : ends[k + 1]]
             if first:
-                out.append([ids])
+                out.append([own])
             else:
-                out[-1].append(ids)
+                out[-1].append(own)
 
     def _spaces(self, units: list[str]) -> list[str]:
         """A word's own space that stays a piece by itself is merged with the spaces before it."""

@@ -58,8 +58,11 @@ def test_bounds_do_not_change_results(monkeypatch, library):
 def test_suffix_array():
     codes = np.frombuffer(b"banana\0anna\0", np.uint8).astype(np.int64)
     order, _ = P.suffix_array(codes, 4, 8)
-    want = sorted(range(len(codes)), key=lambda i: (bytes(codes[i : i + 4].tolist()).ljust(4, b"\0"), i))
-    assert order.tolist() == want
+    text = lambda i, n=4: bytes(codes[i : i + n].tolist()).ljust(n, b"\0")
+    assert sorted(order.tolist()) == list(range(len(codes)))
+    assert [text(i) for i in order] == sorted(text(i) for i in range(len(codes)))
+    deep, _ = P.suffix_array(codes, 8, 20)  # three characters a key
+    assert [text(i, 8) for i in deep] == sorted(text(i, 8) for i in range(len(codes)))
 
 
 def test_spaces_mark_decodes_to_a_space(coder, decoder, library):
