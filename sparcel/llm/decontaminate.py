@@ -27,7 +27,7 @@ from sparcel.session import ship
 
 Q, WINDOW, EDITS = 8, 128, 0.1
 #: Characters of a benchmark that tasks hold, and of a text that are looked at together.
-MOST, PIECE = 8_000_000, 1 << 18
+MOST, PIECE = 2_000_000, 1 << 18
 #: Diagonals from one band's start to the next's.
 STEP = 16
 BITS = 20
