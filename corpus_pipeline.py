@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparcel.llm.common import table
 from sparcel.llm.decontaminate import drop_contaminated
-from sparcel.llm.pieces import decode, encode
+from sparcel.llm.pieces import round_trip
 from sparcel.llm.secrets import redact_secrets
 from sparcel.llm.simhash import drop_near_duplicates
 from sparcel.llm.toxicity import drop_toxic, fit_toxicity
@@ -39,7 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces, and whether they decode to its text."""
     pin(spark)
-    encoded = decode(encode(docs))
+    encoded = round_trip(docs)
     return encoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("decoded")
 
 

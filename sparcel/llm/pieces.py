@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.llm.common import document_text
+from sparcel.llm.common import document_text, fresh
 from sparcel.session import ship
 
 SPACE = "▁"
@@ -446,3 +446,17 @@ def decode(pieces: DataFrame, name: str = "decoded", column: str = "pieces", mod
         return pd.Series([decoder(vocabulary).decode(np.asarray(r)) for r in rows], dtype=object)
 
     return pieces.withColumn(name, F.pandas_udf(run, "string")(F.coalesce(F.col(column), F.array().cast("array<int>"))))
+
+
+def round_trip(documents: DataFrame, name: str = "pieces", decoded: str = "decoded", text: str = "text", model: str = MODEL) -> DataFrame:
+    """``encode`` and then ``decode`` in one worker: the ids in ``name`` and their text in ``decoded``."""
+    ship(documents.sparkSession)
+    vocabulary = Path(model).read_bytes()
+    both = fresh(documents, "both")
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        ids = encoder(vocabulary).encode(list(texts))
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": [decoder(vocabulary).decode(i) for i in ids]})
+
+    out = documents.withColumn(both, F.pandas_udf(run, "struct<ids: array<int>, back: string>")(document_text(text)))
+    return out.withColumn(name, F.col(f"{both}.ids")).withColumn(decoded, F.col(f"{both}.back")).drop(both)

@@ -32,7 +32,7 @@ def op1_toxicity(spark, sf):
 @query
 def op2_sentencepiece(spark, sf):
     """Number and digest of the pieces of every document, and whether they decode to its text."""
-    encoded = pieces.decode(pieces.encode(table(spark, sf, "documents").select("doc_id", "text")))
+    encoded = pieces.round_trip(table(spark, sf, "documents").select("doc_id", "text"))
     return encoded.select(
         "doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
         F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),

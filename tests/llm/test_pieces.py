@@ -77,6 +77,9 @@ def test_frames(spark):
     assert got.columns == ["doc_id", "text", "pieces", "ids", "back"]
     assert [r.back for r in got.collect()] == [t or "" for _, t, _ in rows]
     assert P.encode(docs.limit(0)).count() == 0
+    both = P.round_trip(docs, "ids", "back")
+    assert both.columns == got.columns and sorted(both.collect(), key=repr) == sorted(got.collect(), key=repr)
+    assert P.round_trip(docs.limit(0)).count() == 0
 
 
 def test_query(spark, sf_dir, library):
