@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores. Each given table is one row group, which the reader cannot split; the queries with costly
+    work on each row ask for this, whatever the size. The library itself never does."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can say it, its DuckDB equivalent."""
 

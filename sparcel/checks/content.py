@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.checks.base import register, spark_sql, table
+from sparcel.checks.base import dealt, register, spark_sql, table
 from sparcel.operators import labels as L
 
 # RE2 forms of the value patterns. Word boundaries are ASCII in RE2.
@@ -141,7 +141,7 @@ SCANNED = {"documents": ["text", "lang", "source"], "pages": ["url", "html"], "c
 def scan_content_labels(spark, sf):
     out = None
     for source, columns in SCANNED.items():
-        rows = L.scan_content_labels(table(spark, sf, source), columns=columns).withColumn("source", F.lit(source))
+        rows = L.scan_content_labels(dealt(table(spark, sf, source)), columns=columns).withColumn("source", F.lit(source))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -173,7 +173,7 @@ def detect_person_name(spark, sf):
 )
 def detect_person_name_in_text(spark, sf):
     names = table(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("name"))
-    rows = L.detect_person_names(table(spark, sf, "documents"), "doc_id", ["text"], names)
+    rows = L.detect_person_names(dealt(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", ["text"], names)
     return rows.select("property", "occurrence_count", "tested_count")
 
 

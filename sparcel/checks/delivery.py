@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparcel.checks.base import duck_type, register, spark_sql, standin, table
+from sparcel.checks.base import dealt, duck_type, register, spark_sql, standin, table
 from sparcel.functions.infer import infer_string_type
 from sparcel.operators.projection import after_offset
 from sparcel.session import scratch
@@ -458,7 +458,7 @@ def exchange_normalize_ftx(spark, sf):
         return F.struct((F.col("l_linenumber") * sign).alias("id"), F.col(price).cast("string").alias("price"), F.col("l_orderkey").alias("key"))
 
     data = F.array(item(1, "l_extendedprice"), item(-1, "l_tax")).alias("data")
-    trades = table(spark, sf, "lineitem").select(
+    trades = dealt(table(spark, sf, "lineitem")).select(
         F.to_json(F.struct(F.lit("update").alias("type"), F.lit("trades").alias("channel"), market("l_orderkey"), data)).alias("value")
     )
     one = F.struct(F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderkey").alias("key"))
@@ -483,7 +483,7 @@ def exchange_normalize_gemini(spark, sf):
 
     changed = F.expr("CASE WHEN l_linestatus = 'O' THEN 'change' ELSE 'trade' END")
     events = F.array(event(changed, "l_extendedprice"), event(F.lit("block_trade"), "l_tax")).alias("events")
-    messages = table(spark, sf, "lineitem").select(F.to_json(F.struct(F.lit("update").alias("type"), events)).alias("value"))
+    messages = dealt(table(spark, sf, "lineitem")).select(F.to_json(F.struct(F.lit("update").alias("type"), events)).alias("value"))
     get = lambda name: F.try_element_at("record", F.lit(name)).alias(name)
     return feeds.normalize_gemini(messages, F.lit("BTCUSD")).select(F.col("_schema_slug").alias("schema"), get("symbol"), get("price"), get("key"))
 
@@ -500,7 +500,7 @@ def exchange_normalize_kraken(spark, sf):
         return F.array(F.col(price).cast("string"), F.col("l_quantity").cast("string"), F.lit("1.5"), F.lit("b"), F.lit("l"), F.lit(""))
 
     wrap = lambda body, channel: F.concat(F.lit("[7,"), F.to_json(body), F.lit(f',"{channel}","XBT"]')).alias("value")
-    trades = table(spark, sf, "lineitem").select(wrap(F.array(trade("l_extendedprice"), trade("l_tax")), "trade"))
+    trades = dealt(table(spark, sf, "lineitem")).select(wrap(F.array(trade("l_extendedprice"), trade("l_tax")), "trade"))
     price, key = F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")
     quote = F.struct(*[F.array(price, key, F.lit("1")).alias(c) for c in "abcvptlho"])
     ticker = table(spark, sf, "orders").select(wrap(quote, "ticker"))

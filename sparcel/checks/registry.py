@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparcel.checks.base import register, spark_sql, standin, table
+from sparcel.checks.base import dealt, register, spark_sql, standin, table
 from sparcel.registry import activity as A
 from sparcel.registry import listings as G
 from sparcel.registry import notifications as N
@@ -231,7 +231,7 @@ def _index(spark, sf):
     kept = (spark.sparkContext.applicationId, sf)
     if kept not in _INDEXES:
         _INDEXES[kept] = f"{shared_dir(spark)}/sparcel-index-{uuid.uuid4().hex[:12]}"
-        Q.write_index(Q.text_index(table(spark, sf, "documents"), "doc_id", "text"), _INDEXES[kept])
+        Q.write_index(Q.text_index(dealt(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), _INDEXES[kept])
     return spark.read.schema("token string, doc_id bigint").parquet(_INDEXES[kept])
 
 
