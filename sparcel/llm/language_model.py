@@ -1,12 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of the target documents and of all documents, share one vocabulary (the same buckets of words), one order and
+Two bigram models, of the target documents and of all documents, share one vocabulary (all words of the corpus), one order and
 one smoothing. A token's loss under a model is the negative logarithm of its probability after the token before it; a document's
 score is the mean over its tokens of the target loss less the background loss: the lower, the more like the target.
 
-Words are mapped to ``2 ** WORD_BITS`` buckets and pairs of buckets to ``2 ** PAIR_BITS``, so the models are of fixed size
-whatever the corpus; the counts in them cover every token of every document. Tasks count into arrays and send a row for each
-bucket they met; the sums are the models, which every scoring task holds.
+Every word and every pair of neighbours has its own count, whatever the corpus; both are known by 63-bit fingerprints, so n
+different ones are told apart but for about n * n / 2 ** 64 expected clashes (0.3 among 2.4 thousand million). Texts are turned
+into blocks of about ``BLOCK`` tokens, which are written. A block sends each of its words and pairs once, with its counts, to the
+bucket of the fingerprint; the bucket adds up all blocks' counts and answers each block in the order asked; the block then scores
+its texts. So a word that occurs everywhere costs each block one number, and no task or driver holds a whole model.
 
 Defined results: NULL and empty texts, and texts without a word, have no token and score 0; rows without a target label, and
 NULL ids, are background only; labels of one document that disagree count by majority, 1 on a tie; repeated rows are counted
@@ -16,121 +18,207 @@ and scored each; without target documents the target model is uniform; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparcel.llm.common import document_text, one_label
+from sparcel.llm.common import document_text, fresh, one_label, written
 from sparcel.session import ship
 
-#: Sizes of the models.
-WORD_BITS, PAIR_BITS = 19, 21
+#: The smoothing allows for ``2 ** WORD_BITS`` words, or for as many as the corpus has if these are more.
+WORD_BITS = 19
 #: Added counts: of a word in all, and of the word model in each context.
 FLOOR, WEIGHT = 0.1, 4.0
-#: The context of a document's first token.
+#: The context of a document's first token; its place among a block's words.
 BEGIN = 0
+#: Tokens after which a block ends; buckets at least, and the tokens of the corpus for which there is one.
+BLOCK, BUCKETS, BUCKET = 1 << 18, 128, 1 << 22
 
+COUNTS = "block bigint, bucket int, n_words bigint, t binary, b binary"
 
-@dataclass
-class Counts:
-    """Counts of word buckets, then of pair buckets; of the target and of all documents."""
 
-    target: np.ndarray
-    background: np.ndarray
-    word_bits: int = WORD_BITS
+def tokens(text: str = "text") -> Column:
+    """Hashes of a text's lower-case words."""
+    words = F.split(F.lower(document_text(text)), r"[^\p{L}\p{N}]+")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
-    def losses(self, words: np.ndarray, context: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word after its context: the pair's count, smoothed by the word's share."""
-        size = 1 << self.word_bits
-        total = counts[:size].sum(dtype=np.float64)
-        share = (counts[words] + FLOOR) / (total + FLOOR * size)
-        return -np.log((counts[size + pairs] + WEIGHT * share) / (counts[context] + WEIGHT))
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, so the zeros of small ones stand together and compress."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
 
-def tokens(text: str = "text", word_bits: int = WORD_BITS) -> Column:
-    """The buckets of a text's lower-case words; bucket 0 is kept for the beginning."""
-    words = F.split(F.lower(document_text(text)), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: (F.pmod(F.xxhash64(w), F.lit((1 << word_bits) - 1)) + 1).cast("int"))
 
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def pair_buckets(context: np.ndarray, words: np.ndarray, pair_bits: int) -> np.ndarray:
-    mixed = (context.astype(np.uint64) << np.uint64(32) | words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - pair_bits)).astype(np.int64)
 
+def pair_keys(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Odd fingerprints of pairs of words; those of words are even."""
+    mixed = context * np.uint64(0x9E3779B97F4A7C15) + words
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ (mixed >> np.uint64(32))) | np.uint64(1)
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their contexts, and where each row's words begin."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    words = column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
-    offsets = offsets - offsets[0]
-    context = np.concatenate(([BEGIN], words[:-1]))[: len(words)]
-    context[offsets[:-1][offsets[:-1] < len(words)]] = BEGIN
-    return words, context, offsets
 
+def contexts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before each word of texts of these lengths."""
+    context = np.concatenate(([BEGIN], codes[:-1]))[: len(codes)]
+    starts = np.cumsum(lengths) - lengths
+    context[starts[lengths > 0]] = BEGIN
+    return context
+
+
+def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of sorted ``keys`` begins."""
+    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
 
-def count_models(documents: DataFrame, target: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Counts:
-    """Count words and pairs of all ``documents`` and of those whose ``doc_id`` is in ``target`` (distinct ids)."""
-    ship(documents.sparkSession)
-    ids = target.select(F.col("doc_id").alias("_target")).hint("shuffle_hash")
-    rows = documents.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_target"), "left")
-    rows = rows.select(F.col("_target").isNotNull().alias("is_target"), tokens("text", word_bits).alias("words"))
-    size = 1 << word_bits
+
+def block_texts(documents: DataFrame) -> DataFrame:
+    """The texts in blocks: ids and text digests, lengths, sorted distinct words (``BEGIN`` first) and each token's place in them."""
+    rows = documents.select("doc_id", F.unhex(F.sha2(document_text().cast("binary"), 256)).alias("digest"), tokens().alias("words"))
+    kind = T.ArrayType(documents.schema["doc_id"].dataType)
+    schema = T.StructType.fromDDL("block bigint, n_tokens bigint, digests array<binary>, lengths array<int>, words binary, codes binary").add("doc_ids", kind)
+
+    def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = table["words"].combine_chunks()
+        lengths = np.diff(column.offsets.to_numpy()).astype(np.int32)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64) & np.uint64(2**64 - 2)
+        words, codes = np.unique(np.concatenate((np.zeros(1, np.uint64), flat)), return_inverse=True)
+        listed = lambda name: pa.array([table[name].to_pylist()], pa.list_(table[name].type))
+        out = {
+            "block": pa.array([number], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()), "digests": listed("digest"),
+            "lengths": pa.array([lengths], pa.list_(pa.int32())), "words": pa.array([pack(words)], pa.binary()),
+            "codes": pa.array([pack(codes[1:].astype(np.uint32))], pa.binary()), "doc_ids": listed("doc_id"),
+        }
+        return pa.RecordBatch.from_pydict(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size + (1 << pair_bits)), np.int64)
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
         for batch in batches:
-            is_target = batch.column(0).to_numpy(zero_copy_only=False)
-            words, context, offsets = _flat(batch.column(1))
-            pairs = size + pair_buckets(context, words, pair_bits)
-            of_target = np.repeat(is_target, np.diff(offsets))
-            for k, chosen in ((0, of_target), (1, slice(None))):
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += len(batch.column(2).flatten())
+            if size >= BLOCK:
+                yield block(number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield block(number, held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: lengths, words, and each token's place, context, distinct pairs and place among these."""
+    lengths = np.array(row["lengths"], np.int64)
+    words, codes = unpack(row["words"], np.uint64), unpack(row["codes"], np.uint32).astype(np.int64)
+    context = contexts(codes, lengths)
+    pairs, places = np.unique(pair_keys(words[context], words[codes]), return_inverse=True)
+    return lengths, words, codes, context, pairs, places
+
+
+def count_blocks(blocks: DataFrame, target: DataFrame) -> DataFrame:
+    """Answers to the blocks: for each bucket the counts of a block's words, then of its pairs, in the order of their fingerprints.
+
+    ``t`` counts the documents whose ``doc_id`` is in ``target`` (distinct ids), ``b`` all. A row without a block has the number
+    of a bucket's words, and the sums of their counts.
+    """
+    buckets = max(BUCKETS, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // BUCKET)
+    ids = target.select(F.col("doc_id").alias("_target")).hint("shuffle_hash")
+    marked = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(ids, F.col("doc_id") == F.col("_target"))
+    marked = marked.groupBy(F.col("block").alias("_of")).agg(F.collect_list("place").alias("marked"))
+    # written, so that its true size decides how it is joined
+    rows = blocks.select("block", "lengths", "words", "codes").join(written(marked, "marked"), F.col("block") == F.col("_of"), "left").drop("_of")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            lengths, words, codes, _, pairs, places = _pairs(row)
+            is_target = np.zeros(len(lengths), bool)
+            is_target[row["marked"] or []] = True
+            of_target = np.repeat(is_target, lengths)
+            counts = []
+            for chosen, texts in ((of_target, is_target), (slice(None), slice(None))):
+                of_words = np.bincount(codes[chosen], minlength=len(words))
                 # the beginning counts as a context once for each text that has a word
-                np.add.at(counts[k], BEGIN, int((context[chosen] == BEGIN).sum()))
-                counts[k] += np.bincount(words[chosen], minlength=counts.shape[1])
-                counts[k] += np.bincount(pairs[chosen], minlength=counts.shape[1])
-        met = np.flatnonzero(counts[1])
-        for at in range(0, len(met), 1 << 16):
-            part = met[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["bucket", "t", "b"])
-
-    sums = rows.mapInArrow(run, "bucket int, t bigint, b bigint").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    table = sums.toArrow()
-    model = Counts(*(np.zeros(size + (1 << pair_bits), np.float32) for _ in range(2)), word_bits)
-    bucket = table["bucket"].to_numpy()
-    model.target[bucket], model.background[bucket] = table["t"].to_numpy(), table["b"].to_numpy()
-    return model
-
-
-def score_documents(documents: DataFrame, model: Counts, name: str = "lm", text: str = "text") -> DataFrame:
-    """``documents`` with a struct ``name``: ``n_tokens``, mean ``target_loss`` and ``background_loss``, and ``score``, their difference."""
-    ship(documents.sparkSession)
-    held = documents.sparkSession.sparkContext.broadcast(model)
-    pair_bits = (len(model.target) - (1 << model.word_bits)).bit_length() - 1
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counts = held.value
-        for column in batches:
-            lengths = np.fromiter(map(len, column), np.int64, len(column))
-            flat = np.concatenate([np.zeros(0, np.int32), *column])
-            words, context, offsets = _flat(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(flat, pa.int32())))
-            pairs = pair_buckets(context, words, pair_bits)
-            out = {"n_tokens": lengths}
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            for key, each in (("target_loss", counts.target), ("background_loss", counts.background)):
-                out[key] = np.bincount(row, counts.losses(words, context, pairs, each), len(lengths)) / np.maximum(lengths, 1)
-            out["score"] = out["target_loss"] - out["background_loss"]
-            yield pd.DataFrame(out)
-
-    kind = "struct<n_tokens: bigint, target_loss: double, background_loss: double, score: double>"
-    return documents.withColumn(name, F.pandas_udf(run, kind)(tokens(text, model.word_bits)))
+                of_words[BEGIN] += np.count_nonzero(lengths[texts])
+                counts.append((of_words, np.bincount(places[chosen], minlength=len(pairs))))
+            of_words, of_pairs = edges(words, buckets), edges(pairs, buckets)
+            out = []
+            for k in range(buckets):
+                w, p = slice(*of_words[k : k + 2]), slice(*of_pairs[k : k + 2])
+                if w.stop > w.start or p.stop > p.start:
+                    t, b = (pack(np.concatenate((x[w], y[p])).astype(np.int64)) for x, y in counts)
+                    out.append((row["block"], k, w.stop - w.start, t, b, pack(np.diff(np.concatenate((words[w], pairs[p])), prepend=np.uint64(0)))))
+            names = ["block", "bucket", "n_words", "t", "b", "keys"]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=asked)
+
+    asked = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n_words", pa.int64()), ("t", pa.binary()), ("b", pa.binary()), ("keys", pa.binary())])
+    answered = pa.schema([*list(asked)[:5], ("sum_t", pa.int64()), ("sum_b", pa.int64())])
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        # keys are sent as steps from the key before, which are small
+        parts = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
+        keys, places = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = np.cumsum([len(x) for x in parts])
+        is_word = keys & np.uint64(1) == 0
+        out = {"block": [*rows["block"], None], "bucket": [*rows["bucket"], rows["bucket"][0]], "n_words": [*rows["n_words"], int((is_word & (keys > 0)).sum())]}
+        for name in "tb":
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, places, np.concatenate([unpack(x, np.int64) for x in rows[name]]))
+            out[name] = [*(pack(x) for x in np.split(sums[places], ends[:-1])), None]
+            out[f"sum_{name}"] = [None] * len(parts) + [int(sums[is_word].sum())]
+        return pa.table(out, schema=answered)
+
+    return rows.mapInArrow(ask, f"{COUNTS}, keys binary").groupBy("bucket").applyInArrow(answer, f"{COUNTS}, sum_t bigint, sum_b bigint")
+
+
+def score_blocks(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """``doc_id``, ``digest``, ``n_tokens``, mean losses and score of each text of ``blocks``, by the written answers to them."""
+    sums = counts.where("block IS NULL").agg(F.sum("n_words"), F.sum("sum_t"), F.sum("sum_b")).first()
+    size, totals = max(1 << WORD_BITS, sums[0] or 0), [float(x or 0) for x in sums[1:]]
+    kind = "digest binary, n_tokens bigint, target_loss double, background_loss double, score double"
+    schema = T.StructType([T.StructField("doc_id", blocks.schema["doc_ids"].dataType.elementType), *T.StructType.fromDDL(kind)])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.slice(0, 1).to_pylist()[0]
+        lengths, words, codes, context, pairs, places = _pairs(row)
+        answers = sorted(right.select(["bucket", "n_words", "t", "b"]).to_pylist(), key=lambda x: x["bucket"])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        out = {"doc_id": left["doc_ids"].chunk(0).slice(0, 1).flatten(), "digest": left["digests"].chunk(0).slice(0, 1).flatten(), "n_tokens": lengths}
+        for key, name, total in zip(("target_loss", "background_loss"), "tb", totals):
+            both = [np.split(unpack(x[name], np.int64), [x["n_words"]]) for x in answers]
+            of_words, of_pairs = (np.concatenate(x) for x in zip(*both))
+            share = (of_words + FLOOR) / (total + FLOOR * size)
+            loss = -np.log((of_pairs[places] + WEIGHT * share[codes]) / (of_words[context] + WEIGHT))
+            out[key] = np.bincount(owner, loss, len(lengths)) / np.maximum(lengths, 1)
+        out["score"] = out["target_loss"] - out["background_loss"]
+        return pa.table(out)
+
+    return blocks.groupBy("block").cogroup(counts.where("block IS NOT NULL").groupBy("block")).applyInArrow(score, schema)
 
 
 def cross_entropy_difference(documents: DataFrame, labels: DataFrame, name: str = "lm") -> DataFrame:
-    """Score ``documents`` against those that ``labels`` marks with ``quality`` 1."""
+    """``documents`` with a struct ``name``: ``n_tokens``, mean ``target_loss`` and ``background_loss``, and ``score``, their difference.
+
+    The target are the documents that ``labels`` marks with ``quality`` 1. Losses go back to the rows by id and text, as rows of
+    equal id and text have equal losses.
+    """
+    ship(documents.sparkSession)
     target = one_label(labels, "quality").where("label = 1")
-    return score_documents(documents, count_models(documents, target), name)
+    blocks = written(block_texts(documents), "blocks")
+    scores = score_blocks(blocks, written(count_blocks(blocks, target), "counts"))
+    key, of, held = (fresh(documents, x) for x in ("lm_digest", "lm_doc", "lm_score"))
+    fields = ["n_tokens", "target_loss", "background_loss", "score"]
+    scores = scores.groupBy(F.col("doc_id").alias(of), F.col("digest").alias(f"{key}_of")).agg(F.first(F.struct(*fields)).alias(held))
+    rows = documents.withColumn(key, F.unhex(F.sha2(document_text().cast("binary"), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(f"{key}_of"))
+    return rows.join(scores, same, "left").withColumn(name, F.col(held)).drop(key, f"{key}_of", of, held)

@@ -62,3 +62,19 @@ def test_query(spark):
     # buckets join some words, so the losses are close, not equal
     assert np.corrcoef([got[d][1] for d in want], [want[d][1] for d in want])[0, 1] > 0.97
     assert np.mean([got[d][1] for d in target]) < np.mean([got[d][1] for d in got if d not in target])
+
+
+def test_every_word_and_pair_has_its_own_count(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    target = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 1}
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in entry.queries()["op9_lm"](spark, sf).collect()), key=repr)
+    want = brute(docs, target)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.abs(np.array([g[2:] for g in got]) - [w[2:] for w in want]).max() < 1e-4
+
+
+def test_blocks_and_buckets_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 3)
+    monkeypatch.setattr(L, "BUCKET", 500)
+    test_against_brute_force(spark)
