@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,10 +59,6 @@ def _shifted(placed: DataFrame, names: dict[str, str]) -> DataFrame:
     return placed
 
 
-#: Layouts (header lines) that one stream set may have; files of one set have few.
-LAYOUTS = 1000
-
-
 def _cells(line: str, delimiter: str, quote: str) -> list[str]:
     return next(csv.reader([line.lstrip("\ufeff")], delimiter=delimiter, quotechar=quote), [])
 
@@ -102,27 +98,24 @@ def scan_csv(
         lines = lines.withColumn("_some", ~F.col("_text").rlike(f"^(?:\\uFEFF|{WS})*$"))
     rows = with_file_offset(lines, "_at", counted="_some").drop("_some", "_line")
     heads = rows.filter("_at = 0").select(F.col("_file").alias("_of"), F.col("_text").alias("_head"))
-    found = [r[0] for r in heads.select("_head").distinct().limit(LAYOUTS + 1).collect()]
-    if len(found) > LAYOUTS:
-        raise ValueError(f"more than {LAYOUTS} different headers in {paths}")
+    bare = F.regexp_replace("_text", f"{re.escape(quote)}[^{re.escape(quote)}]*{re.escape(quote)}", "")
+    count = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
     if header_row is None:
-        widest = max((len(_cells(h, delimiter, quote)) for h in found), default=1)
-        layouts = {h: [f"Column{i}" for i in range(widest)] for h in found}
+        # the widest row, wherever it stands
+        widest = rows.agg(F.max(count)).first()[0]
+        layouts = {} if widest is None else {"": [f"Column{i}" for i in range(widest)]}
     else:
-        layouts = {h: header_names(_cells(h, delimiter, quote)) for h in found}
+        layouts = {r[0]: header_names(_cells(r[0], delimiter, quote)) for r in heads.select("_head").distinct().toLocalIterator()}
     names = list(dict.fromkeys(n for h in sorted(layouts) for n in layouts[h]))
     options = {"sep": delimiter, "quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
-    bare = F.regexp_replace("_text", f"{re.escape(quote)}[^{re.escape(quote)}]*{re.escape(quote)}", "")
-    count = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
-    def cells(head: str) -> Column:
-        own = layouts[head]
-        schema = ", ".join(f"c{i} string" for i in range(len(own)))
+    def row_of(width: int, own: Column, cell: Callable[[Column, int], Column]) -> Column:
+        """The row's cells by name: parsed to ``width`` cells, of which its own header has ``own``."""
+        schema = ", ".join(f"c{i} string" for i in range(width))
         parsed = F.from_csv(F.regexp_replace("_text", "^\\uFEFF", ""), schema, options)
-        message = F.concat(F.lit(f"a row has more than the {len(own)} cells of its header in "), F.col("_file"))
-        clean = {n: F.nullif(F.regexp_replace(parsed[f"c{i}"], f"^{WS}+|{WS}+$", ""), F.lit("")) for i, n in enumerate(own)}
-        row = F.struct(*[clean.get(n, F.lit(None).cast("string")).alias(f"n{j}") for j, n in enumerate(names)])
-        return F.when(count > len(own), F.raise_error(message).cast(row_type)).otherwise(row)
+        message = F.concat(F.lit("a row has more than the "), own.cast("string"), F.lit(" cells of its header in "), F.col("_file"))
+        row = F.struct(*[F.nullif(F.regexp_replace(cell(parsed, j), f"^{WS}+|{WS}+$", ""), F.lit("")).alias(f"n{j}") for j in range(len(names))])
+        return F.when(count > own, F.raise_error(message).cast(row_type)).otherwise(row)
 
     row_type = T.StructType([T.StructField(f"n{j}", T.StringType()) for j in range(len(names))])
     if not layouts:
@@ -131,12 +124,15 @@ def scan_csv(
     if header_row is not None:
         rows = rows.filter("_at > 0")
     if len(layouts) == 1 or header_row is None:
-        value = cells(next(iter(layouts)))
+        value = row_of(len(names), F.lit(len(names)), lambda parsed, j: parsed[f"c{j}"])
     else:
+        # where each file has each name, found once a file
+        known = spark.createDataFrame(list(layouts.items()), "_known string, _own array<string>")
+        places = F.transform(F.array(*map(F.lit, names)), lambda n: (F.array_position("_own", n) - 1).cast("int"))
+        heads = heads.join(known, F.col("_head") == F.col("_known")).select("_of", F.size("_own").alias("_width"), places.alias("_places"))
         rows = rows.join(heads, F.col("_file") == F.col("_of"))
-        value = F.when(F.lit(False), F.lit(None).cast(row_type))
-        for head in layouts:
-            value = value.when(F.col("_head") == head, cells(head))
+        widest = max(map(len, layouts.values()))
+        value = row_of(widest, F.col("_width"), lambda parsed, j: F.get(F.array(*[parsed[f"c{i}"] for i in range(widest)]), F.col("_places")[j]))
     shift = 0 if header_row is None else 1
     out = rows.select(value.alias("_row"), "_file", (F.col("_at") - shift).alias("_offset"))
     extra = ["_file", "_offset"] if offsets else ["_file"]

@@ -145,3 +145,16 @@ def test_jdbc_options():
     assert options["dbtable"] == '"public"."t"' and options["numPartitions"] == "64"
     assert tables.source_tables(["a", "_sink_state"]) == ["a"]
     assert tables.unload_statement("select 'x'", "s3://b", "r").startswith("UNLOAD ('select ''x''')")
+
+
+def test_csv_many_first_lines(spark, tmp_path):
+    for kind in ("bare", "headed"):
+        (tmp_path / kind).mkdir()
+    for i in range(1005):
+        (tmp_path / "bare" / f"{i}.csv").write_text(f"{i}\n{i},x,y\n")
+        (tmp_path / "headed" / f"{i}.csv").write_text(("a," + " " * i + f"b\n{i},y\n") if i % 2 else ("b," + " " * i + f"a\ny,{i}\n"))
+    bare = delimited.scan_csv(spark, str(tmp_path / "bare"), header_row=None)
+    assert delimited.data_columns(bare) == ["Column0", "Column1", "Column2"]
+    assert sorted(rows(bare, "Column0", "Column1", "Column2", "_offset"), key=repr) == sorted([(str(i), *c) for i in range(1005) for c in ((None, None, 0), ("x", "y", 1))], key=repr)
+    headed = delimited.scan_csv(spark, str(tmp_path / "headed"))
+    assert sorted(rows(headed, "a", "b")) == sorted((str(i), "y") for i in range(1005))
