@@ -9,24 +9,26 @@ inside it. k is lowered for short windows until the bound is at least one; an it
 text as it is, between spaces or ends.
 
 Defined results: NULL and empty texts contain nothing; NULL and blank items are contained in nothing; repeated rows are judged
-alike; items of equal text are all reported; an empty table on either side finds nothing; other columns are never touched. The
-benchmark is held by every task: more than ``MOST`` characters raise an error.
+alike; items of equal text are all reported; an empty table on either side finds nothing; other columns are never touched. A
+benchmark of at most ``MOST`` characters is held by every task; a larger one is taken in blocks of that size, a pass over the
+texts for each, and what the blocks found is joined by the digest of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.llm.common import document_text, fresh
+from sparcel.llm.common import document_text, fresh, written
 from sparcel.session import ship
 
 Q, WINDOW, EDITS = 8, 128, 0.1
-#: Characters of a benchmark that tasks hold, and of a text that are looked at together.
+#: Characters of a benchmark that tasks hold at a time, and of a text that are looked at together.
 MOST, PIECE = 2_000_000, 1 << 18
 #: Diagonals from one band's start to the next's.
 STEP = 16
@@ -67,17 +69,26 @@ class Index:
     short: list[tuple[int, str]]
 
 
+def windows(item: int, text: str | None, window: int = WINDOW) -> Iterator[tuple[int, str]]:
+    """An item's windows; an item shorter than a q-gram is given whole."""
+    text = normal(text)
+    last = max(0, len(text) - window)
+    for at in sorted({*range(0, last, max(1, window // 2)), last}) if text else ():
+        yield item, text[at : at + window]
+
+
 def build(items: list[tuple[int, str | None]], edits: float = EDITS, window: int = WINDOW) -> Index:
+    return build_windows([w for item, text in items for w in windows(item, text, window)], edits)
+
+
+def build_windows(parts: list[tuple[int, str]], edits: float = EDITS) -> Index:
     owners, codes, short = [], [], []
-    for item, text in items:
-        text = normal(text)
-        if 0 < len(text) < Q:
-            short.append((item, text))
-        elif text:
-            last = max(0, len(text) - window)
-            for at in sorted({*range(0, last, max(1, window // 2)), last}):
-                owners.append(item)
-                codes.append(points(text[at : at + window]))
+    for item, part in parts:
+        if len(part) < Q:
+            short.append((item, part))
+        else:
+            owners.append(item)
+            codes.append(points(part))
     sizes = np.array([len(c) for c in codes], np.int64)
     most = np.minimum((edits * sizes).astype(np.int64), sizes // Q - 1)
     grams = [qgrams(c) for c in codes]
@@ -151,13 +162,15 @@ def matches(texts: list[str | None], index: Index) -> list[dict[int, tuple[int,
     """For each text the items found in it: least distance of a window, and where it ends in the normalised text."""
     found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
     longest = max(map(len, index.codes), default=0)
+    # no window reaches over the gap between two texts within its edits
+    gap = "\0" * (int(index.edits.max(initial=0)) + 1)
     pieces, size = [], 0
 
     def look():
         if not pieces:
             return
-        starts = np.cumsum([0] + [len(p) + 1 for _, _, p in pieces])
-        codes = points("\0".join(p for _, _, p in pieces))
+        starts = np.cumsum([0] + [len(p) + len(gap) for _, _, p in pieces])
+        codes = points(gap.join(p for _, _, p in pieces))
         window, diagonal = bands(codes, index)
         for at in range(0, len(window), 1024):
             w, d = window[at : at + 1024], diagonal[at : at + 1024]
@@ -185,25 +198,62 @@ def matches(texts: list[str | None], index: Index) -> list[dict[int, tuple[int,
     return found
 
 
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items with id and text, and their characters."""
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    return rows, rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def read_benchmark(benchmark: DataFrame) -> Index:
     """The index of a benchmark of at most ``MOST`` characters."""
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows, size = _items(benchmark)
     if size > MOST:
         raise ValueError(f"the benchmark has {size} characters; tasks hold {MOST} at most")
     return build([(r["item_id"], r["text"]) for r in rows.collect()])
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, name: str = "leaks", text: str = "text") -> DataFrame:
-    """``documents`` with an array ``name`` of the items found: ``item_id``, ``distance``, ``end``, by item."""
-    ship(documents.sparkSession)
-    index = read_benchmark(benchmark)
+def read_blocks(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of at most ``MOST`` characters (a window at least) that hold all windows of a benchmark; the driver holds one at a time."""
+    parts, size = [], 0
+    for row in _items(benchmark)[0].toLocalIterator():
+        for k, (item, part) in enumerate(windows(row["item_id"], row["text"])):
+            new = len(part) if k == 0 else min(len(part), WINDOW // 2)
+            if parts and size + new > MOST:
+                yield build_windows(parts)
+                # a block begins with a whole window
+                parts, size, new = [], 0, len(part)
+            parts.append((item, part))
+            size += new
+    yield build_windows(parts)
+
+
+LEAKS = "array<struct<item_id: bigint, distance: int, end: bigint>>"
+
 
+def _leaks(index: Index, text: str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"item_id": i, "distance": d, "end": e} for i, (d, e) in sorted(m.items())] for m in matches(list(texts), index)])
 
-    kind = "array<struct<item_id: bigint, distance: int, end: bigint>>"
-    return documents.withColumn(name, F.pandas_udf(run, kind)(document_text(text)))
+    return F.pandas_udf(run, LEAKS)(document_text(text))
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, name: str = "leaks", text: str = "text") -> DataFrame:
+    """``documents`` with an array ``name`` of the items found: ``item_id``, ``distance``, ``end``, by item."""
+    ship(documents.sparkSession)
+    if _items(benchmark)[1] <= MOST:
+        return documents.withColumn(name, _leaks(read_benchmark(benchmark), text))
+    digest = F.unhex(F.sha2(document_text(text).cast("binary"), 256))
+    key, of, held = (fresh(documents, x) for x in ("leak_digest", "leak_of", "leak_found"))
+    found = None
+    for index in read_blocks(benchmark):
+        hits = documents.select(digest.alias(of), _leaks(index, text).alias("hits")).where(F.size("hits") > 0)
+        hits = written(hits.dropDuplicates([of]).select(of, F.explode("hits").alias("hit")).select(of, "hit.*"), "leaks")
+        found = hits if found is None else found.unionAll(hits)
+    # an item may have windows in two blocks
+    found = found.groupBy(of, "item_id").agg(F.min(F.struct("distance", "end")).alias("least"))
+    found = found.groupBy(of).agg(F.array_sort(F.collect_list(F.struct("item_id", "least.distance", "least.end"))).cast(LEAKS).alias(held))
+    rows = documents.withColumn(key, digest).join(found, F.col(key) == F.col(of), "left")
+    return rows.withColumn(name, F.coalesce(held, F.array().cast(LEAKS))).drop(key, of, held)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

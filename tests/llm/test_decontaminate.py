@@ -87,3 +87,17 @@ def test_planted_items(spark, sf_dir):
         hits += len(exact)
         assert {str(i) for i in exact} <= set(got[r.doc_id].split(","))
     assert hits
+
+
+def test_larger_benchmark_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    items = [noise(rng, n) for n in (30, 120, 30, 250)]
+    bench = spark.createDataFrame([*enumerate(items), (4, items[0]), (5, "ab c"), (None, "x"), (6, None)], "item_id long, text string")
+    texts = [None, "", *items, items[3][:700], f"x {items[0]} y ab c {items[2]}", f"x {items[0]} y ab c {items[2]}", "clean text"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, leaks string")
+    found = lambda: sorted(map(repr, D.find_contamination(docs, bench, "found").collect()))
+    whole = found()
+    monkeypatch.setattr(D, "MOST", 300)
+    assert len(list(D.read_blocks(bench))) > 5
+    assert found() == whole
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [0, 1, 9]
