@@ -25,7 +25,8 @@ from sparcel.session import ship, written
 
 #: Labelled documents the fit uses at most.
 SAMPLE = 16_000
-#: A word counts if it occurs in so many of them and so many times more often in toxic ones than words do on average.
+#: A word counts if it occurs in so many of them, and if its odds of standing in a toxic one (a clean one added) are so many times
+#: the odds of all documents.
 LEAST_DOCUMENTS, LIFT = 6, 4
 RIDGE = 0.05
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -100,7 +101,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column | Non
 
     counts = sample.mapInPandas(words, "label int, words array<string>").select("label", F.explode("words").alias("word"))
     counts = counts.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
-    telling = counts.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("k") >= LIFT * share * F.col("n"))).select("word")
+    odds = share / (1 - share)
+    telling = counts.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("k") >= LIFT * odds * (F.col("n") - F.col("k") + 1))).select("word")
     index = {w: i for i, w in enumerate(sorted(r["word"] for r in telling.collect()))}
 
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparcel.llm import toxicity as T
@@ -78,3 +79,23 @@ def test_held_out_accuracy(spark):
     held = [(got[i].predicted, y) for i, y in labels.items() if got[i].held_out]
     assert np.mean([p == y for p, y in held]) > 0.96
     assert np.mean([y for p, y in held if p]) > 0.95
+
+
+@pytest.mark.parametrize("share", [0.5, 0.7])
+def test_many_toxic_labels(spark, share):
+    rng = np.random.default_rng(3)
+    plain = [f"w{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = rng.random() < share
+        parts = [" ".join(rng.choice(plain, 6)) for _ in range(rng.integers(2, 4) if toxic else rng.integers(2, 30))]
+        if toxic:
+            parts[rng.integers(len(parts))] += " " + str(rng.choice(["scum", "vermin"]))
+        rows.append((i, ". ".join(parts), "x"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = T.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False))
+    assert {"scum", "vermin"} <= set(model.weights)
+    for r in T.score_toxicity(docs, model, "t").collect():
+        assert (r.t.score >= 0.5) == bool(labels[r.doc_id][1])
+        assert all("scum" in r.text[s.start : s.end] or "vermin" in r.text[s.start : s.end] for s in r.t.offending)
