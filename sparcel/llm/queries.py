@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import archives, decontaminate, language_model, licenses, pieces, quality, secrets, topk, toxicity
-from sparcel.llm.common import Query, fold, table
+from sparcel.llm import archives, decontaminate, language_model, licenses, pieces, quality, runs, secrets, topk, toxicity, tries
+from sparcel.llm.common import Query, document_text, fold, table
 from sparcel.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,80 @@ ORACLES["op10_secrets"] = f"""
     SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))},
       sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (WHERE rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans
     FROM d LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
+
+
+def _crc32(value: str) -> str:
+    """DuckDB SQL of CRC-32 of a decimal number's text, a bit at a time (reflected form of the fixed polynomial)."""
+    bits = f"list_transform(range(0, 8 * length({value})), lambda i: (ascii({value}[i // 8 + 1]) >> (i % 8)) & 1)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"
+
+
+@query
+def op11_runs(spark, sf):
+    """Periodic runs of words; the tail of every tenth document (by the hash of its id) is made periodic first."""
+    documents = table(spark, sf, "documents").select("doc_id", document_text().alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    some = documents.where(h % 10 == 0).select("doc_id", words.alias("words"), F.floor(h / 10).alias("g"))
+    some = some.where("size(words) > 0").withColumn("n", F.size("words")).withColumn("a", F.expr("cast(g % n AS int)"))
+    some = some.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) AS int)"))
+    periodic = F.expr("slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int)))), 1, n)")
+    some = some.select("doc_id", F.array_join(periodic, " ").alias("text"))
+    plain = documents.where(F.coalesce(h % 10 != 0, F.lit(True)) | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    found = runs.find_runs(plain.union(some))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # larger exponent first: 1 / exponent as an exact fraction in whole numbers, by cross multiplication
+    best = F.expr("""aggregate(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), (x, r) -> CASE
+        WHEN x IS NULL THEN r WHEN r.length * x.period > x.length * r.period THEN r WHEN r.length * x.period < x.length * r.period THEN x
+        WHEN (r.start, r.period) < (x.start, x.period) THEN r ELSE x END)""")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op11_runs"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+    s AS (SELECT *, len(words) AS n, h // 10 AS g FROM d),
+    f AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM s),
+    w AS (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % p + 1] END) ELSE words END AS words FROM f),
+    e AS (SELECT row, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM w),
+    m AS (SELECT x.row, y.i - x.i AS p, x.i, x.i - row_number() OVER (PARTITION BY x.row, y.i - x.i ORDER BY x.i) AS island
+      FROM e x JOIN e y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+    stretches AS (SELECT row, p, min(i) AS start, count(*) + p AS length FROM m GROUP BY row, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+    r AS (SELECT row, start, length, min(p) AS period FROM stretches GROUP BY row, start, length),
+    best AS (SELECT row, start, length, period FROM r QUALIFY row_number() OVER (PARTITION BY row ORDER BY length / period DESC, start, period) = 1),
+    gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+    lines AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY row),
+    rest AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS t FROM e ANTI JOIN gone USING (row, i) GROUP BY row)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+      sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(rest.t, '')) AS collapsed_sha256
+    FROM w LEFT JOIN best USING (row) LEFT JOIN lines USING (row) LEFT JOIN rest USING (row)"""
+
+
+@query
+def op13_trie(spark, sf):
+    """Every node of the prefix trie of the conversations, each rebuilt on the first turns of its family's first."""
+    return tries.prefix_trie(*tries.grafted(tries.numbered_turns(table(spark, sf, "conversations"))))
+
+
+ORACLES["op13_trie"] = f"""
+    WITH t AS (SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT c, list(x ORDER BY i) AS own, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM t GROUP BY c),
+    r AS (SELECT l.c, list_concat(coalesce(b.own, [])[1:l.h], l.own[l.h + 1:]) AS turns FROM l LEFT JOIN l b ON b.c = l.c - l.c % 100),
+    m AS (SELECT c, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+    p AS (SELECT c, depth, md5(CAST(turns[1:depth] AS VARCHAR)) || depth AS node, md5(CAST(turns[1:depth - 1] AS VARCHAR)) || (depth - 1) AS parent,
+        CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS size, depth = len(turns) AS ends FROM m),
+    n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+        coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS ids
+      FROM (SELECT node, CASE WHEN depth > 0 THEN parent END AS parent, depth, c, size, ends FROM p) GROUP BY node),
+    k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+    pairs AS (SELECT DISTINCT a.node AS top, b.node FROM p a JOIN p b ON a.c = b.c AND a.depth <= b.depth),
+    sums AS (SELECT top AS node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens
+      FROM pairs JOIN n ON n.node = pairs.node LEFT JOIN k ON k.node = pairs.node GROUP BY top)
+    SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, CAST(sums.n_leaves AS BIGINT) AS n_leaves,
+      CAST(sums.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ids) AS ends_sha256
+    FROM n JOIN sums USING (node) LEFT JOIN k ON k.node = n.node LEFT JOIN n up ON up.node = n.parent"""
