@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparcel.llm import archives, decontaminate, language_model, licenses, pieces, quality, runs, secrets, topk, toxicity, tries
+from sparcel.llm import archives, decontaminate, language_model, licenses, pieces, quality, quantised, runs, secrets, topk, toxicity, tries
 from sparcel.llm.common import Query, document_text, fold, table
 from sparcel.llm.simhash import simhash_groups
 
@@ -200,6 +200,23 @@ ORACLES["op11_runs"] = f"""
     FROM w LEFT JOIN best USING (row) LEFT JOIN lines USING (row) LEFT JOIN rest USING (row)"""
 
 
+@query
+def op12_vectors(spark, sf):
+    """Links, group and survivor of every vector at a cosine of 0.95."""
+    return quantised.near_vectors(table(spark, sf, "embeddings"))
+
+
+ORACLES["op12_vectors"] = """
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+    s AS (SELECT row, vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v
+      WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+    e AS (SELECT a.row AS a, b.row AS b, b.vec_id FROM s a JOIN s b ON a.row <> b.row AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.95),
+    reach AS (SELECT row AS a, row AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+    root AS (SELECT reach.a AS row, min(v.vec_id) AS component_id FROM reach JOIN v ON v.row = reach.b GROUP BY reach.a),
+    n AS (SELECT a AS row, count(*) AS n_links FROM e GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN root USING (row) LEFT JOIN n USING (row)"""
+
+
 @query
 def op13_trie(spark, sf):
     """Every node of the prefix trie of the conversations, each rebuilt on the first turns of its family's first."""
