@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from sparcel.llm import archives, decontaminate, language_model, licenses, pieces, quality, quantised, runs, secrets, topk, toxicity, tries
-from sparcel.llm.common import Query, document_text, fold, table
+from sparcel.llm.common import Query, fold, table
 from sparcel.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Query] = {}
@@ -155,19 +157,21 @@ def _crc32(value: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"
 
 
+def _periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, from a place on repeating a few, if the hash of the id says so."""
+    h, n = 1 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
 @query
 def op11_runs(spark, sf):
     """Periodic runs of words; the tail of every tenth document (by the hash of its id) is made periodic first."""
-    documents = table(spark, sf, "documents").select("doc_id", document_text().alias("text"))
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
-    some = documents.where(h % 10 == 0).select("doc_id", words.alias("words"), F.floor(h / 10).alias("g"))
-    some = some.where("size(words) > 0").withColumn("n", F.size("words")).withColumn("a", F.expr("cast(g % n AS int)"))
-    some = some.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) AS int)"))
-    periodic = F.expr("slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int)))), 1, n)")
-    some = some.select("doc_id", F.array_join(periodic, " ").alias("text"))
-    plain = documents.where(F.coalesce(h % 10 != 0, F.lit(True)) | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    found = runs.find_runs(plain.union(some))
+    found = runs.find_runs(table(spark, sf, "documents").select("doc_id", "text"), prepare=_periodic_tail)
     line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
     # larger exponent first: 1 / exponent as an exact fraction in whole numbers, by cross multiplication
     best = F.expr("""aggregate(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), (x, r) -> CASE

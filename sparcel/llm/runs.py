@@ -20,21 +20,21 @@ task holds the words of one text, or of several small ones, at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparcel.llm.common import document_text
 from sparcel.session import ship
 
 #: Words compressed together; a longer text is compressed alone.
-WORDS = 1 << 17
+WORDS = 1 << 16
 #: Grid pairs compared at a time.
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 LEAST, TIMES = 6, 4
 SCHEMA = "runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string"
 
@@ -50,6 +50,14 @@ class Level:
     hi: np.ndarray | None = None
 
 
+def _coin(symbols: np.ndarray, seed: int) -> np.ndarray:
+    """A side for every symbol, tossed anew for each seed, so that two symbols that fall on one side soon part."""
+    x = symbols.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x >> np.uint64(63) == 1
+
+
 def compress(symbols: np.ndarray, fences: int) -> list[Level]:
     """The levels of the grammar of ``symbols``. Symbols below ``fences`` occur once each and stay alone."""
     levels, names, seed = [Level(symbols)], int(symbols.max()) + 1, 0
@@ -63,7 +71,7 @@ def compress(symbols: np.ndarray, fences: int) -> list[Level]:
             joined = level[:-1] == level[1:]
         else:
             seed += 1
-            left = (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(63) == 1
+            left = _coin(level, seed)
             forth, back = inner & left[:-1] & ~left[1:], inner & ~left[:-1] & left[1:]
             joined = forth if forth.sum() >= back.sum() else back
         starts = np.flatnonzero(np.concatenate(([True], ~joined)))
@@ -176,7 +184,7 @@ def collapse(words: Sequence[bytes], runs: np.ndarray) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)])
 
 
-def _parts(texts: Sequence[list[bytes]]) -> Iterator[list[list[bytes]]]:
+def _parts(texts: Iterable[list[bytes]]) -> Iterator[list[list[bytes]]]:
     part, held = [], 0
     for words in texts:
         if part and held + len(words) > WORDS:
@@ -188,16 +196,24 @@ def _parts(texts: Sequence[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield part
 
 
-def find_runs(documents: DataFrame, doc_id: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """For each row its id, its ``runs`` by start, then period, and its ``collapsed`` text without their repetitions."""
+def find_runs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", prepare: Callable[[object, list[bytes]], list[bytes]] | None = None) -> DataFrame:
+    """For each row its id, its ``runs`` by start, then period, and its ``collapsed`` text without their repetitions.
+
+    ``prepare(id, words)`` may give other words to look at in place of a text's own.
+    """
     ship(documents.sparkSession)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), (document_text(text) if isinstance(text, str) else F.coalesce(text, F.lit(""))).alias("text"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), document_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def words_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+        for k, t in zip(batch.column(0), batch.column(1)):
+            words = t.as_py().encode().split()
+            yield prepare(k.as_py(), words) if prepare else words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in _parts([t.as_py().encode().split() for t in batch.column(1)]):
+            for part in _parts(words_of(batch)):
                 found = runs_of(part)
                 ends = np.cumsum([0] + [len(r) for r in found])
                 flat = np.concatenate(found)

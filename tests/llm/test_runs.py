@@ -63,6 +63,14 @@ def test_extensions_both_ways():
             assert (symbols[a : a + n * step : step] == symbols[b : b + n * step : step]).all() and symbols[a + n * step] != symbols[b + n * step]
 
 
+def test_levels_are_few():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 1000, 60000):
+        assert len(runs.compress(np.concatenate(([0], 2 + rng.permutation(n), [1])), 2)) < 120
+    for a in range(2, 3000):  # two symbols soon fall on different sides
+        assert len(runs.compress(np.array([0, a, a + 1, 1]), 2)) < 60
+
+
 @pytest.mark.parametrize("words,run", [(["a"] * 200000, (0, 200000, 1)), (["a", "b", "c"] * 50000, (0, 150000, 3)), ([str(i % 5003) for i in range(200000)], (0, 200000, 5003))])
 def test_very_long(words, run):
     assert runs.runs_of([[w.encode() for w in words]])[0].tolist() == [list(run)]
