@@ -62,6 +62,18 @@ def csv_layouts(spark, sf):
     return delimited.scan_csv(spark, path, delimiter=",").select("n_nationkey", "n_name", "n_regionkey")
 
 
+@register(
+    "csv_line_breaks",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS text, CASE WHEN doc_id % 3 <> 1 THEN source END AS source FROM documents",
+)
+def csv_line_breaks(spark, sf):
+    """Files of three layouts whose cells hold line breaks and quotes; a task reads a split, not a file."""
+    path, docs = scratch(spark, "breaks"), table(spark, sf, "documents")
+    for kind, columns in enumerate((("doc_id", "text", "source"), ("text", "doc_id"), ("source", "doc_id", "text"))):
+        W.csv_sink(docs.filter(F.col("doc_id") % 3 == kind).select(*columns), f"{path}/{kind}", quote_all=kind == 0)
+    return delimited.scan_csv(spark, path, delimiter=",", multi_line=True).select("doc_id", "text", "source")
+
+
 @register("csv_sink", f"SELECT {CUSTOMER}, strftime(TIMESTAMP '2020-02-01 11:53:00', '%Y-%m-%dT%H:%M:%S.%gZ') AS seen FROM customer")
 def csv_sink(spark, sf):
     path = scratch(spark, "customer")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Callable, Iterable
 
@@ -33,34 +34,137 @@ def header_names(cells: Iterable[str]) -> list[str]:
     return names
 
 
-def with_file_offset(df: DataFrame, offset: str = "_offset", counted: str | None = None) -> DataFrame:
-    """Number the records of each file 0, 1, 2 …; ``counted`` numbers only the rows for which that column is true, from 0 too.
+def _cells(record: str, delimiter: str, quote: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record.lstrip("﻿")), delimiter=delimiter, quotechar=quote, skipinitialspace=True), [])
 
-    ``df`` is a file scan with ``_file`` and ``_block`` (the start of the split). Each record's position in its task is written
-    with it to the shared folder, so the source is read once and later reads see the same positions; the counts of the splits
-    before a split, one small row each, are added to them. No record is sorted or shuffled.
-    """
-    placed = df.withColumn("_position", F.monotonically_increasing_id())
-    if counted is not None:
-        # positions among the counted rows: both parts keep the order of the scan
-        some = placed.filter(F.col(counted)).withColumn("_place", F.monotonically_increasing_id())
-        return _shifted(written(some, "numbered"), {offset: "_place"}).drop("_position")
-    return _shifted(written(placed, "numbered"), {offset: "_position"})
+
+class _Grammar:
+    """How cells are told apart: a quote opens a cell only at its start (after white space), and two of them inside stand for one."""
+
+    def __init__(self, delimiter: str, quote: str):
+        self.quote, q, d = quote, re.escape(quote), re.escape(delimiter)
+        self.delimiter = delimiter
+        inside, start = rf"(?:[^{q}]++|{q}{q})*+", rf"{WS}*+(?={q})" if delimiter not in "\t " else ""
+        quoted, plain = rf"{start}{q}{inside}{q}[^{d}]*+", rf"(?!{start}{q})[^{d}]*+"
+        self.cell = rf"(?:^|(?<={d}))(?:{quoted}|{plain})(?={d}|$)"
+        self.done = rf"^(?:(?:{quoted}|{plain}){d})*+"
+        self.open = rf"^{start}{q}{inside}$"
+        self.close, self.tail = rf"^{inside}{q}", rf"^{inside}{q}[^{d}]*+(?:{d}|$)"
+
+    def count(self, text: Column) -> Column:
+        """Number of cells of a record; only records with quotes need more than counting delimiters."""
+        plain = F.length(text) - F.length(F.replace(text, F.lit(self.delimiter), F.lit(""))) + 1
+        return F.when(F.contains(text, F.lit(self.quote)), F.regexp_count(text, F.lit(f"(?s){self.cell}"))).otherwise(plain)
+
+    def ends_inside(self, line: Column, begun_inside: bool) -> Column:
+        """Whether a line that begins outside (or inside) a quoted cell ends inside one."""
+        if not begun_inside:
+            return F.contains(line, F.lit(self.quote)) & F.regexp_replace(line, self.done, "").rlike(self.open)
+        rest = self.ends_inside(F.regexp_replace(line, self.tail, ""), False)
+        return ~F.contains(line, F.lit(self.quote)) | ~line.rlike(self.close) | rest
+
+
+def _lines(spark: SparkSession, paths: list[str], ending: str | None = None) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true")
+    lines = (reader.option("lineSep", ending) if ending else reader).text(paths)
+    text = F.when(F.startswith("value", F.lit("﻿")), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))
+    return lines.select(text.alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+#: Splits of a scan that are few enough to be sent to every executor (about 100 bytes each).
+FEW_SPLITS = 200_000
+
+
+def _on_split(df: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rows with what is known of their split, one small row for each."""
+    splits = splits.withColumnsRenamed({"_file": "_of", "_block": "_split"})
+    if splits.count() <= FEW_SPLITS:
+        splits = F.broadcast(splits)
+    return df.join(splits, (F.col("_file") == F.col("_of")) & (F.col("_block") == F.col("_split"))).drop("_of", "_split")
+
+
+def _starts(df: DataFrame, place: str, *more: Column) -> DataFrame:
+    """For each split with rows: ``_shift``, from places in the task to places in the file, and further aggregates."""
+    splits = df.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min(place).alias("_first"), *more)
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return written(splits.withColumn("_shift", F.col("_before") - F.col("_first")).drop("_n", "_first"), "splits")
+
+
+def _without_preamble(lines: DataFrame, header_row: int | None) -> DataFrame:
+    if not header_row:
+        return lines
+    lines = lines.withColumn("_line", F.monotonically_increasing_id())
+    return _on_split(lines, _starts(lines, "_line").drop("_before")).where(F.col("_line") + F.col("_shift") >= header_row).drop("_line", "_shift")
 
 
-def _shifted(placed: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Positions in a task to positions in a file."""
-    for offset, position in names.items():
-        splits = placed.groupBy(F.col("_file").alias("_of"), F.col("_block").alias("_split")).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
-        earlier = Window.partitionBy("_of").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-        starts = splits.select("_of", "_split", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-        same = (F.col("_file") == F.col("_of")) & (F.col("_block") == F.col("_split"))
-        placed = placed.join(starts, same).withColumn(offset, F.col(position) + F.col("_shift")).drop(position, "_of", "_split", "_shift")
-    return placed
+BLANK = f"^{WS}*$"
 
 
-def _cells(line: str, delimiter: str, quote: str) -> list[str]:
-    return next(csv.reader([line.lstrip("\ufeff")], delimiter=delimiter, quotechar=quote), [])
+def _line_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every line a record: ``(_file, _at, _text)`` and the first record of each file.
+
+    A scan deals out its splits alike whenever it is run, so the places that a first, counting pass saw hold in the second.
+    """
+    rows = lines.where(~F.col("_text").rlike(BLANK)).withColumn("_place", F.monotonically_increasing_id())
+    splits = _starts(rows, "_place", F.min_by("_text", "_place").alias("_head"))
+    heads = splits.where("_before = 0").select("_file", "_head")
+    return _on_split(rows, splits.select("_file", "_block", "_shift")).select("_file", (F.col("_place") + F.col("_shift")).alias("_at"), "_text"), heads
+
+
+def _quoted_records(lines: DataFrame, grammar: _Grammar) -> tuple[DataFrame, DataFrame]:
+    """Records of one or more lines: ``(_file, _at, _text)`` and the first record of each file.
+
+    A line turns "inside a quoted cell or not" at its beginning into the same at its end: a function of two values, kept as its two
+    results. Chains of such functions are again one, so each split is one function, a file's splits are put together in order, and
+    every split then knows how it begins and how many records were begun before it. Lines of records that go on are glued by their
+    record's number; records of one line stay as they are. The first pass moves a few bytes for each line, the second the lines.
+    """
+    lines = lines.withColumn("_place", F.monotonically_increasing_id())
+    blank = F.col("_text").rlike(BLANK)
+    facts = lines.select("_file", "_block", "_place", "_text", blank.alias("_blank"), *[grammar.ends_inside(F.col("_text"), b).cast("int").alias(f"_{k}") for k, b in (("out", False), ("in", True))])
+    whole = Window.partitionBy("_file", "_block").orderBy("_place")
+
+    def states(rows: DataFrame, order: Window, begin: dict[str, Column]) -> DataFrame:
+        """For each way to begin, the state before and after each row, from the functions (``_out``, ``_in``) in order."""
+        upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+        swap = ((F.col("_out") == 1) & (F.col("_in") == 0)).cast("int")
+        rows = rows.withColumn("_turns", F.bit_xor(swap).over(upto))
+        fixed = F.when(F.col("_out") == F.col("_in"), F.col("_out").bitwiseXOR(F.col("_turns")))
+        rows = rows.withColumn("_fixed", fixed)
+        for name, first in begin.items():
+            earlier = F.coalesce(F.last("_fixed", ignorenulls=True).over(before), first).bitwiseXOR(F.coalesce(F.bit_xor(swap).over(before), F.lit(0)))
+            rows = rows.withColumn(f"_from{name}", earlier)
+        for name, first in begin.items():
+            rows = rows.withColumn(f"_to{name}", F.coalesce(F.last("_fixed", ignorenulls=True).over(upto), first).bitwiseXOR(F.col("_turns")))
+        return rows.drop("_turns", "_fixed")
+
+    begins = [((F.col(f"_from{k}") == 0) & ~F.col("_blank")).cast("int") for k in (0, 1)]
+    narrow = states(facts.drop("_text"), whole, {"0": F.lit(0), "1": F.lit(1)})
+    splits = narrow.groupBy("_file", "_block").agg(
+        *[F.sum(b).alias(f"_n{k}") for k, b in enumerate(begins)], F.max_by("_to0", "_place").alias("_out"), F.max_by("_to1", "_place").alias("_in")
+    )
+    splits = states(splits, Window.partitionBy("_file").orderBy("_block"), {"": F.lit(0)})
+    count = F.when(F.col("_from") == 0, F.col("_n0")).otherwise(F.col("_n1"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum(count).over(earlier), F.lit(0))).withColumn("_last", F.lead("_block").over(Window.partitionBy("_file").orderBy("_block")).isNull())
+    splits = written(splits.select("_file", "_block", F.col("_from").alias("_init"), F.col("_to").alias("_end"), "_before", "_last"), "splits")
+    open_file = splits.where("_last AND _end = 1").agg(F.min("_file")).first()[0]
+    if open_file is not None:
+        raise ValueError(f"a quote is never closed in {open_file}")
+
+    def records(some: DataFrame) -> DataFrame:
+        rows = states(_on_split(facts, some.select("_file", "_block", "_init", "_before")), whole, {"": F.col("_init")})
+        begun = ((F.col("_from") == 0) & ~F.col("_blank")).cast("int")
+        rows = rows.withColumn("_at", F.col("_before") + F.sum(begun).over(whole.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+        alone = (F.col("_from") == 0) & (F.col("_to") == 0)
+        several = rows.where(~alone).groupBy("_file", "_at").agg(F.array_sort(F.collect_list(F.struct("_block", "_place", "_text"))).alias("_parts"))
+        several = several.select("_file", "_at", F.array_join(F.transform("_parts", lambda x: x["_text"]), "\n").alias("_text"))
+        return rows.where(alone & ~F.col("_blank")).select("_file", "_at", "_text").unionByName(several).withColumn("_text", F.regexp_replace("_text", "\r$", ""))
+
+    # only splits before which at most one record began can hold a line of the first
+    heads = records(splits.where("_before <= 1")).where("_at = 0").select("_file", F.col("_text").alias("_head"))
+    return records(splits), heads
 
 
 def scan_csv(
@@ -75,10 +179,11 @@ def scan_csv(
 ) -> DataFrame:
     """Read delimited files as one stream set.
 
-    Every cell is trimmed text (blank becomes NULL), ready for ``infer_string_type``. Lines before ``header_row`` are dropped;
-    ``None`` means no header. Each file has its own header: columns are put together by name, so files may have them in another
-    order or lack some. A row with more cells than its header is an error. ``multi_line`` allows line breaks inside quotes, at
-    the price of one task per file; all files must have the same header then. Adds ``_file`` and ``_offset``.
+    Every cell is trimmed text (blank becomes NULL), ready for ``infer_string_type``. Lines before ``header_row`` are dropped, and
+    so are blank ones between records; ``None`` means no header. Each file has its own header: columns are put together by name,
+    so files may have them in another order or lack some. A row with more cells than its header is an error. ``multi_line``
+    allows line breaks (``\\n`` or ``\\r\\n``) inside quoted cells; a quote that is never closed is an error then. Every split of a file is
+    read by a task of its own, with and without it, and nothing is written but a row for each split. Adds ``_file`` and ``_offset``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if delimiter is None:
@@ -87,37 +192,29 @@ def scan_csv(
         if first is None:
             raise ValueError(f"no data in {paths}")
         delimiter = delimiter_of(first)
-    if multi_line:
-        return _scan_multi_line(spark, paths, delimiter, header_row, quote, offsets)
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
-        F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
-    )
-    if header_row:
-        lines = with_file_offset(lines, "_line").withColumn("_some", (F.col("_line") >= header_row) & ~F.col("_text").rlike(f"^(?:\\uFEFF|{WS})*$"))
-    else:
-        lines = lines.withColumn("_some", ~F.col("_text").rlike(f"^(?:\\uFEFF|{WS})*$"))
-    rows = with_file_offset(lines, "_at", counted="_some").drop("_some", "_line")
-    heads = rows.filter("_at = 0").select(F.col("_file").alias("_of"), F.col("_text").alias("_head"))
-    bare = F.regexp_replace("_text", f"{re.escape(quote)}[^{re.escape(quote)}]*{re.escape(quote)}", "")
-    count = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    grammar = _Grammar(delimiter, quote)
+    lines = _without_preamble(_lines(spark, paths, "\n" if multi_line else None), header_row)
+    rows, heads = _quoted_records(lines, grammar) if multi_line else _line_records(lines)
+    count = grammar.count(F.col("_text"))
     if header_row is None:
         # the widest row, wherever it stands
         widest = rows.agg(F.max(count)).first()[0]
         layouts = {} if widest is None else {"": [f"Column{i}" for i in range(widest)]}
     else:
+        heads = written(heads, "heads")
         layouts = {r[0]: header_names(_cells(r[0], delimiter, quote)) for r in heads.select("_head").distinct().toLocalIterator()}
     names = list(dict.fromkeys(n for h in sorted(layouts) for n in layouts[h]))
-    options = {"sep": delimiter, "quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(names) + 1))}
+    row_type = T.StructType([T.StructField(f"n{j}", T.StringType()) for j in range(len(names))])
 
     def row_of(width: int, own: Column, cell: Callable[[Column, int], Column]) -> Column:
         """The row's cells by name: parsed to ``width`` cells, of which its own header has ``own``."""
         schema = ", ".join(f"c{i} string" for i in range(width))
-        parsed = F.from_csv(F.regexp_replace("_text", "^\\uFEFF", ""), schema, options)
+        parsed = F.from_csv("_text", schema, options)
         message = F.concat(F.lit("a row has more than the "), own.cast("string"), F.lit(" cells of its header in "), F.col("_file"))
         row = F.struct(*[F.nullif(F.regexp_replace(cell(parsed, j), f"^{WS}+|{WS}+$", ""), F.lit("")).alias(f"n{j}") for j in range(len(names))])
         return F.when(count > own, F.raise_error(message).cast(row_type)).otherwise(row)
 
-    row_type = T.StructType([T.StructField(f"n{j}", T.StringType()) for j in range(len(names))])
     if not layouts:
         empty = T.StructType([T.StructField("_file", T.StringType()), T.StructField("_offset", T.LongType())])
         return spark.createDataFrame([], empty if offsets else T.StructType(empty.fields[:1]))
@@ -129,7 +226,7 @@ def scan_csv(
         # where each file has each name, found once a file
         known = spark.createDataFrame(list(layouts.items()), "_known string, _own array<string>")
         places = F.transform(F.array(*map(F.lit, names)), lambda n: (F.array_position("_own", n) - 1).cast("int"))
-        heads = heads.join(known, F.col("_head") == F.col("_known")).select("_of", F.size("_own").alias("_width"), places.alias("_places"))
+        heads = heads.join(known, F.col("_head") == F.col("_known")).select(F.col("_file").alias("_of"), F.size("_own").alias("_width"), places.alias("_places"))
         rows = rows.join(heads, F.col("_file") == F.col("_of"))
         widest = max(map(len, layouts.values()))
         value = row_of(widest, F.col("_width"), lambda parsed, j: F.get(F.array(*[parsed[f"c{i}"] for i in range(widest)]), F.col("_places")[j]))
@@ -139,33 +236,6 @@ def scan_csv(
     return out.select(*[F.col(f"_row.n{j}").alias(n) for j, n in enumerate(names)], *extra)
 
 
-def _scan_multi_line(spark: SparkSession, paths: list[str], delimiter: str, header_row: int | None, quote: str, offsets: bool) -> DataFrame:
-    """Files whose cells have line breaks: read by the CSV reader, which takes each file as a whole.
-
-    The reader is given a column more than the header and the text of rows of another width, so wider rows are noticed.
-    """
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
-        F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
-    ).filter("_block = 0").withColumn("_line", F.monotonically_increasing_id())
-    first = lines.groupBy("_file").agg(F.min("_line").alias("_first"))
-    heads = lines.join(first, "_file").filter(F.col("_line") - F.col("_first") == (header_row or 0)).select("_text").distinct().limit(2).collect()
-    if len(heads) > 1 and header_row is not None:
-        raise ValueError(f"files with line breaks in cells need the same header: {[r[0] for r in heads]}")
-    cells = _cells(heads[0][0], delimiter, quote) if heads else [""]
-    names = [f"Column{i}" for i in range(len(cells))] if header_row is None else header_names(cells)
-    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)]])
-    read = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(
-        paths, sep=delimiter, quote=quote, escape=quote, header=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=True,
-    ).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    preamble = 0 if header_row is None else header_row + 1
-    read = with_file_offset(read, "_line").filter(F.col("_line") >= preamble).withColumn("_offset", F.col("_line") - preamble)
-    wide = F.col(f"c{len(names)}").isNotNull()
-    message = F.concat(F.lit(f"a row has more than the {len(names)} cells of its header in "), F.col("_file"))
-    out = [F.nullif(F.regexp_replace(F.col(f"c{i}"), f"^(?:\\uFEFF|{WS})+|{WS}+$", ""), F.lit("")).alias(n) for i, n in enumerate(names)]
-    out[0] = F.when(wide, F.raise_error(message).cast("string")).otherwise(F.nullif(F.regexp_replace(F.col("c0"), f"^(?:\\uFEFF|{WS})+|{WS}+$", ""), F.lit(""))).alias(names[0])
-    return read.select(*out, *(["_file", "_offset"] if offsets else ["_file"]))
-
-
 def data_columns(df: DataFrame) -> list[str]:
     """The columns of a scan that hold data, not where it came from."""
     return [c for c in df.columns if not c.startswith("_")]
@@ -174,9 +244,10 @@ def data_columns(df: DataFrame) -> list[str]:
 def text_lines(spark: SparkSession, paths: str | list[str], skip: int = 0) -> DataFrame:
     """Lines of text files with their number in the file; the first ``skip`` are left out."""
     lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place")
     )
-    numbered = with_file_offset(lines, "_line").drop("_block")
+    lines = _on_split(lines, _starts(lines, "_place").select("_file", "_block", "_shift"))
+    numbered = lines.select("value", "_file", (F.col("_place") + F.col("_shift")).alias("_line"))
     return numbered.filter(F.col("_line") >= skip) if skip else numbered
 
 
