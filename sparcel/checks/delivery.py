@@ -117,6 +117,25 @@ def json_array_scan(spark, sf):
     return records.select("o_custkey", get("l_orderkey", "bigint"), get("l_linenumber", "int"))
 
 
+def _one_document(parts):
+    """Every file of the write is one JSON document, with other members around its array."""
+    yield pd.DataFrame({"value": ['{"about": {"orders": [{"o_orderkey": -1}]}, "data": {"orders": [']})
+    for number, part in enumerate(parts):
+        yield pd.DataFrame({"value": ["," if number else "", ",\n".join(part["value"])]})
+    yield pd.DataFrame({"value": ['], "end": true}, "orders": []}']})
+
+
+@register("json_document_scan", "SELECT o_orderkey, o_custkey, o_orderpriority || '} \"' || o_orderstatus || '{' AS note FROM orders")
+def json_document_scan(spark, sf):
+    """All orders as one document for each written file, read by as many tasks as the file has splits."""
+    path = scratch(spark, "document")
+    note = F.concat("o_orderpriority", F.lit('} "'), "o_orderstatus", F.lit("{")).alias("note")
+    rows = table(spark, sf, "orders").select(F.to_json(F.struct("o_orderkey", "o_custkey", note)).alias("value"))
+    rows.mapInPandas(_one_document, "value string").write.text(path)
+    found = nested.scan_json(spark, path, "$.data.orders[*]")
+    return found.select(*[F.variant_get("record", f"$.{c}", t).alias(c) for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("note", "string"))])
+
+
 def _with_root(parts):
     """Every file of the write is one document."""
     yield pd.DataFrame({"value": ["<suppliers>"]})

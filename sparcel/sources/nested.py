@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparcel.sources.documents import array_pieces
+
 
 def _steps(json_path: str) -> list[str]:
     """Pieces of a JSONPath between the places where an array is opened (``[*]``)."""
@@ -16,6 +18,17 @@ def _steps(json_path: str) -> list[str]:
     return json_path.removeprefix("$").replace(".*", "[*]").split("[*]")
 
 
+def _items(df: DataFrame, steps: list[str]) -> DataFrame:
+    """Every item of the array in VARIANT ``record``, then of the arrays at the further steps."""
+    others = [c for c in df.columns if c != "record"]
+    for step in steps:
+        items = F.try_variant_get(F.col("record"), "$", "array<variant>")
+        df = df.select(*others, F.explode(items).alias("record"))
+        if step:
+            df = df.withColumn("record", F.try_variant_get("record", f"${step}", "variant"))
+    return df.filter(F.col("record").isNotNull())
+
+
 def json_records(df: DataFrame, text: str, json_path: str = "$") -> DataFrame:
     """One row per match of ``json_path`` in a JSON text column, as VARIANT ``record``.
 
@@ -26,18 +39,21 @@ def json_records(df: DataFrame, text: str, json_path: str = "$") -> DataFrame:
     out = df.select(*others, F.try_parse_json(F.col(text)).alias("record"))
     if first:
         out = out.withColumn("record", F.try_variant_get("record", f"${first}", "variant"))
-    for step in rest:
-        items = F.try_variant_get(F.col("record"), "$", "array<variant>")
-        out = out.select(*others, F.explode(items).alias("record"))
-        if step:
-            out = out.withColumn("record", F.try_variant_get("record", f"${step}", "variant"))
-    return out.filter(F.col("record").isNotNull())
+    return _items(out, rest)
 
 
 def scan_json(spark: SparkSession, paths: str | list[str], json_path: str = "$", lines: bool = False) -> DataFrame:
-    """Records of JSON documents (one per file) or of JSON lines."""
-    text = spark.read.text(paths, wholetext=not lines).withColumnRenamed("value", "_text")
-    return json_records(text.select("_text", F.col("_metadata.file_path").alias("_file")), "_text", json_path)
+    """Records of JSON documents (one per file) or of JSON lines.
+
+    A path that opens an array below names (``$[*]``, ``$.a.b[*].c``) is followed by all tasks at once, whatever the document's
+    size; each of that array's elements is one value. Other paths take a document as one value.
+    """
+    first, *rest = _steps(json_path)
+    if lines or not rest or not re.fullmatch(r"(?:\.[^\[\]}\"\\]+)*", first):
+        text = spark.read.text(paths, wholetext=not lines).withColumnRenamed("value", "_text")
+        return json_records(text.select("_text", F.col("_metadata.file_path").alias("_file")), "_text", json_path)
+    pieces = array_pieces(spark, paths, first.split(".")[1:])
+    return _items(pieces.select("_file", F.try_parse_json("_text").alias("record")), rest)
 
 
 def flatten_columns(schema: T.StructType, sizes: dict[str, int] | None = None) -> list[Column]:
