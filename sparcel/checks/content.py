@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparcel.checks.base import dealt, register, spark_sql, table
 from sparcel.operators import labels as L
+from sparcel.operators import sampling as SA
 
 # RE2 forms of the value patterns. Word boundaries are ASCII in RE2.
 DUCK = {
@@ -161,7 +162,7 @@ def detect_person_name(spark, sf):
     names = part.select(first.alias("name")).union(
         table(spark, sf, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))))
     )
-    return L.detect_person_names(part, "p_partkey", ["p_name", "p_type"], names)
+    return L.detect_person_names(part, ["p_name", "p_type"], names)
 
 
 @register(
@@ -173,17 +174,36 @@ def detect_person_name(spark, sf):
 )
 def detect_person_name_in_text(spark, sf):
     names = table(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("name"))
-    rows = L.detect_person_names(dealt(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", ["text"], names)
+    rows = L.detect_person_names(dealt(table(spark, sf, "documents").select("text")), ["text"], names)
     return rows.select("property", "occurrence_count", "tested_count")
 
 
+# The tests of a property: the first 101 values, then waits drawn from chances that fall with the tests so far.
+SCHEDULE = """
+    v AS (SELECT 'text' AS property, 'string' AS type, doc_id AS position, text AS value FROM documents UNION ALL SELECT 'lang', 'string', doc_id, lang FROM documents
+      UNION ALL SELECT 'n_chars', 'integer', doc_id, CAST(n_chars AS VARCHAR) FROM documents),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY property ORDER BY position, value) - 1 AS rank FROM v WHERE value IS NOT NULL),
+    waits AS (SELECT property, type, t, CASE WHEN t < 101 THEN 1 ELSE 1 + CAST(floor(ln(1 - CAST('0x' || substr(md5('0-' || property || '-' || type || '-' || t), 1, 8) AS BIGINT) / 4294967296.0)
+        / ln(1 - 1.0 / (t - 99))) AS BIGINT) END AS wait FROM (SELECT DISTINCT property, type FROM v), range(0, (SELECT 400 + 8 * CAST(sqrt(count(*)) AS BIGINT) FROM documents)) r(t)),
+    due AS (SELECT property, t, sum(wait) OVER (PARTITION BY property ORDER BY t) - 1 AS rank FROM waits),
+    sampled AS (SELECT ranked.*, due.t AS test FROM ranked JOIN due USING (property, rank))"""
+
+
+@register("adaptive_sampling", f"WITH {SCHEDULE} SELECT property, type, position, test, rank FROM sampled")
+def adaptive_sampling(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    return SA.sampled_values(documents, "doc_id").select("property", "type", "position", "test", "rank")
+
+
 @register(
-    "adaptive_sampling",
-    """SELECT event_id, value FROM events
-    WHERE event_id < 100 OR CAST('0x' || substr(md5('0-' || event_id), 1, 8) AS BIGINT) / 4294967296.0 < 1.0 / greatest(event_id - 99, 1)""",
+    "adaptive_labels",
+    f"WITH {SCHEDULE} SELECT *, occurrence_count / tested_count > 0.66 AS applied FROM (" + " UNION ALL ".join(
+        f"SELECT property, type, '{label}' AS label, count(*) FILTER (WHERE {_duck_hits(label, 'value')}) AS occurrence_count, count(*) AS tested_count FROM sampled WHERE type = 'string' GROUP BY ALL"
+        for label in DUCK) + ") WHERE occurrence_count > 0",
 )
-def adaptive_sampling(spark, sf):
-    return L.adaptive_sample(table(spark, sf, "events"), "event_id").select("event_id", "value")
+def adaptive_labels(spark, sf):
+    """Detectors run on the sampled values only."""
+    return SA.sample_content_labels(table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
 
 
 def _half_labels(spark, sf, lang_test):

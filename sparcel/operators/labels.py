@@ -100,7 +100,7 @@ def name_labels(name: str, kind: str) -> list[str]:
     ]
 
 
-def _typed_text(value: Column, dtype: T.DataType, raw: bool, kind: str) -> Column:
+def typed_text(value: Column, dtype: T.DataType, raw: bool, kind: str) -> Column:
     """Values of one type as text, NULL elsewhere."""
     if raw:
         return F.when(infer_string_type(value) == kind, value)
@@ -132,7 +132,7 @@ def scan_content_labels(
             continue
         kinds = ("string", "integer", "number", "date") if field.raw else possible_types(field.dtype)
         for kind in kinds:
-            text = _array_text(field, kind) if field.elements else _typed_text(field.column, field.dtype, field.raw, kind)
+            text = _array_text(field, kind) if field.elements else typed_text(field.column, field.dtype, field.raw, kind)
             detectors = [d for d in chosen if kind in d.types]
             by_name = [n for n in name_labels(field.name, kind) if labels is None or n in set(labels)]
             if not detectors and not by_name:
@@ -163,7 +163,7 @@ def _row(name: str, kind: str, label: str, hits: Column, tested: Column, applied
 
 def _array_text(field: Field, kind: str) -> Column:
     def one(value: Column) -> Column:
-        return _typed_text(value, field.dtype, field.raw, kind)
+        return typed_text(value, field.dtype, field.raw, kind)
 
     return F.filter(F.transform(field.column, one), lambda v: v.isNotNull())
 
@@ -178,7 +178,7 @@ def _hits(text: Column, field: Field, detector: ValueDetector) -> Column:
     return F.count_if(detector.hit(text))
 
 
-def detect_person_names(df: DataFrame, key: str, columns: Iterable[str], names: DataFrame) -> DataFrame:
+def detect_person_names(df: DataFrame, columns: Iterable[str], names: DataFrame) -> DataFrame:
     """Count the values that are, or contain, a name of the user's ``names(name)`` table.
 
     Values of up to 40 characters must be a name, word by word; longer ones must contain one.
@@ -190,7 +190,8 @@ def detect_person_names(df: DataFrame, key: str, columns: Iterable[str], names:
     entries = [
         F.struct(F.lit(c).alias("property"), F.col(f"`{c}`").alias("value")) for c in columns
     ]
-    values = df.select(key, *columns).select(F.col(key).alias("_key"), F.inline(F.array(*entries))).filter("value is not null")
+    # every record is one of its own, whatever its cells repeat
+    values = df.select(F.monotonically_increasing_id().alias("_key"), *columns).select("_key", F.inline(F.array(*entries))).filter("value is not null")
     words = F.filter(F.split(F.lower("value"), r"[^\p{L}'-]+"), lambda w: w != "")
     short = F.length(trimmed(F.col("value"))) <= LONG_TEXT
     # Only short values, which have few words, need each word once.
@@ -214,19 +215,6 @@ def detect_person_names(df: DataFrame, key: str, columns: Iterable[str], names:
     )
 
 
-def uniform(position: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the row only, so that a retried task draws the same."""
-    digest = F.md5(F.concat(F.lit(f"{seed}-"), position.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
-
-
-def adaptive_sample(df: DataFrame, position: str, seed: int = 0) -> DataFrame:
-    """The first 100 records, then each with a chance that falls with its position."""
-    n = F.col(position)
-    chance = F.lit(1.0) / F.greatest(n - 99, F.lit(1))
-    return df.filter((n < 100) | (uniform(n, seed) < chance))
-
-
 def merge_labels(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Keep old labels and their hidden flag, add new ones, add up the counts."""
     keys = ["property", "type", "label"]

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparcel.operators.labels import uniform
+from sparcel.operators.sampling import uniform
 
 # Word lists the text attributes draw from.
 WORDS = {
@@ -21,7 +21,7 @@ WORDS = {
 
 def attribute(kind: str, number: Column, seed: int) -> Column:
     """A value of ``kind``: a word list, ``integer``, ``number``, ``boolean``, ``date`` or ``email``."""
-    draw = uniform(number, seed)
+    draw = uniform(seed, number)
     if kind in WORDS:
         words = F.array(*[F.lit(w) for w in WORDS[kind]])
         return F.get(words, F.floor(draw * len(WORDS[kind])).cast("int"))

@@ -1,8 +1,11 @@
 import datetime as dt
+import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparcel.operators import sampling as SA
 from sparcel.operators import labels as L
 from sparcel.operators import profile as P
 from sparcel.operators import projection as R
@@ -49,8 +52,32 @@ def test_person_names(spark):
     names = spark.createDataFrame([("Ada",), ("Lovelace",)], "name string")
     texts = ["Ada Lovelace", "Ada Smith", "A rather long sentence of words that mentions Ada somewhere inside", "nobody is in this long sentence about nothing at all, really"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    row = L.detect_person_names(df, "id", ["t"], names).first()
+    row = L.detect_person_names(df, ["t"], names).first()
     assert (row["occurrence_count"], row["tested_count"]) == (2, 4)
+    same = spark.createDataFrame([(1, "ada lovelace"), (1, "lovelace ada"), (1, "ada lovelace")], "id int, t string")
+    row = L.detect_person_names(same, ["t"], names).first()
+    assert (row["occurrence_count"], row["tested_count"], row["applied"]) == (3, 3, True)
+
+
+def test_sample_follows_its_schedule(spark, monkeypatch):
+    monkeypatch.setattr(SA, "BLOCK", 16)
+    monkeypatch.setattr(SA, "CHUNK", 5)
+    values = [(i, None if i % 7 == 0 else f"v{i}", i % 3) for i in range(3000)] + [(None, "x", 1), (2999, "a", 1)]
+    df = spark.createDataFrame(values, "n long, t string, k int").repartition(5)
+    got = SA.sampled_values(df, "n", seed=3).collect()
+    for name, kind, rows in (("t", "string", sorted((i, v) for i, v, _ in values if i is not None and v)), ("k", "integer", sorted((i, str(k)) for i, _, k in values if i is not None))):
+        rank, test, want = 0, 0, []
+        while rank < len(rows):
+            want.append((rank, test, *rows[rank]))
+            test += 1
+            wait = 1
+            if test > 100:
+                u = int(hashlib.md5(f"3-{name}-{kind}-{test}".encode()).hexdigest()[:8], 16) / 2**32
+                wait = 1 + math.floor(math.log(1 - u) / math.log(1 - 1 / (test - 99)))
+            rank += wait
+        assert sorted((r["rank"], r.test, r.position, r.value) for r in got if r.property == name) == want
+        assert 140 < len(want) < 240  # about 101 + sqrt(2 * 2900)
+
 
 
 def test_conflicts(spark):
