@@ -46,8 +46,13 @@ STATS: dict[str, tuple[str, str]] = {
     "array_max_length": ("bigint", "max"),
     "first_seen": ("timestamp", "min"),
     "last_seen": ("timestamp", "max"),
+    "distinct_sketch": ("binary", "union"),
 }
-COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
+COMBINE = {"sum": F.sum, "min": F.min, "max": F.max, "union": lambda c: F.theta_union_agg(c, SKETCH)}
+#: Statistics that are kept only when asked for.
+ON_REQUEST = {"distinct_sketch"}
+#: Sketches of 2^8 hashes: up to as many values they count exactly, which is beyond the number of options of interest.
+SKETCH = 8
 
 
 @dataclass(frozen=True)
@@ -125,8 +130,9 @@ def scale_of(x: str, dtype: T.DataType) -> str:
 def whole_digits_sql(x: str) -> str:
     """Digits before the point of a number's plain text."""
     steps = " ".join(f"WHEN abs({x}) < 1e{d}D THEN {d}" for d in range(1, 10))
-    plain = f"try_cast(floor(abs({x})) AS decimal(38,0))"
-    return f"CASE {steps} WHEN {plain} IS NOT NULL THEN length(cast({plain} AS string)) WHEN {x} IS NOT NULL THEN cast(floor(log10(abs({x}))) AS int) + 1 END"
+    whole = f"WHEN abs({x}) < 9e18D THEN length(cast(floor(abs({x})) AS string))"  # from there on doubles are whole anyway
+    plain = f"try_cast(abs({x}) AS decimal(38,0))"
+    return f"CASE {steps} {whole} WHEN {plain} IS NOT NULL THEN length(cast({plain} AS string)) WHEN {x} IS NOT NULL THEN cast(floor(log10(abs({x}))) AS int) + 1 END"
 
 
 def _integers(kind: str, on: str | None, value: str) -> list[Aggregate]:
@@ -186,6 +192,10 @@ def _range(kind: str, stat: str, value: str, on: str | None = None) -> list[Aggr
     ]
 
 
+def _distinct(kind: str, value: str, on: str | None = None) -> list[Aggregate]:
+    return [(kind, "distinct_sketch", f"theta_sketch_agg({value}, {SKETCH}){_where(on)}")]
+
+
 def _booleans(kind: str, value: str) -> list[Aggregate]:
     return [(kind, "true_count", f"count_if({value})"), (kind, "false_count", f"count_if(NOT {value})")]
 
@@ -200,12 +210,14 @@ def _raw(field: Field, key: str) -> tuple[dict[str, Column], list[Aggregate]]:
         f"{key}_t": F.when(kind.isin("date", "date-time"), F.unix_micros(to_timestamp(value))),
         f"{key}_b": F.when(kind == "boolean", to_boolean(value)),
         f"{key}_l": F.length(value),
+        f"{key}_x": value,
     }
 
     def on(name: str) -> str:
         return f"{key}_k = '{name}'"
 
     aggs = [(k, "record_count", f"count_if({on(k)})") for k in (*RAW_TYPES, "null")]
+    aggs += [a for k in RAW_TYPES for a in _distinct(k, f"{key}_x", on(k))]
     aggs += _range("string", "string", f"{key}_l", on("string"))
     aggs += _numbers("integer", on("integer"), f"{key}_v", None) + _integers("integer", None, f"{key}_i")
     aggs += _numbers("number", on("number"), f"{key}_v", scale_sql(f"{key}_v"))
@@ -225,16 +237,18 @@ def _scalar(field: Field, key: str, widen: bool) -> tuple[dict[str, Column], lis
         whole, decimal = f"{scale} = 0", f"{scale} > 0"
         if not widen:
             aggs = [nulls, *[(k, "record_count", f"count_if({on})") for k, on in (("integer", whole), ("number", decimal))]]
+            aggs += _distinct("integer", v, whole) + _distinct("number", v, decimal)
             return ready, aggs + _numbers("integer", whole, v, scale) + _numbers("number", decimal, v, scale)
         # Integers count as numbers once there are decimals, so one set of aggregates does.
         aggs = [nulls]
         for kind, chosen in (("integer", f"count_if({decimal}) = 0"), ("number", f"count_if({decimal}) > 0")):
             aggs.append((kind, "record_count", f"CASE WHEN {chosen} THEN count({v}) ELSE 0 END"))
-            aggs += [(kind, stat, f"CASE WHEN {chosen} THEN {a} END") for _, stat, a in _numbers(kind, None, v, scale)]
+            aggs += [(kind, stat, f"CASE WHEN {chosen} THEN {a} END") for _, stat, a in _numbers(kind, None, v, scale) + _distinct(kind, v)]
         return ready, aggs
     if kinds == ("date", "date-time"):
         midnight = midnight_sql(v)
         aggs = [nulls, ("date", "record_count", f"count_if({midnight})"), ("date-time", "record_count", f"count_if(NOT {midnight})")]
+        aggs += _distinct("date", v, midnight) + _distinct("date-time", v, f"NOT {midnight}")
         return {v: F.expr(micros_sql(x))}, aggs + _stamps("date", midnight, v) + _stamps("date-time", f"NOT {midnight}", v)
     kind = kinds[0]
     aggs = [nulls, (kind, "record_count", f"count({v})")]
@@ -247,6 +261,10 @@ def _scalar(field: Field, key: str, widen: bool) -> tuple[dict[str, Column], lis
         "object": lambda: (f"CASE WHEN {x} IS NOT NULL THEN true END", []),
     }[kind]()
     exact = {f"{key}_i": F.expr(f"cast({x} AS decimal(38,0))")} if kind == "integer" else {}
+    plain = {"string": x, "boolean": f"cast({x} AS int)", "date": v, "integer": f"cast({x} AS {'bigint' if isinstance(field.dtype, T.IntegralType) else 'string'})"}.get(kind)
+    if plain:
+        more += _distinct(kind, f"{key}_x")
+        exact[f"{key}_x"] = F.expr(plain if kind != "date" else ready)
     return {v: F.expr(ready), **exact}, aggs + more
 
 
@@ -334,7 +352,7 @@ def profile(
         ]
         return reduce(DataFrame.union, parts)
     schema = T.StructType([df.schema[c] for c in chosen])
-    keep = {*stats, "record_count"} if stats is not None else set(STATS)
+    keep = {*stats, "record_count"} if stats is not None else set(STATS) - ON_REQUEST
 
     prepared: dict[str, Column] = {}
     aggregates: list[Column] = []
@@ -431,35 +449,44 @@ def merge_samples(existing: DataFrame, new: DataFrame, order: str, schema: str,
     return both.withColumn("sample_no", place).filter(F.col("sample_no") <= limit).drop("_turn", "_side")
 
 
+def option_profile(df: DataFrame, columns: Iterable[str] | None = None, raw: Iterable[str] = (), by: Iterable[str] = ()) -> DataFrame:
+    """The part of a profile that tells which properties and types have few, short values; it is merged like any profile."""
+    names = [
+        f.name for f in df.schema.fields
+        if f.name not in set(by) and (columns is None or f.name in set(columns))
+        and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.NullType))
+    ]
+    return profile(df, raw=raw, by=by, columns=names, stats=["string_max_length", "distinct_sketch"], widen=False)
+
+
+def with_few_options(rows: DataFrame) -> DataFrame:
+    """Profile rows of a property and type with at most 50 values of at most 50 characters."""
+    short = F.coalesce(F.col("string_max_length"), F.lit(0)) <= OPTION_LENGTH  # other types are never longer
+    return rows.filter((F.col("type") != "null") & short & (F.theta_sketch_estimate("distinct_sketch") <= OPTION_COUNT))
+
+
 def value_options(df: DataFrame, columns: Iterable[str] | None = None, raw: Iterable[str] = ()) -> DataFrame:
     """Histogram (property, type, value, n) of every property and type with few, short values.
 
-    The rule holds for each type by itself, so the integers among long texts keep their options. One scan measures the
-    longest value and an approximate number of values of each property and type; the estimate only rules out those far above
-    the limit, the exact test follows on the counts of the others.
+    The rule holds for each type by itself, so the integers among long texts keep their options. One wide aggregate finds the
+    longest value and a sketch of the values of each property and type, without a row for each cell; only the columns that
+    pass are counted value by value.
     """
     raw = set(raw)
-    entries = [
-        F.struct(
-            F.lit(f.name).alias("property"),
-            (infer_string_type(F.col(quoted(f.name))) if f.name in raw else infer_value_type(F.col(quoted(f.name)), f.dataType)).alias("type"),
-            F.col(quoted(f.name)).cast("string").alias("value"),
-        )
-        for f in df.schema.fields
-        if (columns is None or f.name in columns)
-        and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.NullType))
-    ]
+    # one row for each property and type, of which a schema has a bounded number
+    chosen = [(r["property"], r["type"]) for r in with_few_options(option_profile(df, columns, raw)).select("property", "type").collect()]
+    entries = []
+    for f in df.schema.fields:
+        kinds = [k for p, k in chosen if p == f.name]
+        if kinds:
+            value = F.col(quoted(f.name))
+            kind = infer_string_type(value) if f.name in raw else infer_value_type(value, f.dataType)
+            text = F.when(kind.isin(*kinds), value.cast("string"))
+            entries.append(F.struct(F.lit(f.name).alias("property"), kind.alias("type"), text.alias("value")))
     if not entries:
         return df.sparkSession.createDataFrame([], "property string, type string, value string, n bigint")
-    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull() & (F.col("type") != "null"))
-    measured = values.groupBy("property", "type").agg(F.max(F.length("value")).alias("longest"), F.approx_count_distinct("value").alias("about"))
-    few = measured.filter((F.col("longest") <= OPTION_LENGTH) & (F.col("about") <= 2 * OPTION_COUNT)).select("property", "type")
-    # one row for each property and type, of which a schema has a bounded number
-    chosen = [tuple(r) for r in few.collect()]
-    wanted = F.lit(False)
-    for name, kind in chosen:
-        wanted = wanted | ((F.col("property") == name) & (F.col("type") == kind))
-    return few_options(values.filter(wanted).groupBy("property", "type", "value").agg(F.count("*").alias("n")))
+    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    return few_options(values.groupBy("property", "type", "value").agg(F.count("*").alias("n")))
 
 
 def few_options(counts: DataFrame) -> DataFrame:

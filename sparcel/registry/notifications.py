@@ -78,7 +78,7 @@ def _summaries(kind: str, counted: DataFrame, keys: DataFrame) -> DataFrame:
 
     Followers that ask for the same change types of a target share one set of totals. The totals keep the first two actors
     and the last two, and of an edited property how many actors edited it, so one's own share can be taken off again: the work
-    follows the followers and the actors, not their pairs.
+    follows the followers and the actors, not their pairs. All actions without an actor count as those of one unknown actor.
     """
     group = ["_target", "_event", "_asked"]
     keys = keys.withColumn("_asked", F.coalesce(F.array_join("_changes", ","), F.lit("*")))
@@ -91,7 +91,7 @@ def _summaries(kind: str, counted: DataFrame, keys: DataFrame) -> DataFrame:
     totals = by_actor.groupBy(*group).agg(F.sum("n").alias("total"), F.count("*").alias("actors"), F.min(first).alias("first1"), F.max(last).alias("last1"))
     totals = written(totals, f"{kind}_totals")
     others = by_actor.join(totals, group).groupBy(*group).agg(
-        F.min(F.when(F.col("actor_id") != F.col("first1.actor_id"), first)).alias("first2"), F.max(F.when(F.col("actor_id") != F.col("last1.actor_id"), last)).alias("last2")
+        F.min(F.when(~F.col("actor_id").eqNullSafe(F.col("first1.actor_id")), first)).alias("first2"), F.max(F.when(~F.col("actor_id").eqNullSafe(F.col("last1.actor_id")), last)).alias("last2")
     )
     edits = by_actor.select(*group, "actor_id", F.explode("edited").alias("p")).groupBy(*group, "p").agg(F.count("*").alias("k"), F.max("actor_id").alias("only"))
     edits = edits.groupBy(*group).agg(F.collect_list(F.struct("p", "k", "only")).alias("edits"))
@@ -100,7 +100,7 @@ def _summaries(kind: str, counted: DataFrame, keys: DataFrame) -> DataFrame:
     rows = keys.drop("_changes").join(totals, group).join(own, [*group, "_follower"], "left")
     begins = F.when(F.col("first1.actor_id") == F.col("_follower"), F.col("first2")).otherwise(F.col("first1"))
     ends = F.when(F.col("last1.actor_id") == F.col("_follower"), F.col("last2")).otherwise(F.col("last1"))
-    edited = F.filter("edits", lambda e: (e["k"] > 1) | (e["only"] != F.col("_follower")))
+    edited = F.filter("edits", lambda e: (e["k"] > 1) | ~e["only"].eqNullSafe(F.col("_follower")))
     return rows.filter(F.col("actors") > F.when(F.col("own").isNull(), 0).otherwise(1)).select(
         F.lit(kind).alias("kind"), F.col("_follower").alias("user_id"), F.col("_target").alias("target_id"), F.col("_event").alias("event_type"),
         (F.col("total") - F.coalesce("own", F.lit(0))).alias("n_actions"), (F.col("actors") - F.when(F.col("own").isNull(), 0).otherwise(1)).alias("n_actors"),

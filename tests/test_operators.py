@@ -80,6 +80,38 @@ def test_sample_follows_its_schedule(spark, monkeypatch):
 
 
 
+def test_digits_of_large_numbers(spark):
+    for value, digits in ((2.0**63, 19), (1e19, 20), (5e18, 19), (1e37, 38), (1e300, 301), (9999999999.9, 11), (-1.5e20, 21)):
+        row = P.profile(spark.createDataFrame([(value,)], "v double")).first()
+        assert row["number_max_precision"] == digits, value
+
+
+def test_option_sketches_merge(spark):
+    rows = [(i % 40, "ab" * (i % 30), f"t{i}", i % 2 == 0, "x" if i % 3 else "2020-01-02") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, s string, t string, b boolean, raw string")
+    parts = [P.option_profile(df.filter(f"k % 3 {op} 0"), raw=["raw"]) for op in ("=", "<>")]
+    # an empty text is not counted, which the exact test that follows allows for
+    merged = {(r["property"], r["type"]): r["about"] for r in P.merge_profiles(*parts).select("property", "type", F.theta_sketch_estimate("distinct_sketch").alias("about")).collect()}
+    assert {k: v for k, v in merged.items() if k[0] != "t"} == {("k", "integer"): 40, ("s", "string"): 29, ("b", "boolean"): 2, ("raw", "string"): 1, ("raw", "date"): 1}
+    assert merged["t", "string"] > 1000
+    few = {(r["property"], r["type"]) for r in P.with_few_options(P.merge_profiles(*parts)).collect()}
+    assert few == {("k", "integer"), ("b", "boolean"), ("raw", "string"), ("raw", "date")}
+    options = P.value_options(df, raw=["raw"])
+    assert options._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert {r["property"]: r["n"] for r in options.groupBy("property").agg(F.sum("n").alias("n")).collect()} == {"k": 3000, "b": 3000, "raw": 3000}
+
+
+def test_notifications_of_unknown_actors(spark):
+    log = spark.createDataFrame(
+        [(1, "2024-01-01 00:00:01", None, "E", None, 5, ["slug"]), (2, "2024-01-01 00:00:02", 7, "E", None, 5, ["readme"]), (3, "2024-01-01 00:00:03", None, "E", None, 5, ["slug"]), (4, "2024-01-01 00:00:04", 7, "E", None, 6, None)],
+        "id long, created_at string, user_id long, event_type string, change_type string, target_catalog_id long, properties_edited array<string>",
+    ).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    follows = spark.createDataFrame([(7, 5, ["E"], "DAILY"), (8, 5, ["E"], "DAILY"), (8, 6, ["E"], "DAILY"), (7, 6, ["E"], "DAILY")], "user_id long, target_catalog_id long, event_types array<string>, frequency string")
+    rows = N.notify_by_catalog(log, follows, dt.datetime(2023, 1, 1), dt.datetime(2025, 1, 1), "DAILY").collect()
+    got = {(r.user_id, r.target_id): (r.n_actions, r.n_actors, r.first_at.second, r.last_at.second, r.first_actor_id, r.properties_edited) for r in rows}
+    assert got == {(7, 5): (2, 1, 1, 3, None, ["slug"]), (8, 5): (3, 2, 1, 3, None, ["readme", "slug"]), (8, 6): (1, 1, 4, 4, 7, [])}
+
+
 def test_conflicts(spark):
     conflicts = spark.createDataFrame([("p", ["date", "integer"]), ("q", ["boolean", "date", "string"])], "property string, types array<string>")
     got = {r["property"]: r["options"] for r in C.conflict_options(conflicts).collect()}
