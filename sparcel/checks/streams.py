@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from sparcel.checks.base import register, table
@@ -55,18 +57,33 @@ def resume_offsets(spark, sf):
     return spark.read.parquet(target).select("event_id", "event_type")
 
 
+DELIVERED = "stream string, stream_offset bigint, update_hash string, updated_at timestamp"
+
+
+def _deliver(store, available, state_of=None):
+    last = store.state().agg(F.max("stream_offset")).first()[0]
+    batch = after_offset(available, last, "event_id").select("event_id", "event_type", "ts", "props")
+    store.deliver(batch, state_of or (lambda rows: D.state_of_delivery(
+        rows.withColumn("stream", F.lit("events")), ("stream",), "event_id", F.col("ts").cast("timestamp"), complete=True, update_hash=F.col("props"))))
+
+
+def _dies(rows):
+    raise InterruptedError("between the rows and their offsets")
+
+
 @register("incremental_delivery", "SELECT event_id, event_type FROM events")
 def incremental_delivery(spark, sf):
-    """The same in batch mode, with the state table saying where to go on."""
-    events, target = table(spark, sf, "events"), scratch(spark, "delivered")
-    store = D.StateTable(spark, scratch(spark, "state"), "stream string, stream_offset bigint, update_hash string, updated_at timestamp")
+    """Rows and offsets published together: a run that dies after its rows were written is run again, and none is there twice."""
+    events = table(spark, sf, "events")
+    store = D.Delivery(spark, scratch(spark, "delivered"), "event_id bigint, event_type string, ts timestamp, props string", DELIVERED, ("stream",))
     middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
-    for available in (events.filter(F.col("event_id") <= middle), events):
-        last = store.read().agg(F.max("stream_offset")).first()[0]
-        batch = after_offset(available, last, "event_id").withColumn("stream", F.lit("events"))
-        batch.write.mode("append").parquet(target)
-        store.upsert(D.state_of_delivery(batch, ("stream",), "event_id", F.col("ts").cast("timestamp"), complete=True, update_hash=F.col("props")), ("stream",))
-    return spark.read.parquet(target).select("event_id", "event_type")
+    _deliver(store, events.filter(F.col("event_id") <= middle))
+    with contextlib.suppress(InterruptedError):
+        _deliver(store, events, _dies)
+    _deliver(store, events)
+    _deliver(store, events)
+    store.compact()
+    return store.read().select("event_id", "event_type")
 
 
 @register("stream_route", "SELECT event_type AS schema, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
@@ -77,18 +94,35 @@ def stream_route(spark, sf):
     return spark.read.parquet(target).groupBy(F.col(SCHEMA).alias("schema")).agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
 
 
+_SEEN = ", ".join(f"strftime({f}(ts), '%Y-%m-%d %H:%M:%S.%f') AS {n}_seen" for f, n in (("min", "first"), ("max", "last")))
+
+
 @register(
     "stream_profile",
-    """SELECT 'value' AS property, 'number' AS type, count(*) AS n, min(value) AS low, max(value) AS high, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events
-    UNION ALL SELECT 'user_id', 'integer', count(*), min(user_id), max(user_id), strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM events""",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS property, '{kind}' AS type, count({c}) AS n, {low} AS low, {high} AS high, {shortest} AS shortest, {longest} AS longest, {_SEEN} FROM events WHERE {where}"
+        for c, kind, low, high, shortest, longest, where in (
+            *[(c, k, f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)", "NULL", "NULL", "TRUE") for c, k in (("event_id", "integer"), ("user_id", "integer"), ("value", "number"))],
+            *[(c, "string", "NULL", "NULL", f"min(length({c}))", f"max(length({c}))", "TRUE") for c in ("event_type", "props")],
+            ("stamp", "date-time", "CAST(min(epoch_us(ts)) / 1e6 AS DOUBLE)", "CAST(max(epoch_us(ts)) / 1e6 AS DOUBLE)", "NULL", "NULL", "date_trunc('day', ts) <> ts"),
+        )
+    ).replace("count(stamp)", "count(ts)"),
 )
 def stream_profile(spark, sf):
-    target = scratch(spark, "profile")
-    S.stream_profile(_stream(spark, sf), target, scratch(spark, "checkpoint"), columns=["value", "user_id"], received="ts").awaitTermination()
+    """All six columns of a stream that is stopped in the middle and goes on; the totals live in the state store."""
+    path, schema = _event_files(spark, sf)
+    files, late = spark.read.schema(schema).parquet(path), scratch(spark, "late")
+    target, checkpoint = scratch(spark, "profile"), scratch(spark, "checkpoint")
+    middle = files.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        files.filter(part).write.mode("append").parquet(late)
+        stream = S.read_files(spark, late, schema, files_per_batch=1).withColumn("stamp", F.col("ts"))
+        S.stream_profile(stream, target, checkpoint, received="ts").awaitTermination()
     form = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    return S.newest_profile(spark, target).select(
-        "property", "type", F.col("record_count").alias("n"), F.col("number_min").alias("low"), F.col("number_max").alias("high"),
-        F.date_format("first_seen", form).alias("first_seen"), F.date_format("last_seen", form).alias("last_seen"),
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return S.newest_profile(spark, target).filter("property <> 'stamp' OR type = 'date-time'").select(
+        "property", "type", F.col("record_count").alias("n"), F.coalesce("number_min", seconds("date_min")).alias("low"), F.coalesce("number_max", seconds("date_max")).alias("high"),
+        F.col("string_min_length").alias("shortest"), F.col("string_max_length").alias("longest"), F.date_format("first_seen", form).alias("first_seen"), F.date_format("last_seen", form).alias("last_seen"),
     )
 
 

@@ -320,37 +320,32 @@ def _elements(field: Field, key: str) -> tuple[dict[str, Column], list[Aggregate
     return ready, aggs
 
 
-def profile(
-    df: DataFrame,
-    *,
-    raw: Iterable[str] = (),
-    by: Iterable[str] = (),
-    columns: Iterable[str] | None = None,
-    received: str | None = None,
-    stats: Iterable[str] | None = None,
-    widen: bool = True,
-    columns_per_scan: int | None = None,
-    depth: int = DEPTH,
-) -> DataFrame:
-    """Profile ``df``: one row per property and observed type.
-
-    ``raw`` columns hold text whose type is inferred value by value; ``by`` names columns to
-    profile separately (a schema slug, say); ``received`` is the receive time behind first
-    and last seen; ``stats`` restricts the statistics, and so the columns computed.
-
-    One scan, whatever the number of columns. ``columns_per_scan`` profiles so many at a time
-    instead: a columnar source still reads every column once, and each generated loop stays small
-    enough to be compiled; any other source is read or recomputed for every group. Fields deeper
-    than ``depth`` levels are left out.
-    """
+@dataclass
+class Plan:
+    """One wide aggregate over prepared columns, and the text that turns its row into (property, type) rows."""
+
+    per_row: DataFrame
+    aggregates: list[Column]
+    rows: str
+    by: list[str]
+    mixed: bool
+
+    def wide(self) -> DataFrame:
+        """One row, or one for each ``by`` group; of a stream, the totals so far."""
+        return self.per_row.groupBy(*self.by).agg(*self.aggregates)
+
+    def long(self, wide: DataFrame, widen: bool = True) -> DataFrame:
+        rows = wide.select(*self.by, F.expr(self.rows)).filter("record_count > 0")
+        return number_widening(rows, self.by) if widen and self.mixed else rows
+
+
+def plan(
+    df: DataFrame, *, raw: Iterable[str] = (), by: Iterable[str] = (), columns: Iterable[str] | None = None, received: str | None = None,
+    stats: Iterable[str] | None = None, widen: bool = True, depth: int = DEPTH,
+) -> Plan:
+    """The aggregate behind ``profile``, for a table or a stream."""
     by, raw = list(by), set(raw)
     chosen = [c for c in (df.columns if columns is None else columns) if c not in by and c != received]
-    if columns_per_scan and len(chosen) > columns_per_scan:
-        parts = [
-            profile(df, raw=raw, by=by, columns=chosen[i : i + columns_per_scan], received=received, stats=stats, widen=widen, depth=depth)
-            for i in range(0, len(chosen), columns_per_scan)
-        ]
-        return reduce(DataFrame.union, parts)
     schema = T.StructType([df.schema[c] for c in chosen])
     keep = {*stats, "record_count"} if stats is not None else set(STATS) - ON_REQUEST
 
@@ -383,12 +378,45 @@ def profile(
                 for stat, (dtype, _) in STATS.items() if stat in keep
             )
             rows.append(f"named_struct('property', {text_literal(field.name)}, 'type', '{kind}', {values})")
-    per_row = df.select(*by, *[c.alias(n) for n, c in prepared.items()])
-    wide = per_row.groupBy(*by).agg(*aggregates) if by else per_row.agg(*aggregates)
     names = ", ".join(["property", "type", *[s for s in STATS if s in keep]])
-    long = wide.select(*by, F.expr(f"inline(array({', '.join(rows)})) AS ({names})")).filter("record_count > 0")
-    several = raw or any(f.elements and possible_types(f.dtype) == ("integer", "number") for f in found if not isinstance(f.dtype, T.NullType))
-    return number_widening(long, by) if widen and several else long
+    mixed = bool(raw) or any(f.elements and possible_types(f.dtype) == ("integer", "number") for f in found if not isinstance(f.dtype, T.NullType))
+    per_row = df.select(*by, *[c.alias(n) for n, c in prepared.items()])
+    return Plan(per_row, aggregates, f"inline(array({', '.join(rows)})) AS ({names})", by, mixed)
+
+
+def profile(
+    df: DataFrame,
+    *,
+    raw: Iterable[str] = (),
+    by: Iterable[str] = (),
+    columns: Iterable[str] | None = None,
+    received: str | None = None,
+    stats: Iterable[str] | None = None,
+    widen: bool = True,
+    columns_per_scan: int | None = None,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """Profile ``df``: one row per property and observed type.
+
+    ``raw`` columns hold text whose type is inferred value by value; ``by`` names columns to
+    profile separately (a schema slug, say); ``received`` is the receive time behind first
+    and last seen; ``stats`` restricts the statistics, and so the columns computed.
+
+    One scan, whatever the number of columns. ``columns_per_scan`` profiles so many at a time
+    instead: a columnar source still reads every column once, and each generated loop stays small
+    enough to be compiled; any other source is read or recomputed for every group. Fields deeper
+    than ``depth`` levels are left out.
+    """
+    by, raw = list(by), set(raw)
+    chosen = [c for c in (df.columns if columns is None else columns) if c not in by and c != received]
+    if columns_per_scan and len(chosen) > columns_per_scan:
+        parts = [
+            profile(df, raw=raw, by=by, columns=chosen[i : i + columns_per_scan], received=received, stats=stats, widen=widen, depth=depth)
+            for i in range(0, len(chosen), columns_per_scan)
+        ]
+        return reduce(DataFrame.union, parts)
+    made = plan(df, raw=raw, by=by, columns=chosen, received=received, stats=stats, widen=widen, depth=depth)
+    return made.long(made.wide(), widen)
 
 
 def combine(rows: DataFrame, by: Iterable[str] = ()) -> DataFrame:

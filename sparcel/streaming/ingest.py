@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from sparcel.operators.profile import merge_profiles, profile
+from sparcel.operators.profile import plan
 from sparcel.operators.projection import SCHEMA, route_to_folders
 
 # Back-off after a source ended, and the default micro-batch.
@@ -75,32 +76,52 @@ def stream_route(
     )
 
 
+#: Update folders of a running profile before they are put together.
+COMPACT = 20
+
+
 def stream_profile(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, **options) -> StreamingQuery:
-    """Running profile: each batch is profiled and merged with the snapshot before it.
+    """Running profile: one streaming aggregate, whose totals the state store keeps from batch to batch.
 
-    Snapshots are numbered by batch, so a batch that is run again starts from the same one. The last two are kept.
+    Every batch gives the new totals of the groups it touched (update mode; one group without ``by``), a few rows each, which are
+    written to a folder of the batch's number; a batch that is run again replaces its folder. The newest row of each group,
+    property and type counts. Every ``COMPACT`` batches the newest rows are put in one folder and the older folders go.
     """
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        current = profile(batch, **options)
-        if number > 0:
-            before = spark.read.schema(current.schema).parquet(f"{path}/snapshot={number - 1}")
-            current = merge_profiles(before, current, options.get("by", ()))
-        current.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={number - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    made = plan(stream, **options)
+    spark, widen = stream.sparkSession, options.get("widen", True)
+
+    def write(wide: DataFrame, number: int) -> None:
+        rows = made.long(wide, widen)
+        if number % COMPACT == 0 and number:
+            older = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(path).filter(F.col("batch") < number)
+            rows = _newest([rows.withColumn("batch", F.lit(number).cast("bigint")), older], made.by).drop("batch")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % COMPACT == 0:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            for status in files.listStatus(folder):
+                name = status.getPath().getName()
+                if name.startswith("batch=") and int(name.removeprefix("batch=")) < number:
+                    files.delete(status.getPath(), True)
 
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        made.wide().writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(**trigger(available_now)).start()
     )
 
 
-def newest_profile(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    number = rows.agg(F.max("snapshot")).first()[0]
-    return rows.filter(F.col("snapshot") == number).drop("snapshot")
+def _newest(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Rows of the newest batch of each group; a batch gives all properties and types of the groups it touched."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    newest = F.max("batch").over(Window.partitionBy(*(by or [F.lit(0)])))
+    return rows.withColumn("_newest", newest).filter("batch = _newest").drop("_newest")
+
+
+def newest_profile(spark: SparkSession, path: str, by: Iterable[str] = ()) -> DataFrame:
+    """The running profile, as of the last batch of each group."""
+    return _newest([spark.read.parquet(path)], list(by)).drop("batch")
 
 
 def run_until_stopped(start: Callable[[], StreamingQuery], runs: int, sleep: Callable[[float], None] = time.sleep) -> list[float]:
