@@ -14,7 +14,9 @@ from sparcel.registry import listings as G
 from sparcel.registry import notifications as N
 from sparcel.registry import search as Q
 from sparcel.registry import visibility as Z
-from sparcel.session import shared_dir
+from sparcel.registry.prefixes import write_prefixes
+from sparcel.registry.segments import SegmentIndex
+from sparcel.session import scratch, shared_dir
 
 GRANTS = ("user_catalog", "user_package", "group_user", "group_package", "group_catalog", "user_collection", "group_collection")
 
@@ -247,15 +249,51 @@ PACKAGE_HIT = f"""({_duck_match('readme', 'red')} OR {_duck_match('display_name'
       OR contains(slug, 'red') OR contains(display_name, 'red') OR contains(lower(catalog_slug || '/' || slug), 'red'))"""
 
 
+#: Text fields of what is searched by stems, and its key.
+FIELDS = {"packages": ("package_id", ("readme", "display_name", "description")), "catalogs": ("catalog_id", ("display_name", "description")), "collections": ("collection_id", ("name", "description"))}
+
+
+def _segments(spark, sf, name):
+    """The stem index kept beside a registry table: made when it is first asked for in a session, then read."""
+    key, fields = FIELDS[name]
+    kept = (spark.sparkContext.applicationId, f"{sf}/{name}")
+    if kept not in _INDEXES:
+        _INDEXES[kept] = f"{shared_dir(spark)}/sparcel-index-{uuid.uuid4().hex[:12]}"
+        SegmentIndex(spark, _INDEXES[kept], key, fields).refresh(standin(spark, sf, name))
+    return SegmentIndex(spark, _INDEXES[kept], key, fields)
+
+
+def _prefixes(spark, sf, name):
+    """The prefix table of a registry table, kept in the same way."""
+    kept = (spark.sparkContext.applicationId, f"{sf}/{name}/prefixes")
+    if kept not in _INDEXES:
+        _INDEXES[kept] = f"{shared_dir(spark)}/sparcel-prefixes-{uuid.uuid4().hex[:12]}"
+        keys = {"packages": Q.package_keys, "catalogs": Q.catalog_keys, "users": Q.user_keys}[name](standin(spark, sf, name))
+        write_prefixes(keys, _INDEXES[kept])
+    return spark.read.parquet(_INDEXES[kept])
+
+
 @register("search_packages", f"SELECT package_id, slug FROM {{packages}} p WHERE {PACKAGE_HIT} AND package_id IN ({VISIBLE}) ORDER BY package_id LIMIT 100 OFFSET 5")
 def search_packages(spark, sf):
-    found = Q.search_packages(standin(spark, sf, "packages"), "red", _grants(spark, sf), 7).select("package_id", "slug")
+    found = Q.search_packages(standin(spark, sf, "packages"), _segments(spark, sf, "packages"), "red", _grants(spark, sf), 7).select("package_id", "slug")
     return G.paged(found, [F.col("package_id")], 100, 5)
 
 
 @register("search_packages_anonymous", f"SELECT package_id, slug FROM {{packages}} p WHERE {PACKAGE_HIT} AND is_public")
 def search_packages_anonymous(spark, sf):
-    return Q.search_packages(standin(spark, sf, "packages"), "red", _grants(spark, sf), None).select("package_id", "slug")
+    return Q.search_packages(standin(spark, sf, "packages"), _segments(spark, sf, "packages"), "red", _grants(spark, sf), None).select("package_id", "slug")
+
+
+@register(
+    "search_packages_stems",
+    f"""SELECT package_id, slug FROM {{packages}} p WHERE (regexp_matches(lower(display_name), '(^| )red plates?( |$)') OR regexp_matches(lower(display_name), '(^| )(large|larger|larges) rings?( |$)')
+      OR regexp_matches(lower(display_name), '(^| )gears?( |$)') AND NOT regexp_matches(lower(display_name), '(^| )blues?( |$)')) AND NOT regexp_matches(lower(display_name), '(^| )blues?( |$)')
+      AND package_id IN ({VISIBLE})""",
+)
+def search_packages_stems(spark, sf):
+    """A phrase, words in other forms, stop words and an exclusion, all by stems and inside one field."""
+    query = '"red plates" or "the large rings" or gear -blue'
+    return Q.search_packages(standin(spark, sf, "packages"), _segments(spark, sf, "packages"), query, _grants(spark, sf), 7).select("package_id", "slug")
 
 
 CATALOG_HIT = f"({_duck_match('display_name', 'asia or europe')} OR {_duck_match('description', 'asia or europe')} OR starts_with(slug, 'asia or europe'))"
@@ -263,7 +301,7 @@ CATALOG_HIT = f"({_duck_match('display_name', 'asia or europe')} OR {_duck_match
 
 @register("search_catalogs", f"SELECT catalog_id, slug FROM {{catalogs}} c WHERE {CATALOG_HIT} AND catalog_id IN ({VISIBLE_CATALOGS})")
 def search_catalogs(spark, sf):
-    return Q.search_catalogs(standin(spark, sf, "catalogs"), "asia or europe", _grants(spark, sf), 7).select("catalog_id", "slug")
+    return Q.search_catalogs(standin(spark, sf, "catalogs"), _segments(spark, sf, "catalogs"), "asia or europe", _grants(spark, sf), 7).select("catalog_id", "slug")
 
 
 COLLECTION_HIT = f"({_duck_match('name', 'white or economy')} OR {_duck_match('description', 'white or economy')})"
@@ -271,7 +309,7 @@ COLLECTION_HIT = f"({_duck_match('name', 'white or economy')} OR {_duck_match('d
 
 @register("search_collections", f"SELECT collection_id, name FROM {{collections}} c WHERE {COLLECTION_HIT} AND collection_id IN (SELECT collection_id FROM ({VISIBLE_COLLECTIONS}) v)")
 def search_collections(spark, sf):
-    return Q.search_collections(standin(spark, sf, "collections"), "white or economy", _grants(spark, sf), 7).select("collection_id", "name")
+    return Q.search_collections(standin(spark, sf, "collections"), _segments(spark, sf, "collections"), "white or economy", _grants(spark, sf), 7).select("collection_id", "name")
 
 
 @register(
@@ -299,13 +337,18 @@ def search_users_unrestricted(spark, sf):
 TOKENS = r"SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> ''))) AS token FROM documents"
 
 
-@register("text_index_refresh", f"SELECT token, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids FROM ({TOKENS}) GROUP BY 1")
+@register("text_index_refresh", f"SELECT token, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids, TRUE AS in_proportion FROM ({TOKENS}) GROUP BY 1")
 def text_index_refresh(spark, sf):
-    documents = table(spark, sf, "documents")
-    # The index was built before the English texts changed, then brought up to date.
-    stale = Q.text_index(documents.withColumn("text", F.when(F.col("lang") == "en", F.upper("source")).otherwise(F.col("text"))), "doc_id", "text")
-    index = Q.refresh_index(stale, documents.filter("lang = 'en'"), "doc_id", "text")
-    return index.groupBy("token").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("ids"))
+    """An index made before some texts changed, brought up to date in two refreshes; each writes what changed and no more."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    index = SegmentIndex(spark, scratch(spark, "segments"), "doc_id", ["text"], stemmed=False)
+    late = F.col("doc_id") % 10 == 0
+    stale = F.when(late, F.lit("before the first change")).when(F.col("lang") == "en", F.upper("source")).otherwise(F.col("text"))
+    index.refresh(documents.withColumn("text", stale))
+    index.refresh(documents.filter(F.col("lang") == "en"))
+    written_late = index.refresh(documents.filter(late))
+    small = F.lit(written_late < sum(rows for _, _, rows in index.segments()) / 3)
+    return index.entries().groupBy("token").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("ids")).withColumn("in_proportion", small)
 
 
 @register(
@@ -322,17 +365,17 @@ def search_index(spark, sf):
       AND package_id IN ({VISIBLE})""",
 )
 def autocomplete_packages(spark, sf):
-    return Q.autocomplete_packages(standin(spark, sf, "packages"), " Red b ", _grants(spark, sf), 7).select("package_id")
+    return Q.autocomplete_packages(standin(spark, sf, "packages"), _prefixes(spark, sf, "packages"), " Red b ", _grants(spark, sf), 7).select("package_id")
 
 
 @register("autocomplete_catalogs", f"SELECT catalog_id FROM {{catalogs}} c WHERE (starts_with(slug, 'nation_1') OR starts_with(lower(display_name), 'nation_1')) AND catalog_id IN ({VISIBLE_CATALOGS})")
 def autocomplete_catalogs(spark, sf):
-    return Q.autocomplete_catalogs(standin(spark, sf, "catalogs"), "NATION_1", _grants(spark, sf), 7).select("catalog_id")
+    return Q.autocomplete_catalogs(standin(spark, sf, "catalogs"), _prefixes(spark, sf, "catalogs"), "NATION_1", _grants(spark, sf), 7).select("catalog_id")
 
 
 @register("autocomplete_catalogs_anonymous", "SELECT catalog_id FROM {catalogs} c WHERE (starts_with(slug, 'nation_1') OR starts_with(lower(display_name), 'nation_1')) AND is_public")
 def autocomplete_catalogs_anonymous(spark, sf):
-    return Q.autocomplete_catalogs(standin(spark, sf, "catalogs"), "NATION_1", _grants(spark, sf), None).select("catalog_id")
+    return Q.autocomplete_catalogs(standin(spark, sf, "catalogs"), _prefixes(spark, sf, "catalogs"), "NATION_1", _grants(spark, sf), None).select("catalog_id")
 
 
 @register(
@@ -341,7 +384,7 @@ def autocomplete_catalogs_anonymous(spark, sf):
       OR (name_is_public AND (starts_with(lower(first_name), 'machinery1') OR starts_with(lower(last_name), 'machinery1')))""",
 )
 def autocomplete_users(spark, sf):
-    return Q.autocomplete_users(standin(spark, sf, "users"), "Machinery1").select("user_id")
+    return Q.autocomplete_users(standin(spark, sf, "users"), _prefixes(spark, sf, "users"), "Machinery1").select("user_id")
 
 
 # Listings

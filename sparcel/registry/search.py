@@ -1,21 +1,26 @@
 """Text search, the token index behind it, and completion by prefix.
 
-Words are compared in lower case as they are written; there is no stemming and there are no
-stop words.
+Packages, catalogs and collections are found by the stems of words, without stop words, through an index in segments
+(``segments``); free texts by lower-case words as they are written.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparcel.registry.prefixes import INSIDE, complete, prefix_keys
+from sparcel.registry.stems import NOT_WORD, stems, stems_of
 from sparcel.registry.visibility import visible_catalogs, visible_collections, visible_packages
 
-NOT_WORD = r"[^\p{L}\p{N}]+"
+if TYPE_CHECKING:
+    from sparcel.registry.segments import SegmentIndex
+
 HITS_PER_REGISTRY = 20
 
 
@@ -26,6 +31,9 @@ class Query:
     any_of: tuple[tuple[str, ...], ...]
     none_of: tuple[str, ...]
 
+    def words(self) -> list[str]:
+        return sorted({w for phrase in {t for g in self.any_of for t in g} | set(self.none_of) for w in phrase.split()})
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
@@ -45,14 +53,27 @@ def web_query(text: str) -> Query:
     return Query(tuple(tuple(g) for g in groups if g), tuple(none))
 
 
+def stemmed_query(spark: SparkSession, text: str) -> Query:
+    """The query by stems; stop words ask for nothing."""
+    parsed = web_query(text)
+    terms = sorted({t for g in parsed.any_of for t in g} | set(parsed.none_of))
+    stem = {t: " ".join(s) for t, s in zip(terms, stems_of(spark, terms))}
+    groups = tuple(tuple(stem[t] for t in g if stem[t]) for g in parsed.any_of)
+    return Query(tuple(g for g in groups if g), tuple(stem[t] for t in parsed.none_of if stem[t]))
+
+
+def spaced_stems(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(stems(text), " "), F.lit(" "))
+
+
 def spaced_words(text: Column) -> Column:
     """Lower-case words between single spaces, with a space at both ends."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), NOT_WORD, " "), F.lit(" "))
 
 
-def matches(text: Column, query: Query) -> Column:
+def matches(text: Column, query: Query, spaced: Callable[[Column], Column] = spaced_words) -> Column:
     """Does a text match? Evaluated in the scan, without any shuffle."""
-    words = spaced_words(text)
+    words = spaced(text)
 
     def has(term: str) -> Column:
         return words.contains(f" {term} ")
@@ -79,27 +100,21 @@ def text_index(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.filter("token <> ''").select("token", key).distinct()
 
 
-def refresh_index(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:
-    """The index after some texts changed: their old entries are replaced."""
-    kept = index.join(changed.select(key), key, "left_anti").select("token", key)
-    return kept.unionByName(text_index(changed, key, text))
-
-
 def write_index(index: DataFrame, path: str) -> None:
     """Keep an index: sorted by token over all its files, so the entries of a word lie together and the rest is skipped."""
     index.repartitionByRange("token", index.columns[-1]).sortWithinPartitions("token").write.mode("overwrite").parquet(path)
 
 
-def _word_hits(index: DataFrame, key: str, query: Query) -> tuple[DataFrame, dict[str, Column]]:
+def _word_hits(index: DataFrame, key: list[str], query: Query) -> tuple[DataFrame, dict[str, Column]]:
     """A row for each key with a word of the query, and which words it has. Only their entries are read, and grouped by key."""
-    words = sorted({w for phrase in {t for g in query.any_of for t in g} | set(query.none_of) for w in phrase.split()})
-    found = index.filter(F.col("token").isin(words)).groupBy(key).agg(*[F.max(F.col("token") == w).alias(f"w{i}") for i, w in enumerate(words)])
+    words = query.words()
+    found = index.filter(F.col("token").isin(words)).groupBy(*key).agg(*[F.max(F.col("token") == w).alias(f"w{i}") for i, w in enumerate(words)])
     return found, {w: F.col(f"w{i}") for i, w in enumerate(words)}
 
 
-def search_index(index: DataFrame, key: str, query: str) -> DataFrame:
+def search_index(index: DataFrame, key: str | list[str], query: str | Query) -> DataFrame:
     """``(key, sure)``: keys whose words match a query; ``sure`` unless a phrase of several words has to be looked up in the text."""
-    parsed = web_query(query)
+    parsed, key = web_query(query) if isinstance(query, str) else query, [key] if isinstance(key, str) else key
     if not parsed.any_of:
         raise ValueError("an index only finds texts that have some word")
     found, at = _word_hits(index, key, parsed)
@@ -119,7 +134,7 @@ def search_index(index: DataFrame, key: str, query: str) -> DataFrame:
         sure = sure | (every & F.lit(all(" " not in t for t in group)))
     for term in parsed.none_of:
         hit, sure = (hit & ~has(term), sure) if " " not in term else (hit, sure & ~has(term))
-    return found.filter(hit).select(key, sure.alias("sure"))
+    return found.filter(hit).select(*key, sure.alias("sure"))
 
 
 def search_texts(df: DataFrame, index: DataFrame, key: str, text: str, query: str) -> DataFrame:
@@ -143,22 +158,43 @@ def search(
     return df.filter(hit)
 
 
-def search_packages(packages: DataFrame, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
-    """``readme, display_name, description`` by words; slug, name and ``catalog/slug`` by substring; of what ``user`` may see."""
+def search_fields(df: DataFrame, index: SegmentIndex, query: str, also: Column) -> DataFrame:
+    """Rows of which one text field matches by stems, or for which ``also`` holds.
+
+    The fields are looked up in the index; only phrases are checked in the texts, of the rows that have all their stems.
+    """
+    parsed = stemmed_query(df.sparkSession, query)
+    if not parsed.any_of:
+        # nothing to look up: exclusions are for the texts, and a query of stop words finds no text
+        hit = F.lit(False)
+        for field in index.fields if parsed.none_of else ():
+            hit = hit | (F.col(field).isNotNull() & matches(F.col(field), parsed, spaced_stems))
+        return df.filter(hit | F.coalesce(also, F.lit(False)))
+    hits = search_index(index.lookup(parsed.words()), [index.key, "field"], parsed)
+    hits = hits.groupBy(index.key).agg(F.max("sure").alias("_sure"), F.collect_set("field").alias("_fields"))
+    found = F.col("_sure")
+    if any(" " in t for g in parsed.any_of for t in g) or any(" " in t for t in parsed.none_of):
+        for field in index.fields:
+            found = found | (F.array_contains("_fields", field) & matches(F.col(field), parsed, spaced_stems))
+    rows = df.join(hits, index.key, "left").filter(F.coalesce(found, F.lit(False)) | F.coalesce(also, F.lit(False)))
+    return rows.drop("_sure", "_fields")
+
+
+def search_packages(packages: DataFrame, index: SegmentIndex, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    """Readme, name and description by stems; slug, name and ``catalog/slug`` by substring; of what ``user`` may see."""
     full = F.lower(F.concat("catalog_slug", F.lit("/"), "slug"))
-    found = search(
-        packages.withColumn("_full", full), query, ["readme", "display_name", "description"],
-        substring=["slug", "display_name", "_full"],
-    )
-    return visible_packages(found.drop("_full"), grants, user)
+    also = F.lit(False)
+    for name in (F.col("slug"), F.col("display_name"), full):
+        also = also | F.coalesce(name.contains(query), F.lit(False))
+    return visible_packages(search_fields(packages, index, query, also), grants, user)
 
 
-def search_catalogs(catalogs: DataFrame, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
-    return visible_catalogs(search(catalogs, query, ["display_name", "description"], prefix=["slug"]), grants, user)
+def search_catalogs(catalogs: DataFrame, index: SegmentIndex, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    return visible_catalogs(search_fields(catalogs, index, query, F.col("slug").startswith(query)), grants, user)
 
 
-def search_collections(collections: DataFrame, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
-    return visible_collections(search(collections, query, ["name", "description"]), grants, user)
+def search_collections(collections: DataFrame, index: SegmentIndex, query: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    return visible_collections(search_fields(collections, index, query, F.lit(False)), grants, user)
 
 
 def search_all_registries(registries: DataFrame, index: DataFrame, query: str, text: str, key: str, limit: int = HITS_PER_REGISTRY) -> DataFrame:
@@ -171,10 +207,6 @@ def search_all_registries(registries: DataFrame, index: DataFrame, query: str, t
     return hits.withColumn("hit_no", place).filter(F.col("hit_no") <= limit)
 
 
-def _starts(column: str, prefix: str) -> Column:
-    return F.coalesce(F.lower(F.col(column)).startswith(prefix.lower()), F.lit(False))
-
-
 def search_users(users: DataFrame, value: str, limit: int, offset: int = 0, restricted: bool = True) -> DataFrame:
     """Users by prefix of a name or address; only public names unless unrestricted. Ordered by id."""
     hit = F.lit(False)
@@ -184,26 +216,41 @@ def search_users(users: DataFrame, value: str, limit: int, offset: int = 0, rest
     return kept.orderBy("user_id").offset(offset).limit(limit)
 
 
-def autocomplete_packages(packages: DataFrame, starts_with: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+def package_keys(packages: DataFrame) -> DataFrame:
+    """Prefix keys of packages: slug and ``catalog/slug`` by their beginning, the name by any part of it."""
+    return prefix_keys(packages, "package_id", {"slug": "slug", "full": F.concat("catalog_slug", F.lit("/"), "slug")}, {"display_name": "display_name"})
+
+
+def catalog_keys(catalogs: DataFrame) -> DataFrame:
+    return prefix_keys(catalogs, "catalog_id", {"slug": "slug", "display_name": "display_name"})
+
+
+def user_keys(users: DataFrame) -> DataFrame:
+    """Prefix keys of users; address and names are found only where the user made them public."""
+    public = {"email": F.col("email_is_public"), "first_name": F.col("name_is_public"), "last_name": F.col("name_is_public")}
+    return prefix_keys(users, "user_id", {c: c for c in ("username", *public)}, public=public)
+
+
+def _named(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return df.join(ids.withColumnRenamed("id", key), key, "left_semi")
+
+
+def autocomplete_packages(packages: DataFrame, keys: DataFrame, starts_with: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
     """Slug prefix, or every word inside the name, or a prefix of ``catalog/slug``; of what ``user`` may see."""
     wanted = starts_with.strip().lower()
-    every = F.lit(True)
+    inside = None
     for word in wanted.split():
-        every = every & F.lower("display_name").contains(word)
-    full = F.lower(F.concat("catalog_slug", F.lit("/"), "slug"))
-    found = packages.filter(_starts("slug", wanted) | F.coalesce(every, F.lit(False)) | F.coalesce(full.startswith(wanted), F.lit(False)))
-    return visible_packages(found, grants, user)
+        ids = complete(keys, word, INSIDE)
+        inside = ids if inside is None else inside.join(ids, "id", "left_semi")
+    found = complete(keys, wanted)
+    found = found.unionByName(inside) if inside is not None else found
+    return visible_packages(_named(packages, found, "package_id"), grants, user)
 
 
-def autocomplete_catalogs(catalogs: DataFrame, starts_with: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
-    return visible_catalogs(catalogs.filter(_starts("slug", starts_with) | _starts("display_name", starts_with)), grants, user)
+def autocomplete_catalogs(catalogs: DataFrame, keys: DataFrame, starts_with: str, grants: Mapping[str, DataFrame], user: int | None) -> DataFrame:
+    return visible_catalogs(_named(catalogs, complete(keys, starts_with), "catalog_id"), grants, user)
 
 
-def autocomplete_users(users: DataFrame, starts_with: str) -> DataFrame:
+def autocomplete_users(users: DataFrame, keys: DataFrame, starts_with: str) -> DataFrame:
     """Username, and address or names only where the user made them public."""
-    names = _starts("first_name", starts_with) | _starts("last_name", starts_with)
-    return users.filter(
-        _starts("username", starts_with)
-        | (F.col("email_is_public") & _starts("email", starts_with))
-        | (F.col("name_is_public") & names)
-    )
+    return _named(users, complete(keys, starts_with), "user_id")
