@@ -17,6 +17,7 @@ PINNED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Rows that a Python worker holds at a time; a row can be a whole document.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
