@@ -22,6 +22,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return next(n for n in (f"_{stem}{i or ''}" for i in range(len(taken) + 1)) if n not in taken)
 
 
+def free(df: DataFrame, name: str) -> None:
+    """Refuse to overwrite a column of the caller's."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name} already; give the result another name")
+
+
 def document_text(text: str = "text") -> Column:
     """The text of a document; a missing one is empty."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -57,4 +63,4 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, held_o
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-__all__ = ["Query", "document_text", "fold", "fresh", "labelled_sample", "one_label", "table", "written"]
+__all__ = ["Query", "document_text", "fold", "free", "fresh", "labelled_sample", "one_label", "table", "written"]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.llm.common import document_text, fresh, written
+from sparcel.llm.common import document_text, free, fresh, written
 from sparcel.session import ship
 
 Q, WINDOW, EDITS = 8, 128, 0.1
@@ -238,7 +238,11 @@ def _leaks(index: Index, text: str) -> Column:
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, name: str = "leaks", text: str = "text") -> DataFrame:
-    """``documents`` with an array ``name`` of the items found: ``item_id``, ``distance``, ``end``, by item."""
+    """``documents`` with an array ``name`` of the items found: ``item_id``, ``distance``, ``end``, by item.
+
+    A table that has a column ``name`` already is an error.
+    """
+    free(documents, name)
     ship(documents.sparkSession)
     if _items(benchmark)[1] <= MOST:
         return documents.withColumn(name, _leaks(read_benchmark(benchmark), text))

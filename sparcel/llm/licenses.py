@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparcel.llm.common import document_text, fresh
+from sparcel.llm.common import document_text, free, fresh
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 96
 
@@ -102,8 +102,16 @@ def prepare(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
     return found
 
 
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, name: str = "licenses", text: str = "text") -> DataFrame:
-    """``documents`` with an array ``name`` of ``license``, ``share`` of its shingles, and ``window`` (its first shingle), by license."""
+    """``documents`` with an array ``name`` of ``license``, ``share`` of its shingles, and ``window`` (its first shingle), by license.
+
+    A table that has a column ``name`` already is an error.
+    """
+    free(documents, name)
     known = prepare(documents.sparkSession, TEMPLATES if templates is None else templates)
     source, found, every = fresh(documents, "text"), fresh(documents, "shingles"), f"array({', '.join(f'{h}L' for h in sorted({h for r in known for h in r['shingles']}))})"
     every = every.replace(f"{-(1 << 63)}L", "(-9223372036854775807L - 1L)")
@@ -115,7 +123,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
             signature, own = (f"array({', '.join(f'{h}L' for h in r[c])})" for c in ("signature", "shingles"))
             verified = f"size(array_intersect(w.part, {own}))"
             cases.append(f"""transform(array(IF(exists(zip_with(w.signature, {signature}, (a, b) -> a = b), e -> e), {verified}, 0)), n ->
-                IF(n >= {r['least']}, struct('{r['license']}' AS license, n / {len(r['shingles'])}D AS share, w.at AS window), NULL))[0]""")
+                IF(n >= {r['least']}, struct({literal(r['license'])} AS license, n / {len(r['shingles'])}D AS share, w.at AS window), NULL))[0]""")
         parts.append(f"""
             flatten(transform(array_distinct(flatten(transform(hits, p -> array(p DIV {size} - 1, p DIV {size})))), k ->
               transform(transform(transform(array(greatest(cast(k AS int), 0) * {size}),

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.llm.common import document_text, fold, labelled_sample
+from sparcel.llm.common import document_text, fold, free, labelled_sample
 from sparcel.session import ship, written
 
 #: Labelled documents the fit uses at most, and how many of them an n-gram must occur in.
@@ -151,7 +151,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, held_out: Column | None
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "grams": [[index[g] for g in _named(t) if g in index] for t in f["text"]]})
 
-    rows = sample.mapInPandas(numbered, "doc_id bigint, label int, grams array<int>").toPandas()
+    rows = sample.mapInPandas(numbered, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, grams array<int>").toPandas()
     rows = rows.sort_values("doc_id", key=lambda ids: pd.util.hash_array(ids.to_numpy()))
     weight, bias, slope, offset = fit_rows([np.asarray(g, np.int64) for g in rows["grams"]], rows["label"].to_numpy(), len(index))
     words = {g: float(weight[i]) for g, i in index.items() if g[0] != " " and weight[i]}
@@ -168,7 +168,8 @@ def score_of(text: str | None, model: Model) -> float:
 
 
 def score_quality(documents: DataFrame, model: Model, name: str = "quality_score", text: str = "text") -> DataFrame:
-    """``documents`` with the probability of label 1 in ``name``."""
+    """``documents`` with the probability of label 1 in ``name``; a table that has such a column already is an error."""
+    free(documents, name)
     ship(documents.sparkSession)
 
     def run(texts: pd.Series) -> pd.Series:

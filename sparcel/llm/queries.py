@@ -139,8 +139,10 @@ def _duck_spans(rank: int, kind: str, pattern: str, group: int, least: int) -> s
 # Fixed values, written out again: the forms of the kinds.
 _FORMS = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("pem", "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1), ("url", r"[a-z][a-z0-9+]{1,9}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", 0, 1),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), (
+        "pem", r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?:[A-Za-z0-9+/=:,. \t\r\n]*(?:-[A-Za-z0-9+/=:,. \t\r\n]+)*-----END [A-Z0-9 ]*?PRIVATE KEY-----|(?:[ \t\r\n]*[A-Za-z0-9+/=]{16,})*)", 0, 1,
+    ),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1), ("url", r"://[^ \t\r\n\x0B\f/:@]+:[^ \t\r\n\x0B\f/@]{3,}@", 0, 1),
 )
 ORACLES["op10_secrets"] = f"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),

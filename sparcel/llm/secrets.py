@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sparcel.llm.common import document_text, fresh
+from sparcel.llm.common import document_text, free, fresh
 from sparcel.session import scratch, written
 
 
@@ -42,11 +42,14 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
-#: Further kinds.
+#: What stands in the body of a key besides single hyphens.
+BODY = r"[A-Za-z0-9+/=:,. \t\r\n]"
+#: Further kinds. A private key goes to its END line, or where there is none over the lines of base64 that follow; its groups are
+#: possessive, so a text of any length is matched without recursion.
 MORE = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 1),
+    Rule("pem", 2, rf"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?:{BODY}*+(?:-{BODY}++)*+-----END [A-Z0-9 ]*?PRIVATE KEY-----|(?:[ \t\r\n]*+[A-Za-z0-9+/=]{{16,}}+)*+)", 0, 1),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    Rule("url", 1, r"[a-z][a-z0-9+]{1,9}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", 0, 1),
+    Rule("url", 2, r"://[^ \t\r\n\x0B\f/:@]+:[^ \t\r\n\x0B\f/@]{3,}@", 0, 1),
 )
 RULES = BASE + MORE
 
@@ -108,7 +111,7 @@ def scan_blobs(versions: DataFrame, ledger: str, path: str = "doc_id", text: str
     todo = holders.join(seen, "blob", "left").select("blob", "holder", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
     todo = todo.where(F.size("todo") > 0).withColumnRenamed("blob", "unseen")
     # by blob and path: the copies of a blob are not gathered in one task
-    texts = rows.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("unseen")) & F.col("path").eqNullSafe(F.col("holder")))
+    texts = rows.join(todo, (F.col("blob") == F.col("unseen")) & F.col("path").eqNullSafe(F.col("holder")))
     found = [
         F.when(F.array_contains("todo", f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of("text", r).alias("spans")))
         for r in rules
@@ -131,8 +134,10 @@ def _findings(spark, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
 def scan_secrets(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", name: str = "secrets", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with an array ``name`` of ``start``, ``rank``, ``kind``, ``end`` of the secrets in each row's text.
 
-    ``ledger`` is a folder all executors reach and is kept between scans; without one a new ledger is made for this scan.
+    ``ledger`` is a folder all executors reach and is kept between scans; without one a new ledger is made for this scan. A table
+    that has a column ``name`` already is an error.
     """
+    free(versions, name)
     spark = versions.sparkSession
     ledger = ledger or scratch(spark, "ledger")
     scan_blobs(versions, ledger, path, text, rules)
@@ -154,9 +159,13 @@ def redact_secrets(documents: DataFrame, ledger: str | None = None, path: str =
     name = fresh(documents, "secrets")
     found = scan_secrets(documents, ledger, path, text, name)
     clean = F.expr(f"""
-        aggregate({name}, struct(0 AS at, cast(array() AS array<string>) AS done),
-          (a, s) -> CASE WHEN s.end <= a.at THEN a WHEN s.start < a.at THEN struct(s.end AS at, a.done AS done)
-            ELSE struct(s.end AS at, concat(a.done, array(substring(`{text}`, a.at + 1, s.start - a.at), {_literal(mark)})) AS done) END,
+        aggregate(
+          transform(sequence(0, cast((size({name}) - 1) DIV {BLOCK} AS int)), b -> slice({name}, b * {BLOCK} + 1, {BLOCK})),
+          struct(0 AS at, cast(array() AS array<string>) AS done),
+          (held, part) -> transform(array(aggregate(part, struct(held.at AS at, cast(array() AS array<string>) AS done),
+            (a, s) -> CASE WHEN s.end <= a.at THEN a WHEN s.start < a.at THEN struct(s.end AS at, a.done AS done)
+              ELSE struct(s.end AS at, concat(a.done, array(substring(`{text}`, a.at + 1, s.start - a.at), {_literal(mark)})) AS done) END)),
+            r -> struct(r.at AS at, concat(held.done, array(array_join(r.done, ''))) AS done))[0],
           a -> concat(array_join(a.done, ''), substring(`{text}`, a.at + 1)))""")
     touched = F.size(name) > 0
     columns = []

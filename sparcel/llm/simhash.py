@@ -249,7 +249,8 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4
     """
     mark, row = fresh(documents, "fp"), fresh(documents, "row")
     marked = with_fingerprint(documents, mark, shingle, text)
-    rows = F.xxhash64(*[F.col(c).cast("string") for c in documents.columns])
+    # a hash leaves NULLs out, so each column says whether it is one
+    rows = F.xxhash64(*[x for c in documents.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
     prints = written(marked.select(F.col(doc_id).alias("id"), rows.alias("row"), F.col(mark).alias("fp")), "prints")
     grouped = _rooted(prints, near_components(prints, "fp", radius))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")

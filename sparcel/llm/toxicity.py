@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparcel.llm.common import document_text, fold, fresh, labelled_sample
+from sparcel.llm.common import document_text, fold, free, fresh, labelled_sample
 from sparcel.session import ship, written
 
 #: Labelled documents the fit uses at most.
@@ -110,13 +110,17 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column | Non
             found = [[[index[w] for w in sorted(s) if w in index] for _, _, s in sentences(t)] for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "bags": [[b for b in d if b] for d in found], "plain": [sum(not b for b in d) for d in found]})
 
-    rows = sample.mapInPandas(bags, "doc_id bigint, label int, bags array<array<int>>, plain bigint").toPandas().sort_values("doc_id")
+    rows = sample.mapInPandas(bags, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, bags array<array<int>>, plain bigint").toPandas().sort_values("doc_id")
     theta = fit_bags([[list(b) for b in d] for d in rows["bags"]], rows["plain"].to_numpy(float), rows["label"].to_numpy(), len(index))
     return Model({w: float(theta[i]) for w, i in index.items()}, float(theta[-1]), share)
 
 
 def score_toxicity(documents: DataFrame, model: Model, name: str = "toxicity", text: str = "text") -> DataFrame:
-    """``documents`` with a struct ``name``: ``score``, and the ``start``, ``end``, ``score`` of every sentence at 0.5 or more."""
+    """``documents`` with a struct ``name``: ``score``, and the ``start``, ``end``, ``score`` of every sentence at 0.5 or more.
+
+    A table that has a column ``name`` already is an error.
+    """
+    free(documents, name)
     ship(documents.sparkSession)
 
     def run(texts: pd.Series) -> pd.DataFrame:

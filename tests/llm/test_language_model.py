@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparcel.llm import language_model as L
@@ -24,14 +25,14 @@ def brute(rows, target):
         for k in "tb" if doc in target else "b":
             words[k].update(seen[1:] + (seen[:1] if len(seen) > 1 else []))
             pairs[k].update(zip(seen, seen[1:]))
-    out = []
+    out, size = [], 1 + len(set(words["b"]) - {"<s>"})
     for doc, text in rows:
         seen = ["<s>", *words_of(text)]
         loss = {}
         for k in "tb":
             total = sum(words[k].values())
             loss[k] = sum(
-                -math.log((pairs[k][v, w] + L.WEIGHT * (words[k][w] + L.FLOOR) / (total + L.FLOOR * (1 << L.WORD_BITS))) / (words[k][v] + L.WEIGHT)) for v, w in zip(seen, seen[1:])
+                -math.log((pairs[k][v, w] + L.WEIGHT * (words[k][w] + L.FLOOR) / (total + L.FLOOR * size)) / (words[k][v] + L.WEIGHT)) for v, w in zip(seen, seen[1:])
             ) / max(1, len(seen) - 1)
         out.append((doc, len(seen) - 1, round(loss["t"], 4), round(loss["b"], 4)))
     return sorted(out, key=repr)
@@ -48,7 +49,7 @@ def test_against_brute_force(spark):
 def test_without_target(spark):
     docs = spark.createDataFrame([(*r, "x") for r in ROWS], DOCS)
     got = L.cross_entropy_difference(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
-    assert [r.lm.target_loss for r in got if r.doc_id == 6] == pytest.approx([L.WORD_BITS * math.log(2)], abs=1e-3)
+    assert [r.lm.target_loss for r in got if r.doc_id == 6] == pytest.approx([math.log(6)], abs=1e-9)
     assert L.cross_entropy_difference(docs.limit(0), spark.createDataFrame(LABELS, "doc_id long, quality int")).count() == 0
 
 
@@ -74,6 +75,21 @@ def test_every_word_and_pair_has_its_own_count(spark):
     assert np.abs(np.array([g[2:] for g in got]) - [w[2:] for w in want]).max() < 1e-4
 
 
+def test_no_block_is_larger(spark, monkeypatch):
+    for size, texts in ((1 << 18, ["word " * 4000] * 150), (1 << 18, ["a b c " * 300_000]), (7, ["a b c d e f g h i j k l m n o p", None, "a", "", "a b c"] * 9)):
+        monkeypatch.setattr(L, "BLOCK", size)
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        rows = L.block_texts(docs).select("n_tokens", F.size("rows").alias("n"), F.array_min("lengths").alias("least")).collect()
+        assert max(r.n_tokens for r in rows) <= size and sum(r.n_tokens for r in rows) == sum(len((t or "").split()) for t in texts)
+
+
+def test_clashing_name(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, LM int")
+    with pytest.raises(ValueError, match="already"):
+        L.cross_entropy_difference(docs, spark.createDataFrame(LABELS, "doc_id long, quality int"))
+    assert L.cross_entropy_difference(docs, spark.createDataFrame(LABELS, "doc_id long, quality int"), "loss").columns == ["doc_id", "text", "LM", "loss"]
+
+
 def test_blocks_and_buckets_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 3)
     monkeypatch.setattr(L, "BUCKET", 500)

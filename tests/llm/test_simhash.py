@@ -100,3 +100,9 @@ def test_links_against_brute_force(spark, piece, radius):
                     root[signed[i]] = root[signed[j]]
                     changed = True
     assert {v: got.get(v, v) for v in signed} == root
+
+
+def test_nulls_in_other_columns_are_told_apart(spark):
+    rows = [(1, "same words in here", None, "x"), (1, "same words in here", "x", None), (1, "same words in here", None, "x")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, a string, `b.c` string"))
+    assert kept.count() == 1
