@@ -36,7 +36,7 @@ FLOOR, WEIGHT = 0.1, 4.0
 #: The context of a document's first token; its place among a block's words.
 BEGIN = 0
 #: Tokens of a block at most; buckets at least, and the tokens of the corpus for which there is one.
-BLOCK, BUCKETS, BUCKET = 1 << 18, 128, 1 << 22
+BLOCK, BUCKETS, BUCKET = 1 << 18, 256, 1 << 21
 
 COUNTS = "block bigint, bucket int, n_words bigint, t binary, b binary"
 
@@ -48,13 +48,17 @@ def tokens(text: str = "text") -> Column:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers byte by byte of their places, so the zeros of small ones stand together and compress."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    """Numbers byte by byte of their places, low ones first; places in which all are zero are left out, and their number goes ahead."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    used = int(np.flatnonzero(np.append(True, planes[1:].any(axis=1)))[-1]) + 1
+    return bytes([used]) + planes[:used].tobytes()
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    used = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    planes = np.zeros((used.shape[1], np.dtype(kind).itemsize), np.uint8)
+    planes[:, : len(used)] = used.T
+    return planes.view(kind).ravel()
 
 
 def pair_keys(context: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ def count_blocks(blocks: DataFrame, target: DataFrame) -> DataFrame:
             for k in range(buckets):
                 w, p = slice(*of_words[k : k + 2]), slice(*of_pairs[k : k + 2])
                 if w.stop > w.start or p.stop > p.start:
-                    t, b = (pack(np.concatenate((x[w], y[p])).astype(np.int64)) for x, y in counts)
+                    t, b = (pack(np.concatenate((x[w], y[p]))) for x, y in counts)
                     out.append((row["block"], k, w.stop - w.start, t, b, pack(np.diff(np.concatenate((words[w], pairs[p])), prepend=np.uint64(0)))))
             names = ["block", "bucket", "n_words", "t", "b", "keys"]
             yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=asked)
@@ -198,16 +202,16 @@ def count_blocks(blocks: DataFrame, target: DataFrame) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         # keys are sent as steps from the key before, which are small
-        parts = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
-        keys, places = np.unique(np.concatenate(parts), return_inverse=True)
+        parts = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in rows.pop("keys")]
         ends = np.cumsum([len(x) for x in parts])
+        keys, places = np.unique(np.concatenate(parts), return_inverse=True)
         is_word = keys & np.uint64(1) == 0
         out = {"block": [*rows["block"], None], "bucket": [*rows["bucket"], rows["bucket"][0]], "n_words": [*rows["n_words"], int((is_word & (keys > 0)).sum())]}
         for name in "tb":
             sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, places, np.concatenate([unpack(x, np.int64) for x in rows[name]]))
+            np.add.at(sums, places, np.concatenate([unpack(x, np.int64) for x in rows.pop(name)]))
             out[name] = [*(pack(x) for x in np.split(sums[places], ends[:-1])), None]
-            out[f"sum_{name}"] = [None] * len(parts) + [int(sums[is_word].sum())]
+            out[f"sum_{name}"] = [None] * len(ends) + [int(sums[is_word].sum())]
         return pa.table(out, schema=answered)
 
     return rows.mapInArrow(ask, f"{COUNTS}, keys binary").groupBy("bucket").applyInArrow(answer, f"{COUNTS}, sum_t bigint, sum_b bigint")

@@ -75,6 +75,16 @@ def test_every_word_and_pair_has_its_own_count(spark):
     assert np.abs(np.array([g[2:] for g in got]) - [w[2:] for w in want]).max() < 1e-4
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint32, np.int64, np.uint64):
+        for most in (1, 200, 70_000, 2**31):
+            for n in (0, 1, 1000):
+                numbers = rng.integers(0, most, n).astype(kind)
+                assert (L.unpack(L.pack(numbers), kind) == numbers).all() and len(L.pack(numbers)) <= 1 + n * 4
+    assert L.unpack(L.pack(np.array([2**64 - 2, 3], np.uint64)), np.uint64).tolist() == [2**64 - 2, 3]
+
+
 def test_no_block_is_larger(spark, monkeypatch):
     for size, texts in ((1 << 18, ["word " * 4000] * 150), (1 << 18, ["a b c " * 300_000]), (7, ["a b c d e f g h i j k l m n o p", None, "a", "", "a b c"] * 9)):
         monkeypatch.setattr(L, "BLOCK", size)
