@@ -11,7 +11,9 @@ from sparcel.operators import profile as P
 from sparcel.operators.projection import SCHEMA, after_offset
 from sparcel.session import scratch
 from sparcel.sinks import state as D
+from sparcel.sources.files import list_files
 from sparcel.streaming import ingest as S
+from sparcel.streaming.inspection import inspect_files
 
 
 def _event_files(spark, sf):
@@ -126,12 +128,60 @@ def stream_profile(spark, sf):
     )
 
 
-@register("stop_early", "SELECT event_type AS stream, max(event_id) AS stream_offset, FALSE AS has_hash FROM events GROUP BY 1")
+def _lineitem_files(spark, sf):
+    """``lineitem`` as eight files, with the hash of each."""
+    path = scratch(spark, "lineitem")
+    table(spark, sf, "lineitem").repartitionByRange(8, "l_orderkey").write.parquet(path)
+    listing = list_files(spark, path).filter(F.col("name").endswith(".parquet")).select("file", "update_hash")
+    return listing, sorted(r["file"] for r in listing.collect()), table(spark, sf, "lineitem").schema
+
+
+def _ticks():
+    """A clock that goes one second a look, so a budget is a number of groups on any machine."""
+    now = iter(range(1_000_000))
+    return lambda: next(now)
+
+
+@register(
+    "stop_early",
+    """WITH n AS (SELECT count(*) AS n FROM lineitem) SELECT run, precision, hashes, fewer, CASE WHEN run = 2 THEN n END AS n FROM n,
+      (VALUES (1, 'GREATER_THAN', 0, TRUE), (2, 'EXACT', 8, FALSE)) v(run, precision, hashes, fewer)""",
+)
 def stop_early(spark, sf):
-    """State of an interrupted run: the offsets stay, the hash does not."""
-    events = table(spark, sf, "events").withColumnRenamed("event_type", "stream")
-    state = D.state_of_delivery(events, ("stream",), "event_id", F.col("ts"), complete=False, update_hash=F.col("props"))
-    return state.select("stream", "stream_offset", F.col("update_hash").isNotNull().alias("has_hash"))
+    """A run whose budget is over after three groups of files keeps what it saw and no hash; the next one reads everything."""
+    listing, files, schema = _lineitem_files(spark, sf)
+    total, out = spark.read.schema(schema).parquet(*files).count(), None
+    for run, budget in ((1, 3.5), (2, 1e6)):
+        state_path = scratch(spark, f"run-{run}")
+        seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), state_path, budget, _ticks(), columns=["l_quantity"])
+        hashes = seen.state(listing).filter("update_hash IS NOT NULL").count()
+        row = seen.counts().select(
+            F.lit(run).alias("run"), F.col("record_count_precision").alias("precision"), F.lit(hashes).alias("hashes"), (F.col("inspected_count") < total).alias("fewer"),
+            F.when(F.lit(run == 2), F.col("inspected_count")).alias("n"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("inspection_cut", "SELECT 'lineitem' AS stream, 'GREATER_THAN' AS precision, TRUE AS within FROM lineitem LIMIT 1")
+def inspection_cut(spark, sf):
+    """An inspection that is cut short has seen some records, but fewer than there are."""
+    _, files, schema = _lineitem_files(spark, sf)
+    seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), scratch(spark, "cut"), 2.5, _ticks(), columns=["l_quantity"])
+    n, total = F.col("inspected_count"), spark.read.schema(schema).parquet(*files).count()
+    return seen.counts().select(F.lit("lineitem").alias("stream"), F.col("record_count_precision").alias("precision"), ((n > 0) & (n < total)).alias("within"))
+
+
+@register(
+    "inspection_profile",
+    """SELECT 'l_quantity' AS property, count(l_quantity) AS n, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high FROM lineitem
+    UNION ALL SELECT 'l_orderkey', count(l_orderkey), CAST(min(l_orderkey) AS DOUBLE), CAST(max(l_orderkey) AS DOUBLE) FROM lineitem""",
+)
+def inspection_profile(spark, sf):
+    """The groups' profiles put together are the profile of the whole."""
+    _, files, schema = _lineitem_files(spark, sf)
+    seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), scratch(spark, "run"), 3600, columns=["l_quantity", "l_orderkey"])
+    return seen.profile().select("property", F.col("record_count").alias("n"), F.col("number_min").alias("low"), F.col("number_max").alias("high"))
 
 
 @register("inspection_budget", "SELECT 'events' AS stream, count(*) AS inspected_count, 'EXACT' AS precision FROM events")
@@ -145,19 +195,6 @@ def inspection_budget(spark, sf):
     )
 
 
-@register("inspection_cut", "SELECT 'events' AS stream, 'GREATER_THAN' AS precision, TRUE AS within FROM events LIMIT 1")
-def inspection_cut(spark, sf):
-    """An inspection that is cut short: a stream that never ends has more records than were seen."""
-    path, schema = _event_files(spark, sf)
-    target, total = scratch(spark, "inspected"), spark.read.parquet(path).count()
-    stream = S.read_files(spark, path, schema, files_per_batch=1)
-    finished = S.inspect_for(S.ingest(stream, target, scratch(spark, "checkpoint"), available_now=False), 2)
-    seen = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(f"{target}*")
-    return seen.agg(F.count("*").alias("n")).select(
-        F.lit("events").alias("stream"), F.lit(S.count_precision(finished)).alias("precision"), (F.col("n") <= total).alias("within")
-    )
-
-
 @register(
     "delivery_progress",
     """SELECT event_type, count(*) AS records, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, 100.0 AS percent, 0.0 AS seconds_left, TRUE AS moving,

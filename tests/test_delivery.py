@@ -1,11 +1,14 @@
 """Deliveries and running profiles that stop half-way."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparcel.operators import profile as P
 from sparcel.sinks import state as D
 from sparcel.streaming import ingest as S
+from sparcel.streaming.inspection import inspect_files
 
 SCHEMA, STATE = "id long, v string", "stream string, stream_offset bigint, update_hash string, updated_at timestamp"
 
@@ -72,6 +75,31 @@ def test_a_failed_commit_is_run_again(spark, tmp_path, monkeypatch):
     assert ids(store) == [0, 1]
 
 
+def test_inspection_is_cancelled_when_its_budget_is_over(spark, tmp_path):
+    spark.range(8).repartitionByRange(8, "id").write.parquet(str(tmp_path / "in"))
+    files = sorted(str(f) for f in (tmp_path / "in").glob("*.parquet"))
+
+    def slow(some):
+        @F.udf("long")
+        def wait(i):
+            time.sleep(60 if i >= 3 else 0)
+            return i
+
+        return spark.read.schema("id long").parquet(*some).select(wait("id").alias("id"))
+
+    began = time.monotonic()
+    seen = inspect_files(spark, files, slow, str(tmp_path / "out"), 6)
+    assert time.monotonic() - began < 40 and not seen.finished and 1 <= len(seen.done) <= 3
+    assert seen.counts().first()[:] == (len(seen.done), len(seen.done), "GREATER_THAN")
+    hashes = spark.createDataFrame([(f, "h") for f in files], "file string, update_hash string")
+    assert {r.update_hash for r in seen.state(hashes).collect()} == {None}
+    whole = inspect_files(spark, files, lambda some: spark.read.schema("id long").parquet(*some), str(tmp_path / "again"), 600)
+    assert whole.finished and whole.counts().first()[1:] == (8, "EXACT") and whole.state(hashes).filter("update_hash = 'h'").count() == 8
+    assert whole.profile().first()["number_max"] == 7
+    with pytest.raises(Exception, match="boom"):
+        inspect_files(spark, files, lambda some: spark.read.schema("id long").parquet(*some).select(F.raise_error(F.lit("boom")).cast("long").alias("x")), str(tmp_path / "bad"), 600)
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_running_profile_over_restarts(spark, tmp_path, monkeypatch, by):
     monkeypatch.setattr(S, "COMPACT", 2)
