@@ -182,13 +182,14 @@ def kafka_sink(spark, sf):
 
 @register(
     "columnar_payload_shape",
-    """SELECT CAST(floor(event_id / 100) AS BIGINT) AS batch, count(*) AS n,
+    """SELECT event_type, CAST(floor(event_id / 100) AS BIGINT) AS batch, 0 AS part, count(*) AS n,
       '{"columns":["event_id","user_id","event_type","at"],"data":[' || string_agg('["' || event_id || '","' || user_id || '","' || event_type || '","' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '"]', ',' ORDER BY event_id) || ']}' AS body
-    FROM events GROUP BY 1""",
+    FROM events GROUP BY event_type, batch""",
 )
 def columnar_payload_shape(spark, sf):
+    """Bodies of each stream by itself."""
     df = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("at"), "props")
-    return S.columnar_payload(df, "event_id", hidden=["props"])
+    return S.columnar_payload(df, "event_id", hidden=["props"], by=["event_type"])
 
 
 @register(

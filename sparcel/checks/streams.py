@@ -136,10 +136,22 @@ def _lineitem_files(spark, sf):
     return listing, sorted(r["file"] for r in listing.collect()), table(spark, sf, "lineitem").schema
 
 
+class _Silent:
+    """An alarm that never goes off."""
+
+    def __init__(self, *_):
+        pass
+
+    def start(self):
+        pass
+
+    cancel = start
+
+
 def _ticks():
     """A clock that goes one second a look, so a budget is a number of groups on any machine."""
     now = iter(range(1_000_000))
-    return lambda: next(now)
+    return {"clock": lambda: next(now), "alarm": _Silent}
 
 
 @register(
@@ -153,7 +165,7 @@ def stop_early(spark, sf):
     total, out = spark.read.schema(schema).parquet(*files).count(), None
     for run, budget in ((1, 3.5), (2, 1e6)):
         state_path = scratch(spark, f"run-{run}")
-        seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), state_path, budget, _ticks(), columns=["l_quantity"])
+        seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), state_path, budget, **_ticks(), columns=["l_quantity"])
         hashes = seen.state(listing).filter("update_hash IS NOT NULL").count()
         row = seen.counts().select(
             F.lit(run).alias("run"), F.col("record_count_precision").alias("precision"), F.lit(hashes).alias("hashes"), (F.col("inspected_count") < total).alias("fewer"),
@@ -167,7 +179,7 @@ def stop_early(spark, sf):
 def inspection_cut(spark, sf):
     """An inspection that is cut short has seen some records, but fewer than there are."""
     _, files, schema = _lineitem_files(spark, sf)
-    seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), scratch(spark, "cut"), 2.5, _ticks(), columns=["l_quantity"])
+    seen = inspect_files(spark, files, lambda some: spark.read.schema(schema).parquet(*some), scratch(spark, "cut"), 2.5, **_ticks(), columns=["l_quantity"])
     n, total = F.col("inspected_count"), spark.read.schema(schema).parquet(*files).count()
     return seen.counts().select(F.lit("lineitem").alias("stream"), F.col("record_count_precision").alias("precision"), ((n > 0) & (n < total)).alias("within"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,20 +195,25 @@ def columnar_shape(df: DataFrame, hidden: Iterable[str] = ()) -> DataFrame:
     return df.select(*columns)
 
 
-def columnar_payload(df: DataFrame, order: str, hidden: Iterable[str] = (), batch: int = COLUMNAR_BATCH) -> DataFrame:
-    """One JSON body ``{columns, data}`` per ``batch`` consecutive values of the offset ``order``.
+def columnar_payload(df: DataFrame, order: str, hidden: Iterable[str] = (), batch: int = COLUMNAR_BATCH, by: Iterable[str] = ()) -> DataFrame:
+    """One JSON body ``{columns, data}`` per ``batch`` consecutive values of the offset ``order``, for each stream ``by`` names.
 
-    The batch is a range of offsets, so a group never holds more than ``batch`` records.
+    Offsets are those of one stream, so each range of offsets is one body; one with more than ``batch`` records, whose offsets
+    repeat, goes on in further bodies (``part``). Records without an offset make the batch NULL of their stream.
     """
+    by = list(by)
+    if {"batch", "part", "n", "body"} & set(by):
+        raise ValueError("a stream column may not be called batch, part, n or body")
     shaped = columnar_shape(df, {*hidden, order} if order in set(hidden) else hidden)
-    numbered = df.select(F.floor(F.col(order) / batch).alias("batch"), F.col(order).alias("_o"), F.struct(
-        *[_columnar_value(df, c).alias(c) for c in shaped.columns]).alias("_r"))
-    row = F.array(*[F.col(f"_r.`{c}`") for c in shaped.columns])
+    row = F.array(*[_columnar_value(df, c) for c in shaped.columns])
+    numbered = df.select(*by, F.floor(F.col(order) / batch).alias("batch"), F.col(order).alias("_o"), row.alias("row"))
+    place = F.row_number().over(Window.partitionBy(*by, "batch").orderBy("_o", "row")) - 1
+    numbered = numbered.withColumn("_p", place).withColumn("part", F.floor(F.col("_p") / batch).cast("int"))
     return (
-        numbered.groupBy("batch")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", row.alias("row")))), lambda x: x["row"]).alias("data"))
+        numbered.groupBy(*by, "batch", "part")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "row"))), lambda x: x["row"]).alias("data"))
         .select(
-            "batch", F.size("data").alias("n"),
+            *by, "batch", "part", F.size("data").alias("n"),
             F.to_json(F.struct(F.array(*[F.lit(c) for c in shaped.columns]).alias("columns"), "data")).alias("body"),
         )
     )

@@ -66,9 +66,14 @@ def partitioned_sink(df: DataFrame, location: str, mode: str = "append") -> None
     df.write.mode(mode).partitionBy(SCHEMA).parquet(location)
 
 
-def console_sink(df: DataFrame) -> None:
-    """Every record as a line of JSON on the driver's standard output, a partition at a time."""
-    for row in df.select(F.to_json(F.struct("*")).alias("record")).toLocalIterator(prefetchPartitions=True):
+def console_lines(df: DataFrame) -> DataFrame:
+    """Every record as a line of JSON, to be written as text by the tasks that have it."""
+    return df.select(F.to_json(F.struct("*")).alias("record"))
+
+
+def console_sink(df: DataFrame, rows: int = 1000) -> None:
+    """Print the first ``rows`` records on the driver's standard output; no more than these are brought there."""
+    for row in console_lines(df).take(rows):
         print(row["record"])
 
 

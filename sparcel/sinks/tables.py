@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sparcel.operators.shapes import Types, kafka_value, relational_ddl, relational_shape
@@ -11,18 +14,24 @@ INSERT_ROWS = {"relational": 100, "document": 200, "warehouse": 200}
 TOPIC_BATCH = {"records": 100, "milliseconds": 100}
 
 
-def swap_table(df: DataFrame, table: str, fmt: str = "parquet", location: str | None = None) -> None:
-    """Full load of a catalog table: readers see the old table until the new one is complete.
+def swap_table(df: DataFrame, table: str, fmt: str = "parquet", location: str | None = None) -> str:
+    """Full load of a catalog table: a view ``table`` over the newest load, replaced in one statement once the load is complete.
 
-    ``location`` keeps the files outside the warehouse folder; it must be new for every load.
+    Every load is a table of its own, ``table_`` and a unique ending, so readers have the old rows until the view points to
+    the new ones, and never none. The load before is dropped afterwards; a load that fails leaves the view alone. ``location`` keeps
+    the files outside the warehouse folder; it must be new for every load. Returns the name of the table with the rows.
     """
-    spark = df.sparkSession
-    staged = f"{table}_new"
-    spark.sql(f"DROP TABLE IF EXISTS {staged}")
+    spark, loaded = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
     writer = df.write.format(fmt)
-    (writer.option("path", location) if location else writer).saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    (writer.option("path", location) if location else writer).saveAsTable(loaded)
+    folder, _, name = table.rpartition(".")
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        spark.sql(f"ALTER TABLE {table} RENAME TO {loaded}_before")  # a plain table from elsewhere becomes the load before
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {loaded}")
+    for found in spark.catalog.listTables(folder or None, f"{name}_*"):
+        if re.fullmatch(rf"{re.escape(name.lower())}_[0-9a-f]{{12}}(?:_before)?", found.name.lower()) and found.name.lower() != loaded.rpartition(".")[2].lower():
+            spark.sql(f"DROP TABLE IF EXISTS {f'{folder}.' if folder else ''}{found.name}")
+    return loaded
 
 
 def append_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:

@@ -62,9 +62,12 @@ class Inspection:
 
 def inspect_files(
     spark: SparkSession, files: list[str], read: Callable[[list[str]], DataFrame], path: str, seconds: float,
-    clock: Callable[[], float] = time.monotonic, **options,
+    clock: Callable[[], float] = time.monotonic, alarm: Callable[[float, Callable[[], None]], threading.Timer] = threading.Timer, **options,
 ) -> Inspection:
-    """Profile ``files`` for at most ``seconds``; ``read`` makes a table of some of them, ``options`` are those of ``profile``."""
+    """Profile ``files`` for at most ``seconds``; ``read`` makes a table of some of them, ``options`` are those of ``profile``.
+
+    ``clock`` tells the time between groups, ``alarm`` cancels the one that runs.
+    """
     context, found = spark.sparkContext, Inspection(spark, path, list(files))
     begun, size = clock(), 1
     while not found.finished:
@@ -78,7 +81,7 @@ def inspect_files(
             over.set()
             context.cancelJobsWithTag(tag)
 
-        timer = threading.Timer(left, stop)
+        timer = alarm(left, stop)
         context.addJobTag(tag)
         timer.start()
         try:

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -14,6 +15,7 @@ from sparcel.functions.infer import infer_string_type
 from sparcel.functions.versions import next_version, version_parse, version_text
 from sparcel.operators import profile as P
 from sparcel.operators.numbering import numbered_by_id
+from sparcel.operators import shapes as S
 from sparcel.operators.shapes import relational_shape
 from sparcel.plans import upgrade as U
 from sparcel.registry import search as Q
@@ -21,6 +23,7 @@ from sparcel.session import release, shared_dir, written
 from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
 from sparcel.sinks import state as D
+from sparcel.sinks import tables as DB
 from sparcel.sources import delimited, files, nested
 
 
@@ -78,11 +81,40 @@ def test_csv_source_is_read_once(spark, tmp_path):
     assert "a.csv" not in plan and plan.count("Aggregate") <= 4
 
 
-def test_console_prints_every_record(spark):
+def test_console_prints_what_was_asked_for(spark):
     printed = io.StringIO()
     with contextlib.redirect_stdout(printed):
         W.console_sink(spark.range(50))
-    assert sorted(printed.getvalue().splitlines()) == sorted(f'{{"id":{i}}}' for i in range(50))
+        W.console_sink(spark.range(100, 150), rows=3)
+    assert sorted(printed.getvalue().splitlines()) == sorted(f'{{"id":{i}}}' for i in [*range(50), 100, 101, 102])
+
+
+def test_swapped_tables_are_never_missing(spark, tmp_path):
+    name = "swapped_rows"
+    DB.swap_table(spark.range(3), name, location=str(tmp_path / "1"))
+    reader = spark.table(name)
+    DB.swap_table(spark.range(5), name, location=str(tmp_path / "2"))
+    assert spark.table(name).count() == 5 and reader.count() == 3
+    with pytest.raises(Exception, match="boom"):
+        DB.swap_table(spark.range(7).select(F.when(F.col("id") > 5, F.raise_error(F.lit("boom")).cast("long")).alias("id")), name, location=str(tmp_path / "3"))
+    assert spark.table(name).count() == 5
+    loaded = DB.swap_table(spark.range(2), name, location=str(tmp_path / "4"))
+    assert [t.name for t in spark.catalog.listTables(pattern=f"{name}*") if t.name not in (name, loaded)] == []
+    spark.sql(f"DROP VIEW {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{tmp_path / 'plain'}' AS SELECT 1 AS id")
+    loaded = DB.swap_table(spark.range(4), name, location=str(tmp_path / "5"))
+    assert spark.table(name).count() == 4
+    spark.sql(f"DROP VIEW {name}")
+    spark.sql(f"DROP TABLE {loaded}")
+
+
+def test_bodies_of_several_streams_and_repeated_offsets(spark):
+    rows = [("a", i % 7, str(i)) for i in range(20)] + [("b", i, str(i)) for i in range(6)] + [("b", None, "x")]
+    found = S.columnar_payload(spark.createDataFrame(rows, "stream string, o long, v string"), "o", batch=5, by=["stream"]).collect()
+    assert max(r.n for r in found) <= 5 and sum(r.n for r in found) == 27
+    got = sorted((r.stream, cell[2]) for r in found for cell in json.loads(r.body)["data"])
+    assert got == sorted((s, v) for s, _, v in rows)
+    assert {(r.stream, r.batch, r.part): r.n for r in found if r.stream == "b"} == {("b", 0, 0): 5, ("b", 1, 0): 1, ("b", None, 0): 1}
 
 
 def test_exact_numbers_and_digits(spark):
