@@ -534,8 +534,8 @@ def exchange_normalize_kraken(spark, sf):
     trades = dealt(table(spark, sf, "lineitem")).select(wrap(F.array(trade("l_extendedprice"), trade("l_tax")), "trade"))
     price, key = F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")
     quote = F.struct(*[F.array(price, key, F.lit("1")).alias(c) for c in "abcvptlho"])
-    ticker = table(spark, sf, "orders").select(wrap(quote, "ticker"))
-    spreads = table(spark, sf, "events").select(
+    ticker = dealt(table(spark, sf, "orders")).select(wrap(quote, "ticker"))
+    spreads = dealt(table(spark, sf, "events")).select(
         wrap(F.array(F.col("value").cast("string"), F.lit("2"), F.lit("3"), F.col("event_id").cast("string"), F.lit("5")), "spread")
     )
     get = lambda name: F.try_element_at("record", F.lit(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,12 +48,17 @@ def _read(df: DataFrame, name: str, kind: str) -> Column:
     """A column as ``kind``: raw text is converted, typed columns are cast."""
     column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        return convert_value(column, kind)
+        return _apart(column, lambda c: convert_value(c, kind))
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(column)
     return column.try_cast(SPARK[kind])
 
 
+def _apart(column: Column, work: Callable[[Column], Column]) -> Column:
+    """``work`` on a value by a function of its own: one projection of many long rules would be too large to be compiled."""
+    return F.get(F.transform(F.array(column), work), F.lit(0))
+
+
 def _split(df: DataFrame, types: Types, joint: str, rename) -> tuple[DataFrame, list[tuple[str, str, Column]]]:
     """The prepared rows, and (name, type, value) of every target column.
 
@@ -70,10 +75,10 @@ def _split(df: DataFrame, types: Types, joint: str, rename) -> tuple[DataFrame,
         if len(kinds) == 1:
             out.append((rename(name), kinds[0], F.when(column.isNotNull(), _read(df, name, kinds[0]))))
             continue
-        found = infer_string_type(column)
+        found = _apart(column, infer_string_type)
         ready[f"_kind{number}"] = F.when(found == "integer", "number").otherwise(found) if "number" in kinds else found
         if {"date", "date-time"} & set(kinds):
-            times[f"_time{number}"] = F.when(F.col(f"_kind{number}").isin("date", "date-time"), to_timestamp(column))
+            times[f"_time{number}"] = F.when(F.col(f"_kind{number}").isin("date", "date-time"), _apart(column, to_timestamp))
         for kind in kinds:
             value = _read(df, name, kind)
             if kind in ("date", "date-time"):

@@ -51,7 +51,10 @@ def _text(variant: Column, path: str) -> Column:
 def _named(pairs: Mapping[str, Column]) -> Column:
     """A map of texts without the missing entries."""
     full = F.create_map(*[x for name, value in pairs.items() for x in (F.lit(name), value)])
-    return F.map_filter(full, lambda _, v: v.isNotNull())
+    whole = F.lit(True)
+    for value in pairs.values():
+        whole = whole & value.isNotNull()
+    return F.when(whole, full).otherwise(F.map_filter(full, lambda _, v: v.isNotNull()))
 
 
 def _object(variant: Column) -> Column:
@@ -118,29 +121,25 @@ def normalize_gemini(messages: DataFrame, symbol: Column) -> DataFrame:
 def normalize_kraken(messages: DataFrame) -> DataFrame:
     """Positional ticker, trade (one record each) and spread messages to named fields.
 
-    A message is cut into its parts once, and a body is parsed by the schema of its own channel only.
+    A message is parsed once; every channel's bodies are read from it by their own type, and the map of a record is put together
+    after its row is there, from plain columns.
     """
-    parts = messages.select(F.from_json("value", "array<string>").alias("m")).select(
-        F.get("m", F.lit(1)).alias("body"), F.get("m", F.lit(2)).alias("_schema_slug"), F.get("m", F.lit(3)).alias("pair")
-    ).filter(F.col("_schema_slug").isin("ticker", "trade", "spread"))
+    v = F.col("v")
+    # other messages go once their bodies are there: a filter on the channel alone would parse every message once more
+    parts = messages.select(F.try_parse_json("value").alias("v")).select("v", _text(v, "$[2]").alias("_schema_slug"), _text(v, "$[3]").alias("pair"))
 
-    def body(channel: str, schema: str) -> Column:
-        return F.when(F.col("_schema_slug") == channel, F.from_json("body", schema)).alias(channel)
+    def body(channel: str, kind: str) -> Column:
+        return F.when(F.col("_schema_slug") == channel, F.try_variant_get(v, "$[1]", kind))
 
-    parsed = parts.select(
-        "_schema_slug", "pair", body("ticker", ", ".join(f"`{key}` array<string>" for key, _ in KRAKEN_TICKER)),
-        body("trade", "array<array<string>>"), body("spread", "array<string>"),
-    )
+    ticker = ", ".join(f"`{key}`: array<string>" for key, _ in KRAKEN_TICKER)
+    rows = parts.select("_schema_slug", "pair", body("ticker", f"struct<{ticker}>").alias("ticker"), body("spread", "array<string>").alias("spread"), F.explode_outer(body("trade", "array<array<string>>")).alias("trade"))
     at = lambda values, i: F.get(values, F.lit(i))
-    ticker = {"pair": F.col("pair"), **{name: at(F.col(f"ticker.`{key}`"), i) for key, names in KRAKEN_TICKER for i, name in enumerate(names)}}
-    trades = F.transform("trade", lambda t: _named({"pair": F.col("pair"), **{name: at(t, i) for i, name in enumerate(KRAKEN_TRADE)}}))
+    quote = {"pair": F.col("pair"), **{name: at(F.col(f"ticker.`{key}`"), i) for key, names in KRAKEN_TICKER for i, name in enumerate(names)}}
+    trade = {"pair": F.col("pair"), **{name: at(F.col("trade"), i) for i, name in enumerate(KRAKEN_TRADE)}}
     spread = {name: at(F.col("spread"), i) for i, name in enumerate(KRAKEN_SPREAD)}
-    records = (
-        F.when(F.col("_schema_slug") == "ticker", F.array(_named(ticker)))
-        .when(F.col("_schema_slug") == "trade", trades)
-        .otherwise(F.array(_named(spread)))
-    )
-    return parsed.select("_schema_slug", F.explode(records).alias("record"))
+    slug = F.col("_schema_slug")
+    record = F.when(F.col("trade").isNotNull(), _named(trade)).when(slug == "ticker", _named(quote)).when(slug == "spread", _named(spread))
+    return rows.filter("trade IS NOT NULL OR ticker IS NOT NULL OR spread IS NOT NULL").select("_schema_slug", record.alias("record"))
 
 
 SOCIAL = (

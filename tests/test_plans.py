@@ -46,3 +46,13 @@ NO_LOOPS = [
 def test_no_nested_loop(name, spark, sf_dir):
     text = physical(QUERIES[name](spark, sf_dir))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_shapes_are_compiled(spark, sf_dir):
+    """Without the way back to interpreted rules, code that is too large would be an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("relational_shape", "document_shape", "warehouse_shape_prefixed", "exchange_normalize_kraken"):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
