@@ -20,7 +20,7 @@ from sparcel.sinks import batches as B
 from sparcel.sinks import files as W
 from sparcel.sinks import state as D
 from sparcel.sinks import tables as DB
-from sparcel.sources import containers, delimited, feeds, files, nested, synthetic, tables
+from sparcel.sources import containers, delimited, feeds, files, nested, plugins, synthetic, tables
 
 CUSTOMER = "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment"
 
@@ -587,3 +587,45 @@ _CITIES = "[" + ", ".join(f"'{w}'" for w in synthetic.WORDS["city"]) + "]"
 )
 def synthetic_records(spark, sf):
     return synthetic.synthetic_for(table(spark, sf, "customer"), "c_custkey", {"home": "city", "amount": "integer", "active": "boolean"}, seed=3)
+
+
+_SYNTHETIC = f"""SELECT c_custkey, {_CITIES}[CAST(floor({_draw(3)} * 8) AS INTEGER) + 1] AS home, CAST(floor({_draw(4)} * 100000) AS BIGINT) AS amount, {_draw(5)} < 0.5 AS active FROM customer"""
+
+
+def _plugged(spark, sf, reader):
+    plugins.register(spark)
+    count = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0] + 1
+    return reader.format("sparcel_synthetic").options(count=count, attributes="home=city,amount=integer,active=boolean", seed=3, partition=500, batch=400).load()
+
+
+@register("source_plugin", _SYNTHETIC)
+def source_plugin(spark, sf):
+    """Records of a data source found by name, for every customer."""
+    customers = table(spark, sf, "customer").select("c_custkey")
+    return _plugged(spark, sf, spark.read).join(customers, F.col("_offset") == F.col("c_custkey")).drop("_offset")
+
+
+@register("source_plugin_stream", _SYNTHETIC)
+def source_plugin_stream(spark, sf):
+    """The same records as a stream of several micro-batches, with the customers as they come."""
+    customers, path = table(spark, sf, "customer").select("c_custkey"), scratch(spark, "plugged")
+    stream = _plugged(spark, sf, spark.readStream).join(customers, F.col("_offset") == F.col("c_custkey")).drop("_offset")
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "checkpoint")).start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema("home string, amount bigint, active boolean, c_custkey bigint").parquet(path)
+
+
+@register("source_by_address", "SELECT 'csv' AS kind, n_name AS name FROM nation UNION ALL SELECT 'parquet', c_name FROM customer UNION ALL SELECT 'jsonl', s_name FROM supplier")
+def source_by_address(spark, sf):
+    """Each address is read by the source that knows it."""
+    folder, sources = scratch(spark, "addresses"), plugins.Sources()
+    W.csv_sink(table(spark, sf, "nation"), f"{folder}/nation.csv")
+    W.jsonl_sink(table(spark, sf, "supplier"), f"{folder}/supplier.jsonl")
+    out = None
+    names = {f"{folder}/nation.csv": F.col("n_name"), f"{sf}/customer.parquet": F.col("c_name"), f"{folder}/supplier.jsonl": F.variant_get(F.col("record"), "$.s_name", "string")}
+    for uri, name in names.items():
+        rows = sources.open(spark, uri)
+        rows = rows.select(F.lit(sources.of(uri).kind).alias("kind"), name.alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
