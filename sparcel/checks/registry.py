@@ -15,6 +15,7 @@ from sparcel.registry import notifications as N
 from sparcel.registry import search as Q
 from sparcel.registry import visibility as Z
 from sparcel.registry.prefixes import write_prefixes
+from sparcel.registry.rollup import LogRollup, digests
 from sparcel.registry.segments import SegmentIndex
 from sparcel.session import scratch, shared_dir
 
@@ -153,6 +154,34 @@ def notification_digest(spark, sf):
     return N.notification_digest(_summaries(spark, sf))
 
 
+# Windows of all frequencies: the stored mark of one, a period back from the end for the rest.
+_STARTS = {"INSTANT": "2024-01-19 23:59:00", "HOURLY": "2024-01-19 23:00:00", "DAILY": "2024-01-05 07:11:13", "WEEKLY": "2024-01-13 00:00:00", "MONTHLY": "2023-12-21 00:00:00"}
+_IN_WINDOW = "CASE f.frequency " + " ".join(f"WHEN '{k}' THEN a.created_at > TIMESTAMP '{v}'" for k, v in _STARTS.items()) + " END AND a.created_at <= TIMESTAMP '2024-01-20 00:00:00'"
+_EVERY = {k: v.replace(f"{PERIOD} AND f.frequency = 'DAILY'", _IN_WINDOW).replace("SELECT DISTINCT", "SELECT DISTINCT f.frequency,") for k, v in ACTIONS.items()}
+
+
+@register(
+    "notification_digest_all",
+    "SELECT frequency, user_id, CAST(sum(n_actions) AS BIGINT) AS n_actions, CAST(sum(n_actors) AS BIGINT) AS n_actors, count(*) AS n_entries, strftime(min(first_at), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(last_at), '%Y-%m-%d %H:%M:%S.%f') AS last_at FROM ("
+    + " UNION ALL ".join(_summary_sql(a).replace("SELECT kind", "SELECT frequency, kind").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5") for a in _EVERY.values()) + ") s GROUP BY 1, 2",
+)
+def notification_digest_all(spark, sf):
+    """Digests of all frequencies from sums by minute, hour and day that are brought up to date in two steps."""
+    activity, follows = standin(spark, sf, "activity"), standin(spark, sf, "follows")
+    rollup = LogRollup(spark, scratch(spark, "rollup"))
+    for until in (dt.datetime(2024, 1, 10, 11, 30, 30), END):
+        rollup.update(activity, until)
+    now = F.lit(END).cast("timestamp")
+    frequencies = spark.createDataFrame([(k,) for k in _STARTS], "frequency string")
+    state = spark.createDataFrame([("DAILY", dt.datetime(2024, 1, 5, 7, 11, 13))], "frequency string, last_notified timestamp")
+    rows = digests(rollup, activity, follows, standin(spark, sf, "packages"), standin(spark, sf, "collection_packages"), N.notification_window(frequencies, state, now))
+    form = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return rows.groupBy("frequency", "user_id").agg(
+        F.sum("n_actions").alias("n_actions"), F.sum("n_actors").alias("n_actors"), F.count("*").alias("n_entries"),
+        F.date_format(F.min("first_at"), form).alias("first_at"), F.date_format(F.max("last_at"), form).alias("last_at"),
+    )
+
+
 @register(
     "notification_text",
     f"""SELECT kind, s.user_id, target_id, event_type, n_actions, CASE WHEN n_actors > 2 THEN u.display_name || ' and ' || (n_actors - 1) || ' other users' ELSE u.display_name END AS actor,

@@ -33,34 +33,34 @@ def _period(activity: DataFrame, start: dt.datetime | Column, end: dt.datetime |
     return activity.filter((F.col("created_at") > as_col(start)) & (F.col("created_at") <= as_col(end)))
 
 
-def _keys(follows: DataFrame, target: str) -> DataFrame:
-    """(_follower, _target, _event, _changes): what each follow asks for; no change types stand for all."""
+def _keys(follows: DataFrame, target: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(_follower, _target, _event, _changes): what each follow asks for; no change types stand for all. ``also`` are columns kept apart."""
     return follows.filter(F.col(target).isNotNull()).select(
-        F.col("user_id").alias("_follower"), F.col(target).alias("_target"), F.explode(F.array_distinct("event_types")).alias("_event"),
+        *also, F.col("user_id").alias("_follower"), F.col(target).alias("_target"), F.explode(F.array_distinct("event_types")).alias("_event"),
         F.lit(None).cast("array<string>").alias("_changes"),
     ).distinct()
 
 
-def _package_keys(follows: DataFrame, packages: DataFrame, collection_packages: DataFrame, acted: DataFrame) -> DataFrame:
+def _package_keys(follows: DataFrame, packages: DataFrame, collection_packages: DataFrame, acted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """The same for packages: followed ones, and those of followed catalogs and collections.
 
     Following everything inside only announces the change types of the follow. Only packages of ``acted`` (``_target``,
     ``_event``) are listed, instead of every package that is followed; a follower has one row for each of them.
     """
-    direct = _keys(follows, "target_package_id")
+    direct = _keys(follows, "target_package_id", also)
     every = follows.filter("follow_all_packages")
     parts = [direct]
     for owner, column, bridge in (("target_catalog_id", "catalog_id", packages), ("target_collection_id", "collection_id", collection_packages)):
         inside = acted.join(bridge.select(F.col("package_id").alias("_target"), F.col(column).alias("_owner")).distinct(), "_target")
         wanted = every.filter(F.col(owner).isNotNull()).select(
-            F.col("user_id").alias("_follower"), F.col(owner).alias("_owner"), F.explode(F.array_distinct("event_types")).alias("_event"),
+            *also, F.col("user_id").alias("_follower"), F.col(owner).alias("_owner"), F.explode(F.array_distinct("event_types")).alias("_event"),
             F.col("change_types").alias("_changes"),
         )
-        parts.append(inside.join(wanted, ["_owner", "_event"]).select("_follower", "_target", "_event", F.coalesce("_changes", F.array().cast("array<string>")).alias("_changes")))
+        parts.append(inside.join(wanted, [*also, "_owner", "_event"]).select(*also, "_follower", "_target", "_event", F.coalesce("_changes", F.array().cast("array<string>")).alias("_changes")))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("_follower", "_target", "_event").agg(
+    return rows.groupBy(*also, "_follower", "_target", "_event").agg(
         F.max(F.col("_changes").isNull()).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_changes")))).alias("_some")
-    ).select("_follower", "_target", "_event", F.when(~F.col("_all"), F.col("_some")).alias("_changes"))
+    ).select(*also, "_follower", "_target", "_event", F.when(~F.col("_all"), F.col("_some")).alias("_changes"))
 
 
 def _counted(log: DataFrame, target: str) -> DataFrame:
@@ -73,17 +73,17 @@ def _counted(log: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _summaries(kind: str, counted: DataFrame, keys: DataFrame) -> DataFrame:
+def _summaries(kind: str, counted: DataFrame, keys: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per follow and event type, without the follower's own actions.
 
     Followers that ask for the same change types of a target share one set of totals. The totals keep the first two actors
     and the last two, and of an edited property how many actors edited it, so one's own share can be taken off again: the work
     follows the followers and the actors, not their pairs. All actions without an actor count as those of one unknown actor.
     """
-    group = ["_target", "_event", "_asked"]
+    group = [*also, "_target", "_event", "_asked"]
     keys = keys.withColumn("_asked", F.coalesce(F.array_join("_changes", ","), F.lit("*")))
-    asked = keys.select("_target", "_event", "_asked", "_changes").distinct()
-    by_actor = counted.join(asked, ["_target", "_event"]).filter(F.col("_changes").isNull() | F.array_contains("_changes", F.col("_change")))
+    asked = keys.select(*group, "_changes").distinct()
+    by_actor = counted.join(asked, [*also, "_target", "_event"]).filter(F.col("_changes").isNull() | F.array_contains("_changes", F.col("_change")))
     by_actor = written(by_actor.groupBy(*group, "actor_id").agg(
         F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last_at").alias("last_at"), F.array_distinct(F.flatten(F.collect_list("edited"))).alias("edited"),
     ), f"{kind}_actors")
@@ -102,7 +102,7 @@ def _summaries(kind: str, counted: DataFrame, keys: DataFrame) -> DataFrame:
     ends = F.when(F.col("last1.actor_id") == F.col("_follower"), F.col("last2")).otherwise(F.col("last1"))
     edited = F.filter("edits", lambda e: (e["k"] > 1) | ~e["only"].eqNullSafe(F.col("_follower")))
     return rows.filter(F.col("actors") > F.when(F.col("own").isNull(), 0).otherwise(1)).select(
-        F.lit(kind).alias("kind"), F.col("_follower").alias("user_id"), F.col("_target").alias("target_id"), F.col("_event").alias("event_type"),
+        *also, F.lit(kind).alias("kind"), F.col("_follower").alias("user_id"), F.col("_target").alias("target_id"), F.col("_event").alias("event_type"),
         (F.col("total") - F.coalesce("own", F.lit(0))).alias("n_actions"), (F.col("actors") - F.when(F.col("own").isNull(), 0).otherwise(1)).alias("n_actors"),
         begins["first"]["created_at"].alias("first_at"), ends["last_at"].alias("last_at"), begins["actor_id"].alias("first_actor_id"),
         F.coalesce(F.array_sort(F.transform(edited, lambda e: e["p"])), F.array().cast("array<string>")).alias("properties_edited"),
@@ -132,6 +132,19 @@ def notify_by_package(activity, follows, packages, collection_packages, start, e
     return _summaries("package", counted, _package_keys(wanted, packages, collection_packages, acted))
 
 
+def summaries_of(counted: DataFrame, follows: DataFrame, packages: DataFrame, collection_packages: DataFrame, also: tuple[str, ...] = ("frequency",)) -> DataFrame:
+    """The summaries of all four kinds and every frequency, from sums by ``kind`` and ``frequency``."""
+    keys = {kind: _keys(follows, target, also) for kind, target in (("catalog", "target_catalog_id"), ("collection", "target_collection_id"), ("user", "target_user_id"))}
+    of = {kind: counted.filter(F.col("kind") == kind).drop("kind") for kind in (*keys, "package")}
+    acted = of["package"].filter(F.col("_change").isNotNull()).select(*also, "_target", "_event").distinct()
+    keys["package"] = _package_keys(follows, packages, collection_packages, acted, also)
+    out = None
+    for kind, rows in of.items():
+        found = _summaries(kind, rows, keys[kind], also)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def actions_of(activity, follows, packages, collection_packages, start, end, frequency, user: int) -> DataFrame:
     """Every single action that one user is told about, in the order of a message."""
     wanted = follows.filter((F.col("frequency") == frequency) & (F.col("user_id") == user))
