@@ -592,10 +592,10 @@ def synthetic_records(spark, sf):
 _SYNTHETIC = f"""SELECT c_custkey, {_CITIES}[CAST(floor({_draw(3)} * 8) AS INTEGER) + 1] AS home, CAST(floor({_draw(4)} * 100000) AS BIGINT) AS amount, {_draw(5)} < 0.5 AS active FROM customer"""
 
 
-def _plugged(spark, sf, reader):
+def _plugged(spark, sf, reader, **more):
     plugins.register(spark)
     count = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0] + 1
-    return reader.format("sparcel_synthetic").options(count=count, attributes="home=city,amount=integer,active=boolean", seed=3, partition=500, batch=400).load()
+    return reader.format("sparcel_synthetic").options(count=count, attributes="home=city,amount=integer,active=boolean", seed=3, partition=500, batch=400, **more).load()
 
 
 @register("source_plugin", _SYNTHETIC)
@@ -607,9 +607,12 @@ def source_plugin(spark, sf):
 
 @register("source_plugin_stream", _SYNTHETIC)
 def source_plugin_stream(spark, sf):
-    """The same records as a stream of several micro-batches, with the customers as they come."""
+    """The same records as a stream of several micro-batches, with the customers as they come.
+
+    Every micro-batch reads the customers, so their number is bounded whatever the size of the table.
+    """
     customers, path = table(spark, sf, "customer").select("c_custkey"), scratch(spark, "plugged")
-    stream = _plugged(spark, sf, spark.readStream).join(customers, F.col("_offset") == F.col("c_custkey")).drop("_offset")
+    stream = _plugged(spark, sf, spark.readStream, batches=16).join(customers, F.col("_offset") == F.col("c_custkey")).drop("_offset")
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "checkpoint")).start()
     query.processAllAvailable()
     query.stop()

@@ -62,7 +62,8 @@ def _spans(first: int, stop: int, size: int) -> list[Span]:
 
 class SyntheticSource(DataSource):
     """Seeded records 0 to ``count``: options ``count``, ``attributes`` (``home=city,amount=integer``), ``seed``, ``partition`` and, for
-    streams, ``batch`` (records of a micro-batch at most)."""
+    streams, ``batch`` (records of a micro-batch at most) and ``batches``: all records take no more micro-batches than that, so that
+    those of a large ``count`` are larger than ``batch``."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,12 +132,15 @@ class SyntheticStream(DataSourceStreamReader):
 
     def __init__(self, source: SyntheticSource):
         self.source, self.seen = source, 0
+        self.size = source.number("batch", BATCH)
+        if "batches" in source.options:
+            self.size = max(self.size, -(-source.number("count", 0) // source.number("batches", 1)))
 
     def initialOffset(self) -> dict:
         return {"next": 0}
 
     def latestOffset(self) -> dict:
-        self.seen = min(self.seen + self.source.number("batch", BATCH), self.source.number("count", 0))
+        self.seen = min(self.seen + self.size, self.source.number("count", 0))
         return {"next": self.seen}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:

@@ -55,3 +55,21 @@ def test_addresses(spark, tmp_path):
     assert sources.open(spark, "synthetic://30?who=first_name&n=integer", seed="2").columns == ["_offset", "who", "n"]
     sources.add(plugins.Description("mine", "Mine", r"\.csv$", lambda spark, uri: spark.range(4)))
     assert sources.open(spark, str(tmp_path / "x.csv")).count() == 4
+
+
+def test_a_long_stream_takes_a_bounded_number_of_batches(spark, tmp_path):
+    """A fixed batch made the micro-batches, and the reads of what is joined to them, grow with the records."""
+    path, sizes = str(tmp_path / "out"), []
+    stream = source(spark, spark.readStream, count=1500, batch=10, batches=4, partition=200)
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    query.stop()
+    assert sizes == [375] * 4
+    got = spark.read.parquet(path)
+    assert got.agg(F.count("*"), F.count_distinct("_offset"), F.max("_offset")).first()[:] == (1500, 1500, 1499)
+
+
+def test_few_records_keep_their_batch(spark):
+    for options, size in (({"batch": "400", "batches": "4"}, 400), ({"batch": "400"}, 400), ({"batch": "10", "batches": "7"}, 143)):
+        assert plugins.SyntheticSource({"count": "1000", **options}).streamReader(None).latestOffset() == {"next": size}
