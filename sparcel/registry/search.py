@@ -94,10 +94,11 @@ def matches(text: Column, query: Query, spaced: Callable[[Column], Column] = spa
 def text_index(df: DataFrame, key: str, text: str) -> DataFrame:
     """(token, key): the index to keep beside the texts, written partitioned or sorted by token.
 
-    Repeated words of a text are dropped inside its own task, before the shuffle.
+    Repeated words of a text are dropped in its own row, without any shuffle; only a key of several rows can have a word twice, which
+    lookups, grouping by key, do not mind.
     """
-    words = df.select(F.col(key), F.explode(F.split(F.lower(F.col(text)), NOT_WORD)).alias("token"))
-    return words.filter("token <> ''").select("token", key).distinct()
+    words = df.select(F.col(key), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), NOT_WORD))).alias("token"))
+    return words.filter("token <> ''").select("token", key)
 
 
 def write_index(index: DataFrame, path: str) -> None:
