@@ -288,7 +288,7 @@ def _segments(spark, sf, name):
     kept = (spark.sparkContext.applicationId, f"{sf}/{name}")
     if kept not in _INDEXES:
         _INDEXES[kept] = f"{shared_dir(spark)}/sparcel-index-{uuid.uuid4().hex[:12]}"
-        SegmentIndex(spark, _INDEXES[kept], key, fields).refresh(standin(spark, sf, name))
+        SegmentIndex(spark, _INDEXES[kept], key, fields).refresh(dealt(standin(spark, sf, name)))
     return SegmentIndex(spark, _INDEXES[kept], key, fields)
 
 
@@ -369,7 +369,7 @@ TOKENS = r"SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lo
 @register("text_index_refresh", f"SELECT token, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids, TRUE AS in_proportion FROM ({TOKENS}) GROUP BY 1")
 def text_index_refresh(spark, sf):
     """An index made before some texts changed, brought up to date in two refreshes; each writes what changed and no more."""
-    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    documents = dealt(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     index = SegmentIndex(spark, scratch(spark, "segments"), "doc_id", ["text"], stemmed=False)
     late = F.col("doc_id") % 10 == 0
     stale = F.when(late, F.lit("before the first change")).when(F.col("lang") == "en", F.upper("source")).otherwise(F.col("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparcel.registry.stems import NOT_WORD, stems
+from sparcel.session import written
 from sparcel.sinks.state import Published
 
 FANOUT, LEAST = 4, 1024
@@ -47,7 +48,7 @@ class SegmentIndex(Published):
         return rows.select(F.explode("tokens").alias("token"), "field", self.key)
 
     def _write(self, entries: DataFrame, keys: DataFrame) -> tuple[str, int]:
-        folder = uuid.uuid4().hex
+        folder, entries = uuid.uuid4().hex, written(entries, "tokens")  # sorting by range looks at its rows twice
         entries.repartitionByRange("token", self.key).sortWithinPartitions("token").write.parquet(f"{self.data}/{folder}/entries")
         keys.write.parquet(f"{self.data}/{folder}/keys")
         return folder, self.spark.read.parquet(f"{self.data}/{folder}/entries").count()
@@ -93,18 +94,21 @@ class SegmentIndex(Published):
     def _keys(self, part: list[tuple[int, str, int]]) -> DataFrame:
         return self._union(part, "keys", f"`{self.key}` bigint")
 
-    def _alive(self, entries: DataFrame, segments: list[tuple[int, str, int]]) -> DataFrame:
-        """Entries whose key no later segment speaks for. The keys of the oldest segment are never read."""
+    def _alive(self, entries: DataFrame, segments: list[tuple[int, str, int]], few: bool = False) -> DataFrame:
+        """Entries whose key no later segment speaks for. The keys of the oldest segment are never read; of the others only those of
+        the entries are kept where these are ``few``."""
         if len(segments) < 2:
             return entries
-        later = self._keys(segments[1:]).join(entries.select(self.key).distinct(), self.key, "left_semi")
+        later = self._keys(segments[1:])
+        if few:
+            later = later.join(entries.select(self.key).distinct(), self.key, "left_semi")
         later = later.groupBy(self.key).agg(F.max("seq").alias("_last"))
         return entries.join(later, self.key, "left").filter(F.col("_last").isNull() | (F.col("_last") <= F.col("seq"))).drop("_last")
 
     def lookup(self, tokens: Iterable[str]) -> DataFrame:
         """``(token, field, key)`` of some tokens: the entries of the others are skipped, and only found keys are looked up."""
         segments = self.segments()
-        return self._alive(self._read(segments).filter(F.col("token").isin(sorted(tokens))), segments).drop("seq")
+        return self._alive(self._read(segments).filter(F.col("token").isin(sorted(tokens))), segments, few=True).drop("seq")
 
     def entries(self) -> DataFrame:
         """All entries that count."""

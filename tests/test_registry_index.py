@@ -84,3 +84,38 @@ def test_prefix_keys(spark, tmp_path):
     assert ids("da", prefixes.INSIDE) == {1} and ids("o", prefixes.INSIDE) == {2} and ids("", prefixes.INSIDE) == {1, 2}
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     assert "StringStartsWith(prefix_key,ad)" in prefixes.complete(keys, "ad")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_taken_apart_once(spark, tmp_path):
+    """Sorting by range looks at its rows twice; the stems of a text must not be worked out again for that."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        seen.add(1)
+        return f"packages of {n}"
+
+    df = spark.range(0, 200, 1, 4).select("id", text("id").alias("a"), F.lit(None).cast("string").alias("b"))
+    index = index_of(spark, tmp_path)
+    assert index.refresh(df) == 400 and seen.value == 200
+    assert index.lookup(["packag"]).count() == 200
+
+
+def test_words_of_texts_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "Red, red fox"), (2, None), (3, ""), (None, "fox")], "id long, t string")
+    index = Q.text_index(df, "id", "t")
+    assert sorted(map(tuple, index.collect()), key=repr) == [("fox", 1), ("fox", None), ("red", 1)]
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    twice = Q.text_index(df.union(df), "id", "t")
+    assert [r.id for r in Q.search_index(twice, "id", "red fox").collect()] == [1]
+
+
+def test_packages_of_one_row_group_are_taken_apart_by_all_cores(spark, tmp_path, monkeypatch):
+    from sparcel.checks import registry
+
+    columns = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame([(i, f"red plate {i}", "B", "T", i % 7, 1.0) for i in range(100)], columns).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    parts, refresh = [], G.SegmentIndex.refresh
+    monkeypatch.setattr(G.SegmentIndex, "refresh", lambda self, df, **more: parts.append(df.rdd.getNumPartitions()) or refresh(self, df, **more))
+    assert registry._segments(spark, str(tmp_path), "packages").lookup(["plate"]).count() == 100
+    assert parts == [spark.sparkContext.defaultParallelism]
