@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sparcel.checks.base import register, spark_sql, standin, table
+from sparcel.checks.base import dealt, register, spark_sql, standin, table
 from sparcel.functions.versions import next_version, version_parse, version_text
 from sparcel.operators import profile as P
 from sparcel.plans import diff as X
@@ -316,7 +316,7 @@ def upgrade_descriptors(spark, sf):
     texts = F.array(*[F.lit(_descriptor(k)) for k in ("0.2.0", "0.8.1", "0.9.0", "0.32.1")])
     text = F.get(texts, F.col("c_nationkey") % 4)
     filled = F.replace(F.replace(text, F.lit("@NAME"), F.col("c_name")), F.lit("@SEGMENT"), F.col("c_mktsegment"))
-    texts = table(spark, sf, "customer").select(F.col("c_custkey").alias("package"), filled.alias("value"))
+    texts = dealt(table(spark, sf, "customer")).select(F.col("c_custkey").alias("package"), filled.alias("value"))
     done = written(U.upgrade_descriptors(texts), "upgraded")
     tables = U.descriptor_tables(done)
     properties = tables["properties"].select("package", F.element_at("path", -1).alias("property"), F.array_join("types", ",").alias("types"))
