@@ -207,13 +207,19 @@ def scan_csv(
     options = {"sep": delimiter, "quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(names) + 1))}
     row_type = T.StructType([T.StructField(f"n{j}", T.StringType()) for j in range(len(names))])
 
-    def row_of(width: int, own: Column, cell: Callable[[Column, int], Column]) -> Column:
-        """The row's cells by name: parsed to ``width`` cells, of which its own header has ``own``."""
+    def trimmed(cell: Column) -> Column:
+        # few cells have anything to trim, which their ends tell; ``$`` also stands before a last line end
+        ends = F.concat(F.left(cell, F.lit(1)), F.right(cell, F.lit(1)))
+        return F.when(ends.rlike(rf"{WS}|\x{{85}}"), F.regexp_replace(cell, f"^{WS}+|{WS}+$", "")).otherwise(cell)
+
+    def row_of(rows: DataFrame, width: int, own: Column, cell: Callable[[Column, int], Column]) -> DataFrame:
+        """Rows with their cells by name: parsed once, to ``width`` cells, of which the row's own header has ``own``."""
         schema = ", ".join(f"c{i} string" for i in range(width))
-        parsed = F.from_csv("_text", schema, options)
+        rows = rows.select("*", F.from_csv("_text", schema, options).alias("_parsed"), count.alias("_count"))
+        rows = rows.select("*", *[cell(F.col("_parsed"), j).alias(f"_cell{j}") for j in range(len(names))])
         message = F.concat(F.lit("a row has more than the "), own.cast("string"), F.lit(" cells of its header in "), F.col("_file"))
-        row = F.struct(*[F.nullif(F.regexp_replace(cell(parsed, j), f"^{WS}+|{WS}+$", ""), F.lit("")).alias(f"n{j}") for j in range(len(names))])
-        return F.when(count > own, F.raise_error(message).cast(row_type)).otherwise(row)
+        row = F.struct(*[F.nullif(trimmed(F.col(f"_cell{j}")), F.lit("")).alias(f"n{j}") for j in range(len(names))])
+        return rows.withColumn("_row", F.when(F.col("_count") > own, F.raise_error(message).cast(row_type)).otherwise(row))
 
     if not layouts:
         empty = T.StructType([T.StructField("_file", T.StringType()), T.StructField("_offset", T.LongType())])
@@ -221,7 +227,7 @@ def scan_csv(
     if header_row is not None:
         rows = rows.filter("_at > 0")
     if len(layouts) == 1 or header_row is None:
-        value = row_of(len(names), F.lit(len(names)), lambda parsed, j: parsed[f"c{j}"])
+        rows = row_of(rows, len(names), F.lit(len(names)), lambda parsed, j: parsed[f"c{j}"])
     else:
         # where each file has each name, found once a file
         known = spark.createDataFrame(list(layouts.items()), "_known string, _own array<string>")
@@ -229,9 +235,9 @@ def scan_csv(
         heads = heads.join(known, F.col("_head") == F.col("_known")).select(F.col("_file").alias("_of"), F.size("_own").alias("_width"), places.alias("_places"))
         rows = rows.join(heads, F.col("_file") == F.col("_of"))
         widest = max(map(len, layouts.values()))
-        value = row_of(widest, F.col("_width"), lambda parsed, j: F.get(F.array(*[parsed[f"c{i}"] for i in range(widest)]), F.col("_places")[j]))
+        rows = row_of(rows, widest, F.col("_width"), lambda parsed, j: F.get(F.array(*[parsed[f"c{i}"] for i in range(widest)]), F.col("_places")[j]))
     shift = 0 if header_row is None else 1
-    out = rows.select(value.alias("_row"), "_file", (F.col("_at") - shift).alias("_offset"))
+    out = rows.select("_row", "_file", (F.col("_at") - shift).alias("_offset"))
     extra = ["_file", "_offset"] if offsets else ["_file"]
     return out.select(*[F.col(f"_row.n{j}").alias(n) for j, n in enumerate(names)], *extra)
 

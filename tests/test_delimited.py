@@ -89,3 +89,14 @@ def test_no_copy_of_the_source(spark, tmp_path):
     for options in ({}, {"offsets": False}, {"header_row": 1}, {"header_row": None}):
         assert delimited.scan_csv(spark, str(tmp_path), **options).count() >= 19999
     assert size() - before < 100_000
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_a_record_is_parsed_once(spark, tmp_path, multi_line):
+    """Not once for every cell of every layout; and only cells with something to trim are trimmed."""
+    (tmp_path / "a.csv").write_text('a,b\n" x 　",y \x85\n ," z"\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("b,c,a\n1,2 2,  3\t\n", encoding="utf-8")
+    df = delimited.scan_csv(spark, str(tmp_path), multi_line=multi_line)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    got = sorted((tuple(r) for r in df.select("a", "b", "c").collect()), key=repr)
+    assert got == sorted([("x", "y\x85", None), (None, "z", None), ("3", "1", "2 2")], key=repr)
