@@ -493,7 +493,7 @@ def exchange_normalize_ftx(spark, sf):
         F.to_json(F.struct(F.lit("update").alias("type"), F.lit("trades").alias("channel"), market("l_orderkey"), data)).alias("value")
     )
     one = F.struct(F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderkey").alias("key"))
-    ticker = table(spark, sf, "orders").select(
+    ticker = dealt(table(spark, sf, "orders")).select(
         F.to_json(F.struct(F.lit("update").alias("type"), F.lit("ticker").alias("channel"), market("o_orderkey"), one.alias("data"))).alias("value")
     )
     control = table(spark, sf, "region").select(F.to_json(F.struct(F.lit("subscribed").alias("type"), F.lit("ticker").alias("channel"))).alias("value"))

@@ -88,19 +88,17 @@ def normalize_binance(messages: DataFrame, book_ticker: bool = False) -> DataFra
 
 
 def normalize_ftx(messages: DataFrame) -> DataFrame:
-    """``update`` messages of the ticker and trades channels, one record per item, with the market."""
-    v = messages.select(F.try_parse_json("value").alias("v"))
-    kept = v.filter((_text(F.col("v"), "$.type") == "update") & _text(F.col("v"), "$.channel").isin("ticker", "trades"))
-    data = F.try_variant_get(F.col("v"), "$.data", "variant")
-    many = F.try_variant_get(data, "$", "array<variant>")
-    items = F.coalesce(many, F.array(data))
-    exploded = kept.select(
-        _text(F.col("v"), "$.channel").alias("_schema_slug"), _text(F.col("v"), "$.market").alias("market"),
-        F.explode(items).alias("item"),
-    )
-    return exploded.select(
-        "_schema_slug", F.map_concat(_object(F.col("item")), F.create_map(F.lit("market"), F.col("market"))).alias("record")
-    )
+    """``update`` messages of the ticker and trades channels, one record per item, with the market.
+
+    A message is parsed once, and the maps of its items are read from it at once.
+    """
+    v = F.col("v")
+    # other messages go as they have no items: a filter would parse every message once more
+    parts = messages.select(F.try_parse_json("value").alias("v")).select("v", _text(v, "$.type").alias("type"), _text(v, "$.channel").alias("_schema_slug"))
+    kept = (F.col("type") == "update") & F.col("_schema_slug").isin("ticker", "trades")
+    items = F.coalesce(F.try_variant_get(v, "$.data", f"array<{TEXT_MAP}>"), F.array(F.try_variant_get(v, "$.data", TEXT_MAP)))
+    exploded = parts.select("_schema_slug", _text(v, "$.market").alias("market"), F.explode(F.when(kept, items)).alias("item"))
+    return exploded.select("_schema_slug", F.map_concat("item", F.create_map(F.lit("market"), F.col("market"))).alias("record"))
 
 
 def normalize_gemini(messages: DataFrame, symbol: Column) -> DataFrame:

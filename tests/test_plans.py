@@ -56,3 +56,36 @@ def test_shapes_are_compiled(spark, sf_dir):
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_a_market_message_is_parsed_once(spark):
+    from sparcel.sources import feeds
+
+    texts = [
+        '{"type":"update","channel":"trades","market":"M","data":[{"id":1,"price":1.50,"of":{"x":[1,2]}},5,null]}', '{"type":"update","channel":"ticker","market":"N","data":{"id":2}}',
+        '{"type":"update","channel":"orders","market":"M","data":{"id":3}}', '{"type":"subscribed","channel":"ticker"}', "no message", None, '{"type":"update","channel":"trades","data":[]}',
+    ]
+    rows = feeds.normalize_ftx(spark.createDataFrame([(t,) for t in texts], "value string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    want = [("ticker", {"id": "2", "market": "N"}), ("trades", None), ("trades", None), ("trades", {"id": "1", "price": "1.5", "of": '{"x":[1,2]}', "market": "M"})]
+    assert sorted(((r["_schema_slug"], r["record"]) for r in rows.collect()), key=lambda r: (r[0], len(r[1] or ()))) == want
+
+
+@pytest.mark.parametrize("name", ["upgrade_descriptors", "normalize_ftx"])
+def test_costly_rows_of_one_row_group_go_to_all_cores(spark, tmp_path, monkeypatch, name):
+    from sparcel.checks import QUERIES, delivery, plans
+
+    tables = {
+        "customer": "SELECT id AS c_custkey, concat('c', id) AS c_name, CAST(id % 25 AS int) AS c_nationkey, 1D AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(60)",
+        "orders": "SELECT id AS o_orderkey, 2.5D AS o_totalprice FROM range(60)", "region": "SELECT 1 AS r_regionkey",
+        "lineitem": "SELECT id AS l_orderkey, 1 AS l_linenumber, 3.5D AS l_extendedprice, 0.5D AS l_tax FROM range(60)",
+    }
+    for table, sql in tables.items():
+        spark.sql(sql).coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    module, query = {"upgrade_descriptors": (plans.U, "upgrade_descriptors"), "normalize_ftx": (delivery.feeds, "exchange_normalize_ftx")}[name]
+    parts, plain = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda df: parts.append(df.rdd.getNumPartitions()) or plain(df))
+    cores = spark.sparkContext.defaultParallelism
+    assert QUERIES[query](spark, str(tmp_path)).count() == {"upgrade_descriptors": 60, "normalize_ftx": 180}[name]
+    assert parts[0] >= {"upgrade_descriptors": cores, "normalize_ftx": 2 * cores}[name]
