@@ -133,11 +133,11 @@ def notify_by_package(activity, follows, packages, collection_packages, start, e
 
 
 def summaries_of(counted: DataFrame, follows: DataFrame, packages: DataFrame, collection_packages: DataFrame, also: tuple[str, ...] = ("frequency",)) -> DataFrame:
-    """The summaries of all four kinds and every frequency, from sums by ``kind`` and ``frequency``."""
+    """The summaries of all four kinds and every frequency, from sums by ``kind`` and ``frequency``; an actor may have several."""
     keys = {kind: _keys(follows, target, also) for kind, target in (("catalog", "target_catalog_id"), ("collection", "target_collection_id"), ("user", "target_user_id"))}
     of = {kind: counted.filter(F.col("kind") == kind).drop("kind") for kind in (*keys, "package")}
     acted = of["package"].filter(F.col("_change").isNotNull()).select(*also, "_target", "_event").distinct()
-    keys["package"] = _package_keys(follows, packages, collection_packages, acted, also)
+    keys["package"] = written(_package_keys(follows, packages, collection_packages, acted, also), "package_keys")  # for the totals and for the followers
     out = None
     for kind, rows in of.items():
         found = _summaries(kind, rows, keys[kind], also)

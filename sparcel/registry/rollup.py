@@ -55,6 +55,11 @@ def _added(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    """Sums of sums, apart by the list of edited properties: nothing is collected, which costs more than all the rest."""
+    return rows.groupBy(*by, *KEYS, "edited").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last_at").alias("last_at"))
+
+
 def _single(cells: DataFrame, *more: str) -> DataFrame:
     """Actions as sums of one."""
     return cells.select(
@@ -87,14 +92,13 @@ class LogRollup(Published):
             return 0
         at = _micros(F.col("created_at"))
         some = log.filter(at <= stop) if mark is None else log.filter((at > mark) & (at <= stop))
-        minutes = _added(_single(_cells(some).withColumn("slot", bucket(F.col("at"), LEVELS[0])), "slot"), "slot").withColumn("level", F.lit(0))
-        minutes = written(minutes, "minutes")
-        levels = minutes
-        for number, (small, size) in enumerate(zip(LEVELS, LEVELS[1:]), 1):  # hours of minutes, days of hours
-            of = levels.filter(F.col("level") == number - 1).withColumn("slot", F.ceil(F.col("slot") / F.lit(size // small)).cast("bigint"))
-            levels = levels.unionByName(_added(of, "slot").withColumn("level", F.lit(number)))
+        sums = _summed(_single(_cells(some).withColumn("slot", bucket(F.col("at"), LEVELS[0])), "slot"), "slot")
         folder = uuid.uuid4().hex
-        levels.write.partitionBy("level").parquet(f"{self.data}/{folder}")
+        for number, size in enumerate(LEVELS):  # hours of minutes, days of hours, each from the level that was written
+            if number:
+                smaller = self.spark.read.schema(f"slot bigint, {SUMS}").parquet(f"{self.data}/{folder}/level={number - 1}")
+                sums = _summed(smaller.withColumn("slot", F.ceil(F.col("slot") / F.lit(size // LEVELS[number - 1])).cast("bigint")), "slot")
+            sums.write.parquet(f"{self.data}/{folder}/level={number}")
         entries = [*listed, (len(listed), folder, stop)]
         self.publish(self.spark.createDataFrame(entries, LIST).coalesce(1).write.parquet, before)
         return self.spark.read.parquet(f"{self.data}/{folder}").count()
@@ -103,7 +107,7 @@ class LogRollup(Published):
         """Put all folders in one."""
         before, listed = self.newest(), self._listed()
         folder = uuid.uuid4().hex
-        _added(self._sums(), "level", "slot").write.partitionBy("level").parquet(f"{self.data}/{folder}")
+        _summed(self._sums(), "level", "slot").write.partitionBy("level").parquet(f"{self.data}/{folder}")
         return self.publish(self.spark.createDataFrame([(0, folder, self.mark())], LIST).coalesce(1).write.parquet, before) if listed else before
 
     def _sums(self) -> DataFrame:
@@ -113,7 +117,11 @@ class LogRollup(Published):
         return rows
 
     def counted(self, log: DataFrame, windows: DataFrame) -> DataFrame:
-        """``(frequency, kind, target, event, change, actor, n, first, last_at, edited)`` of each of ``windows (frequency, window_start, window_end)``.
+        """``(frequency, kind, target, event, change, actor, n, first, last_at, edited)`` of each of ``windows (frequency, window_start, window_end)``."""
+        return _added(self.parts(log, windows), "frequency")
+
+    def parts(self, log: DataFrame, windows: DataFrame) -> DataFrame:
+        """The same with a row for each list of edited properties.
 
         Buckets are taken from the largest level down: those inside the window whose larger bucket is not inside.
         """
@@ -141,14 +149,15 @@ class LogRollup(Published):
             edge = edge | ((at > s) & (at <= min(first, e))) | ((at > last) & (at <= e))
         raw = _cells(log.filter(edge)).join(F.broadcast(spans), (F.col("at") > F.col("s")) & (F.col("at") <= F.col("e")))
         raw = raw.filter(~inside(bucket(F.col("at"), LEVELS[0]), LEVELS[0]))
-        return _added(parts.unionByName(_single(raw, "frequency")), "frequency")
+        return _summed(parts.unionByName(_single(raw, "frequency")), "frequency")
 
 
 def digests(rollup: LogRollup, log: DataFrame, follows: DataFrame, packages: DataFrame, collection_packages: DataFrame, windows: DataFrame) -> DataFrame:
     """The summaries of all four kinds of follow for every frequency of ``windows``, from one look at the sums."""
     windows = windows.join(follows.select("frequency").distinct(), "frequency", "left_semi")  # five at most
-    counted = written(rollup.counted(log, windows), "counted").select(
+    counted = written(rollup.parts(log, windows), "counted").select(
         "frequency", "kind", F.col("target").alias("_target"), F.col("event").alias("_event"), F.col("change").alias("_change"), F.col("actor").alias("actor_id"), "n", "first", "last_at", "edited"
     )
-    wanted = follows.join(windows.select("frequency"), "frequency", "left_semi")
+    # every kind reads them, for its totals and for its followers
+    wanted = written(follows.join(windows.select("frequency"), "frequency", "left_semi").repartition("user_id"), "follows")
     return summaries_of(counted, wanted, packages, collection_packages)

@@ -83,3 +83,40 @@ def test_a_long_window_is_few_buckets(spark, tmp_path):
     windows = spark.createDataFrame([("WEEKLY", start, end)], "frequency string, window_start timestamp, window_end timestamp")
     got = {(r.kind, r.target, r.event, r.change, r.actor): r.n for r in rollup.counted(later, windows).collect()}
     assert got == {k: v[0] for k, v in expected(rows, start, end).items()}
+
+
+def test_sums_are_kept_without_collecting_lists(spark, tmp_path):
+    at = BEGIN + dt.timedelta(seconds=30)
+    edits = [["slug"], ["slug", "readme"], None, ["slug"], ["name"]]
+    rows = [(i, at + dt.timedelta(seconds=i), 1, "E", None, 5, None, None, e) for i, e in enumerate(edits)]
+    log, rollup = spark.createDataFrame(rows, SCHEMA), R.LogRollup(spark, str(tmp_path))
+    assert rollup.update(log, BEGIN + dt.timedelta(hours=2)) == 3 * 2 * 4  # levels, targets, lists
+    windows = spark.createDataFrame([("DAILY", BEGIN, BEGIN + dt.timedelta(hours=1))], "frequency string, window_start timestamp, window_end timestamp")
+    parts = rollup.parts(log, windows)
+    assert "collect_" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.kind, tuple(r.edited), r.n) for r in parts.collect()) == sorted(
+        (kind, *x) for kind in ("catalog", "user") for x in (((), 1), (("name",), 1), (("slug",), 2), (("slug", "readme"), 1))
+    )
+    assert {r.kind: (r.n, r["first"].id, r.last_at, frozenset(r.edited)) for r in rollup.counted(log, windows).collect()} == {
+        kind: (5, 0, at + dt.timedelta(seconds=4), frozenset({"slug", "readme", "name"})) for kind in ("catalog", "user")
+    }
+
+
+def test_follows_and_package_keys_are_worked_out_once(spark, tmp_path, monkeypatch):
+    from sparcel.registry import notifications as N
+
+    made = []
+    for module in (R, N):
+        monkeypatch.setattr(module, "written", lambda df, name, write=module.written: made.append(name) or write(df, name))
+    at = BEGIN + dt.timedelta(seconds=30)
+    log = spark.createDataFrame([(i, at, a, "E", "A", None, None, 7, e) for i, (a, e) in enumerate([(1, ["slug"]), (1, ["name"]), (2, ["slug"])])], SCHEMA)
+    follow = "user_id long, target_catalog_id long, target_collection_id long, target_user_id long, target_package_id long, event_types array<string>, change_types array<string>, follow_all_packages boolean, frequency string"
+    follows = spark.createDataFrame([(3, None, None, None, 7, ["E"], ["A"], False, "DAILY"), (1, 4, None, None, None, ["E"], ["A"], True, "DAILY"), (2, None, None, 1, None, ["E"], [], False, "WEEKLY")], follow)
+    packages = spark.createDataFrame([(7, 4)], "package_id long, catalog_id long")
+    inside = spark.createDataFrame([(7, 9)], "package_id long, collection_id long")
+    windows = spark.createDataFrame([("DAILY", BEGIN, BEGIN + dt.timedelta(hours=1))], "frequency string, window_start timestamp, window_end timestamp")
+    rollup = R.LogRollup(spark, str(tmp_path))
+    rollup.update(log, BEGIN + dt.timedelta(hours=2))
+    rows = R.digests(rollup, log, follows, packages, inside, windows).select("kind", "user_id", "target_id", "n_actions", "n_actors", "first_actor_id", "properties_edited").collect()
+    assert sorted(map(tuple, rows)) == [("package", 1, 7, 1, 1, 2, ["slug"]), ("package", 3, 7, 3, 2, 1, ["name", "slug"])]
+    assert made.count("follows") == made.count("package_keys") == 1
