@@ -119,25 +119,28 @@ def normalize_gemini(messages: DataFrame, symbol: Column) -> DataFrame:
 def normalize_kraken(messages: DataFrame) -> DataFrame:
     """Positional ticker, trade (one record each) and spread messages to named fields.
 
-    A message is parsed once; every channel's bodies are read from it by their own type, and the map of a record is put together
-    after its row is there, from plain columns.
+    A message is parsed once and its body read once, as every value that is taken from a parsed message costs about as much as a
+    short message's parsing: a filter on the bodies would read them a second time, so messages without records go as they have no items.
     """
-    v = F.col("v")
-    # other messages go once their bodies are there: a filter on the channel alone would parse every message once more
+    v, slug = F.col("v"), F.col("_schema_slug")
     parts = messages.select(F.try_parse_json("value").alias("v")).select("v", _text(v, "$[2]").alias("_schema_slug"), _text(v, "$[3]").alias("pair"))
 
     def body(channel: str, kind: str) -> Column:
-        return F.when(F.col("_schema_slug") == channel, F.try_variant_get(v, "$[1]", kind))
-
-    ticker = ", ".join(f"`{key}`: array<string>" for key, _ in KRAKEN_TICKER)
-    rows = parts.select("_schema_slug", "pair", body("ticker", f"struct<{ticker}>").alias("ticker"), body("spread", "array<string>").alias("spread"), F.explode_outer(body("trade", "array<array<string>>")).alias("trade"))
-    at = lambda values, i: F.get(values, F.lit(i))
-    quote = {"pair": F.col("pair"), **{name: at(F.col(f"ticker.`{key}`"), i) for key, names in KRAKEN_TICKER for i, name in enumerate(names)}}
-    trade = {"pair": F.col("pair"), **{name: at(F.col("trade"), i) for i, name in enumerate(KRAKEN_TRADE)}}
-    spread = {name: at(F.col("spread"), i) for i, name in enumerate(KRAKEN_SPREAD)}
-    slug = F.col("_schema_slug")
-    record = F.when(F.col("trade").isNotNull(), _named(trade)).when(slug == "ticker", _named(quote)).when(slug == "spread", _named(spread))
-    return rows.filter("trade IS NOT NULL OR ticker IS NOT NULL OR spread IS NOT NULL").select("_schema_slug", record.alias("record"))
+        return F.when(slug == channel, F.try_variant_get(v, "$[1]", kind)).alias(channel)
+
+    quotes = ", ".join(f"`{key}`: array<string>" for key, _ in KRAKEN_TICKER)
+    bodies = parts.select("_schema_slug", "pair", body("ticker", f"struct<{quotes}>"), body("trade", "array<array<string>>"), body("spread", "array<string>"))
+    # every record's values by position
+    ticker = F.array(*[F.get(F.col(f"ticker.`{key}`"), F.lit(i)) for key, names in KRAKEN_TICKER for i in range(len(names))])
+    items = F.when(F.col("ticker").isNotNull(), F.array(ticker)).when(F.col("spread").isNotNull(), F.array("spread")).otherwise(F.col("trade"))
+    rows = bodies.select("_schema_slug", "pair", F.explode(items).alias("item")).filter("item IS NOT NULL")
+
+    def named(names: tuple[str, ...], **more: Column) -> Column:
+        return _named({**more, **{name: F.get("item", F.lit(i)) for i, name in enumerate(names)}})
+
+    quote = named(tuple(name for _, names in KRAKEN_TICKER for name in names), pair=F.col("pair"))
+    record = F.when(slug == "trade", named(KRAKEN_TRADE, pair=F.col("pair"))).when(slug == "ticker", quote).otherwise(named(KRAKEN_SPREAD))
+    return rows.select("_schema_slug", record.alias("record"))
 
 
 SOCIAL = (

@@ -72,6 +72,23 @@ def test_a_market_message_is_parsed_once(spark):
     assert sorted(((r["_schema_slug"], r["record"]) for r in rows.collect()), key=lambda r: (r[0], len(r[1] or ()))) == want
 
 
+def test_the_body_of_a_positional_message_is_read_once(spark):
+    from sparcel.sources import feeds
+
+    texts = [
+        '[7,[["1.5","2",3,"b","l",""],5,null,["9"]],"trade","XBT"]', '[7,{"a":["1","2","3"],"b":"x","l":["4"],"q":["5"]},"ticker","XBT"]', '[7,["1",2],"spread","XBT"]', '[7,{},"ticker",null]',
+        '[7,[],"trade","XBT"]', '[7,5,"spread","XBT"]', '[7,null,"ticker","XBT"]', '[7,["1"],"other","XBT"]', '{"event":"heartbeat"}', "no message", None,
+    ]
+    rows = feeds.normalize_kraken(spark.createDataFrame([(t,) for t in texts], "value string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("parseJson"), plan.count("try_variant_get")) == (1, 5)  # channel, pair and a body for each channel
+    want = [
+        ("spread", {"bid": "1", "ask": "2"}), ("ticker", {}), ("ticker", {"pair": "XBT", "ask_price": "1", "ask_whole_lot_volume": "2", "ask_lot_volume": "3", "low_today": "4"}),
+        ("trade", {"pair": "XBT", "price": "9"}), ("trade", {"pair": "XBT", "price": "1.5", "volume": "2", "time": "3", "side": "b", "orderType": "l", "misc": ""}),
+    ]
+    assert sorted(((r["_schema_slug"], r["record"]) for r in rows.collect()), key=lambda r: (r[0], len(r[1]))) == want
+
+
 @pytest.mark.parametrize("name", ["upgrade_descriptors", "normalize_ftx"])
 def test_costly_rows_of_one_row_group_go_to_all_cores(spark, tmp_path, monkeypatch, name):
     from sparcel.checks import QUERIES, delivery, plans
